@@ -1 +1,11 @@
+"""Listing intelligence and training-data preparation on Spark.
 
+Functions that run inside Python workers are shipped by value, so executors need
+no installed copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
