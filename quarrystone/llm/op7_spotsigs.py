@@ -29,22 +29,26 @@ ANCHOR_WORDS = sorted({w for line in ANCHORS for w in line.split()})
 MARK = "\x01"
 
 
-def signatures(text: Column, chain: int = 2) -> Column:
-    """Sorted distinct 32-bit hashes (array<bigint>) of the spot signatures of ``text``."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2) -> DataFrame:
+    """``df`` with ``out``: sorted distinct 32-bit hashes (array<bigint>) of the spot signatures of ``text``.
+
+    Each step is a column of its own, so that none is computed more than once.
+    """
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     # each run of anchors is glued to the content word after it: "of<1>the<1>house"
-    glued = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(ANCHOR_WORDS), MARK).otherwise(" "))), "")
-    tokens = F.split(F.rtrim(glued), " ")
+    glued = F.rtrim(F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(ANCHOR_WORDS), MARK).otherwise(" "))), ""))
+    rows = df.withColumn("_glued", glued).withColumn("_tokens", F.split("_glued", " "))
     content = lambda t: F.substring_index(t, MARK, -1)
-    chained = tokens
-    for k in range(1, chain):
-        ahead = F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1)))
-        chained = F.zip_with(chained, ahead, lambda a, b: F.when(b.isNotNull() & (b != ""), F.concat(a, F.lit(" "), content(b))))
-    starts = F.filter(chained, lambda t: t.isNotNull() & (F.instr(t, MARK) > 0))
-    hashed = F.array_sort(F.array_distinct(F.transform(starts, lambda t: F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)))))
-    whole = F.array(F.xxhash64(glued, F.lit("whole")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    ahead = [F.slice("_tokens", k + 1, F.greatest(F.size("_tokens"), F.lit(1))) for k in range(1, chain)]
+    chained = F.col("_tokens")
+    for tail in ahead[:-1]:
+        chained = F.zip_with(chained, tail, lambda a, b: F.when(b.isNotNull() & (b != ""), F.concat(a, F.lit(" "), content(b))))
+    spots = F.zip_with(chained, ahead[-1], lambda a, b: F.when((F.instr(a, MARK) > 0) & b.isNotNull() & (b != ""), F.xxhash64(a, content(b)).bitwiseAND(F.lit(0xFFFFFFFF))))
+    hashed = F.sort_array(F.array_distinct(F.array_compact(spots)))
+    rows = rows.withColumn("_hashed", hashed)
     nothing = F.expr("CAST(array() AS array<bigint>)")
-    return F.when(F.length(glued) == 0, nothing).when(F.size(hashed) > 0, hashed).otherwise(whole)
+    whole = F.array(F.xxhash64("_glued", F.lit("whole")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return rows.withColumn(out, F.when(F.length("_glued") == 0, nothing).when(F.size("_hashed") > 0, F.col("_hashed")).otherwise(whole)).drop("_glued", "_tokens", "_hashed")
 
 
 def pruned_jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -80,7 +84,7 @@ def spotsigs_join(sets: DataFrame, least: float = 0.75) -> DataFrame:
     return full.select("a", "b", pruned_jaccard(F.col("sa"), F.col("sb"), least).alias("likeness")).where(F.col("likeness") >= least)
 
 
-def with_next(docs: DataFrame, key: str, block_rows: int = 5000) -> DataFrame:
+def with_next(docs: DataFrame, key: str, block_rows: int = 1000) -> DataFrame:
     """``docs(key, text)`` dealt into blocks of neighbouring keys, with ``_block``, and ``_copy`` true on each block's extra last row: the row that follows it.
 
     Blocks come from a histogram of the key (4096 cells, cut evenly where full), so
@@ -128,13 +132,13 @@ def fingerprint_string(sigs: Column) -> Column:
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = with_next(docs, "doc_id").repartition("_block").withColumn("sigs", signatures(F.col("text")))
+    dealt = with_signatures(with_next(docs, "doc_id").repartition("_block"), "text", "sigs")
     ahead = Window.partitionBy("_block").orderBy("_copy", F.col("doc_id").asc_nulls_first(), "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     pairs = dealt.withColumn("next_text", F.lead("text").over(ahead)).withColumn("next_sigs", F.lead("sigs").over(ahead)).where(~F.col("_copy"))
     pairs = pairs.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", "text"), F.lit(1), half)))
-    pairs = pairs.withColumn("edited_sigs", signatures(F.col("edited")))
+    pairs = with_signatures(pairs, "edited", "edited_sigs")
     return pairs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint_string(F.col("sigs")).alias("fingerprint"), fingerprint_string(F.col("edited_sigs")).alias("edited_fingerprint"),
