@@ -36,7 +36,7 @@ def chunks(text: str, average: int = 4, least: int = 2, most: int = 64, min_word
             body = text[start:at].removesuffix("\n")
             if lines >= least and len(body.split(None, min_words)) >= min_words:
                 out.append((number, start, at, xxhash.xxh64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63)))
-            start, before, lines, number = at, 0, 0, number + 1
+            start, lines, number = at, 0, number + 1
     return out
 
 

@@ -42,8 +42,8 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2) -> DataF
     ahead = [F.slice("_tokens", k + 1, F.greatest(F.size("_tokens"), F.lit(1))) for k in range(1, chain)]
     chained = F.col("_tokens")
     for tail in ahead[:-1]:
-        chained = F.zip_with(chained, tail, lambda a, b: F.when(b.isNotNull() & (b != ""), F.concat(a, F.lit(" "), content(b))))
-    spots = F.zip_with(chained, ahead[-1], lambda a, b: F.when((F.instr(a, MARK) > 0) & b.isNotNull() & (b != ""), F.xxhash64(a, content(b)).bitwiseAND(F.lit(0xFFFFFFFF))))
+        chained = F.zip_with(chained, tail, lambda a, b: F.when(b.isNotNull() & (content(b) != ""), F.concat(a, F.lit(" "), content(b))))
+    spots = F.zip_with(chained, ahead[-1], lambda a, b: F.when((F.instr(a, MARK) > 0) & b.isNotNull() & (content(b) != ""), F.xxhash64(a, content(b)).bitwiseAND(F.lit(0xFFFFFFFF))))
     hashed = F.sort_array(F.array_distinct(F.array_compact(spots)))
     rows = rows.withColumn("_hashed", hashed)
     nothing = F.expr("CAST(array() AS array<bigint>)")
