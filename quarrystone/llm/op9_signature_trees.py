@@ -9,10 +9,13 @@ The trees' root level is cut by keys, so that it can be dealt to workers: a
 document goes under each of ``BANDS`` keys of ``ROWS`` min-hashes. Documents at the
 least similarity 0.75 share no key with probability (1 - 0.75**4)**56 < 6e-10, and
 nearer ones less; that is the only step that is not exact. Equal sets are one node.
-Documents reachable through shared keys form a candidate group; a group over
-``UNIT`` sets is cut into units, each unit's tree is walked in one task, and links
-between units are sought among the units' roots, then among all sets that share a
-key but are not yet in one component.
+A key that more than ``HOT`` sets share (a passage that many documents hold, or a
+large group of near copies) is left out for sets with at most ``CROWD`` such keys: a
+near set shares another key with all but 0.684**50 < 6e-9. Documents reachable
+through the keys that remain form a candidate group, and a task walks a group's
+tree. A group over ``UNIT`` sets is cut into units around hubs; then the sets outside
+the group's largest component meet all of its sets, block by block. Joins whose sides grow with the input are sort-merge joins at every
+size.
 
 Defined results: texts without words and nulls have 0 shingles and are linked with
 nothing; fewer words than a shingle make one shingle of all of them; rows without
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import materialize, min_label_components, read_table
 
-BANDS, ROWS, UNIT = 56, 4, 1000
+BANDS, ROWS, UNIT, HOT, CROWD = 56, 4, 1000, 64, 6
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _rng = np.random.default_rng(20240817)
 MULT = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -99,12 +102,12 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in batches:
                 n, cid, keys = [], [], []
-                for text in b.column(1).to_pylist():
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     t = shingles(text, k, known)
                     c = _set_id(t) if len(t) else None
                     n.append(len(t))
                     cid.append(c)
-                    if c is None or c in seen:
+                    if c is None or doc is None or c in seen:
                         keys.append(None)
                     else:
                         keys.append(band_keys(t))
@@ -144,9 +147,11 @@ class SignatureTree:
         most = int(np.bitwise_count(p[i] & p[j]).sum()) + min(sp[i], sp[j])
         return (num + den) * min(most, hi[i], hi[j]) >= num * (lo[i] + lo[j])
 
-    def links(self, num: int, den: int) -> list[int]:
-        """For each set the least index of its component under links of at least num/den."""
-        root = list(range(len(self.sets)))
+    def links(self, num: int, den: int, labels: list | None = None) -> list[int]:
+        """For each set the least index of its component under links of at least num/den; sets of one label count as linked."""
+        root, first_of = list(range(len(self.sets))), {}
+        for i, x in enumerate(labels or []):
+            root[i] = first_of.setdefault(x, i)
 
         def find(x):
             while root[x] != x:
@@ -182,31 +187,38 @@ class SignatureTree:
 
 
 def _walk(num: int, den: int):
-    """A task's work: the tree of one unit, links as (cid, root cid)."""
+    """A task's work: the tree of one unit, links as (cid, root cid). Sets that carry the same label are linked already."""
 
     def run(table: pa.Table) -> pa.Table:
-        cids = table.column("cid").to_numpy()
+        cids, labels = table.column("cid").to_pylist(), table.column("label").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
         order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), int(sets[i][len(sets[i]) // 2]), len(sets[i]), cids[i]))
-        roots = SignatureTree([sets[i] for i in order]).links(num, den)
+        roots = SignatureTree([sets[i] for i in order]).links(num, den, [labels[i] for i in order])
         a = np.array([cids[i] for i in order])
         return pa.table({"cid": a, "root": a[np.array(roots)]})
 
     return run
 
 
+def _walked(units: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of all ``units(cid, unit, label)`` as (a, b)."""
+    placed = units.join(tokens.hint("merge"), "cid").select("unit", "cid", "label", "tokens")
+    links = placed.groupBy("unit").applyInArrow(_walk(num, den), "cid bigint, root bigint")
+    return links.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+
+
 def _tokens(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """``(cid, unit, tokens)`` of members(doc_id, cid, unit)."""
+    """``(cid, tokens)`` of members(doc_id, cid)."""
 
     def run(batches):
         known = _WordHashes()
         with np.errstate(over="ignore"):
             for b in batches:
-                out = [(c, u, t.tobytes()) for c, u, x in zip(*(b.column(i).to_pylist() for i in (0, 1, 2)), strict=True) if len(t := shingles(x, k, known)) and _set_id(t) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["cid", "unit", "tokens"])
+                out = [(c, t.tobytes()) for c, x in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True) if len(t := shingles(x, k, known)) and _set_id(t) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["cid", "tokens"])
 
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members, "doc_id").select("cid", "unit", "text")
-    return picked.mapInArrow(run, "cid bigint, unit bigint, tokens binary")
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members.hint("merge"), "doc_id").select("cid", "text")
+    return picked.mapInArrow(run, "cid bigint, tokens binary")
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, unit: int = UNIT) -> DataFrame:
@@ -222,56 +234,61 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
 
 def _set_components(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int, unit: int) -> DataFrame:
     """``(cid, comp)`` of the sets that have links."""
-    entries = sets.where("keys is not null and doc_id is not null").select("cid", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("key", "lead")
-    pairs = entries.join(shared, "key").where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
+    entries = sets.where("keys is not null").select("cid", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last"), (F.count(F.lit(1)) > HOT).alias("hot")).where("lead < last").select("key", "lead", "hot")
+    held = materialize(entries.join(materialize(shared, "keys").hint("merge"), "key"), "held")
+    crowded = held.where("hot").groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("cid")
+    thick = held.where("hot").join(crowded.hint("merge"), "cid").select("cid", "key")
+    leads = thick.groupBy("key").agg(F.min("cid").alias("lead"))
+    kept = materialize(held.where("not hot").select("cid", "key", "lead").union(thick.join(leads, "key").select("cid", "key", "lead")), "kept")
+    pairs = kept.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
     groups = materialize(min_label_components(pairs), "groups")
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.ceil(F.col("size") / unit)
-    dealt = groups.join(sizes, "comp").select(F.col("node").alias("cid"), F.when(parts > 1, F.xxhash64("comp", F.pmod(F.xxhash64("node"), parts))).otherwise(F.col("comp")).alias("unit"), "comp", (parts > 1).alias("cut"))
     rep = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    dealt = materialize(dealt.join(rep, "cid"), "units")
-    tokens = materialize(_tokens(docs, dealt.select("doc_id", "cid", "unit"), k).dropDuplicates(["cid"]), "tokens")
-    walked = tokens.groupBy("unit").applyInArrow(_walk(num, den), "cid bigint, root bigint")
-    links = materialize(walked.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")), "links")
-    if dealt.where("cut").limit(1).count():
-        links = _across_units(entries, dealt, tokens, links, num, den, unit)
+    members = materialize(groups.withColumnRenamed("node", "cid").join(sizes, "comp").join(rep.hint("merge"), "cid").select("cid", "comp", "doc_id", (F.col("size") > unit).alias("cut")), "members")
+    tokens = materialize(_tokens(docs, members.select("doc_id", "cid"), k), "tokens")
+    alone = F.col("cid").alias("label")
+    links = materialize(_walked(members.where("not cut").select("cid", F.col("comp").alias("unit"), alone), tokens, num, den), "links")
+    cut = members.where("cut").select("cid", "comp")
+    if cut.limit(1).count():
+        links = _cut_groups(materialize(cut, "cut"), kept.select("cid", "key"), tokens, links, num, den, unit)
     return min_label_components(links).withColumnRenamed("node", "cid")
 
 
-def _across_units(entries: DataFrame, dealt: DataFrame, tokens: DataFrame, links: DataFrame, num: int, den: int, unit: int) -> DataFrame:
-    """Links between the units of cut groups, added to ``links``."""
-    cut = dealt.where("cut").select("cid", "unit", "comp")
-    # 1: the roots of the units' components, again in trees of at most a unit
-    roots = cut.join(links.select(F.col("a").alias("cid")), "cid", "left_anti")
-    many = roots.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / unit).alias("parts"))
-    next_unit = F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("parts")), F.lit(1))
-    upper = roots.join(many, "comp").select("cid", next_unit.alias("unit")).join(tokens.drop("unit"), "cid")
-    walked = upper.groupBy("unit").applyInArrow(_walk(num, den), "cid bigint, root bigint")
-    links = materialize(links.union(walked.where("cid <> root")), "links")
-    # 2: sets of two units that share a key, where their components still differ
-    label = cut.join(min_label_components(links).withColumnRenamed("node", "cid").withColumnRenamed("comp", "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_ = label.join(label.groupBy("comp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("comp"), "comp", "left_semi")
-    keyed = entries.join(open_.select("cid", "unit", "label"), "cid")
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    keyed = materialize(keyed.join(mixed, "key"), "keyed")
-    right = keyed.select("key", F.col("cid").alias("b"), F.col("unit").alias("ub"), F.col("label").alias("lb"))
-    pairs = keyed.withColumnRenamed("cid", "a").join(right, "key").where("a < b and unit <> ub and label <> lb").select("a", "b").distinct()
-    full = pairs.join(tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").where(F.length("ta") > 0)
-    full = full.join(tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b").where((F.length("ta") * den >= F.length("tb") * num) & (F.length("tb") * den >= F.length("ta") * num))
-
-    def exact(batches):
-        for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    more = full.select("a", "b", "ta", "tb").mapInArrow(exact, "a bigint, b bigint")
-    return materialize(links.union(more), "links")
+def _hub_units(cut: DataFrame, keys: DataFrame, unit: int) -> DataFrame:
+    """Units of large groups: each set with its hub, the set it shares a key with that shares keys with most.
+
+    Near copies of one text need not be near each other, but are to the text, which
+    collides most; so a unit holds the hubs of its members as well.
+    """
+    held = keys.join(cut.hint("merge"), "cid")
+    weight = held.groupBy("key").agg(F.count(F.lit(1)).alias("w"))
+    weighed = held.join(weight, "key").groupBy("cid").agg(F.sum("w").alias("w"))
+    best = F.max(F.struct("w", F.negative("cid").alias("c")))
+    hubs = held.join(weighed, "cid").groupBy("key").agg(best.alias("h"))
+    own = materialize(held.select("cid", "key").join(hubs, "key").groupBy("cid").agg(F.max("h").alias("h")).select("cid", F.negative("h.c").alias("hub")), "hubs")
+    parts = own.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / unit).alias("parts"))
+    placed = own.join(parts, "hub").select("cid", "hub", F.xxhash64("hub", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("unit"))
+    return placed.select("cid", "unit").union(placed.select(F.col("hub").alias("cid"), "unit")).distinct()
+
+
+def _cut_groups(cut: DataFrame, keys: DataFrame, tokens: DataFrame, links: DataFrame, num: int, den: int, unit: int) -> DataFrame:
+    """All links between components of groups that are too large for one task, added to ``links``."""
+    alone = F.col("cid").alias("label")
+    links = materialize(links.union(_walked(_hub_units(cut, keys, unit).select("cid", "unit", alone), tokens, num, den)), "links")
+    label = min_label_components(links).withColumnRenamed("node", "cid").withColumnRenamed("comp", "label")
+    label = materialize(cut.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labels")
+    # sets outside their group's largest component meet all sets of the group, block by block;
+    # a tree over both blocks passes over what is linked already
+    by_label = label.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = by_label.groupBy("comp").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("out")).where("out > 0")
+    open_ = label.join(main, "comp").withColumn("outside", F.col("label") != F.col("main"))
+    blocks = lambda n: F.ceil(F.col(n) / unit).cast("int")
+    own = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), blocks(n)).cast("int")
+    rows = open_.where("outside").select("cid", "comp", "label", own("out", 1).alias("i"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("j"))
+    every = open_.select("cid", "comp", "label", F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), own("all", 2).alias("j"))
+    units = rows.union(every).select("cid", F.xxhash64("comp", "i", "j").alias("unit"), "label").distinct()
+    return materialize(links.union(_walked(units, tokens, num, den)), "links")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
