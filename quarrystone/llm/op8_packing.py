@@ -51,13 +51,30 @@ class _Ids(dict):
         self.encode = Tokenizer.from_file(path).encode
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk, add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < 1_000_000 and len(chunk) < 64:
+        # text is lower-cased, and a mark after a letter or digit is a pre-token of its own
+        low = chunk.lower() if chunk and max(chunk) < "\u0250" else chunk
+        if low != chunk:
+            packed = self[low]
+        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalnum():
+            packed = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = self.encode(chunk, add_special_tokens=False).ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < 600_000 and len(chunk) < 64:
             self[chunk] = packed
         return packed
 
 
+def _known(path: str) -> _Ids:
+    """The chunks that this worker knows; the library's module keeps them from task to task."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_known_chunks", {})
+    if path not in kept:
+        kept[path] = _Ids(path)
+    return kept[path]
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -69,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        known = _Ids(tokenizer_path(tokenizer))
+        known = _known(tokenizer_path(tokenizer))
         for b in batches:
             rows = ([], [], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -83,14 +100,14 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, klass int, ids binary")
 
 
-def harmonic_bins(cut: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def harmonic_bins(cut: DataFrame, block_rows: int = 5_000) -> DataFrame:
     """``cut(doc_id, start, length, klass, ...)`` with sequence_id and offset."""
     counts = {r["klass"]: r["n"] for r in cut.groupBy("klass").agg(F.count(F.lit(1)).alias("n")).collect()}
     base, at = {}, 0
     for k in sorted(counts):
         base[k] = at
         at += -(-counts[k] // k)
-    numbered = number_rows(cut, ["klass"], ["doc_id", "start", *[c for c in cut.columns if c not in ("doc_id", "start", "klass")]], "_n", max(1, sum(counts.values()) // (len(CLASSES) * block_rows)))
+    numbered = number_rows(cut, ["klass"], ["doc_id", "start", *[c for c in cut.columns if c not in ("doc_id", "start", "klass")]], "_n", max(1, max(counts.values(), default=0) // block_rows))
     bins = numbered.withColumn("sequence_id", lookup(F.col("klass"), base, 0) + F.floor(F.col("_n") / F.col("klass")))
     before = Window.partitionBy("sequence_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
     return bins.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_n", "klass")
