@@ -48,7 +48,11 @@ class _Ids(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        self.encode, self.model = whole.encode, whole.model
+        # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def __missing__(self, chunk: str) -> bytes:
         # text is lower-cased, and a mark after a letter or digit is a pre-token of its own
@@ -58,7 +62,10 @@ class _Ids(dict):
         elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalnum():
             packed = self[chunk[:-1]] + self[chunk[-1]]
         else:
-            ids = self.encode(chunk, add_special_tokens=False).ids
+            if chunk.isalpha() and max(chunk) < "\u0250":  # a single pre-token that normalising leaves as it is
+                ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))]
+            else:
+                ids = self.encode(chunk, add_special_tokens=False).ids
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < 600_000 and len(chunk) < 64:
             self[chunk] = packed
