@@ -10,14 +10,19 @@ from pyspark.sql import DataFrame
 _own: dict[str, str] = {}
 
 
+def folder(spark) -> str:
+    """A new folder in ``spark.checkpoint.dir``; a temporary folder stands in where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+        base = _own[app]
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` and read again; a temporary folder stands in where that is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not folder:
-            folder = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
