@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADINGS = [
-    ("preferred", r"(?i)\b(?:preferred|nice to have|desired|bonus points?|ideal candidate|sets you apart)\b"),
-    ("required", r"(?i)\b(?:required|requirements?|minimum|basic) ?(?:qualifications?|skills?)?\b|\b(?:must have|looking for|you(?:'ll| will)? (?:need|bring)|what it takes)\b"),
+    ("preferred", r"(?i)\b(?:(?:preferred|desired) (?:qualifications?|skills?|experience)|nice to have|bonus points?|ideal candidate|sets you apart)\b"),
+    ("required", r"(?i)\b(?:requirements?|(?:required|minimum|basic) (?:qualifications?|skills?))\b|\b(?:must have|looking for|you(?:'ll| will)? (?:need|bring)|what it takes)\b"),
     ("unspecified", r"(?i)\b(?:qualifications?|candidate profile|skills and abilities|education)\b"),
     ("reset", r"(?i)\b(?:responsibilities|duties|about (?:us|the role)|we offer|benefits|compensation|salary|you(?:'ll| will) (?:do|learn|be doing))\b"),
 ]
@@ -36,7 +36,7 @@ def html_lines(html: Column) -> Column:
 def heading_level(line: Column, headings=HEADINGS) -> Column:
     """Level that a short heading line sets (``reset`` ends a section); null for other lines."""
     head = F.regexp_replace(line, r"[:\s]+$", "")
-    short = (F.length(head) <= 100) & (F.size(F.split(head, " ")) <= 14)
+    short = ~line.rlike(r"[.!?]$") & (F.length(head) <= 100) & (F.size(F.split(head, " ")) <= 14)
     out = F.lit(None).cast("string")
     for level, pattern in reversed(headings):
         out = F.when(head.rlike(pattern), F.lit(level)).otherwise(out)

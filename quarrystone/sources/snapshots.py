@@ -109,3 +109,10 @@ def serving_projection(facts: DataFrame, key: str, levels: list[str]) -> DataFra
     """Facts of the wanted levels nested per document and field, for serving; empty fields do not appear."""
     kept = facts.where(F.col("level").isin(levels))
     return kept.groupBy(key, "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "sentence", "level", "statement"))), lambda x: F.struct(x["level"].alias("level"), x["statement"].alias("statement"))).alias("facts"))
+
+
+def load_zips(spark: SparkSession, path: str) -> DataFrame:
+    """The postal table of a CSV file; rows without coordinates go."""
+    schema = "zip_code string, city string, state string, latitude double, longitude double, population bigint"
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    return rows.where("latitude is not null and longitude is not null").withColumn("zip_code", F.lpad("zip_code", 5, "0"))
