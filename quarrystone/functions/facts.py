@@ -52,7 +52,7 @@ def extract_facts(lines: DataFrame, doc: str, pos: str, line: str, fields=FIELDS
     w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     head = heading if heading is not None else heading_level(F.col(line), headings)
     rows = lines.withColumn("_head", head).withColumn("_level", F.last("_head", ignorenulls=True).over(w)).where("_head is null")
-    said = rows.select(doc, F.col(pos).alias("ordinal"), F.when(F.col("_level") != "reset", F.col("_level")).alias("section"), F.posexplode(F.split(line, r"(?<=[.!?])\s+(?=[A-Z])")).alias("sentence", "statement")).where(F.trim("statement") != "")
+    said = rows.select(doc, F.col(pos).alias("ordinal"), F.when(F.col("_level") != "reset", F.col("_level")).alias("section"), F.posexplode(F.split(line, r"(?<=[.!?])\s+(?=\p{Lu})")).alias("sentence", "statement")).where(F.trim("statement") != "")
     s = F.col("statement")
     stated = F.col("section")
     for level, pattern in reversed(STATED):

@@ -93,7 +93,7 @@ def migration_plan(cache: DataFrame, version: int, oldest: int) -> DataFrame:
 
 def resolution_summary(employers: DataFrame, attempts: DataFrame) -> DataFrame:
     """Employers by the outcome of their last attempt. attempts: employer_id, at, status, requests."""
-    w = Window.partitionBy("employer_id").orderBy(F.desc("at"), F.desc("requests"))
+    w = Window.partitionBy("employer_id").orderBy(F.desc("at"), F.desc("requests"), "status")
     last = attempts.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("employer_id", "status")
     total = attempts.groupBy("employer_id").agg(F.sum("requests").alias("requests"))
     rows = employers.select("employer_id").join(last, "employer_id", "left").join(total, "employer_id", "left")

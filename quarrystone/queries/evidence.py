@@ -338,7 +338,7 @@ def i3(spark, sf):
     return INC.migration_plan(c, 4, 2).groupBy("plan").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("i4_resolution_summary", "WITH l AS (SELECT o_custkey, o_orderstatus AS s, sum(o_orderkey % 5) OVER (PARTITION BY o_custkey) AS r FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 5 DESC) = 1) SELECT coalesce(s, 'not_attempted') AS outcome, count(*) AS employers, coalesce(sum(r), 0)::BIGINT AS requests FROM customer LEFT JOIN l ON c_custkey = o_custkey GROUP BY 1")
+@query("i4_resolution_summary", "WITH l AS (SELECT o_custkey, o_orderstatus AS s, sum(o_orderkey % 5) OVER (PARTITION BY o_custkey) AS r FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 5 DESC, o_orderstatus) = 1) SELECT coalesce(s, 'not_attempted') AS outcome, count(*) AS employers, coalesce(sum(r), 0)::BIGINT AS requests FROM customer LEFT JOIN l ON c_custkey = o_custkey GROUP BY 1")
 def i4(spark, sf):
     e = table(spark, sf, "customer").select(F.col("c_custkey").alias("employer_id"))
     a = table(spark, sf, "orders").select(F.col("o_custkey").alias("employer_id"), F.col("o_orderdate").alias("at"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 5).alias("requests"))
