@@ -12,6 +12,7 @@ from quarrystone.functions import text as TX
 from quarrystone.operators import coverage as CV
 from quarrystone.operators import incremental as INC
 from quarrystone.operators import windows as W
+from quarrystone.operators.aggregates import centroids
 from quarrystone.queries.joining import usage_batches
 from quarrystone.queries.registry import query
 from quarrystone.queries.reports import REF, reference
@@ -201,6 +202,13 @@ def c24(spark, sf):
     return observations(spark, sf).where("url like '%/view/'").select("ordinal", ID.apply_switch(F.col("url"), True).alias("apply"))
 
 
+@query("s3_feed_adapter", "SELECT s_name AS company, 'Feed ' || s_suppkey AS title, 'NATION ' || s_nationkey AS location, 'suppliers' AS source_key FROM supplier UNION ALL SELECT c_name, c_mktsegment, 'NATION ' || c_nationkey, 'customers' FROM customer")
+def s3(spark, sf):
+    a = SN.adapt_feed(table(spark, sf, "supplier"), {"company": "s_name", "title": "concat('Feed ', s_suppkey)", "location": "concat('NATION ', s_nationkey)"}, {"source_key": "suppliers"})
+    b = SN.adapt_feed(table(spark, sf, "customer"), {"company": "c_name", "title": "c_mktsegment", "location": "concat('NATION ', c_nationkey)"}, {"source_key": "customers"})
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query("s4_markdown_tables", "SELECT c_nationkey AS page, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_no, last_value(CASE WHEN c_custkey % 3 > 0 THEN c_name END IGNORE NULLS) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS company, c_mktsegment AS title FROM customer")
 def s4(spark, sf):
     c = table(spark, sf, "customer")
@@ -267,6 +275,13 @@ def sample_and_postings(spark, sf):
     return s, p
 
 
+@query("s8_city_points", "SELECT n_name AS state, avg(c_custkey % 90)::DOUBLE AS latitude, count(*) AS areas FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def s8(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    z = c.select(F.col("n_name").alias("state"), F.lit("all").alias("city"), (F.col("c_custkey") % 90).cast("double").alias("latitude"), F.lit(0.0).alias("longitude"), F.lit(0).alias("population"))
+    return centroids(z, False).select("state", "latitude", F.col("zips").alias("areas"))
+
+
 @query("j8_similarity_join", None)
 def j8(spark, sf):
     s, p = sample_and_postings(spark, sf)
