@@ -13,7 +13,7 @@ Defined results: a result whose call is missing and a call without a result are
 unlinked; calls on a cycle or under one have a null level; of calls with one
 identifier the first by turn is linked and the others are duplicates; arguments that
 are no JSON object, lack a required field, or have one of another type are invalid;
-unknown tools are invalid; null texts and arguments that are no JSON are null in the JSON.
+unknown tools are invalid; calls and results without an identifier are unlinked; null texts and arguments that are no JSON are null in the JSON.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ SCHEMAS: dict[str, Schema] = {"reply": {"prompt": ("string", True), "turn": ("in
 
 def as_messages(conversations: DataFrame) -> DataFrame:
     """User turns as calls of ``reply``, the assistant's next turn as the result, other turns as text."""
-    name = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
     call, result = F.col("role") == "user", F.col("role") == "assistant"
     return conversations.select(
         "conv_id", "turn", F.when(call, "call").when(result, "result").otherwise("text").alias("kind"), "role",
