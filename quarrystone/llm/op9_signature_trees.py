@@ -249,8 +249,8 @@ def _set_components(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int
     entries = sets.where("keys is not null").select("cid", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last"), (F.count(F.lit(1)) > HOT).alias("hot")).where("lead < last").select("key", "lead", "hot")
     held = materialize(entries.join(materialize(shared, "keys").hint("merge"), "key"), "held")
-    crowded = held.where("hot").groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("cid")
-    thick = held.where("hot").join(crowded.hint("merge"), "cid").select("cid", "key")
+    per_set = held.where("hot").groupBy("cid").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
+    thick = per_set.where(F.size("keys") > CROWD).select("cid", F.explode("keys").alias("key"))
     leads = thick.groupBy("key").agg(F.min("cid").alias("lead"))
     kept = materialize(held.where("not hot").select("cid", "key", "lead").union(thick.join(leads, "key").select("cid", "key", "lead")), "kept")
     pairs = kept.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
