@@ -9,11 +9,9 @@ The trees' root level is cut by keys, so that it can be dealt to workers: a
 document goes under each of ``BANDS`` keys of ``ROWS`` min-hashes. Documents at the
 least similarity 0.75 share no key with probability (1 - 0.75**4)**56 < 6e-10, and
 nearer ones less; that is the only step that is not exact. Equal sets are one node.
-A key that more than ``HOT`` sets share (a passage that many documents hold, or a
-large group of near copies) is left out for sets with at most ``CROWD`` such keys: a
-near set shares another key with all but 0.684**50 < 6e-9. Documents reachable
-through the keys that remain form a candidate group, and a task walks a group's
-tree. A group over ``UNIT`` sets is cut into units around hubs; then the sets outside
+No key is left out, however many sets share it: where a text has many near copies,
+all that a further copy shares with them are keys of that kind. Documents reachable
+through keys form a candidate group, and a task walks a group's tree. A group over ``UNIT`` sets is cut into units around hubs; then the sets outside
 the group's largest component meet all of its sets, block by block. Joins whose sides grow with the input are sort-merge joins at every
 size.
 
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import materialize, min_label_components, read_table
 
-BANDS, ROWS, UNIT, HOT, CROWD = 56, 4, 1000, 64, 6
+BANDS, ROWS, UNIT = 56, 4, 1000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _rng = np.random.default_rng(20240817)
 MULT = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -246,13 +244,10 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100,
 
 def _set_components(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int, unit: int) -> DataFrame:
     """``(cid, comp)`` of the sets that have links."""
-    entries = sets.where("keys is not null").select("cid", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last"), (F.count(F.lit(1)) > HOT).alias("hot")).where("lead < last").select("key", "lead", "hot")
-    held = materialize(entries.join(materialize(shared, "keys").hint("merge"), "key"), "held")
-    per_set = held.where("hot").groupBy("cid").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
-    thick = per_set.where(F.size("keys") > CROWD).select("cid", F.explode("keys").alias("key"))
-    leads = thick.groupBy("key").agg(F.min("cid").alias("lead"))
-    kept = materialize(held.where("not hot").select("cid", "key", "lead").union(thick.join(leads, "key").select("cid", "key", "lead")), "kept")
+    # a set comes once from each task that met it
+    entries = sets.where("keys is not null").select("cid", "keys").dropDuplicates(["cid"]).select("cid", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("key", "lead")
+    kept = materialize(entries.join(materialize(shared, "keys").hint("merge"), "key"), "kept")
     pairs = kept.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
     groups = materialize(min_label_components(pairs), "groups")
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
