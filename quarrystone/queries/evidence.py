@@ -28,6 +28,12 @@ def c3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", TX.clean_text(t).alias("clean"))
 
 
+@query("c3_clean_documents", None)
+def c3_all(spark, sf):
+    """The whole, unmodified text of every document."""
+    return table(spark, sf, "documents").select("doc_id", TX.clean_text(F.col("text")).alias("clean"))
+
+
 @query("c4_posted_dates", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-02-01 12:00:00' - to_hours((user_id % 30)::INT) WHEN 1 THEN TIMESTAMP '2024-02-01' - to_days((user_id % 30)::INT) WHEN 2 THEN ts::DATE::TIMESTAMP ELSE NULL END AS posted_at FROM events""")
 def c4(spark, sf):
     n = (F.col("user_id") % 30).cast("string")
