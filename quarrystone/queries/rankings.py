@@ -156,7 +156,7 @@ SELECT page_id, least(page_id, coalesce((SELECT min(b) FROM r WHERE r.a = page_i
 def d6(spark, sf):
     p = table(spark, sf, "pages")
     bare = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"\?.*$", "")
-    return D.merge_by_keys(p, "page_id", F.array(bare, F.md5(F.substring("html", 1, 300)))).select("page_id", "entity")
+    return D.merge_by_keys(p, "page_id", F.array(bare, F.md5("html"))).select("page_id", "entity")
 
 
 @query("d6_representatives", "SELECT c_nationkey AS g, arg_max(c_custkey, {'q': c_acctbal, 'o': -c_custkey}) AS c_custkey, count(*) AS rows, list_sort(list(DISTINCT c_mktsegment)) AS sources FROM customer GROUP BY 1")

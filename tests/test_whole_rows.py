@@ -13,3 +13,10 @@ def test_c3_cleans_whole_texts(spark, tmp_path):
     sf = save(spark, tmp_path, "documents", [(1, long), (2, " | a\n\nb | "), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: r.clean for r in QUERIES["c3_clean_documents"](spark, sf).collect()}
     assert got[1].startswith("word " * 200 + "label 1") and got[1].endswith("end & more 42") and got[2] == "a b" and got[3] == ""
+
+
+def test_d6_common_head_is_no_identity(spark, tmp_path):
+    head = "<!doctype html><head>" + "<meta>" * 100 + "</head>"
+    pages = [(1, "http://a/1", head + "one"), (2, "http://a/2", head + "two"), (3, "http://a/3?x=1", head + "two"), (4, "http://a/1#top", "other")]
+    sf = save(spark, tmp_path, "pages", pages, "page_id bigint, url string, html string")
+    assert {r.page_id: r.entity for r in QUERIES["d6_discovery_entities"](spark, sf).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
