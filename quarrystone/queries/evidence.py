@@ -14,7 +14,7 @@ from quarrystone.operators import incremental as INC
 from quarrystone.operators import windows as W
 from quarrystone.operators.aggregates import centroids
 from quarrystone.queries.joining import usage_batches
-from quarrystone.queries.registry import query
+from quarrystone.queries.registry import ORACLES, query
 from quarrystone.queries.reports import REF, reference
 from quarrystone.sources import snapshots as SN
 from quarrystone.sources.listings import observations, postings, table, with_sql
@@ -142,7 +142,16 @@ e AS (SELECT p, g, f.skill, CASE WHEN req THEN 4.0 ELSE 3.0 END / CASE WHEN sup
 b AS (SELECT p, g, skill, max(v) AS v FROM e GROUP BY 1, 2, 3), t AS (SELECT p, b.g, sum(v) AS earned, count_if(req) AS met FROM b JOIN f ON f.g = b.g AND f.skill = b.skill GROUP BY 1, 2), n AS (SELECT g, count_if(req) AS needed FROM f GROUP BY 1)
 SELECT p AS profile_id, t.g AS posting_id, greatest(0, least(45, 20 + earned - least(12, (needed - met) * 3.0))) AS fit FROM t JOIN n ON n.g = t.g""")
 def c15(spark, sf):
-    line, cust = table(spark, sf, "lineitem"), table(spark, sf, "customer").where("c_custkey % 2 = 0")
+    return fit_of(spark, sf, table(spark, sf, "customer").where("c_custkey % 2 = 0"))
+
+
+@query("c15_qualification_fit_all", ORACLES["c15_qualification_fit"].replace(" WHERE c_custkey % 2 = 0", ""))
+def c15_all(spark, sf):
+    return fit_of(spark, sf, table(spark, sf, "customer"))
+
+
+def fit_of(spark, sf, cust):
+    line = table(spark, sf, "lineitem")
     skill = lambda c: F.concat(F.lit("s"), (F.col(c) % 12).cast("string"))
     facts = line.select(F.col("l_orderkey").alias("posting_id"), F.when(F.col("l_returnflag") == "R", "required").otherwise("preferred").alias("level"), skill("l_partkey").alias("technology"))
     skills = cust.select(F.col("c_nationkey").alias("profile_id"), skill("c_custkey").alias("skill"), F.when(F.col("c_custkey") % 12 < 6, "supported").otherwise("cautious").alias("support")).distinct()
@@ -174,7 +183,7 @@ def c18(spark, sf):
 @query("w1_rank_profiles", None)
 def w1_profiles(spark, sf):
     """Profiles and postings meet on skills only; scores are composed, then ranked."""
-    fit = c15(spark, sf)
+    fit = c15_all(spark, sf)
     dated = table(spark, sf, "orders").select(F.col("o_orderkey").alias("posting_id"), F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("company"))
     rows = fit.join(dated, "posting_id").withColumn("freshness", S.freshness(F.floor((reference().cast("double") - F.col("posted_at").cast("double")) / 86400)))
     rows = rows.withColumns({"roi": F.col("posting_id") % 26, "location": F.col("posting_id") % 21})
@@ -198,6 +207,12 @@ def c22(spark, sf):
     return X.profile_evidence(d, "doc_id", "t").where("(kind = 'skill' and value = 'SQL') or kind = 'graduation'")
 
 
+@query("c22_evidence_all", None)
+def c22_all(spark, sf):
+    """Every kind and value found in the unmodified text of every document."""
+    return X.profile_evidence(table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query("c23_hint_status", "SELECT page_id, CASE WHEN lower(url) LIKE '%://m.%' THEN 'shared' ELSE 'tenant' END AS status FROM pages")
 def c23(spark, sf):
     return table(spark, sf, "pages").select("page_id", ID.hint_status(F.col("url"), [], r"^m\.").alias("status"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.text import host
 from quarrystone.operators import joins as J
 from quarrystone.operators import predicates as P
-from quarrystone.queries.registry import query
+from quarrystone.queries.registry import ORACLES, query
 from quarrystone.queries.reports import AGE, REF, ZIPS, employers, reference, zips
 from quarrystone.sources.listings import observations, postings, source_health, table, with_sql
 
@@ -117,7 +117,16 @@ def j15(spark, sf):
 @query("j16_plausible_domains", r"""WITH d AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS domain FROM pages), l AS (SELECT domain, regexp_extract(domain, '([^.]+)\.[^.]+$', 1) AS l FROM d)
 SELECT DISTINCT p_partkey AS employer_id, domain FROM l, part WHERE left(l, 4) = 'exam' AND p_partkey % 10 = 0""")
 def j16(spark, sf):
-    names = table(spark, sf, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("employer_id"), F.concat(F.lit("Example "), F.col("p_partkey").cast("string")).alias("name"))
+    return domains_of(spark, sf, table(spark, sf, "part").where("p_partkey % 10 = 0"))
+
+
+@query("j16_plausible_domains_all", ORACLES["j16_plausible_domains"].replace(" AND p_partkey % 10 = 0", ""))
+def j16_all(spark, sf):
+    return domains_of(spark, sf, table(spark, sf, "part"))
+
+
+def domains_of(spark, sf, parts):
+    names = parts.select(F.col("p_partkey").alias("employer_id"), F.concat(F.lit("Example "), F.col("p_partkey").cast("string")).alias("name"))
     return J.plausible_domains(names, table(spark, sf, "pages").select(host(F.col("url")).alias("domain")).distinct())
 
 

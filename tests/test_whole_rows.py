@@ -20,3 +20,19 @@ def test_d6_common_head_is_no_identity(spark, tmp_path):
     pages = [(1, "http://a/1", head + "one"), (2, "http://a/2", head + "two"), (3, "http://a/3?x=1", head + "two"), (4, "http://a/1#top", "other")]
     sf = save(spark, tmp_path, "pages", pages, "page_id bigint, url string, html string")
     assert {r.page_id: r.entity for r in QUERIES["d6_discovery_entities"](spark, sf).collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def test_c22_evidence_of_all_rows(spark, tmp_path):
+    text = "Bachelor of Science, majoring in Data Science. Class of 2026; Python and Git."
+    sf = save(spark, tmp_path, "documents", [(1, text), (2, "x " * 500 + "uses SQL"), (3, "Master of Arts"), (4, None)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.kind, r.value) for r in QUERIES["c22_evidence_all"](spark, sf).collect()}
+    want = {(1, "degree", "Bachelor of Science"), (1, "graduation", "2026"), (1, "major", "Data Science"), (1, "skill", "Python"), (1, "skill", "Git"), (2, "skill", "SQL"), (3, "degree", "Master of Arts")}
+    assert got == want
+
+
+def test_w1_ranks_odd_customers_skills(spark, tmp_path):
+    save(spark, tmp_path, "lineitem", [(7, 1, "R"), (8, 2, "R")], "l_orderkey bigint, l_partkey bigint, l_returnflag string")
+    save(spark, tmp_path, "customer", [(1, 5), (2, 6)], "c_custkey bigint, c_nationkey bigint")
+    save(spark, tmp_path, "part", [(1,), (2,)], "p_partkey bigint")
+    save(spark, tmp_path, "orders", [(7, None, "1"), (8, None, "2")], "o_orderkey bigint, o_orderdate timestamp, o_orderpriority string")
+    assert {r.profile_id for r in QUERIES["w1_rank_profiles"](spark, str(tmp_path)).collect()} == {5, 6}
