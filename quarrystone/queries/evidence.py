@@ -101,6 +101,12 @@ CONV_HEADS = "CASE role WHEN 'system' THEN 'preferred' WHEN 'user' THEN 'require
 
 @query("c11_requirement_facts", None)
 def c11(spark, sf):
+    """All facts of all lines of the pages, under the sections that their own headings open."""
+    p = table(spark, sf, "pages").select("page_id", F.posexplode(X.html_lines(F.col("html"))).alias("line_no", "line"))
+    return X.extract_facts(p, "page_id", "line_no", "line")
+
+
+def marked_turns(spark, sf):
     """Turns as lines; a system turn opens a preferred section, a user's turn a required one."""
     c = table(spark, sf, "conversations").withColumn("line", F.when(F.col("role") == "assistant", F.concat(F.lit("Experience with SQL. "), F.col("text"))).otherwise(F.lit("head")))
     heading = F.when(F.col("role") == "system", "preferred").when(F.col("role") == "user", "required")
@@ -109,12 +115,12 @@ def c11(spark, sf):
 
 @query("c11_section_levels", "SELECT conv_id, turn AS ordinal, last_value(CASE role WHEN 'system' THEN 'preferred' WHEN 'user' THEN 'required' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS level FROM conversations QUALIFY role = 'assistant' AND level IS NOT NULL")
 def c11_levels(spark, sf):
-    return c11(spark, sf).where("array_contains(technologies, 'SQL') and statement = 'Experience with SQL.'").select("conv_id", "ordinal", "level")
+    return marked_turns(spark, sf).where("array_contains(technologies, 'SQL') and statement = 'Experience with SQL.'").select("conv_id", "ordinal", "level")
 
 
 @query("c11_field_classes", None)
 def c11_classes(spark, sf):
-    return X.field_classes(c11(spark, sf), "conv_id")
+    return X.field_classes(c11(spark, sf), "page_id")
 
 
 @query("c12_experience_burden", "SELECT CASE event_type WHEN 'click' THEN 'none' WHEN 'view' THEN 'years' ELSE 'unstated' END AS burden, count(*) AS n FROM events GROUP BY 1")
@@ -279,7 +285,7 @@ def s9_contiguous(spark, sf):
 
 @query("s10_serving_projection", None)
 def s10(spark, sf):
-    return SN.serving_projection(c11(spark, sf), "conv_id", ["required", "preferred"])
+    return SN.serving_projection(c11(spark, sf), "page_id", ["required", "preferred"])
 
 
 @query("s11_fingerprint", "SELECT count(*) AS rows FROM orders")

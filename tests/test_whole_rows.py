@@ -36,3 +36,14 @@ def test_w1_ranks_odd_customers_skills(spark, tmp_path):
     save(spark, tmp_path, "part", [(1,), (2,)], "p_partkey bigint")
     save(spark, tmp_path, "orders", [(7, None, "1"), (8, None, "2")], "o_orderkey bigint, o_orderdate timestamp, o_orderpriority string")
     assert {r.profile_id for r in QUERIES["w1_rank_profiles"](spark, str(tmp_path)).collect()} == {5, 6}
+
+
+def test_c11_facts_of_all_lines(spark, tmp_path):
+    html = "<h2>Requirements</h2><ul><li>Bachelor's degree. Knowledge of Python and SQL.</li></ul><h2>Nice to have</h2><p>Experience with Linux.</p><h2>Benefits</h2><p>Free lunch.</p>"
+    sf = save(spark, tmp_path, "pages", [(1, "u", html), (2, "u", "<p>Nothing here</p>"), (3, "u", None)], "page_id bigint, url string, html string")
+    got = sorted((r.page_id, r.ordinal, r.sentence, r.field, r.level, r.statement, tuple(r.technologies)) for r in QUERIES["c11_requirement_facts"](spark, sf).collect())
+    assert got == [(1, 1, 0, "education", "required", "Bachelor's degree.", ()), (1, 1, 1, "skills", "required", "Knowledge of Python and SQL.", ("Python", "SQL")), (1, 3, 0, "skills", "preferred", "Experience with Linux.", ("Linux",))]
+    classes = {(r.field, r.classification, r.facts) for r in QUERIES["c11_field_classes"](spark, sf).collect()}
+    assert classes == {("education", "required", 1), ("skills", "mixed", 2)}
+    served = {r.field: [x.statement for x in r.facts] for r in QUERIES["s10_serving_projection"](spark, sf).collect()}
+    assert served == {"education": ["Bachelor's degree."], "skills": ["Knowledge of Python and SQL.", "Experience with Linux."]}
