@@ -1,8 +1,8 @@
 """Helpers that the training-data operators share.
 
 Nothing here holds data of its own: shared tables go to the folder that the
-cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on
-one machine) does a temporary folder take its place.
+cluster names in ``spark.checkpoint.dir``; only where that is unset and Spark runs
+on one machine (tests) does a temporary folder take its place.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -35,7 +37,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a materialised table that no later plan reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns, lengthened until none clashes with ``columns``, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -89,24 +110,23 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, so the rounds grow with the
     logarithm of the longest path and no task holds a component. Each round is
-    written to the shared folder; the loop ends when the edges stop changing.
+    written to the shared folder, after which the one before it is removed; the loop
+    ends when every edge points to a node that points nowhere itself.
     """
-    spark = edges.sparkSession
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
+        ends = cur.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(cur.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if not ends.where("out > 1 or (out = 1 and into = 1)").limit(1).count():
+            break
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         tops = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(tops, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        cur = materialize(small.union(tops.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        state = cur.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
+        before, cur = cur, materialize(small.union(tops.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
-    labels = cur.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
-    return labels.union(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct().join(labels.select("node"), "node", "left_anti"))
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(cur.select("v", "v").distinct())
