@@ -4,21 +4,25 @@ TF-IDF of hashed character 1- to 3-grams feeds a sparse multinomial logistic
 regression, trained by follow-the-regularised-leader (FTRL-proximal) with elastic-net
 penalties; a temperature, fitted on rows left out of the training, calibrates its
 probabilities. Document frequencies come from all rows that may be learned from;
-the regression is fitted on at most ``max_train`` of them, those with the least hash.
-Predictions read whole texts.
+the regression is fitted on at most ``max_train`` of them, as evenly dealt over the
+languages as their numbers allow, those with the least hash. Predictions read whole
+texts, in pieces of a million characters where they are longer.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so
-is everything if nothing can be learned; ties go to the first language by name.
+is everything if nothing can be learned; ties go to the first language by name;
+repeated rows get equal results; an empty table gives no rows; other columns pass
+through, but ``lang_pred`` and ``score`` are replaced. The stage keeps the columns that
+it gets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import read_table
+from quarrystone.llm.common import fresh, lookup, read_table
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -101,8 +105,22 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return best[1]
 
 
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Rows to take of each language: all of the rare ones, equal shares of the others, ``most`` in all."""
+    out, left = {}, most
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
 def fit(labelled: DataFrame, max_train: int = 3000) -> Model | None:
-    """Learn from ``labelled(id, text, lang)``: frequencies from all rows, weights from at most ``max_train``."""
+    """Learn from ``labelled(id, text, lang)``: frequencies from all rows, weights from at most ``max_train``.
+
+    The sample holds equal numbers of each language, or all rows of a rare one. It
+    reaches the driver as Arrow arrays, at most ``max_train * BUCKETS`` pairs of bucket
+    and count, and is freed after the fit.
+    """
 
     def frequencies(batches):
         df, rows = np.zeros(BUCKETS + 1, np.int64), 0
@@ -117,27 +135,35 @@ def fit(labelled: DataFrame, max_train: int = 3000) -> Model | None:
 
     usable = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull())
     # one row per bucket reaches the driver: BUCKETS + 1 of them
-    df = {r["bucket"]: r["df"] for r in usable.select("text").mapInArrow(frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).collect()}
-    rows = df.pop(BUCKETS, 0)
+    table = usable.select("text").mapInArrow(frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(BUCKETS + 1, np.int64)
+    df[table.column("bucket").to_numpy()] = table.column("df").to_numpy()
+    rows = int(df[BUCKETS])
     if not rows:
         return None
-    idf = np.ones(BUCKETS)
-    for k in range(BUCKETS):
-        idf[k] = np.log((1 + rows) / (1 + df.get(k, 0))) + 1
+    idf = np.log((1 + rows) / (1 + df[:BUCKETS])) + 1
 
     def features(batches):
         with np.errstate(over="ignore"):
             for b in batches:
-                got = [grams(t) for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["h", "lang", "idx", "counts"])
-
-    hashed = usable.select(F.xxhash64("id", "text").alias("h"), "lang", "text")
-    share = min(1.0, 1.3 * max_train / rows)
-    picked = hashed.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
-    sample = picked.mapInArrow(features, "h bigint, lang string, idx array<int>, counts array<int>").orderBy(F.pmod("h", F.lit(1_000_000)), "h", "lang").limit(max_train).collect()
-    langs = sorted({r["lang"] for r in sample})
+                got = [grams(t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["lang", "idx", "counts"])
+
+    # a row per language, the model's classes
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    take = quotas(counts, max_train)
+    # half as many again as wanted and 50 more pass the hash, so the exact number is cut from few rows
+    chance = lookup(F.col("lang"), {x: min(1_000_000, int(1_000_000 * (1.5 * n + 50) / counts[x]) + 1) for x, n in take.items()})
+    hashed = usable.select(F.xxhash64("id", "text").alias("h"), "id", "lang", "text").where(F.pmod("h", F.lit(1_000_000)) < chance)
+    picked = hashed.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h", "id")))
+    picked = picked.where(F.col("_rank") <= lookup(F.col("lang"), take))
+    sample = picked.orderBy("_rank", "lang").select("lang", "text").mapInArrow(features, "lang string, idx array<int>, counts array<int>").toArrow()
+    langs = sorted(counts)
     at = {x: i for i, x in enumerate(langs)}
-    data = [(np.array(r["idx"]), np.array(r["counts"]), at[r["lang"]]) for r in sample]
+    data = []
+    for b in sample.to_batches():
+        idx, n = b.column(1), b.column(2)
+        data += [(idx[i].values.to_numpy(), n[i].values.to_numpy(), at[lang]) for i, lang in enumerate(b.column(0).to_pylist())]
     kept, left = [d for i, d in enumerate(data) if i % 5], data[::5]
     w, bias = _ftrl(kept or data, idf, len(langs))
     model = Model(langs, w.astype(np.float32), bias, idf, 1.0)
@@ -148,8 +174,10 @@ def fit(labelled: DataFrame, max_train: int = 3000) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; a column of that name is replaced."""
-    rows = docs.drop("lang_pred", "score").withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_letters") + ", lang_pred string, score double"
+    rows = docs.drop("lang_pred", "score")
+    flag, = fresh(rows.columns, "_letters")
+    rows = rows.withColumn(flag, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != flag) + ", lang_pred string, score double"
 
     def run(batches):
         with np.errstate(over="ignore"):
