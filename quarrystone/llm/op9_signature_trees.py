@@ -1,23 +1,32 @@
 """N-gram Jaccard join by signature trees, and near-duplicate groups from its links.
 
 Documents are sets of word shingles. A tree node holds the OR of its documents'
-token bitmaps and their range of sizes; two trees (or a tree and itself) are
-walked together, and a pair of nodes is dropped where even the largest overlap
-that bitmaps and sizes allow is too small. What remains is compared exactly.
+token bitmaps and their range of sizes. A tree is walked against itself level by
+level: a pair of nodes is dropped where even the largest overlap that bitmaps and
+sizes allow is too small, and the pairs of their children come next. Pairs of
+documents that pass the same bound are compared exactly.
 
 The trees' root level is cut by keys, so that it can be dealt to workers: a
 document goes under each of ``BANDS`` keys of ``ROWS`` min-hashes. Documents at the
 least similarity 0.75 share no key with probability (1 - 0.75**4)**56 < 6e-10, and
-nearer ones less; that is the only step that is not exact. Equal sets are one node.
-No key is left out, however many sets share it: where a text has many near copies,
-all that a further copy shares with them are keys of that kind. Documents reachable
-through keys form a candidate group, and a task walks a group's tree. A group over ``UNIT`` sets is cut into units around hubs; then the sets outside
-the group's largest component meet all of its sets, block by block. Joins whose sides grow with the input are sort-merge joins at every
-size.
+nearer ones less; that is the only step that is not exact. ``exact`` takes as keys all
+tokens of a set's prefix in hash order instead, of which two near sets always share
+one; it links what the other way links, with more and larger groups. Equal sets are
+one node. No key is left out, however many sets share it.
+
+Documents reachable through keys form a candidate group. Groups are dealt to units of
+about ``UNIT`` sets, and a task walks the tree of a unit. A group over ``UNIT`` sets is
+cut into units around hubs; then the sets outside the group's largest component meet
+all of its sets, block by block. Joins whose sides grow with the input are sort-merge
+joins at every size.
 
 Defined results: texts without words and nulls have 0 shingles and are linked with
 nothing; fewer words than a shingle make one shingle of all of them; rows without
-an id are linked with nothing and have a null component; repeated rows are linked.
+an id are linked with nothing and have a null component; repeated rows are linked;
+rows of one id with other texts are documents of their own; texts of any length are
+read whole; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are
+not read. The stage keeps one row of each group, the one with the least id (of rows
+that share it the least text hash), and all rows without an id or without words.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import materialize, min_label_components, read_table
+from quarrystone.llm.common import discard, fresh, materialize, min_label_components, read_table
 
 BANDS, ROWS, UNIT = 56, 4, 1000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -91,8 +100,16 @@ def _set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``(doc_id, n, cid, keys)``: number of shingles, id of the set, keys (null where the task gave them before)."""
+def prefix_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least tokens of a set of which it shares one with every set at least num/den like it."""
+    return tokens[:len(tokens) - -(-len(tokens) * num // den) + 1].view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, k: int = 5, prefix: tuple[int, int] | None = None) -> DataFrame:
+    """``(doc_id, th, n, cid, keys)``: hash of the text, number of shingles, id of the set, keys (null where the task gave them before).
+
+    Keys are bands of min-hashes, or with ``prefix`` = (num, den) the prefix of the set.
+    """
 
     def run(batches):
         known = _WordHashes()
@@ -100,7 +117,7 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in batches:
                 n, cid, keys = [], [], []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for doc, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                     t = shingles(text, k, known)
                     c = _set_id(t) if len(t) else None
                     n.append(len(t))
@@ -108,158 +125,185 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
                     if c is None or doc is None or c in seen:
                         keys.append(None)
                     else:
-                        keys.append(band_keys(t))
+                        keys.append(prefix_keys(t, *prefix) if prefix else band_keys(t))
                         if len(seen) < 200_000:
                             seen.add(c)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "cid", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "th", "n", "cid", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, cid bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text"), "text").mapInArrow(run, "doc_id bigint, th bigint, n bigint, cid bigint, keys array<bigint>")
 
 
 class SignatureTree:
-    """Bitmaps and size ranges over sets: leaves of ``LEAF`` sets, each level above halves the number of nodes."""
+    """Bitmaps and size ranges over sets: leaves of ``LEAF`` neighbouring sets, each level above halves the number of nodes.
 
-    LEAF = 64
+    ``met`` and ``pruned`` count the node pairs that a walk looked at and dropped.
+    """
+
+    LEAF = 8
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], labels: list[int] | None = None):
         self.sets, m = sets, len(sets)
         self.size = np.array([len(s) for s in sets])
         bits = 1 << int(np.clip(np.ceil(np.log2(8 * self.size.max() + 1)), 8, 16))
-        maps = np.zeros((m, bits), bool)
+        self.bitmap = np.zeros((m, bits // 64), np.uint64)
         for i, s in enumerate(sets):
-            maps[i, (s & np.uint64(bits - 1)).astype(np.int64)] = True
-        self.spare = self.size - maps.sum(axis=1)  # tokens that share another's bit
-        self.bitmap = np.packbits(maps, axis=1).view(np.uint64)
-        at = np.arange(0, m, self.LEAF)
-        nodes = (self.bitmap, self.size, self.size, self.spare)
+            row = np.zeros(bits, bool)
+            row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+            self.bitmap[i] = np.packbits(row).view(np.uint64)
+        self.spare = self.size - np.bitwise_count(self.bitmap).sum(axis=1, dtype=np.int64)  # tokens that share another's bit
+        #: sets of one label are linked already
+        first: dict[int, int] = {}
+        self.root = [first.setdefault(x, i) for i, x in enumerate(labels)] if labels else list(range(m))
+        label = np.array(self.root)
+        at, nodes = np.arange(0, m, self.LEAF), (self.bitmap, self.size, self.size, self.spare, label, label)
         self.levels = []
         while True:
-            nodes = tuple(f.reduceat(x, at) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum), nodes, strict=True))
+            nodes = tuple(f.reduceat(x, at) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), nodes, strict=True))
             self.levels.append(nodes)
             if len(nodes[0]) == 1:
                 break
             at = np.arange(0, len(nodes[0]), 2)
-
-    def possible(self, level: int, i: int, j: int, num: int, den: int) -> bool:
-        """Whether any set under node i can be near enough to any under node j."""
-        p, lo, hi, sp = self.levels[level]
-        if den * hi[i] < num * lo[j] or den * hi[j] < num * lo[i]:
-            return False
-        most = int(np.bitwise_count(p[i] & p[j]).sum()) + min(sp[i], sp[j])
-        return (num + den) * min(most, hi[i], hi[j]) >= num * (lo[i] + lo[j])
-
-    def links(self, num: int, den: int, labels: list | None = None) -> list[int]:
-        """For each set the least index of its component under links of at least num/den; sets of one label count as linked."""
-        root, first_of, m = list(range(len(self.sets))), {}, len(self.sets)
-        for i, x in enumerate(labels or []):
-            root[i] = first_of.setdefault(x, i)
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        def compare(i, j):
-            """The sets of two leaves: the same bound for all pairs at once, then those left exactly."""
-            a, b = np.arange(i * self.LEAF, min(m, (i + 1) * self.LEAF)), np.arange(j * self.LEAF, min(m, (j + 1) * self.LEAF))
-            ra, rb = np.array([find(x) for x in a]), np.array([find(x) for x in b])
-            open_ = ra[:, None] != rb[None, :]
-            if i == j:
-                open_ = np.triu(open_)
-            if not open_.any():
-                return
-            sa, sb = self.size[a][:, None], self.size[b][None, :]
-            most = np.bitwise_count(self.bitmap[a][:, None, :] & self.bitmap[b][None, :, :]).sum(axis=2, dtype=np.int64) + np.minimum(self.spare[a][:, None], self.spare[b][None, :])
-            most = np.minimum(most, np.minimum(sa, sb))
-            left = open_ & ((num + den) * most >= num * (sa + sb))
-            xs, ys = np.nonzero(left)
-            for k in np.argsort(-(most[xs, ys] / (sa[xs, 0] + sb[0, ys])), kind="stable"):  # the nearest first
-                x, y = int(a[xs[k]]), int(b[ys[k]])
-                rx, ry = find(x), find(y)
-                if rx != ry:
-                    both = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
-                    if den * both >= num * (len(self.sets[x]) + len(self.sets[y]) - both):
-                        root[max(rx, ry)] = min(rx, ry)
-
-        stack = [(len(self.levels) - 1, 0, 0)]
-        while stack:
-            level, i, j = stack.pop()
-            if i != j and not self.possible(level, i, j, num, den):
-                continue
-            if level == 0:
-                compare(i, j)
-                continue
-            last = len(self.levels[level - 1][0])
-            inner = [(level - 1, x, y) for x in range(2 * i, min(last, 2 * i + 2)) for y in range(2 * j, min(last, 2 * j + 2)) if i != j or x <= y]
-            stack.extend(sorted(inner, key=lambda n: n[1] == n[2]))  # a node with itself comes first
-        return [find(x) for x in range(m)]
+        self.met = self.pruned = 0
+
+    def _possible(self, level: int, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether any set under node i can be near enough to any under node j and is not linked with it, for pairs of nodes."""
+        maps, lo, hi, spare, least, most = self.levels[level]
+        open_ = (den * hi[i] >= num * lo[j]) & (den * hi[j] >= num * lo[i])
+        open_ &= (least[i] != most[i]) | (least[j] != most[j]) | (least[i] != least[j])
+        at = np.flatnonzero(open_)
+        for part in np.array_split(at, max(1, len(at) // 512)):
+            x, y = i[part], j[part]
+            both = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare[x], spare[y])
+            both = np.minimum(both, np.minimum(hi[x], hi[y]))
+            open_[part] = (num + den) * both >= num * (lo[x] + lo[y])
+        self.met += len(i)
+        self.pruned += int(len(i) - open_.sum())
+        return open_
+
+    def leaf_pairs(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of leaves that are left when tree and tree are walked together, each leaf with itself first."""
+        i = j = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            keep = self._possible(level, i, j, num, den)
+            i, j = i[keep], j[keep]
+            if level:
+                below = len(self.levels[level - 1][0])
+                i, j = (2 * i[:, None] + [0, 0, 1, 1]).ravel(), (2 * j[:, None] + [0, 1, 0, 1]).ravel()
+                inside = (i <= j) & (j < below)
+                i, j = i[inside], j[inside]
+        order = np.argsort(i != j, kind="stable")
+        return i[order], j[order]
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def _compare(self, i: int, j: int, num: int, den: int) -> None:
+        """The sets of two leaves: the same bound for all pairs at once, then those left exactly."""
+        m = len(self.sets)
+        a, b = np.arange(i * self.LEAF, min(m, (i + 1) * self.LEAF)), np.arange(j * self.LEAF, min(m, (j + 1) * self.LEAF))
+        ra, rb = np.array([self._find(x) for x in a]), np.array([self._find(x) for x in b])
+        open_ = ra[:, None] != rb[None, :]
+        if i == j:
+            open_ = np.triu(open_)
+        if not open_.any():
+            return
+        sa, sb = self.size[a][:, None], self.size[b][None, :]
+        most = np.bitwise_count(self.bitmap[a][:, None, :] & self.bitmap[b][None, :, :]).sum(axis=2, dtype=np.int64) + np.minimum(self.spare[a][:, None], self.spare[b][None, :])
+        most = np.minimum(most, np.minimum(sa, sb))
+        xs, ys = np.nonzero(open_ & ((num + den) * most >= num * (sa + sb)))
+        for k in np.argsort(-(most[xs, ys] / (sa[xs, 0] + sb[0, ys])), kind="stable"):  # the nearest first
+            x, y = int(a[xs[k]]), int(b[ys[k]])
+            rx, ry = self._find(x), self._find(y)
+            if rx != ry:
+                both = len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
+                if den * both >= num * (len(self.sets[x]) + len(self.sets[y]) - both):
+                    self.root[max(rx, ry)] = min(rx, ry)
+
+    def links(self, num: int, den: int) -> list[int]:
+        """For each set the least index of its component under links of at least num/den and equal labels."""
+        for i, j in zip(*(x.tolist() for x in self.leaf_pairs(num, den)), strict=True):
+            self._compare(i, j, num, den)
+        return [self._find(x) for x in range(len(self.sets))]
 
 
 def _walk(num: int, den: int):
-    """A task's work: the tree of one unit, links as (cid, root cid). Sets that carry the same label are linked already."""
+    """A task's work: the tree of one unit, links as (cid, root cid), and for the least set of the unit the node pairs met and pruned."""
 
     def run(table: pa.Table) -> pa.Table:
-        cids, labels = table.column("cid").to_pylist(), table.column("label").to_pylist()
+        cids, labels, groups = (table.column(c).to_pylist() for c in ("cid", "label", "comp"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), int(sets[i][len(sets[i]) // 2]), len(sets[i]), cids[i]))
-        roots = SignatureTree([sets[i] for i in order]).links(num, den, [labels[i] for i in order])
-        a = np.array([cids[i] for i in order])
-        return pa.table({"cid": a, "root": a[np.array(roots)]})
+        order = sorted(range(len(sets)), key=lambda i: (groups[i], int(sets[i][0]), int(sets[i][len(sets[i]) // 2]), len(sets[i]), cids[i]))
+        tree = SignatureTree([sets[i] for i in order], [labels[i] for i in order])
+        a, roots = np.array([cids[i] for i in order]), tree.links(num, den)
+        count = lambda n: pa.array([n] + [0] * (len(a) - 1), pa.int64())
+        return pa.table({"cid": a, "root": a[np.array(roots)], "met": count(tree.met), "pruned": count(tree.pruned)})
 
     return run
 
 
 def _walked(units: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of all ``units(cid, unit, label)`` as (a, b)."""
-    placed = units.join(tokens.hint("merge"), "cid").select("unit", "cid", "label", "tokens")
-    links = placed.groupBy("unit").applyInArrow(_walk(num, den), "cid bigint, root bigint")
-    return links.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    """``(cid, root, met, pruned)`` from the trees of all ``units(cid, unit, comp, label)``."""
+    placed = units.join(tokens.hint("merge"), "cid").select("unit", "cid", "comp", "label", "tokens")
+    return placed.groupBy("unit").applyInArrow(_walk(num, den), "cid bigint, root bigint, met bigint, pruned bigint")
 
 
 def _tokens(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """``(cid, tokens)`` of members(doc_id, cid)."""
+    """``(cid, tokens)`` of members(doc_id, th, cid), one row of docs for each."""
 
     def run(batches):
         known = _WordHashes()
         with np.errstate(over="ignore"):
             for b in batches:
-                out = [(c, t.tobytes()) for c, x in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True) if len(t := shingles(x, k, known)) and _set_id(t) == c]
+                out = [(c, shingles(x, k, known).tobytes()) for c, x in zip(*(b.column(i).to_pylist() for i in (0, 1)), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["cid", "tokens"])
 
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(members.hint("merge"), "doc_id").select("cid", "text")
-    return picked.mapInArrow(run, "cid bigint, tokens binary")
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").join(members.hint("merge"), ["doc_id", "th"])
+    # rows of one id and text are one document
+    return picked.dropDuplicates(["doc_id", "th"]).select("cid", "text").mapInArrow(run, "cid bigint, tokens binary")
+
+
+def near_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, unit: int = UNIT, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and ``(cid, component_id, th)``: to each set its group's least id and the hash of that row's text."""
+    sets = materialize(shingle_sets(docs, k, (num, den) if exact else None), "sets")
+    reps = materialize(sets.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("rep")), "reps")
+    walks = set_links(docs, sets, reps, k, num, den, unit)
+    labels = min_label_components(walks.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    named = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    return sets, materialize(named.join(least, "comp").select("cid", F.col("least.doc_id").alias("component_id"), F.col("least.th").alias("th")), "set-classes")
 
 
-def near_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, unit: int = UNIT) -> DataFrame:
+def near_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, unit: int = UNIT, exact: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, a row for each row of ``docs(doc_id, text)``."""
-    sets = materialize(shingle_sets(docs, k), "sets")
-    labels = _set_components(docs, sets, k, num, den, unit)
-    named = sets.select("doc_id", "n", "cid").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    named = materialize(named.select("doc_id", "n", "comp"), "set-labels")
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "comp", "left")
+    sets, classes = near_classes(docs, k, num, den, unit, exact)
+    found = sets.select("doc_id", "n", "cid").join(classes.select("cid", "component_id"), "cid", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _set_components(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int, unit: int) -> DataFrame:
-    """``(cid, comp)`` of the sets that have links."""
+def set_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, k: int, num: int, den: int, unit: int) -> DataFrame:
+    """``(cid, root, met, pruned)``: links between sets, and how many node pairs the trees met and pruned."""
     # a set comes once from each task that met it
     entries = sets.where("keys is not null").select("cid", "keys").dropDuplicates(["cid"]).select("cid", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("key", "lead")
-    kept = materialize(entries.join(materialize(shared, "keys").hint("merge"), "key"), "kept")
+    shared = materialize(entries.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").select("key", "lead"), "keys")
+    kept = materialize(entries.join(shared.hint("merge"), "key"), "kept")
+    discard(shared)
     pairs = kept.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
-    groups = materialize(min_label_components(pairs), "groups")
+    groups = materialize(min_label_components(pairs), "groups").withColumnRenamed("node", "cid")
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    rep = sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    members = materialize(groups.withColumnRenamed("node", "cid").join(sizes, "comp").join(rep.hint("merge"), "cid").select("cid", "comp", "doc_id", (F.col("size") > unit).alias("cut")), "members")
-    tokens = materialize(_tokens(docs, members.select("doc_id", "cid"), k), "tokens")
-    alone = F.col("cid").alias("label")
-    links = materialize(_walked(members.where("not cut").select("cid", F.col("comp").alias("unit"), alone), tokens, num, den), "links")
+    members = materialize(groups.join(sizes, "comp").join(reps.hint("merge"), "cid").select("cid", "comp", "rep.*", (F.col("size") > unit).alias("cut")), "members")
+    total = members.count()
+    tokens = materialize(_tokens(docs, members.select("doc_id", "th", "cid"), k), "tokens")
+    # whole groups are dealt to units
+    dealt = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // unit))))
+    links = materialize(_walked(members.where("not cut").select("cid", "comp", dealt.alias("unit"), F.col("cid").alias("label")), tokens, num, den), "links")
     cut = members.where("cut").select("cid", "comp")
     if cut.limit(1).count():
         links = _cut_groups(materialize(cut, "cut"), kept.select("cid", "key"), tokens, links, num, den, unit)
-    return min_label_components(links).withColumnRenamed("node", "cid")
+    return links
 
 
 def _hub_units(cut: DataFrame, keys: DataFrame, unit: int) -> DataFrame:
@@ -283,9 +327,9 @@ def _hub_units(cut: DataFrame, keys: DataFrame, unit: int) -> DataFrame:
 
 def _cut_groups(cut: DataFrame, keys: DataFrame, tokens: DataFrame, links: DataFrame, num: int, den: int, unit: int) -> DataFrame:
     """All links between components of groups that are too large for one task, added to ``links``."""
-    alone = F.col("cid").alias("label")
-    links = materialize(links.union(_walked(_hub_units(cut, keys, unit).select("cid", "unit", alone), tokens, num, den)), "links")
-    label = min_label_components(links).withColumnRenamed("node", "cid").withColumnRenamed("comp", "label")
+    hubs = _hub_units(cut, keys, unit).select("cid", "unit", F.col("unit").alias("comp"), F.col("cid").alias("label"))
+    links = materialize(links.union(_walked(hubs, tokens, num, den)), "links")
+    label = min_label_components(links.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))).toDF("cid", "label")
     label = materialize(cut.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "labels")
     # sets outside their group's largest component meet all sets of the group, block by block;
     # a tree over both blocks passes over what is linked already
@@ -296,7 +340,7 @@ def _cut_groups(cut: DataFrame, keys: DataFrame, tokens: DataFrame, links: DataF
     own = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), blocks(n)).cast("int")
     rows = open_.where("outside").select("cid", "comp", "label", own("out", 1).alias("i"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("j"))
     every = open_.select("cid", "comp", "label", F.explode(F.sequence(F.lit(0), blocks("out") - 1)).alias("i"), own("all", 2).alias("j"))
-    units = rows.union(every).select("cid", F.xxhash64("comp", "i", "j").alias("unit"), "label").distinct()
+    units = rows.union(every).select("cid", "comp", F.xxhash64("comp", "i", "j").alias("unit"), "label").distinct()
     return materialize(links.union(_walked(units, tokens, num, den)), "links")
 
 
@@ -305,10 +349,15 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id; documents without words stay."""
-    found = near_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    without = docs.where("doc_id is null")
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(without)
+    """One row of each group; rows without an id or without words stay."""
+    _, classes = near_classes(docs)
+    id_, th = fresh(docs.columns, "_id", "_th")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = classes.select(F.col("component_id").alias(id_), F.col("th").alias(th)).distinct()
+    # repeated rows of the kept id and text are one document
+    named = docs.where(~alone).withColumns({id_: F.col("doc_id").cast("bigint"), th: F.xxhash64("text")})
+    one = named.join(kept, [id_, th], "left_semi").dropDuplicates([id_, th])
+    return one.select(docs.columns).unionByName(docs.where(alone))
 
 
 ORACLE = r"""
