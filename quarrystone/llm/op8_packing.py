@@ -8,7 +8,9 @@ largest limits that fit, and the rest where it leaves little room. Only the last
 bin of a class may be short of pieces.
 
 Defined results: null and empty texts are the end token alone; repeated rows are
-documents of their own; an empty table gives no rows.
+documents of their own, and so are rows of one id with other texts; rows without an
+id keep a null id; texts of any length are encoded whole; an empty table gives no
+rows; columns besides ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from quarrystone.llm.common import lookup, materialize, number_rows, read_table
 CLASSES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128)
 #: A rest that leaves at most this share of its place empty is not cut further.
 SLACK = 0.04
+#: Below this, characters are composed, and lower case is one letter for one but for the dotted capital I.
+FAR = "\u0250"
 
 
 def cuts(tokens: int, capacity: int = 2048) -> list[tuple[int, int, int]]:
@@ -43,7 +47,14 @@ def cuts(tokens: int, capacity: int = 2048) -> list[tuple[int, int, int]]:
 
 
 class _Ids(dict):
-    """Chunk without spaces -> its token ids, packed; pre-tokens never span a space."""
+    """Chunk without spaces -> its token ids, packed; pre-tokens never span a space.
+
+    The tokenizer composes marks (NFC), lower-cases, and cuts text into runs of letters,
+    single digits and runs of other characters. Chunks below U+0250 hold nothing to
+    compose, so they are lower-cased here; a point or comma after a letter or digit from
+    that range is a pre-token of its own. The one letter there whose lower case ends in a
+    mark, the dotted capital I, and every character beyond are left to the tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,28 +66,31 @@ class _Ids(dict):
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
     def __missing__(self, chunk: str) -> bytes:
-        # text is lower-cased, and a mark after a letter or digit is a pre-token of its own
-        low = chunk.lower() if chunk and max(chunk) < "\u0250" else chunk
-        if low != chunk:
+        if "<|" in chunk:  # special tokens are looked for before anything else
+            packed = self._packed(self.encode(chunk, add_special_tokens=False).ids)
+        elif max(chunk, default="") < FAR and (low := chunk.lower()) != chunk:
             packed = self[low]
-        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalnum():
+        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[-2] < FAR and chunk[-2] != "İ" and chunk[-2].isalnum():
             packed = self[chunk[:-1]] + self[chunk[-1]]
+        elif chunk.isalpha() and max(chunk) < FAR:  # a single pre-token that normalising leaves as it is
+            packed = self._packed([t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))])
         else:
-            if chunk.isalpha() and max(chunk) < "\u0250":  # a single pre-token that normalising leaves as it is
-                ids = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.alphabet))]
-            else:
-                ids = self.encode(chunk, add_special_tokens=False).ids
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+            packed = self._packed(self.encode(chunk, add_special_tokens=False).ids)
         if len(self) < 600_000 and len(chunk) < 64:
             self[chunk] = packed
         return packed
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 def _known(path: str) -> _Ids:
-    """The chunks that this worker knows; the library's module keeps them from task to task."""
-    import tokenizers
+    """The chunks that this worker process knows, kept from task to task in a module of their own."""
+    import sys
+    import types
 
-    kept = vars(tokenizers).setdefault("_known_chunks", {})
+    kept = vars(sys.modules.setdefault("_quarrystone_chunks", types.ModuleType("_quarrystone_chunks")))
     if path not in kept:
         kept[path] = _Ids(path)
     return kept[path]
