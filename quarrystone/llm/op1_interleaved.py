@@ -8,7 +8,9 @@ which is lossless, in rows of 64 samples.
 
 Defined results: null HTML gives no items; references without a stored payload keep
 their place with null media; a payload may be stored more than once and resolves
-once; repeated rows give repeated sequences only if their ids differ.
+once; rows that share all keys share one sequence; markup that ends early is read as
+far as it goes; texts of any length are read whole; empty tables give no rows; columns
+besides the keys and the HTML are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import materialize, read_table, text_bytes
@@ -78,24 +80,35 @@ class _Items(HTMLParser):
             (self.run if self.caption is None else self.caption).append(data)
 
 
-def parse_html(pages: DataFrame, key: str, html: str, keep_text: bool = True) -> DataFrame:
-    """``(key, pos, kind, text, src, caption)``, a row per item in document order."""
+def parse_html(pages: DataFrame, keys: list[str] | str, html: str, digest_text: bool = False) -> DataFrame:
+    """``(*keys, pos, kind, text, src, caption)``, a row per item in document order.
+
+    ``digest_text`` gives the SHA-256 of a text in its place, for sequences that need
+    not carry the texts themselves.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
 
     def run(batches):
         for b in batches:
-            rows = ([], [], [], [], [], [])
-            for k, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            at, rows = [], ([], [], [], [], [])
+            for i, page in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 p = _Items()
                 p.feed(page or "")
                 p.close()
                 p.flush()
                 for pos, (kind, text, src, caption) in enumerate(p.items):
-                    for col, v in zip(rows, (k, pos, kind, text if keep_text else None, src, caption), strict=True):
+                    if digest_text and text is not None:
+                        text = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                    at.append(i)
+                    for col, v in zip(rows, (pos, kind, text, src, caption), strict=True):
                         col.append(v)
-            types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], [key, "pos", "kind", "text", "src", "caption"])
+            types = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+            own = [c.take(pa.array(at, pa.int64())) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], [*keys, "pos", "kind", "text", "src", "caption"])
 
-    return pages.select(F.col(key).cast("bigint"), html).mapInArrow(run, f"{key} bigint, pos int, kind string, text string, src string, caption string")
+    read = pages.select(*keys, F.col(html))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema[:-1])
+    return read.mapInArrow(run, f"{own}, pos int, kind string, text string, src string, caption string")
 
 
 def to_png(payload: bytes) -> bytes:
@@ -164,28 +177,61 @@ def media_features(store: DataFrame) -> DataFrame:
     return read.dropDuplicates(["digest"])
 
 
-def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
-    """``items`` with the columns of ``store`` where a reference's digest is stored."""
+def resolve(items: DataFrame, store: DataFrame, salts: int = 8) -> DataFrame:
+    """``items`` with the columns of ``store`` where a reference's digest is stored.
+
+    Items that name a stored payload are dealt to ``salts`` tasks for each payload, as
+    many copies of a text may name one; other items meet no store.
+    """
     digest = F.when(F.col("src").startswith(SCHEME), F.substring(F.col("src"), len(SCHEME) + 1, 64))
-    return items.withColumn("digest", digest).join(store, "digest", "left")
+    named = items.withColumn("digest", digest)
+    salted = store.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = named.where("digest is not null").withColumn("_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int")).join(salted, ["digest", "_salt"], "left").drop("_salt")
+    return found.unionByName(named.where("digest is null"), allowMissingColumns=True)
+
 
+def sequences(resolved: DataFrame, keys: list[str] | str, columns: list[str]) -> DataFrame:
+    """``(*keys, items)``: each document's items in order as structs of pos, kind, text, caption and ``columns``."""
+    return resolved.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "caption", *columns))).alias("items"))
 
-def sequences(resolved: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``(key, items)``: each document's items in order as structs of pos, kind, text, caption and ``columns``."""
-    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "text", "caption", *columns))).alias("items"))
+
+def as_page(text: Column, digest: Column, caption: Column) -> Column:
+    """HTML of a text: its lines as paragraphs, its payload as a figure after the first one and as a picture at the end."""
+    safe = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(safe, "\n", -1), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    src = F.concat(F.lit(f'src="{SCHEME}'), digest, F.lit('"'))
+    figure = F.concat(F.lit("<figure><img "), src, F.lit("/><figcaption>"), caption, F.lit("</figcaption></figure>"))
+    rest = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "")
+    return F.concat(F.lit("<article>"), F.get(lines, F.lit(0)), figure, rest, F.lit("<img "), src, F.lit(' alt="again: '), caption, F.lit('"/></article>'))
+
+
+MEDIA = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
 def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a page of paragraphs and two references to its payload, taken apart and put together again.
+
+    The contract's columns are those of the figure's medium. ``n_items``, ``n_texts`` and
+    ``sequence_sha256`` tell of the whole sequence; ``aligned`` says that each reference
+    kept its caption and found the document's payload.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     body = text_bytes(F.col("text"))
     size = F.octet_length(body)
     pad = F.when(size == 0, ROW).otherwise(F.pmod(-size, F.lit(ROW)))
     padded = docs.withColumn("n_bytes", size.cast("bigint")).withColumn("payload", F.concat(body, F.unhex(F.repeat(F.lit("00"), pad.cast("int")))))
     media = padded.withColumn("digest", F.sha2("payload", 256))
-    store = store_media(media)
+    store = media_features(store_media(media))
     caption = F.concat(F.lit("text of "), F.col("n_bytes").cast("string"), F.lit(" bytes"))
-    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    page = F.concat(F.lit("<article><p>"), safe, F.lit(f'</p><figure><img src="{SCHEME}'), F.col("digest"), F.lit('"/><figcaption>'), caption, F.lit("</figcaption></figure></article>"))
-    items = parse_html(media.select("doc_id", page.alias("html")), "doc_id", "html", keep_text=False)
-    found = resolve(items.where("kind = 'media'"), media_features(store))
-    return found.select("doc_id", F.regexp_extract("caption", r"(\d+)", 1).cast("bigint").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    keys = ["doc_row", "doc_id", "n_bytes"]
+    pages = media.select(F.monotonically_increasing_id().alias("doc_row"), "doc_id", "n_bytes", as_page(F.col("text"), F.col("digest"), caption).alias("html"))
+    items = parse_html(pages, keys, "html", digest_text=True)
+    whole = sequences(resolve(items, store), keys, ["digest", *MEDIA])
+    found = F.filter("items", lambda x: x["kind"] == "media")
+    told = F.transform("items", lambda x: F.concat_ws("|", x["pos"].cast("string"), x["kind"], x["text"], x["caption"], x["payload_sha256"]))
+    figure, again = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+    aligned = (F.size(found) == 2) & (figure["caption"] == caption) & (again["caption"] == F.concat(F.lit("again: "), caption)) & (figure["payload_sha256"] == again["payload_sha256"])
+    return whole.select(
+        "doc_id", "n_bytes", *[figure[c].alias(c) for c in MEDIA],
+        F.size("items").alias("n_items"), (F.size("items") - F.size(found)).alias("n_texts"), F.sha2(F.array_join(told, "\n"), 256).alias("sequence_sha256"), F.coalesce(aligned, F.lit(False)).alias("aligned"),
+    )
