@@ -9,8 +9,9 @@ sorted. What reaches the driver is one number per node and cell, a fixed count.
 
 Defined results: a null text has weight ``overhead`` only; equal metadata is told
 apart by a hash of the row identity, so a dimension with one value still splits; identical rows
-share every value and stay together; an empty table gives no rows; other columns
-of the input pass through unless they clash with a result's name, which then wins.
+share every value and stay together; rows without a value in a dimension count as 0
+there; an empty table gives no rows; other columns of the input pass through, whatever
+their names, but ``shard`` is replaced.
 """
 
 from __future__ import annotations
@@ -71,11 +72,12 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, identity:
     in a node against its spread in the table.
     """
     names = list(dims)
-    base = df.select("*", weight.cast("bigint").alias("_weight"), *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"_d{i}") for i, c in enumerate(dims.values())], F.shiftrightunsigned(F.xxhash64(identity, F.lit(29)), 40).alias(f"_d{len(names)}"))
+    # the row travels in one column, so that no name of it clashes with those of the tree
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), weight.cast("bigint").alias("_weight"), *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"_d{i}") for i, c in enumerate(dims.values())], F.shiftrightunsigned(F.xxhash64(identity, F.lit(29)), 40).alias(f"_d{len(names)}"))
     last = len(names)
     total, *ends = base.agg(F.sum("_weight"), *[f(f"_d{i}") for i in range(last + 1) for f in (F.min, F.max)]).first()
     if total is None:
-        return df.withColumn("shard", F.lit(0))
+        return df.drop("shard").withColumn("shard", F.lit(0))
     leaves = leaves or max(1, math.ceil(total / target_bytes))
     whole = [max(1, ends[2 * i + 1] - ends[2 * i]) for i in range(last + 1)]
     node = F.lit(0)
@@ -138,13 +140,19 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, identity:
         # written, so that the next level's passes read a column and not five levels of conditions
         base = materialize(base.withColumn("_next", node).drop("_at").withColumnRenamed("_next", "_at"), "kd-level")
         node = F.col("_at")
-    return base.withColumn("shard", node.cast("int")).drop("_weight", "_at", *[f"_d{i}" for i in range(last + 1)])
+    return base.select(*[F.col("_row")[c].alias(c) for c in df.columns if c.lower() != "shard"], node.cast("int").alias("shard"))
+
+
+def alphabetical(c: Column) -> Column:
+    """The place of a word among all words, as far as its first four bytes tell."""
+    head = F.substring(F.concat(F.coalesce(c, F.lit("")).cast("binary"), F.unhex(F.lit("00000000"))), 1, 4)
+    return F.conv(F.hex(head), 16, 10).cast("bigint")
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint")
-    meta = materialize(docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.crc32(F.coalesce("lang", F.lit("")).cast("binary")).alias("lang_code")), "shard-meta")
+    meta = materialize(docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), alphabetical(F.col("lang")).alias("lang_code")), "shard-meta")
     sharded = kd_shards(meta, {"doc_id": F.col("doc_id"), "size": F.col("size"), "lang": F.col("lang_code")}, F.col("size"), F.struct("doc_id", "text_crc32"), leaves=24)
     fixed = materialize(sharded.select("doc_id", "size", "text_crc32", "shard"), "shards")
     blocks = max(1, fixed.count() // (24 * 20_000))
