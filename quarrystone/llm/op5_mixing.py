@@ -9,7 +9,9 @@ mixes nest. Documents are then filtered by comparing hashes; nothing is sorted.
 
 Defined results: null text counts 0 words and takes 0; a null source is a source
 of its own, last in order; rows with the same identity share a hash and are taken
-together; an empty table gives no rows.
+together, and so are rows without an identity; an empty table gives no rows; texts are
+counted whole; other columns pass through, but ``source_size``, ``target`` and ``takes``
+are replaced.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import materialize, read_table, word_count
+from quarrystone.llm.common import fresh, materialize, read_table, word_count
 
 #: Hashes have 48 bits, read in three steps of 16.
 BITS, STEP = 48, 16
 
 
 def mix_hash(identity: Column) -> Column:
-    return F.conv(F.substring(F.md5(identity.cast("string")), 1, BITS // 4), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.coalesce(identity.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("bigint")
 
 
 def source_targets(sizes: DataFrame, max_repeats: int) -> DataFrame:
@@ -84,8 +86,11 @@ def mix_sources(rows: DataFrame, max_repeats: int = 3) -> DataFrame:
     budgets = materialize(source_targets(sizes, max_repeats), "mix-budgets")
     plan = hash_thresholds(rows.select("source", "size", "hash"), budgets)
     rules = materialize(budgets.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("_s"), "source_size", "target", "full", "threshold"), "mix-rules")
-    takes = F.col("full") + F.when((F.col("hash") < F.col("threshold")) & (F.col("full") < max_repeats), 1).otherwise(0)
-    return rows.join(rules, F.col("source").eqNullSafe(F.col("_s"))).select(*rows.columns, "source_size", "target", takes.alias("takes"))
+    names = fresh(rows.columns, "_s", "_source_size", "_target", "_full", "_threshold")
+    s, own_size, target, full, threshold = map(F.col, names)
+    takes = full + F.when((F.col("hash") < threshold) & (full < max_repeats), 1).otherwise(0)
+    kept = [c for c in rows.columns if c.lower() not in ("source_size", "target", "takes")]
+    return rows.join(rules.toDF(*names), F.col("source").eqNullSafe(s)).select(*kept, own_size.alias("source_size"), target.alias("target"), takes.alias("takes"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -99,14 +104,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (a row taken twice comes twice)."""
-    own = ["_s", "source_size", "target", "full", "threshold", "takes", "size", "hash"]
-    held = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("hash"))
-    rows = materialize(held.select("doc_id", "source", "size", "hash"), "mix-rows")
+    held = docs.select(F.struct(*docs.columns).alias("_row"), "source", word_count(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("hash"))
+    rows = materialize(held.select("source", "size", "hash"), "mix-rows")
     budgets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), 3), "mix-budgets")
-    plan = materialize(hash_thresholds(rows.select("source", "size", "hash"), budgets), "mix-plan").withColumnRenamed("source", "_s")
+    plan = materialize(hash_thresholds(rows, budgets), "mix-plan").toDF("_s", "full", "threshold")
     takes = F.col("full") + F.when((F.col("hash") < F.col("threshold")) & (F.col("full") < 3), 1).otherwise(0)
     mixed = held.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_n", F.explode(F.array_repeat(F.lit(1), takes)))
-    return mixed.drop(*own).select("_row.*")
+    return mixed.select("_row.*")
 
 
 ORACLE = r"""
