@@ -13,8 +13,11 @@ same way, pairs that follow each other are joined to a passage, and a passage of
 Defined results: null texts stay null, empty texts empty; passages of one line, or of
 fewer than ``min_words`` words, are never removed; a pair is no copy of one that it
 overlaps; the first occurrence of a line that repeats always stays; identical rows
-(same id and text) are one document and do not remove each other's lines; a document
-all of whose lines are copies becomes empty; other columns pass through.
+(same id and text) are one document and do not remove each other's lines; of rows that
+tie for the first occurrence the one with the lesser text hash is first; rows without an
+id come before all others; a document all of whose lines are copies becomes empty; texts
+of any length are read whole; an empty table gives no rows; other columns pass through,
+but ``_removed`` is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import materialize, read_table
+from quarrystone.llm.common import fresh, materialize, read_table
 
 _M = (1 << 64) - 1
 
@@ -87,31 +90,41 @@ def passages(same: DataFrame, min_words: int = 8) -> DataFrame:
     return cuts.groupBy("_key", "_cut").agg(F.min("pos").alias("pos"), F.min("s").alias("s"), F.max("e").alias("e"))
 
 
-def line_dedup(docs: DataFrame, pairs: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks, and with ``pairs`` all repeated passages, cut from ``text``, and ``_removed`` array<struct<pos, s, e>>."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    index = materialize(chunk_index(keyed.select(F.col("doc_id").cast("bigint"), F.col("_key").alias("key"), "text"), pairs), "chunks")
+def line_dedup(docs: DataFrame, pairs: bool = False, together: int = 2000) -> DataFrame:
+    """``docs`` with repeated chunks, and with ``pairs`` all repeated passages, cut from ``text``, and ``_removed`` array<struct<pos, s, e>>.
+
+    Copies of one chunk are compared with its first occurrence by about ``together`` in a task.
+    """
+    docs = docs.drop("_removed")
+    key, found_ = fresh([*docs.columns, "_removed"], "_key", "_found")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    index = materialize(chunk_index(keyed.select(F.col("doc_id").cast("bigint"), F.col(key).alias("key"), "text"), pairs), "chunks")
     place = F.struct("doc_id", "key", "pos")
-    firsts = index.groupBy("pair", "h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("pair", "h", "first")
+    parts = F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts")
+    firsts = index.groupBy("pair", "h").agg(F.min(place).alias("first"), F.max(place).alias("last"), parts).where("first <> last").select("pair", "h", "first", "parts")
     overlaps = F.col("pair") & (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos") + 1)
-    found = index.join(firsts, ["pair", "h"]).where(~overlaps).select("key", F.struct("pair", "pos", "s", "e", "h", "w", "v", (place == F.col("first")).alias("own")).alias("c"))
-    per_doc = found.groupBy("key").agg(F.collect_set("c").alias("_found")).withColumnRenamed("key", "_key")
-    marked = materialize(keyed.join(per_doc, "_key", "left"), "marked")
+    found = index.join(firsts, ["pair", "h"]).where(~overlaps).select("key", F.struct("pair", "pos", "s", "e", "h", "w", "v", "parts", (place == F.col("first")).alias("own")).alias("c"))
+    per_doc = found.groupBy("key").agg(F.collect_set("c").alias(found_)).withColumnRenamed("key", key)
+    marked = materialize(keyed.join(per_doc, key, "left"), "marked")
     body = F.expr("regexp_replace(substring(text, int(c.s) + 1, int(c.e - c.s)), '\\n\\\\z', '')")
-    bodies = marked.where("_found is not null").select("_key", "text", F.explode("_found").alias("c")).select("_key", "c.*", body.alias("body"))
-    owners = bodies.where("own").select("pair", "h", F.col("body").alias("first_body")).dropDuplicates(["pair", "h"])
-    same = bodies.where("not own").join(owners, ["pair", "h"]).where("body = first_body").select("_key", "pair", "pos", "s", "e", "w", "v")
+    bodies = marked.where(F.col(found_).isNotNull()).select(F.col(key).alias("_key"), "text", F.explode(found_).alias("c")).select("_key", "c.*", body.alias("body"))
+    owners = bodies.where("own").select("pair", "h", "parts", F.col("body").alias("first_body")).dropDuplicates(["pair", "h"])
+    owners = owners.select("pair", "h", "first_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    copies = bodies.where("not own").withColumn("part", F.pmod(F.xxhash64("_key", "pos"), F.col("parts")).cast("int"))
+    same = copies.join(owners, ["pair", "h", "part"]).where("body = first_body").select("_key", "pair", "pos", "s", "e", "w", "v")
     same = passages(same) if pairs else same
-    cuts = same.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("pos", "s", "e"))).alias("_removed"))
-    touched = marked.where("_found is not null").join(cuts, "_key", "left")
+    cuts = same.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("pos", "s", "e"))).alias("_removed")).withColumnRenamed("_key", key)
+    touched = marked.where(F.col(found_).isNotNull()).join(cuts, key, "left")
     none = F.expr("CAST(array() AS array<struct<pos:int,s:bigint,e:bigint>>)")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    kept = F.aggregate("_removed", start, lambda a, c: F.struct(c["e"].alias("at"), F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), (c["s"] - a["at"]).cast("int"))).alias("out")))
-    rest = F.concat(kept["out"], F.substring("text", (kept["at"] + 1).cast("int"), F.length("text")))
+    # what is kept lies between the cuts
+    length = F.length("text").cast("bigint")
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_removed", lambda c: c["e"]))
+    ends = F.concat(F.transform("_removed", lambda c: c["s"]), F.array(length))
+    rest = F.array_join(F.zip_with(begins, ends, lambda b, e: F.substring("text", (b + 1).cast("int"), (e - b).cast("int"))), "")
     # where the last chunk goes, so does the line break before it
-    rest = F.when(~F.col("text").endswith("\n") & (kept["at"] == F.length("text")), F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)
+    rest = F.when(~F.col("text").endswith("\n") & (F.element_at("_removed", -1)["e"] == length), F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)
     touched = touched.withColumn("text", F.when(F.size("_removed") > 0, rest).otherwise(F.col("text")))
-    plain = marked.where("_found is null").withColumn("_removed", none)
+    plain = marked.where(F.col(found_).isNull()).withColumn("_removed", none)
     return touched.withColumn("_removed", F.coalesce("_removed", none)).unionByName(plain.select(touched.columns)).select(*docs.columns, "_removed")
 
 
