@@ -17,7 +17,7 @@ overlaps; the first occurrence of a line that repeats always stays; identical ro
 tie for the first occurrence the one with the lesser text hash is first; rows without an
 id come before all others; a document all of whose lines are copies becomes empty; texts
 of any length are read whole; an empty table gives no rows; other columns pass through,
-but ``_removed`` is replaced.
+but ``_removed`` is replaced. The stage keeps the columns that it gets.
 """
 
 from __future__ import annotations
@@ -90,13 +90,13 @@ def passages(same: DataFrame, min_words: int = 8) -> DataFrame:
     return cuts.groupBy("_key", "_cut").agg(F.min("pos").alias("pos"), F.min("s").alias("s"), F.max("e").alias("e"))
 
 
-def line_dedup(docs: DataFrame, pairs: bool = False, together: int = 2000) -> DataFrame:
-    """``docs`` with repeated chunks, and with ``pairs`` all repeated passages, cut from ``text``, and ``_removed`` array<struct<pos, s, e>>.
+def line_dedup(docs: DataFrame, pairs: bool = False, together: int = 2000, removed: str = "_removed") -> DataFrame:
+    """``docs`` with repeated chunks, and with ``pairs`` all repeated passages, cut from ``text``, and ``removed`` array<struct<pos, s, e>>.
 
     Copies of one chunk are compared with its first occurrence by about ``together`` in a task.
     """
-    docs = docs.drop("_removed")
-    key, found_ = fresh([*docs.columns, "_removed"], "_key", "_found")
+    docs = docs.drop(removed)
+    key, found_ = fresh([*docs.columns, removed], "_key", "_found")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     index = materialize(chunk_index(keyed.select(F.col("doc_id").cast("bigint"), F.col(key).alias("key"), "text"), pairs), "chunks")
     place = F.struct("doc_id", "key", "pos")
@@ -113,19 +113,19 @@ def line_dedup(docs: DataFrame, pairs: bool = False, together: int = 2000) -> Da
     copies = bodies.where("not own").withColumn("part", F.pmod(F.xxhash64("_key", "pos"), F.col("parts")).cast("int"))
     same = copies.join(owners, ["pair", "h", "part"]).where("body = first_body").select("_key", "pair", "pos", "s", "e", "w", "v")
     same = passages(same) if pairs else same
-    cuts = same.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("pos", "s", "e"))).alias("_removed")).withColumnRenamed("_key", key)
+    cuts = same.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("pos", "s", "e"))).alias(removed)).withColumnRenamed("_key", key)
     touched = marked.where(F.col(found_).isNotNull()).join(cuts, key, "left")
     none = F.expr("CAST(array() AS array<struct<pos:int,s:bigint,e:bigint>>)")
     # what is kept lies between the cuts
     length = F.length("text").cast("bigint")
-    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_removed", lambda c: c["e"]))
-    ends = F.concat(F.transform("_removed", lambda c: c["s"]), F.array(length))
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(removed, lambda c: c["e"]))
+    ends = F.concat(F.transform(removed, lambda c: c["s"]), F.array(length))
     rest = F.array_join(F.zip_with(begins, ends, lambda b, e: F.substring("text", (b + 1).cast("int"), (e - b).cast("int"))), "")
     # where the last chunk goes, so does the line break before it
-    rest = F.when(~F.col("text").endswith("\n") & (F.element_at("_removed", -1)["e"] == length), F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)
-    touched = touched.withColumn("text", F.when(F.size("_removed") > 0, rest).otherwise(F.col("text")))
-    plain = marked.where(F.col(found_).isNull()).withColumn("_removed", none)
-    return touched.withColumn("_removed", F.coalesce("_removed", none)).unionByName(plain.select(touched.columns)).select(*docs.columns, "_removed")
+    rest = F.when(~F.col("text").endswith("\n") & (F.element_at(removed, -1)["e"] == length), F.regexp_replace(rest, r"\n\z", "")).otherwise(rest)
+    touched = touched.withColumn("text", F.when(F.size(removed) > 0, rest).otherwise(F.col("text")))
+    plain = marked.where(F.col(found_).isNull()).withColumn(removed, none)
+    return touched.withColumn(removed, F.coalesce(removed, none)).unionByName(plain.select(touched.columns)).select(*docs.columns, removed)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; one that holds nothing else goes."""
-    done = line_dedup(docs, pairs=True)
+    removed, = fresh(docs.columns, "_removed")
+    done = line_dedup(docs, pairs=True, removed=removed)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return done.where(~((F.size("_removed") > 0) & F.coalesce(F.trim("text") == "", F.lit(False)))).drop("_removed")
+        done = done.withColumn("n_chars", F.when(F.size(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return done.where(~((F.size(removed) > 0) & F.coalesce(F.trim("text") == "", F.lit(False)))).drop(removed)
