@@ -8,7 +8,10 @@ compared only where their lengths allow the wanted likeness.
 Defined results: texts without any chain (no anchor, too few words, other
 languages) are signed as a whole, so they equal only themselves; texts without a
 word, empty ones and nulls have the empty fingerprint, alike (1.0) to one another
-and to nothing else.
+and to nothing else; rows without an id come before all others; rows that share an id
+are ordered by text, repeated rows follow each other; texts of any length are read
+whole; an empty table gives no rows; columns besides the key and the text are not read
+by the query.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import lookup, materialize, read_table
+from quarrystone.llm.common import read_table
 
 #: Common words of the four languages; they anchor chains and are never content words.
 ANCHORS = (
@@ -84,46 +87,36 @@ def spotsigs_join(sets: DataFrame, least: float = 0.75) -> DataFrame:
     return full.select("a", "b", pruned_jaccard(F.col("sa"), F.col("sb"), least).alias("likeness")).where(F.col("likeness") >= least)
 
 
-def with_next(docs: DataFrame, key: str, block_rows: int = 1000) -> DataFrame:
-    """``docs(key, text)`` dealt into blocks of neighbouring keys, with ``_block``, and ``_copy`` true on each block's extra last row: the row that follows it.
+def with_next(docs: DataFrame, key: str, block_rows: int = 1000, most_blocks: int = 1 << 16) -> DataFrame:
+    """``docs`` dealt into blocks of neighbouring keys, with ``_block``, and ``_copy`` true on each block's extra last rows: those with the key that follows it.
 
-    Blocks come from a histogram of the key (4096 cells, cut evenly where full), so
-    a row finds its block by arithmetic and no sort sees more than a block. Null
-    keys come before all others.
+    Blocks lie between approximate quantiles of the key, so they are alike however the
+    keys lie. A quantile is itself a key and the first one of its block, so a row tells
+    by comparing that a copy of it goes to the block before. At most ``most_blocks``
+    keys reach the driver. Null keys come before all others.
     """
-    spark = docs.sparkSession
-    k = F.col(key).cast("bigint")
-    low, high, rows = docs.agg(F.min(k), F.max(k), F.count(F.lit(1))).first()
-    if low is None:
-        return docs.withColumn("_block", F.lit(0).cast("bigint")).withColumn("_copy", F.lit(False))
-    width = max(1, -(-(high - low + 1) // 4096))
-    cell = F.floor((k - low) / width)
-    full = {r["c"]: max(1, -(-r["n"] // block_rows)) for r in docs.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).where("c is not null").collect()}
-    # neighbouring thin cells share a block; full cells are cut into equal parts of their width
-    base, parts, nxt, filled = [0] * 4096, [1] * 4096, 0, 0.0
-    counts = {r: n for r, n in full.items()}
-    share = rows / block_rows
-    for c in range(4096):
-        if counts.get(c, 0) > 1:
-            nxt += filled > 0
-            base[c], parts[c], filled = nxt, counts[c], 0.0
-            nxt += counts[c]
-        else:
-            base[c] = nxt
-            filled += (c in counts) * max(share / max(1, len(counts)), 1e-9)
-            if filled >= 1:
-                nxt, filled = nxt + 1, 0.0
-    bases, cuts = F.lit(base), F.lit(parts)
-    at = F.least(F.lit(4095), cell).cast("int") + 1
-    inner = F.floor((k - low - (at - 1) * width) * F.element_at(cuts, at) / width)
-    dealt = docs.withColumn("_block", F.coalesce(F.element_at(bases, at) + inner, F.lit(0)).cast("bigint"))
-    firsts = dealt.groupBy("_block").agg(F.min(F.coalesce(k, F.lit(-(2**63)))).alias("_first"))
-    order = Window.orderBy("_block")
-    before = F.coalesce(F.lag("_block").over(order), F.max("_block").over(Window.partitionBy()))
-    firsts = materialize(firsts.select("_first", "_block", before.alias("_goes")), "firsts")
-    copies = dealt.withColumn("_key", F.coalesce(k, F.lit(-(2**63)))).join(firsts.withColumnRenamed("_block", "_b"), (F.col("_key") == F.col("_first")) & (F.col("_block") == F.col("_b")))
-    copies = copies.select(*docs.columns, F.col("_goes").alias("_block"), F.lit(True).alias("_copy"))
-    return dealt.withColumn("_copy", F.lit(False)).unionByName(copies)
+    k = F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63)))
+    low, rows = docs.agg(F.min(k), F.count(F.lit(1))).first()
+    blocks = max(1, min(most_blocks, rows // block_rows))
+    step = 64
+
+    def listed(values: list, kind: str = "bigint"):
+        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.expr(f"CAST(array() AS array<{kind}>)")
+
+    wanted = listed([i / blocks for i in range(1, blocks)], "double")
+    at = docs.agg(F.percentile_approx(k, wanted, 4 * blocks).alias("at")).first()["at"] if blocks > 1 else []
+    bounds = sorted(set(at) - {low})
+
+    every, coarse = listed(bounds), listed(bounds[step - 1::step])
+    # how many bounds a key has reached: whole steps first, then within one step
+    whole = (F.size(F.filter(coarse, lambda x: x <= F.col("_k"))) * step).cast("int")
+    keyed = docs.withColumn("_k", k).withColumn("_whole", whole)
+    inside = F.slice(every, F.col("_whole") + 1, F.lit(step))
+    keyed = keyed.withColumn("_own", F.col("_whole") + F.size(F.filter(inside, lambda x: x <= F.col("_k"))))
+    before = F.when(F.col("_k") == F.lit(low), F.lit(len(bounds))).when(F.col("_k") == F.get(every, F.col("_own") - 1), F.col("_own") - 1)
+    place = lambda block, copy: F.struct(block.cast("bigint").alias("_block"), F.lit(copy).alias("_copy"))
+    places = F.when(before.isNull(), F.array(place(F.col("_own"), False))).otherwise(F.array(place(F.col("_own"), False), place(before, True)))
+    return keyed.withColumn("_place", F.explode(places)).select(*docs.columns, "_place.*")
 
 
 def fingerprint_string(sigs: Column) -> Column:
