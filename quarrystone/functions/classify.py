@@ -12,6 +12,33 @@ CAREER_AREAS = {
     "tech-business": r"product manage|business intelligence|data analy|business analy|program manage",
     "marketing": r"marketing|brand|communications|social media",
 }
+#: Engineering disciplines, the second rule set: they are told apart within engineering.
+DISCIPLINES = {
+    "aerospace": r"aerospace|aeronautic|astronautic|avionics|propulsion", "biomedical": r"biomedical|bioengineer|medical device", "chemical": r"chemical engineer|process engineer", "civil": r"civil engineer|structural engineer|transportation engineer|geotechnical",
+    "electrical": r"electrical|electronics|hardware engineer|embedded|\bfpga\b|\bvlsi\b|power systems", "environmental": r"environmental engineer|water resources", "industrial": r"industrial engineer|operations research|supply chain engineer",
+    "manufacturing": r"manufacturing|production engineer|quality engineer", "materials": r"materials engineer|materials science|metallurg", "mechanical": r"mechanical|thermal engineer|\bhvac\b|mechatronic", "nuclear": r"nuclear", "robotics": r"robotic", "systems": r"systems engineer",
+}
+#: Titles of one area that belong to another as well.
+SHARED_AREAS = {"tech-business": r"data analyst|business intelligence|analytics (?:intern|&|and)|product manage(?:r|ment)|technical program manager", "cs": r"data scientist|machine learning|software"}
+
+
+def disciplines(text: Column, hints: Column | None = None) -> Column:
+    """Sorted engineering disciplines that a text or a hint names."""
+    found = labels(text, DISCIPLINES)
+    named = F.array_intersect(hints, F.array(*map(F.lit, DISCIPLINES))) if hints is not None else F.expr("CAST(array() AS array<string>)")
+    return F.array_sort(F.array_union(found, F.coalesce(named, F.expr("CAST(array() AS array<string>)"))))
+
+
+def career_areas(text: Column, hints: Column | None = None) -> Column:
+    """Sorted areas of both rule sets: a discipline makes engineering, shared titles count for each area, hints are kept; ``general`` if nothing fits."""
+    none = F.expr("CAST(array() AS array<string>)")
+    areas = F.array_union(labels(text, CAREER_AREAS), labels(text, SHARED_AREAS))
+    areas = F.array_union(areas, F.when(F.size(disciplines(text, hints)) > 0, F.array(F.lit("engineering"))).otherwise(none))
+    if hints is not None:
+        areas = F.array_union(areas, F.array_except(F.coalesce(hints, none), F.array(*map(F.lit, DISCIPLINES))))
+    return F.when(F.size(areas) == 0, F.array(F.lit("general"))).otherwise(F.array_sort(areas))
+
+
 EDUCATION = [
     ("undergrad", r"(?i)\b(?:undergrad(?:uate)?|bachelor'?s?|associate'?s? degree|freshman|sophomore|junior)\b|(?:^|[\s,(/])B\.?[SA]\.?(?=$|[\s,)/])"),
     ("graduate-only", r"(?i)\b(?:ph\.?d\b|doctora(?:l|te)|master'?s?|graduate (?:student|internship)|mba|juris doctor)|(?:^|[\s,(/])(?:M\.?[SA]|J\.?D)\.?(?=$|[\s,)/])"),

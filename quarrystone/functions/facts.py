@@ -1,68 +1,170 @@
-"""Requirement facts from posting text: lines, headed sections, sentences, levels, fields."""
+"""Facts stated in texts: lines, headed sections, sentences, levels, fields; schedules; a profile's own evidence.
+
+What to recognise is told by tables of plain phrases. A text is brought to one form
+(lower case, contractions written out, marks as blanks), and one pattern, made from
+a table by rule, looks for its phrases as whole words.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEADINGS = [
-    ("preferred", r"(?i)\b(?:(?:preferred|desired) (?:qualifications?|skills?|experience)|nice to have|bonus points?|ideal candidate|sets you apart)\b"),
-    ("required", r"(?i)\b(?:requirements?|(?:required|minimum|basic) (?:qualifications?|skills?))\b|\b(?:must have|looking for|you(?:'ll| will)? (?:need|bring)|what it takes)\b"),
-    ("unspecified", r"(?i)\b(?:qualifications?|candidate profile|skills and abilities|education)\b"),
-    ("reset", r"(?i)\b(?:responsibilities|duties|about (?:us|the role)|we offer|benefits|compensation|salary|you(?:'ll| will) (?:do|learn|be doing))\b"),
-]
-NEGATED = r"(?i)\b(?:not|isn'?t) required\b|\b(?:do|does|did|will) not require\b|\bno\b[^,.;:]{0,60}\brequired\b"
-STATED = [("not_required", NEGATED), ("required", r"(?i)\b(?:must|requires?|required to|unable to sponsor|(?:does|will) not sponsor)\b"), ("preferred", r"(?i)\b(?:preferred|ideally|desired|a plus|suggested)\b"), ("required", r"(?i)\b(?:minimum of|at least)\b")]
+from quarrystone.functions.text import unescaped
+
+# --- fixed values -----------------------------------------------------------
+#: Technologies in the order in which they are reported, and their spellings.
+TECHNOLOGIES = {
+    "C++": ["C++"], "C#": ["C#"], "C": ["C"], "Python": ["Python"], "Go": ["Go", "Golang"], "JavaScript": ["JavaScript"], "TypeScript": ["TypeScript"], "React": ["React", "React.js", "ReactJS"],
+    "Node.js": ["Node.js", "NodeJS"], ".NET": [".NET", "dotnet"], "Java": ["Java"], "SQL": ["SQL"], "PostgreSQL": ["PostgreSQL", "Postgres"], "MySQL": ["MySQL"], "R": ["R"], "Git": ["Git"], "GitHub": ["GitHub"],
+    "GitLab CI": ["GitLab CI"], "Linux": ["Linux"], "Unix": ["Unix"], "Microsoft Office": ["Microsoft Office", "MS Office"], "Excel": ["Excel"], "Tableau": ["Tableau"], "Power BI": ["Power BI", "PowerBI"],
+    "Oracle": ["Oracle"], "Snowflake": ["Snowflake"], "Databricks": ["Databricks"], "Spark": ["Spark", "Apache Spark"], "SolidWorks": ["SolidWorks"], "AutoCAD": ["AutoCAD"], "CAD": ["CAD", "computer aided design"],
+    "Siemens NX": ["Siemens NX", "NX CAD", "Unigraphics"], "Creo": ["Creo", "Pro/ENGINEER", "ProE"], "CATIA": ["CATIA"], "ANSYS": ["ANSYS"], "Abaqus": ["Abaqus"], "FEA": ["FEA", "finite element analysis"],
+    "CFD": ["CFD", "computational fluid dynamics"], "GD&T": ["GD&T", "geometric dimensioning and tolerancing", "geometric dimensioning & tolerancing"], "DFM": ["DFM", "design for manufacturing", "design for manufacturability"],
+    "DFA": ["DFA", "design for assembly"], "DFMA": ["DFMA", "design for manufacture and assembly", "design for manufacturing and assembly"], "FMEA": ["FMEA", "failure mode and effects analysis", "failure modes and effects analysis"],
+    "CNC": ["CNC", "computer numerical control"], "Aerodynamics": ["aerodynamic", "aerodynamics"], "Propulsion": ["propulsion"], "Orbital mechanics": ["orbital mechanics", "astrodynamics"], "Flight dynamics": ["flight dynamics", "flight mechanics"],
+    "GNC": ["GNC", "guidance navigation and control", "guidance, navigation, and control", "guidance, navigation and control", "guidance, navigation & control"], "Avionics": ["avionics"], "Flight test": ["flight test", "flight testing"],
+    "Controls": ["control system", "control systems", "controls engineering", "feedback control"], "PID": ["PID", "PID control", "proportional integral derivative"], "Kalman filter": ["Kalman filter", "Kalman filtering"],
+    "Sensor fusion": ["sensor fusion"], "ROS 2": ["ROS 2", "ROS2"], "RTOS": ["RTOS", "FreeRTOS", "real time operating system"], "MATLAB": ["MATLAB"], "AWS": ["AWS", "Amazon Web Services"], "Azure": ["Azure"],
+    "GCP": ["GCP", "Google Cloud", "Google Cloud Platform"], "Docker": ["Docker"], "Kubernetes": ["Kubernetes"], "Jenkins": ["Jenkins"],
+}
+#: Headings and the level that they set, the first that fits; ``reset`` ends a section.
+HEADINGS = {
+    "preferred": ["preferred qualification", "preferred qualifications", "qualification we prefer", "qualifications we prefer", "ideal candidate", "preferred but not required", "nice to have", "desired qualification", "desired qualifications", "what sets you apart", "bonus point", "bonus points"],
+    "required": ["qualification must have", "qualifications must have", "qualification you must have", "qualifications you must have", "required qualification", "required qualifications", "required skill", "required skills", "minimum qualification", "minimum qualifications", "basic qualification", "basic qualifications", "what a must have", "what is a must have", "requirement", "requirements", "what we looking for", "what we are looking for", "who we looking for", "who we are looking for", "what you will need", "what we seek", "you bring", "you will bring", "what it takes"],
+    "unspecified": ["qualification", "qualifications", "candidate profile", "this job might be for you if", "what you bring", "skills and abilities", "education"],
+    "reset": ["what you will do", "what you will be doing", "responsibilities", "duties", "about us", "about the role", "what we offer", "benefits", "compensation", "salary", "employment practices", "location information", "who are we", "job category", "target openings", "what is the opportunity", "what you will learn", "learn more"],
+}
+#: What a statement says itself about its level.
+NOT_REQUIRED = ["not required", "is not required", "do not require", "does not require", "did not require", "will not require"]
+REQUIRED = ["must", "require", "requires", "required to", "required qualification", "does not sponsor", "will not sponsor", "unable to sponsor"]
+PREFERRED = ["preferred", "ideally", "desired", "a plus", "nice to have", "suggested"]
+AT_LEAST = ["minimum of", "at least"]
+#: Fields in the order in which they are reported, and the phrases that tell of them.
 FIELDS = {
-    "education": r"(?i)\b(?:degree|bachelor'?s?|master'?s?|ph\.?d|doctorate|associate'?s?)\b", "graduation": r"(?i)\b(?:graduat(?:e|ing|ion)|class of)\b.*\b(?:20\d{2}|spring|summer|fall|winter|before|after|by)\b",
-    "student_status": r"(?i)\b(?:current(?:ly)? (?:a )?student|enrolled (?:in|at)|pursuing an? |undergraduate|sophomores?|juniors?|seniors?)\b", "major_fields": r"(?i)\b(?:major(?:s|ing)?|degree in|discipline|field of study|related field)\b",
-    "citizenship": r"(?i)\b(?:u\.?s\.?|united states) (?:citizen(?:ship)?|person|national)\b", "work_authorization": r"(?i)\b(?:authoriz(?:ed|ation) to work|sponsor(?:ship|ed|ing)?|h-?1b|work visa)\b",
-    "skills": r"(?i)\b(?:experience|knowledge|proficien(?:cy|t)|skills?|ability to|familiar(?:ity)?|expertise|using)\b", "other_eligibility": r"(?i)\b(?:gpa|background check|drug test|driver'?s license|security clearance|travel up to|on-?site)\b",
+    "education": ["degree", "bachelor", "bachelors", "bachelor's", "master", "masters", "master's", "phd", "ph.d", "ph d", "doctorate", "associate", "associates", "associate's", "bs", "b s", "ba", "b a", "ms", "m s"],
+    "graduation": ["graduate", "graduating", "graduation", "class of"],
+    "student_status": ["current student", "current a student", "currently student", "currently a student", "actively enrolled", "enrolled in", "enrolled through", "enrolled at", "pursuing degree", "pursuing a degree", "pursuing bachelor", "pursuing a bachelor", "pursuing a bachelor's", "pursuing master", "pursuing a master", "pursuing a master's", "pursuing a bs", "pursuing a ba", "pursuing an ms", "returning to school", "freshman", "freshmen", "sophomore", "sophomores", "junior", "juniors", "senior", "seniors", "undergraduate", "graduate student", "graduate students"],
+    "major_fields": ["major", "majors", "majoring", "degree in", "discipline", "field of study", "academic field", "related field"],
+    "citizenship": ["us citizen", "us citizenship", "us person", "us national", "us permanent resident", "united states citizen", "united states citizenship", "united states person", "united states national", "united states permanent resident", "lawful permanent resident", "refugee or asylee", "asylee status"],
+    "work_authorization": ["authorized to work", "authorization to work", "work authorization", "work authorized", "sponsor", "sponsored", "sponsoring", "sponsorship", "h1b", "h-1b", "stem opt", "opt", "i-983", "work visa", "employment eligibility"],
+    "skills": ["experience", "knowledge", "proficient", "proficiency", "skill", "skills", "ability to", "familiar", "familiarity", "expertise", "competency", "using", "communication", "problem solving", "problem-solving"],
+    "other_eligibility": ["gpa", "credit hour", "credit hours", "credit by", "credits by", "background check", "drug test", "driver's license", "drivers license", "security clearance", "minimum age", "able to work", "available to work", "work part time", "work part-time", "work full time", "work full-time", "travel up to", "onsite", "on-site"],
 }
-TECHNOLOGIES = {"Python": r"\bPython\b", "Java": r"\bJava\b", "SQL": r"\bSQL\b", "C++": r"(?<![A-Za-z0-9])C\+\+", "C#": r"(?<![A-Za-z0-9])C#", "Excel": r"\bExcel\b", "Git": r"\bGit\b", "Linux": r"\bLinux\b", "AWS": r"\bAWS\b", "MATLAB": r"\bMATLAB\b"}
+#: A statement of graduation names a time as well.
+TIMES = ["spring", "summer", "fall", "winter", "between", "before", "after", "by"]
+#: Statements outside any section that tell of skills all the same, unless they begin as duties do.
+CANDIDATE = ["experience with", "experience in", "experience using", "knowledge of", "proficient with", "proficient in", "proficiency with", "proficiency in", "familiar with", "familiarity with", "expertise in", "background in", "coursework with", "coursework in", "skill with", "skill in", "skills with", "skills in"]
+DUTIES = ["you", "you will", "build", "develop", "design", "create", "implement", "support", "maintain", "work on", "use", "write", "deliver", "own", "help", "gain", "learn", "participate", "collaborate"]
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+SHORT_MONTHS = ["Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+NUMBER_WORDS = ["three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+DEADLINES = ["deadline", "apply by", "application will close", "applications will close", "application close", "applications close", "application due", "applications due", "closing date", "submit by"]
+#: Sections of a profile's document.
+PROFILE_SECTIONS = {
+    "skills": ["skills", "skill"], "coursework": ["coursework", "relevant coursework"], "projects": ["projects", "project"], "experience": ["experience", "employment", "professional experience", "work experience"],
+    "leadership": ["leadership", "activities", "extracurriculars", "extracurricular"], "other": ["education", "awards", "award", "certifications", "certification", "research"],
+}
+SCIENCE, ARTS = ["B.S.", "B.S", "BS", "Bachelor of Science", "Bachelor's of Science"], ["B.A.", "B.A", "BA", "Bachelor of Arts", "Bachelor's of Arts"]
+DEGREES = {"Bachelor of Science": SCIENCE, "Bachelor of Arts": ARTS, "Bachelor's degree": ["Bachelor", "Bachelor's"], "Master's degree": ["Master", "Master's", "M.S.", "M.S", "MS"]}
+MAJORS = ["Computer Science", "Computer Engineering", "Software Engineering", "Data Science", "Information Technology", "Information Systems", "Electrical Engineering", "Mechanical Engineering", "Aerospace Engineering", "Civil Engineering", "Industrial Engineering", "Biomedical Engineering", "Chemical Engineering", "Mathematics", "Statistics", "Physics", "Finance", "Accounting", "Economics", "Business Administration", "Marketing"]
+# ----------------------------------------------------------------------------
+UNKNOWN = "Unknown / not provided"
+
+
+def pattern(phrases: list[str]) -> str:
+    """A pattern that finds any of the phrases as whole words, the longest first; blanks and hyphens stand for each other."""
+    words = [r"[\s-]+".join(map(re.escape, re.split(r"[\s-]+", p))) if re.search(r"\w[\s-]+\w", p) else re.escape(p) for p in sorted(set(phrases), key=lambda p: (-len(p), p))]
+    return r"(?<![A-Za-z0-9+#])(?:" + "|".join(words) + r")(?![A-Za-z0-9+#])"
+
+
+def plain(text: Column) -> Column:
+    """Lower case, apostrophes alike, contractions written out, initials without points (U.S. as us)."""
+    t = F.lower(F.translate(F.coalesce(text, F.lit("")), "’‘ʼ＇", "''''"))
+    for short, long in (("'ll\\b", " will"), ("'re\\b", " are"), ("n't\\b", " not")):
+        t = F.regexp_replace(t, short, long)
+    return F.regexp_replace(t, r"\b([a-z])\.(?=[a-z]\b)|(?<=\b[a-z]\.[a-z])\.|(?<=\b[a-z])\.(?=\s|$|,)", "$1")
+
+
+def says(text: Column, phrases: list[str]) -> Column:
+    return text.rlike(pattern(phrases))
 
 
 def html_lines(html: Column) -> Column:
     """Block-level lines of an HTML text, none of them blank."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h[1-6]|tr|section|article|title)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}.items():
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    lines = F.transform(F.split(unescaped(F.regexp_replace(t, r"<[^>]*>", "")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.filter(lines, lambda x: x != "")
 
 
-def heading_level(line: Column, headings=HEADINGS) -> Column:
-    """Level that a short heading line sets (``reset`` ends a section); null for other lines."""
-    head = F.regexp_replace(line, r"[:\s]+$", "")
-    short = ~line.rlike(r"[.!?]$") & (F.length(head) <= 100) & (F.size(F.split(head, " ")) <= 14)
+def _heading(line: Column, p: Column, headings: dict[str, list[str]]) -> Column:
     out = F.lit(None).cast("string")
-    for level, pattern in reversed(headings):
-        out = F.when(head.rlike(pattern), F.lit(level)).otherwise(out)
-    return F.when(short, out)
+    for level, phrases in reversed(headings.items()):
+        out = F.when(says(p, phrases), F.lit(level)).otherwise(out)
+    return F.when((F.length(line) <= 100) & (F.size(F.split(F.trim(line), r"\s+")) <= 14), out)
+
+
+def heading_level(line: Column, headings: dict[str, list[str]] = HEADINGS) -> Column:
+    """Level that a short heading line sets (``reset`` ends a section); null for other lines."""
+    return _heading(line, plain(line), headings)
+
+
+def _level(p: Column, section: Column) -> Column:
+    denied = says(p, NOT_REQUIRED) | p.rlike(r"\bno\b[^,.;:]{0,60}\brequired\b")
+    return (
+        F.when(denied, "not_required").when(says(p, REQUIRED), "required").when(says(p, PREFERRED), "preferred")
+        .when(says(p, AT_LEAST), F.when(section == "preferred", "preferred").otherwise("required")).otherwise(section)
+    )
+
+
+def stated_level(statement: Column, section: Column) -> Column:
+    """A statement's own level, else its section's; a minimum is required outside preferred sections."""
+    return _level(plain(statement), section)
+
+
+def technologies_in(text: Column, technologies: dict[str, list[str]] = TECHNOLOGIES) -> Column:
+    """Names of the technologies that a text mentions, in the order of the table."""
+    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + pattern(spellings)), F.lit(name)) for name, spellings in technologies.items()]))
+
+
+def sectioned(lines: DataFrame, doc: str, pos: str, heading: Column) -> DataFrame:
+    """``lines`` that are no headings, with ``section``, the level that the last heading before them set; null where none did or it ended."""
+    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("_head", heading).withColumn("section", F.last("_head", ignorenulls=True).over(w)).where("_head is null")
+    return rows.withColumn("section", F.when(F.col("section") != "reset", F.col("section"))).drop("_head")
 
 
 def extract_facts(lines: DataFrame, doc: str, pos: str, line: str, fields=FIELDS, technologies=TECHNOLOGIES, headings=HEADINGS, heading: Column | None = None) -> DataFrame:
     """``(doc, ordinal, sentence, field, level, statement, technologies, negated)``: a row per fact.
 
     ``lines`` has a row per line. The level of a section holds from its heading to the
-    next one; a statement's own words come before its section's level.
+    next one; a statement's own words come before its section's level. Statements with
+    a level that tell of no field are other conditions; statements without one count
+    as skills where they speak of a candidate and not of duties.
     """
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    head = heading if heading is not None else heading_level(F.col(line), headings)
-    rows = lines.withColumn("_head", head).withColumn("_level", F.last("_head", ignorenulls=True).over(w)).where("_head is null")
-    said = rows.select(doc, F.col(pos).alias("ordinal"), F.when(F.col("_level") != "reset", F.col("_level")).alias("section"), F.posexplode(F.split(line, r"(?<=[.!?])\s+(?=\p{Lu})")).alias("sentence", "statement")).where(F.trim("statement") != "")
-    s = F.col("statement")
-    stated = F.col("section")
-    for level, pattern in reversed(STATED):
-        stated = F.when(s.rlike(pattern), F.when((F.col("section") == "preferred") & F.lit(level == "required" and "least" in pattern), "preferred").otherwise(F.lit(level))).otherwise(stated)
-    rows = said.withColumn("level", stated)
-    tech = F.array_compact(F.array(*[F.when(s.rlike(f"(?i){p}"), F.lit(n)) for n, p in technologies.items()]))
-    known = F.array_compact(F.array(*[F.when(s.rlike(p) | (F.lit(n == "skills") & (F.size(tech) > 0)), F.lit(n)) for n, p in fields.items()]))
-    known = F.when((F.size(known) == 0) & F.col("level").isNotNull(), F.array(F.lit("other_eligibility"))).otherwise(known)
-    out = rows.withColumn("technologies", tech).withColumn("field", F.explode(known))
-    return out.select(doc, "ordinal", "sentence", "field", F.coalesce("level", F.lit("unspecified")).alias("level"), "statement", "technologies", (F.coalesce("level", F.lit("")) == "not_required").alias("negated"))
+    head = heading if heading is not None else _heading(F.col(line), F.col("_plain"), headings)
+    # each step is a column of its own, so that none is computed for every table again
+    rows = sectioned(lines.withColumn("_plain", plain(F.col(line))), doc, pos, head)
+    # a sentence ends at a mark before a capital, but not after an initial
+    said = rows.select(doc, F.col(pos).alias("ordinal"), "section", F.posexplode(F.split(line, r"(?<=[.!?])(?<!\p{Lu}\.)\s+(?=\p{Lu})")).alias("sentence", "statement")).where(F.trim("statement") != "")
+    rows = said.withColumn("_plain", plain(F.col("statement"))).withColumn("level", _level(F.col("_plain"), F.col("section"))).withColumn("technologies", technologies_in(F.col("statement"), technologies))
+    p, tech = F.col("_plain"), F.size("technologies") > 0
+    headed = F.col("level").isNotNull()
+    asks = says(p, CANDIDATE) & ~p.rlike("^" + pattern(DUTIES))
+    rules = {name: says(p, phrases) for name, phrases in fields.items() if name not in ("skills", "other_eligibility")}
+    if "graduation" in rules:
+        rules["graduation"] = rules["graduation"] & (says(p, TIMES) | p.rlike(r"\b20\d{2}\b"))
+    if "citizenship" in rules:
+        rules["citizenship"] = rules["citizenship"] & ~p.rlike(r"without regard to .*\b(?:citizenship|national origin)\b")
+    rules["skills"] = (headed | asks) & (tech | says(p, fields["skills"]))
+    known = F.array_compact(F.array(*[F.when(found, F.lit(name)) for name, found in rules.items()]))
+    hard = says(p, fields["other_eligibility"]) | p.rlike(r"\bat least \d+ years? old\b")
+    known = F.when(hard | (headed & (F.size(known) == 0)), F.array_append(known, F.lit("other_eligibility"))).otherwise(known)
+    out = rows.withColumn("field", F.explode(known))
+    return out.select(doc, "ordinal", "sentence", "field", F.coalesce("level", F.lit("unspecified")).alias("level"), "statement", F.when(F.col("field") == "skills", F.col("technologies")).otherwise(F.expr("CAST(array() AS array<string>)")).alias("technologies"), (F.coalesce("level", F.lit("")) == "not_required").alias("negated"))
 
 
 def field_classes(facts: DataFrame, doc: str) -> DataFrame:
@@ -71,12 +173,94 @@ def field_classes(facts: DataFrame, doc: str) -> DataFrame:
     return facts.groupBy(doc, "field").agg(F.when(F.size(levels) == 1, F.element_at(levels, 1)).otherwise("mixed").alias("classification"), F.count(F.lit(1)).alias("facts"))
 
 
-PROFILE_RULES = {"degree": r"(?i)\b(Bachelor(?: of \w+)?|Master(?: of \w+)?|Ph\.?D\.?|Associate(?: of \w+)?)", "graduation": r"(?i)(?:graduat\w*|expected|class of)\D{0,20}(20\d{2})", "major": r"(?i)(?:major(?:ing)? in|degree in|B\.?S\.? in)\s+([A-Z][\w ]{2,40})"}
+def schedule_evidence(lines: DataFrame, doc: str, pos: str, line: str) -> DataFrame:
+    """``(doc, kind, ordinal, value)``: terms named, and the lines that state a duration, a range of dates or a deadline, each once."""
+    text = F.col(line)
+    month, any_month = pattern(MONTHS), pattern(MONTHS + SHORT_MONTHS)
+    terms = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:spring|summer|fall|autumn|winter)\s+20\d{2}\b"), F.lit(0))
+    named = F.transform(terms, lambda x: F.struct(F.lit("term").alias("kind"), F.replace(F.initcap(F.regexp_replace(x, r"\s+", " ")), F.lit("Autumn"), F.lit("Fall")).alias("value")))
+    kinds = {
+        "duration": rf"(?i)\b(?:\d+|{'|'.join(NUMBER_WORDS)})[ -]?(?:months?|weeks?)\b",
+        "date_range": rf"(?i){month}[^.\n]{{0,60}}(?:\b(?:through|to|until|thru)\b|-)[^.\n]{{0,60}}{month}",
+        "deadline": rf"(?i){pattern(DEADLINES)}[^.\n]*{any_month}",
+    }
+    lines_of = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(kind).alias("kind"), text.alias("value"))) for kind, p in kinds.items()]))
+    found = lines.select(doc, F.col(pos).alias("ordinal"), F.explode(F.concat(named, lines_of)).alias("x")).select(doc, "x.kind", "ordinal", "x.value")
+    return found.groupBy(doc, "kind", "value").agg(F.min("ordinal").alias("ordinal")).select(doc, "kind", "ordinal", "value")
+
+
+def _authorization(t: Column) -> Column:
+    p = plain(t)
+    citizen = says(p, ["us citizen", "us citizenship", "united states citizen", "united states citizenship"])
+    free = p.rlike(r"\bauthori[sz]ed to work\b[^\n]{0,60}\bwithout sponsorship\b") | says(p, ["no sponsorship required", "no sponsorship is required"])
+    needs = says(p, [f"{verb}{of} sponsorship" for verb in ("need", "needs", "require", "requires") for of in ("", " visa")] + ["sponsorship required"])
+    work = F.when(free, "Authorized to work in the U.S. without sponsorship").when(needs, "Needs visa sponsorship").when(citizen, "Authorized to work in the U.S. without sponsorship").otherwise(UNKNOWN)
+    return F.struct(F.when(citizen, "U.S. citizen").otherwise(UNKNOWN).alias("citizenship"), work.alias("work"))
+
+
+def _clearance(t: Column) -> Column:
+    p = plain(t)
+    near = lambda a, b, n: p.rlike(rf"\b{a}\b[^\n]{{0,{n}}}\b{b}\b")
+    top, secret = "(?:top secret|ts/sci)", "secret clearance"
+    return (
+        F.when(near("active", top, 30) | near(top, "active", 30), "Active Top Secret clearance").when(near("active", secret, 30) | near(secret, "active", 30), "Active Secret clearance")
+        .when(near("(?:eligible|ability) to obtain", "clearance", 40), "Eligible / able to obtain a clearance").when(p.rlike(r"\b(?:no|without) (?:active )?(?:security )?clearance\b"), "No active security clearance").otherwise(UNKNOWN)
+    )
+
+
+def _graduation(t: Column) -> Column:
+    """The best scored of all months with a year: 4 for words that announce a graduation before it, 6 for a higher school, 12 off for a high school; then the latest year, then the first."""
+    date = rf"(?i)\b(?:{'|'.join(MONTHS)})\s+20\d{{2}}\b"
+    dates, gaps = F.regexp_extract_all(t, F.lit(date), F.lit(0)), F.split(t, date, -1)
+    school = pattern(["university", "college", "bachelor", "bachelor's", "master", "master's", "associate", "associate's", "BS", "B.S", "BA", "B.A", "MS", "M.S", "MA", "M.A", *MAJORS])
+    high = pattern(["high school", "secondary school", "GED", "high school diploma"])
+
+    def scored(d: Column, i: Column) -> Column:
+        # what stands before a date: the text since the one before, and that one
+        ahead = F.concat(F.when(i > 0, F.get(dates, i - 1)).otherwise(""), F.get(gaps, i))
+        near, line = F.right(ahead, F.lit(140)), F.substring_index(F.right(ahead, F.lit(140)), "\n", -1)
+        score = F.when(near.rlike(r"(?i)(?:expected|anticipated|graduation|graduating|class\s+of)[^\n\r]{0,50}$"), 4).otherwise(0)
+        score = score + F.when((line.rlike("(?i)" + school)) | F.right(near, F.lit(90)).rlike("(?i)" + school), 6).otherwise(0)
+        score = score - F.when(line.rlike("(?i)" + high) | F.right(near, F.lit(70)).rlike("(?i)" + high), 12).otherwise(0)
+        return F.struct(score.alias("score"), F.right(d, F.lit(4)).alias("year"), F.negative(i).alias("i"), F.initcap(F.regexp_replace(d, r"\s+", " ")).alias("value"))
+
+    best = F.array_max(F.filter(F.transform(dates, scored), lambda x: x["score"] > 0))
+    return F.when(t.rlike(date), best["value"])
+
+
+def _sections(t: Column) -> Column:
+    """map<section, array<line>>-like array of structs: the lines under each heading line of the table."""
+    lines = F.split(F.regexp_replace(t, "\r", ""), "\n")
+    name = F.lit(None).cast("string")
+    heads = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\s:]+$", "")))
+
+    def section(x: Column) -> Column:
+        out = name
+        for s, words in PROFILE_SECTIONS.items():
+            out = F.when(heads(x).isin(words), F.lit(s)).otherwise(out)
+        return out
+
+    return F.transform(lines, lambda x, i: F.struct(i.alias("i"), section(x).alias("head"), F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*[•*–—-]+\s*", ""), r"\s+", " ")).alias("line")))
 
 
-def profile_evidence(docs: DataFrame, doc: str, text: str, rules=PROFILE_RULES, skills=TECHNOLOGIES) -> DataFrame:
-    """``(doc, kind, value)``: degree, graduation year, major (first stated) and skills found in a document."""
+def profile_evidence(docs: DataFrame, doc: str, text: str, skills=TECHNOLOGIES) -> DataFrame:
+    """``(doc, kind, value)``: graduation (best scored), degree, major, authorization, clearance, each skill, and the lines of each headed section."""
     t = F.coalesce(F.col(text), F.lit(""))
-    one = [F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_extract(t, p, 1)).alias("value")) for k, p in rules.items()]
-    many = [F.struct(F.lit("skill").alias("kind"), F.when(t.rlike(f"(?i){p}"), F.lit(n)).otherwise("").alias("value")) for n, p in skills.items()]
-    return docs.select(doc, F.explode(F.array(*one, *many)).alias("x")).select(doc, "x.kind", "x.value").where("value <> ''")
+    degree, major = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, words in reversed(DEGREES.items()):
+        degree = F.when(t.rlike("(?i)" + pattern(words)), F.lit(name)).otherwise(degree)
+    for name in reversed(MAJORS):
+        major = F.when(t.rlike("(?i)" + pattern([name])), F.lit(name)).otherwise(major)
+    own = _authorization(t)
+    one = {"graduation": _graduation(t), "degree": degree, "major": major, "citizenship": own["citizenship"], "work_authorization": own["work"], "clearance": _clearance(t)}
+    said = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in one.items()]), lambda x: x["value"].isNotNull() & (x["value"] != UNKNOWN))
+    many = F.transform(technologies_in(t, skills), lambda x: F.struct(F.lit("skill").alias("kind"), x.alias("value")))
+    facts = docs.select(doc, F.explode(F.concat(said, many)).alias("x")).select(doc, "x.kind", "x.value")
+    # section lines: only documents with a heading are taken apart
+    words = [w for names in PROFILE_SECTIONS.values() for w in names]
+    headed = docs.where(t.rlike(rf"(?im)^\s*(?:{'|'.join(words)})\s*:?\s*$"))
+    # numbered before they are taken apart, so that rows of one id stay apart
+    lines = headed.withColumn("_row", F.monotonically_increasing_id()).select("_row", doc, F.explode(_sections(t)).alias("x")).select("_row", doc, "x.*")
+    under = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("section", F.last("head", ignorenulls=True).over(under)).where("head is null and section is not null and section <> 'other' and length(line) >= 4")
+    return facts.unionByName(lines.select(doc, F.concat(F.lit("section:"), "section").alias("kind"), F.col("line").alias("value")).distinct())

@@ -79,9 +79,39 @@ def id_tokens(url: Column) -> Column:
 
 
 def apply_switch(url: Column, to_apply: bool) -> Column:
-    """A posting's apply page, or back from it."""
-    bare = F.regexp_replace(url, r"/apply/?(?=$|\?)", "")
-    return F.concat(F.regexp_replace(bare, r"/$", ""), F.lit("/apply")) if to_apply else bare
+    """A posting's apply page, or back from it; a query stays at the end."""
+    path, query = F.regexp_extract(url, r"^[^?]*", 0), F.regexp_extract(url, r"\?.*$", 0)
+    bare = F.regexp_replace(path, r"/apply/?$", "")
+    return F.concat(F.regexp_replace(bare, r"/$", ""), F.lit("/apply"), query) if to_apply else F.concat(bare, query)
+
+
+#: Providers whose public URL follows from a slug of provider, board and id: pattern and URL.
+SLUGS = {
+    "greenhouse": (r"(?i)^greenhouse-(.+)-(\d+)$", "https://job-boards.greenhouse.io/{0}/jobs/{1}"),
+    "ashby": (r"^ashby-(.+)-([0-9a-fA-F-]{32,36})$", "https://jobs.ashbyhq.com/{0}/{1}"),
+    "lever": (r"^lever-(.+)-([0-9a-fA-F-]{32,36})$", "https://jobs.lever.co/{0}/{1}"),
+}
+
+
+def slug_url(url: Column, hosts: list[str], slugs=SLUGS) -> Column:
+    """The direct URL that an intermediary's slug tells, for the shapes where nothing has to be guessed; null otherwise."""
+    slug = F.substring_index(F.regexp_replace(F.coalesce(url_part(url, "PATH"), F.lit("")), "/+$", ""), "/", -1)
+    out = F.lit(None).cast("string")
+    for pattern, form in reversed(slugs.values()):
+        filled = F.replace(F.replace(F.lit(form), F.lit("{0}"), F.regexp_extract(slug, pattern, 1)), F.lit("{1}"), F.regexp_extract(slug, pattern, 2))
+        out = F.when(slug.rlike(pattern), filled).otherwise(out)
+    return F.when(host(url).isin(hosts), out)
+
+
+def is_job_page(url: Column) -> Column:
+    """Whether a URL is a posting's page at a provider that keeps its apply form elsewhere."""
+    path = F.lower(F.coalesce(url_part(url, "PATH"), F.lit("")))
+    return host(url).rlike(r"^[^.]+\.wd\d+\.myworkday(?:jobs|site)\.com$") & (path.contains("/job/") | path.contains("/details/")) & ~path.rlike("/apply/?$")
+
+
+def tokens_match(a: Column, b: Column) -> Column:
+    """Whether two URLs name a common posting: one of their id tokens is the same."""
+    return F.coalesce(F.arrays_overlap(id_tokens(a), id_tokens(b)), F.lit(False))
 
 
 def hint_status(hint: Column, shared: list[str], sso: str = r"(?i)^(?:login|sso|auth|accounts|id)\.") -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.functions.facts import plain, says
+from quarrystone.functions.text import skill_key
+
 #: component: (role, maximum). The maxima of ranking components sum to 100.
 CONTRACT = {"fit": ("ranking", 45), "freshness": ("ranking", 10), "roi": ("ranking", 25), "location": ("ranking", 20), "eligibility": ("gate", 0), "link": ("metadata", 0)}
 #: Age in days and the score it earns; between them the score runs straight.
@@ -30,20 +33,212 @@ def gate(checks: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(reason)) for reason, bad in checks])
 
 
-def qualification_fit(facts: DataFrame, skills: DataFrame, families: DataFrame, base: int = 20) -> DataFrame:
+# --- fixed values -----------------------------------------------------------
+STAGES = ["freshman", "sophomore", "junior", "senior", "graduate"]
+STAGE_WORDS = {"freshman": ["freshman", "freshmen"], "sophomore": ["sophomore", "sophomores"], "junior": ["junior", "juniors"], "senior": ["senior", "seniors"], "graduate": ["graduate", "graduates"]}
+FROM_YEAR, TO_YEAR = ["after", "no earlier than"], ["before", "by", "no later than"]
+RESTRICTIVE = ["us citizen", "us person", "united states citizen", "united states person", "authorized to work", "does not sponsor", "will not sponsor", "no sponsorship"]
+#: Points: explicit undergraduate level and any other; type; term that fits and one that may; open applications; graduation; authorization held and lacking.
+UNDERGRAD, ANY_LEVEL, TYPE, TERM, MAYBE_TERM, OPEN, GRADUATION, AUTHORIZED, SPONSORED, MOST_ELIGIBILITY = 6, 4, 7, 7, 4, 1, {"required": 2, "preferred": 1}, 2, -6, 20
+LEARNABLE = ["familiarity", "familiar", "interest", "exposure", "foundational", "basic understanding", "working knowledge", "coursework", "academic", "project experience", "school project", "willingness to learn", "eager to learn"]
+STRONG = ["strong", "proficient", "proficiency", "advanced", "expert", "expertise", "deep understanding", "firm grasp", "solid grasp", "demonstrated", "hands on", "professional", "production"]
+EXPERIENCED = ["experience", "experienced", "professional", "production", "hands on", "prior", "previous"]
+FAMILIES = {
+    "programming": ["c", "c++", "c#", "java", "python", "go", "rust"], "web": ["javascript", "typescript", "react", "node.js"], "data": ["sql", "postgresql", "mysql", "oracle", "snowflake", "databricks", "spark", "r"],
+    "cloud": ["aws", "azure", "gcp"], "containers": ["docker", "kubernetes"], "os": ["linux", "unix"], "ci": ["jenkins", "gitlab ci", "github actions"], "analytics": ["tableau", "power bi", "excel", "r", "sql"],
+}
+#: Fit: where it starts, and without evidence; points per skill and their limits.
+BASE_FIT, NEUTRAL_FIT, MOST_FIT = 18, 19, 45
+EXACT, WORKED, ADJACENT, EXACT_PREFERRED, ADJACENT_PREFERRED, CAUTIOUS = (3, 9), (2, 4), (1.5, 6), (1, 3), (0.5, 2), (1, 3)
+MAJOR, DEGREE, MOST_ACADEMIC = {"required": 3, "preferred": 2}, {"required": 2, "preferred": 1}, 5
+# ----------------------------------------------------------------------------
+
+
+def student_stage(graduation_year: Column, today: Column) -> Column:
+    """The stage of a student who graduates in a year; academic years begin in July."""
+    left = graduation_year - (F.year(today) - F.when(F.month(today) >= 7, 0).otherwise(1))
+    return F.when(left >= 4, "freshman").when(left == 3, "sophomore").when(left == 2, "junior").when(left == 1, "senior").when(left <= 0, "graduate")
+
+
+def graduation_window(statement: Column) -> Column:
+    """struct<first, last> of the years that a statement admits; null if it names none."""
+    years = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(statement, F.lit(r"\b20\d{2}\b"), F.lit(0)), lambda y: y.cast("int"))))
+    p, low, high = plain(statement), F.get(years, F.lit(0)), F.get(years, F.size(years) - 1)
+    single = F.size(years) == 1
+    first = F.when(single & ~says(p, FROM_YEAR) & says(p, TO_YEAR), 0).otherwise(low)
+    last = F.when(single & says(p, FROM_YEAR), 9999).otherwise(high)
+    return F.when(F.size(years) > 0, F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
+
+
+def admitted_stages(statement: Column) -> Column:
+    """Stages that a statement admits; who is to rise to a stage is still at the one before."""
+    p = plain(statement)
+    out = []
+    for before, stage in zip([None, *STAGES], STAGES, strict=False):
+        rising = says(p, [f"rising {w}" for w in STAGE_WORDS[stage]]) if stage in STAGES[1:4] else F.lit(False)
+        out += [F.when(says(p, STAGE_WORDS[stage]) & ~rising, F.lit(stage)), F.when(rising, F.lit(before))]
+    return F.array_distinct(F.array_compact(F.array(*out)))
+
+
+def posting_conditions(facts: DataFrame, posting: str) -> DataFrame:
+    """``(posting, windows, stages, restrictive)`` from facts(posting, field, level, statement): per posting the graduation windows and stages it
+    requires (or prefers, where it requires none), with that level, and whether it restricts who may work."""
+    asked = facts.where(F.col("level").isin("required", "preferred") & F.col("field").isin("graduation", "student_status", "citizenship", "work_authorization"))
+    window, stages = graduation_window(F.col("statement")), admitted_stages(F.col("statement"))
+
+    def kept(field: str, value: Column, level: str) -> Column:
+        return F.array_compact(F.collect_set(F.when((F.col("field") == field) & (F.col("level") == level), value)))
+
+    restrictive = F.col("field").isin("citizenship", "work_authorization") & (F.col("level") == "required") & says(plain(F.col("statement")), RESTRICTIVE)
+    per = asked.withColumns({"_w": window, "_s": F.when(F.size(stages) > 0, stages)}).groupBy(posting).agg(
+        *[kept("graduation", F.col("_w"), level).alias(f"w_{level}") for level in GRADUATION], *[kept("student_status", F.col("_s"), level).alias(f"s_{level}") for level in GRADUATION],
+        F.max(restrictive).alias("restrictive"),
+        *[F.max((F.col("field") == f) & (F.col("level") == "required")).alias(f"r_{f}") for f in ("graduation", "student_status")],
+    )
+    level = lambda f: F.when(F.col(f"r_{f}"), "required").otherwise("preferred")
+    pick = lambda c, f: F.when(F.col(f"r_{f}"), F.col(f"{c}_required")).otherwise(F.col(f"{c}_preferred"))
+    return per.select(
+        posting, F.struct(level("graduation").alias("level"), pick("w", "graduation").alias("any")).alias("windows"),
+        F.struct(level("student_status").alias("level"), F.flatten(pick("s", "student_status")).alias("any")).alias("stages"), "restrictive",
+    )
+
+
+def eligibility(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``reason`` (why a profile is excluded from a posting, null if it is not) and ``eligibility``, 0 to 20.
+
+    Of the posting: available (boolean), opportunity_type, education_level, term, stated_terms
+    (array), windows, stages, restrictive (see ``posting_conditions``). Of the profile:
+    allowed_types (array), graduate_only (boolean, whether it takes such postings),
+    target_term, graduation_year, stage, authorized, needs_sponsorship. Unknown values do
+    not exclude.
+    """
+    c = F.col
+    known = lambda x: F.coalesce(x, F.lit(False))
+    target, term = F.lower(F.trim(c("target_term"))), F.lower(F.trim(c("term")))
+    stated = F.transform(F.coalesce("stated_terms", F.expr("CAST(array() AS array<string>)")), lambda x: F.lower(x))
+    no_target, is_stated = F.coalesce(target, F.lit("")) == "", F.size(stated) > 0
+    year = F.regexp_extract(target, r"(20\d{2})$", 1)
+    term_points = (
+        F.when(no_target, TERM).when(is_stated, F.when(F.array_contains(stated, target), TERM)).when(term == target, TERM)
+        .when(F.coalesce(term, F.lit("")) == "", MAYBE_TERM).when(term == year, MAYBE_TERM)
+    )
+    windows = F.exists(c("windows.any"), lambda w: (c("graduation_year") >= w["first"]) & (c("graduation_year") <= w["last"]))
+    asks_year = known(F.size(c("windows.any")) > 0) & c("graduation_year").isNotNull()
+    asks_stage = known(F.size(c("stages.any")) > 0) & c("stage").isNotNull()
+    checks = [
+        ("unavailable", c("available") == F.lit(False)), ("graduate_only", (c("education_level") == "graduate-only") & ~known(c("graduate_only"))),
+        ("type", (F.size("allowed_types") > 0) & ~F.array_contains("allowed_types", c("opportunity_type"))), ("term", term_points.isNull()),
+        ("graduation", asks_year & (c("windows.level") == "required") & ~windows), ("stage", asks_stage & (c("stages.level") == "required") & ~F.array_contains("stages.any", c("stage"))),
+    ]
+    year_points = F.when(asks_year & windows, F.when(c("windows.level") == "required", GRADUATION["required"]).otherwise(GRADUATION["preferred"])).otherwise(0)
+    work_points = F.when(known(c("restrictive")), F.when(known(c("authorized")), AUTHORIZED).when(known(c("needs_sponsorship")), SPONSORED).otherwise(0)).otherwise(0)
+    total = F.when(c("education_level") == "undergrad", UNDERGRAD).otherwise(ANY_LEVEL) + TYPE + F.coalesce(term_points, F.lit(0)) + F.when(known(c("available")), OPEN).otherwise(0) + year_points + work_points
+    out = pairs.withColumn("reason", gate(checks))
+    return out.withColumn("eligibility", F.when(c("reason").isNull(), F.greatest(F.lit(0), F.least(F.lit(MOST_ELIGIBILITY), total))).otherwise(0).cast("int"))
+
+
+def canonical_skill(c: Column) -> Column:
+    """Key of a skill under its usual name."""
+    aliases = {"cpp": "c++", "c plus plus": "c++", "csharp": "c#", "c sharp": "c#", "js": "javascript", "ts": "typescript", "golang": "go", "nodejs": "node.js", "postgres": "postgresql"}
+    key = skill_key(c)
+    out = key
+    for alias, name in aliases.items():
+        out = F.when(key == alias, F.lit(name)).otherwise(out)
+    return out
+
+
+def skill_evidence(facts: DataFrame, skills: DataFrame, pairs: DataFrame, families: dict[str, list[str]] = FAMILIES) -> DataFrame:
+    """``(profile_id, posting_id, skill, kind, required)``: how a profile meets each skill that a posting asks for.
+
+    facts: posting_id, level, statement, technologies. skills: profile_id, skill, support
+    (``supported``, ``cautious``, ``worked`` or ``studied``). ``pairs``: the
+    (profile_id, posting_id) to judge, those that the gates left. kind: ``exact``,
+    ``worked`` (exact, and asked and held as experience), ``cautious``, ``adjacent`` (another skill of the
+    family), ``learnable`` or ``hard``; the last two are gaps. Of required alternatives
+    ("x or y") the best one counts alone.
+    """
+    asked = facts.where("level in ('required', 'preferred', 'unspecified') and size(technologies) > 0").withColumn("_p", plain(F.col("statement"))).select(
+        "posting_id", (F.col("level") == "required").alias("required"), F.array_distinct(F.transform("technologies", canonical_skill)).alias("_t"), F.xxhash64("posting_id", "level", "statement").alias("fact"),
+        says(F.col("_p"), LEARNABLE).alias("learnable"), says(F.col("_p"), STRONG).alias("strong"), says(F.col("_p"), EXPERIENCED).alias("worked"), says(F.col("_p"), ["or", "either"]).alias("_or"),
+    ).distinct()
+    asked = asked.withColumn("choice", F.col("required") & F.col("_or") & (F.size("_t") > 1)).withColumn("group", F.array_join("_t", " / ")).select("*", F.posexplode("_t").alias("at", "skill")).drop("_t", "_or")
+    member = F.lit(None).cast("string")
+    for name, members in reversed(families.items()):
+        member = F.when(F.col("skill").isin(members), F.lit(name)).otherwise(member)
+    held = skills.withColumn("skill", canonical_skill(F.col("skill"))).groupBy("profile_id", "skill").agg(*[F.max(F.col("support") == s).alias(f"_{s}") for s in ("supported", "cautious", "worked", "studied")])
+    kin = held.where("_supported").withColumn("_family", member).where("_family is not null").groupBy("profile_id", "_family").agg(F.collect_set("skill").alias("_kin"))
+    rows = pairs.select("profile_id", "posting_id").distinct().join(asked.withColumn("_family", member), "posting_id")
+    rows = rows.join(held, ["profile_id", "skill"], "left").join(kin, ["profile_id", "_family"], "left")
+    has = lambda s: F.coalesce(F.col(f"_{s}"), F.lit(False))
+    adjacent = F.coalesce(F.size(F.array_except("_kin", F.array("skill"))) > 0, F.lit(False))
+    kind = F.when(has("supported"), "exact").when(F.col("required") & has("cautious"), "cautious").when(adjacent, "adjacent").when(F.col("required"), F.when(F.col("learnable"), F.when(~has("studied"), "learnable")).otherwise("hard"))
+    rows = rows.select("profile_id", "posting_id", "fact", "group", "at", "skill", "required", "choice", "strong", "learnable", has("studied").alias("studied"), (has("supported") & F.col("worked") & F.col("required") & has("worked")).alias("worked"), kind.alias("kind"))
+    single = rows.where("not choice")
+    # alternatives: all exact ones, else one cautious, else the first adjacent, else one gap for all of them
+    order = F.when(F.col("kind") == "exact", 0).when(F.col("kind") == "cautious", 1).when(F.col("kind") == "adjacent", 2).otherwise(3)
+    w = Window.partitionBy("profile_id", "posting_id", "fact")
+    chosen = rows.where("choice").withColumn("_o", order).withColumn("_best", F.min("_o").over(w)).withColumn("_any", F.max("studied").over(w)).where("_o = _best").withColumn("_n", F.row_number().over(w.orderBy("at"))).where("_best = 0 or _n = 1")
+    chosen = chosen.withColumn("kind", F.when(F.col("_best") == 3, F.when(F.col("learnable"), F.when(~F.col("_any"), "learnable")).otherwise("hard")).otherwise(F.col("kind"))).withColumn("skill", F.when(F.col("_best") == 3, F.col("group")).otherwise(F.col("skill")))
+    too_weak = chosen.where("kind = 'adjacent' and strong").withColumns({"kind": F.lit("hard"), "skill": F.col("group")})
+    cols = ["profile_id", "posting_id", "skill", "kind", "required"]
+    every = single.unionByName(chosen.select(single.columns)).unionByName(too_weak.select(single.columns)).where("kind is not null")
+    return every.select(cols).unionByName(every.where("worked").withColumn("kind", F.lit("worked")).select(cols)).distinct()
+
+
+def academic_support(facts: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(profile_id, posting_id, bonus, met, open, asked)`` from required (else preferred) majors and degrees; profiles: profile_id, major, degree (``bachelor``, ``master``...)."""
+    about = facts.where("field in ('major_fields', 'education') and level in ('required', 'preferred')").select("posting_id", "field", "level", skill_key(F.col("statement")).alias("_s")).distinct()
+    rows = pairs.select("profile_id", "posting_id").distinct().join(about, "posting_id").join(profiles.select("profile_id", skill_key(F.col("major")).alias("_m"), F.lower("degree").alias("_d")), "profile_id")
+    has = F.when(F.col("field") == "major_fields", (F.col("_m") != "") & F.contains(F.col("_s"), F.col("_m"))).otherwise(F.coalesce(F.contains(F.col("_s"), F.col("_d")), F.lit(False)))
+    per = rows.withColumn("_has", has).groupBy("profile_id", "posting_id", "field").agg(*[F.count_if(F.col("level") == x).alias(f"n_{x}") for x in MAJOR], *[F.coalesce(F.max(F.when(F.col("level") == x, F.col("_has"))), F.lit(False)).alias(f"has_{x}") for x in MAJOR])
+    points = lambda x: F.when(F.col("field") == "major_fields", MAJOR[x]).otherwise(DEGREE[x])
+    bonus = F.when(F.col("n_required") > 0, F.when(F.col("has_required"), points("required")).otherwise(0)).otherwise(F.when(F.col("has_preferred"), points("preferred")).otherwise(0))
+    return per.groupBy("profile_id", "posting_id").agg(F.least(F.lit(MOST_ACADEMIC), F.sum(bonus)).alias("bonus"), F.count_if((F.col("n_required") > 0) & F.col("has_required")).alias("met"), F.count_if((F.col("n_required") > 0) & ~F.col("has_required")).alias("open"), F.sum("n_required").alias("asked"))
+
+
+def evidence_fit(evidence: DataFrame, academic: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(profile_id, posting_id, fit)``, 0 to 45, of all ``pairs``: neutral for postings without facts, else points for skills met less those for gaps, and a bonus where all that is required is met."""
+    n = lambda kind, required=None: F.count_if((F.col("kind") == kind) & (F.lit(True) if required is None else F.col("required") == required))
+    counts = evidence.groupBy("profile_id", "posting_id").agg(
+        n("exact", True).alias("exact"), n("worked").alias("worked"), n("adjacent", True).alias("adjacent"), n("exact", False).alias("wanted"), n("adjacent", False).alias("wanted_adjacent"),
+        n("cautious").alias("cautious"), n("hard").alias("hard"), n("learnable").alias("learnable"),
+    )
+    inspected = facts.groupBy("posting_id").agg(F.count_if((F.col("field") == "skills") & (F.col("level") == "required")).alias("skill_facts"))
+    rows = pairs.select("profile_id", "posting_id").distinct().join(inspected, "posting_id", "left").join(counts, ["profile_id", "posting_id"], "left").join(academic, ["profile_id", "posting_id"], "left")
+    c = lambda x: F.coalesce(F.col(x), F.lit(0))
+    capped = lambda x, rule: F.least(F.lit(float(rule[1])), c(x) * float(rule[0]))
+    signals = c("exact") + c("adjacent") + c("met")
+    covered = (c("skill_facts") + c("asked") > 0) & (signals > 0) & (c("hard") + c("cautious") + c("open") == 0)
+    bonus = F.when(covered, F.when(c("learnable") > 0, F.least(F.lit(5), 3 + signals)).otherwise(F.least(F.lit(7), 4 + signals))).otherwise(0)
+    gaps = F.least(F.lit(10), F.when(c("hard") >= 1, 5).otherwise(0) + F.when(c("hard") >= 2, 3).otherwise(0) + 2 * F.greatest(F.lit(0), c("hard") - 2))
+    total = BASE_FIT + c("bonus") + bonus + capped("exact", EXACT) + capped("worked", WORKED) + capped("adjacent", ADJACENT) + capped("wanted", EXACT_PREFERRED) + capped("wanted_adjacent", ADJACENT_PREFERRED) - capped("cautious", CAUTIOUS) - gaps
+    return rows.select("profile_id", "posting_id", F.when(F.col("skill_facts").isNull(), NEUTRAL_FIT).otherwise(half_up(F.greatest(F.lit(0.0), F.least(F.lit(float(MOST_FIT)), total)))).cast("int").alias("fit"))
+
+
+def qualification_fit(facts: DataFrame, skills: DataFrame, families: DataFrame, base: int = 20, pairs: DataFrame | None = None) -> DataFrame:
     """``(profile_id, posting_id, fit)`` from technologies asked for and skills held.
 
     facts: posting_id, level, technology. skills: profile_id, skill, support (``supported``
     or ``cautious``). families: skill -> family; a skill of the same family is adjacent.
     Exact skills earn 4 when required and 3 otherwise, cautious ones half, adjacent ones
-    1; a required gap costs 3, and costs stop at 12. Pairs meet on skills or families only.
+    1; a required gap costs 3, and costs stop at 12. Pairs meet on skills or families only,
+    which most do; so give the ``pairs`` (profile_id, posting_id) that gates have left:
+    then only they are looked at.
     """
     asked = facts.select("posting_id", F.col("technology").alias("skill"), (F.col("level") == "required").alias("required")).groupBy("posting_id", "skill").agg(F.max("required").alias("required"))
     worth = F.when(F.col("required"), 4.0).otherwise(3.0)
-    exact = asked.join(skills, "skill").select("profile_id", "posting_id", "skill", F.when(F.col("support") == "supported", worth).otherwise(worth / 2).alias("p"))
-    near = asked.join(families, "skill").join(skills.join(families, "skill").select("profile_id", "family").distinct(), "family").select("profile_id", "posting_id", "skill", F.lit(1.0).alias("p"))
-    best = exact.union(near).groupBy("profile_id", "posting_id", "skill").agg(F.max("p").alias("p"))
-    got = best.join(asked, ["posting_id", "skill"]).groupBy("profile_id", "posting_id").agg(F.sum("p").alias("earned"), F.count_if("required").alias("met"))
+    held = skills.groupBy("profile_id", "skill").agg(F.max(F.col("support") == "supported").alias("sure"))
+    kin = skills.join(families, "skill").select("profile_id", "family").distinct()
+    if pairs is None:
+        exact = asked.join(held, "skill").select("profile_id", "posting_id", "skill", F.when(F.col("sure"), worth).otherwise(worth / 2).alias("p"))
+        near = asked.join(families, "skill").join(kin, "family").select("profile_id", "posting_id", "skill", F.lit(1.0).alias("p"))
+        best = exact.union(near).groupBy("profile_id", "posting_id", "skill").agg(F.max("p").alias("p"))
+        best = best.join(asked, ["posting_id", "skill"])
+    else:
+        rows = pairs.select("profile_id", "posting_id").distinct().join(asked, "posting_id").join(families, "skill", "left").join(held, ["profile_id", "skill"], "left").join(kin.withColumn("_kin", F.lit(1.0)), ["profile_id", "family"], "left")
+        points = F.greatest(F.when(F.col("sure"), worth).when(~F.col("sure"), worth / 2), F.col("_kin"))
+        best = rows.withColumn("p", points).where("p is not null").groupBy("profile_id", "posting_id", "skill").agg(F.max("p").alias("p"), F.max("required").alias("required"))
+    got = best.groupBy("profile_id", "posting_id").agg(F.sum("p").alias("earned"), F.count_if("required").alias("met"))
     needs = asked.groupBy("posting_id").agg(F.count_if("required").alias("needed"))
     gap = F.least(F.lit(12.0), (F.col("needed") - F.col("met")) * 3.0)
     return got.join(needs, "posting_id").select("profile_id", "posting_id", F.greatest(F.lit(0.0), F.least(F.lit(45.0), base + F.col("earned") - gap)).alias("fit"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.functions.text import norm, place_key
+from quarrystone.functions.identity import posting_identity
+from quarrystone.functions.text import canonical_url, company_key, norm, place_key
 
 #: Thresholds of a fuzzy match: sure, and worth a look.
 SURE, LIKELY = 0.90, 0.80
@@ -25,30 +26,101 @@ def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 
 
 def place_similarity(a: Column, b: Column) -> Column:
-    """1 for equal places, 0.96 where the words of one are among the other's, null where only letters can tell."""
-    x, y = place_key(a), place_key(b)
-    wx, wy = F.split(x, " "), F.split(y, " ")
-    within = (F.size(F.array_except(wx, wy)) == 0) | (F.size(F.array_except(wy, wx)) == 0)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(within, 0.96)
+    """Of two place keys: 1 for equal ones, 0.96 where the words of one are among the other's, null where only letters can tell."""
+    wa, wb = F.split(a, " "), F.split(b, " ")
+    within = (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(within, 0.96)
+
+
+def _shared_letters(a: Column, b: Column) -> Column:
+    """How many letters two sorted strings have in common at most: matching blocks cannot hold more of a letter than either text."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    count = lambda t, x: F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))
+    return reduce(lambda p, q: p + q, [F.least(count(a, x), count(b, x)) for x in letters])
 
 
 def similarity_join(sample: DataFrame, postings: DataFrame, block: str, left: str, right: str, salts: int = 16, hot: int = 10_000) -> DataFrame:
     """``(left, right, score)`` within blocks: 0.78 of the title's and 0.22 of the place's similarity, at least ``LIKELY``.
 
-    Both sides share ``block``. Blocks of more than ``hot`` postings are spread over
-    ``salts`` parts, to each of which the sample's rows go. Pairs whose title lengths
-    alone keep the score under ``LIKELY`` are not scored.
+    Both sides share ``block``. Titles and places are compared once for each pair of
+    distinct values. Pairs that cannot reach ``LIKELY`` are left out before any letter is
+    compared in order: by the lengths of the titles, then by the letters that they share,
+    which bound the ratio from above. Blocks of more than ``hot`` titles are spread over
+    ``salts`` parts, to each of which the sample's titles go.
     """
-    big = postings.groupBy(block).agg((F.count(F.lit(1)) > hot).alias("_big"))
-    p = postings.join(big, block).withColumn("_s", F.when(F.col("_big"), F.pmod(F.xxhash64(right), F.lit(salts))).otherwise(0))
-    s = sample.join(big, block).withColumn("_s", F.explode(F.when(F.col("_big"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).withColumn("_s", F.col("_s").cast("bigint"))
-    a = s.select(block, "_s", left, norm(F.col("title")).alias("_ta"), F.col("location").alias("_la"))
-    b = p.select(block, F.col("_s").cast("bigint").alias("_s"), right, norm(F.col("title")).alias("_tb"), F.col("location").alias("_lb"))
+    s = sample.select(block, left, norm(F.col("title")).alias("_ta"), place_key(F.col("location")).alias("_la"))
+    p = postings.select(block, right, norm(F.col("title")).alias("_tb"), place_key(F.col("location")).alias("_lb"))
+    # what differs in a block: titles and places; ids come back at the end
+    a, b = s.where("_ta <> ''").select(block, "_ta", "_la").distinct(), p.where("_tb <> ''").select(block, "_tb", "_lb").distinct()
+    big = b.groupBy(block).agg((F.count(F.lit(1)) > hot).alias("_big"))
+    parts = b.join(big, block).withColumn("_s", F.when(F.col("_big"), F.pmod(F.xxhash64("_tb"), F.lit(salts))).otherwise(0).cast("int"))
+    every = a.join(big, block).withColumn("_s", F.explode(F.when(F.col("_big"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     la, lb = F.length("_ta"), F.length("_tb")
-    possible = 0.78 * 2 * F.least(la, lb) / (la + lb) + 0.22 >= LIKELY
-    pairs = a.join(b, [block, "_s"]).where((la > 0) & (lb > 0) & possible)
-    place = F.coalesce(place_similarity(F.col("_la"), F.col("_lb")), ratio(place_key(F.col("_la")), place_key(F.col("_lb"))))
-    return pairs.withColumn("score", 0.78 * ratio(F.col("_ta"), F.col("_tb")) + 0.22 * place).where(F.col("score") >= LIKELY).select(left, right, "score")
+    place = place_similarity(F.col("_la"), F.col("_lb"))
+    # an unknown place counts in full until its letters are compared
+    room = (LIKELY - 0.22 * F.coalesce(place, F.lit(1.0))) / 0.78
+    near = every.join(parts, [block, "_s"]).where(2 * F.least(la, lb) >= room * (la + lb) - 1e-9).where(2 * _shared_letters(F.col("_ta"), F.col("_tb")) >= room * (la + lb) - 1e-9)
+    pairs = near.select(block, "_ta", "_la", "_tb", "_lb", place.alias("_place"))
+    titles = pairs.select("_ta", "_tb").distinct().withColumn("_title", F.when(F.col("_ta") == F.col("_tb"), 1.0).otherwise(ratio(F.col("_ta"), F.col("_tb"))))
+    scored = pairs.join(titles, ["_ta", "_tb"]).where(0.78 * F.col("_title") + 0.22 * F.coalesce("_place", F.lit(1.0)) >= LIKELY - 1e-9)
+    scored = scored.withColumn("score", 0.78 * F.col("_title") + 0.22 * F.coalesce("_place", ratio(F.col("_la"), F.col("_lb")))).where(F.col("score") >= LIKELY)
+    back = scored.join(s, [block, "_ta", "_la"]).join(p, [block, "_tb", "_lb"])
+    return back.select(left, right, "score")
+
+
+def coverage_tiers(sample: DataFrame, postings: DataFrame, key: str) -> list[tuple[str, DataFrame]]:
+    """The tiers of a coverage audit, surest first: URL, signature, the provider's own id, likeness within the employer.
+
+    ``sample``: key, company, title, location, url. ``postings``: posting_id and the same.
+    An id of a provider outside the five matches only with a like title.
+    """
+    def keyed(df: DataFrame, own: str) -> DataFrame:
+        named = [norm(F.col(c)) for c in ("company", "title", "location")]
+        return df.select(F.col(own).alias("_id"), F.nullif(canonical_url(F.col("url")), F.lit("")).alias("_url"), F.concat_ws("|", *named).alias("_sig"), posting_identity(F.col("url")).alias("_native"), company_key(F.col("company")).alias("_employer"), "title", "location")
+
+    a, b = keyed(sample, key), keyed(postings, "posting_id")
+    native = F.concat_ws("|", "_native.provider", F.array_join("_native.parts", "|"))
+
+    def met(value: Column) -> DataFrame:
+        x, y = a.select(F.col("_id").alias(key), value.alias("_v")).where("_v <> ''"), b.select(F.col("_id").alias("posting_id"), value.alias("_v")).where("_v <> ''")
+        return x.join(y, "_v").select(key, "posting_id", F.lit(1.0).alias("score"))
+
+    sure = a.where("_employer <> ''").withColumnRenamed("_id", key)
+    fuzzy = similarity_join(sure, b.where("_employer <> ''").withColumnRenamed("_id", "posting_id"), "_employer", key, "posting_id")
+    return [("url", met(F.col("_url"))), ("signature", met(F.col("_sig"))), ("identity", met(F.when(F.col("_native").isNotNull(), native))), ("fuzzy", fuzzy)]
+
+
+def coverage_audit(sample: DataFrame, postings: DataFrame, covered: DataFrame, issues: Column, key: str) -> DataFrame:
+    """``sample`` with tier, posting_id, score, status, confidence and reason: the whole cascade.
+
+    ``covered``: source, whether that source is configured. ``issues``: what keeps a
+    matched posting from view, an array over the posting's columns. A known employer
+    without the role and a configured source without the row are misses of their own.
+    """
+    best = cascade(sample.select(key), key, coverage_tiers(sample, postings, key))
+    seen = postings.select(F.col("posting_id").alias("_p"), issues.alias("_issues"))
+    employers = postings.select(company_key(F.col("company")).alias("_e")).where("_e <> ''").distinct()
+    rows = sample.withColumn("_key", company_key(F.col("company"))).join(best, key).join(seen, F.col("posting_id") == F.col("_p"), "left").join(employers, F.col("_key") == F.col("_e"), "left").join(covered.select(F.col("source").alias("_s"), "configured"), F.col("source") == F.col("_s"), "left")
+    hidden, fuzzy, found = F.size(F.coalesce("_issues", F.expr("CAST(array() AS array<string>)"))) > 0, (F.col("tier") == "fuzzy") & (F.col("score") < SURE), F.col("tier").isNotNull()
+    configured = F.coalesce("configured", F.lit(False))
+    reason = (
+        F.when(found & ~fuzzy & (F.col("tier") == "fuzzy"), F.when(hidden, "probable_match_but_hidden").otherwise("probable_duplicate"))
+        .when(found & ~fuzzy & hidden, F.when(F.col("tier") == "identity", "provider_identity_match_hidden").otherwise("present_but_hidden"))
+        .when(found & ~fuzzy, F.when(F.col("tier") == "identity", "provider_identity_match").otherwise("exact_match"))
+        .when(F.col("_e").isNotNull() & ~configured, "known_employer_missing_role").when(configured, "configured_source_listing_absent").when(F.col("configured").isNotNull(), "uncovered_source").otherwise("insufficient_source_context")
+    )
+    status = {
+        "captured_visible": ["exact_match", "provider_identity_match"], "captured_hidden": ["present_but_hidden", "provider_identity_match_hidden", "probable_match_but_hidden"], "probable_duplicate": ["probable_duplicate"],
+        "missing": ["known_employer_missing_role", "uncovered_source", "insufficient_source_context"], "missing_from_covered_source": ["configured_source_listing_absent"],
+    }
+    named = F.lit(None).cast("string")
+    for name, reasons in status.items():
+        named = F.when(F.col("reason").isin(reasons), F.lit(name)).otherwise(named)
+    sureness = F.when(F.col("reason").isin("probable_match_but_hidden", "probable_duplicate", "configured_source_listing_absent"), "medium").when(F.col("reason") == "insufficient_source_context", "low").otherwise("high")
+    out = rows.withColumn("reason", reason)
+    matched = F.col("status").isin(CAPTURED)
+    out = out.withColumns({"status": named, "confidence": sureness})
+    return out.select(*sample.columns, "status", "confidence", "reason", *[F.when(matched, F.col(c)).alias(c) for c in ("tier", "posting_id", "score")])
 
 
 def cascade(sample: DataFrame, key: str, tiers: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -75,15 +147,14 @@ CAPTURED = ["captured_visible", "captured_hidden", "probable_duplicate"]
 
 def coverage_report(rows: DataFrame, dims: list[str]) -> DataFrame:
     """Rows, captured and visible ones with rates: over all and by each dimension, in one pass of grouping sets."""
-    sets = ", ".join(["()", *[f"({d})" for d in dims]])
-    rows.createOrReplaceTempView("_coverage_rows")
-    out = rows.sparkSession.sql(f"SELECT {', '.join(dims)}, grouping_id({', '.join(dims)}) AS level, count(*) AS n, count_if(status IN ({', '.join(repr(s) for s in CAPTURED)})) AS captured, count_if(status = 'captured_visible') AS visible FROM _coverage_rows GROUP BY {', '.join(dims)} GROUPING SETS ({sets})")
+    captured, visible = F.count_if(F.col("status").isin(CAPTURED)).alias("captured"), F.count_if(F.col("status") == "captured_visible").alias("visible")
+    out = rows.groupingSets([[], *[[d] for d in dims]], *dims).agg(F.grouping_id(*dims).alias("level"), F.count(F.lit(1)).alias("n"), captured, visible)
     return out.withColumn("capture_rate", F.col("captured") / F.col("n")).withColumn("visible_rate", F.col("visible") / F.col("n"))
 
 
 def recall_by_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
     """Captured share per state and region; pseudo-states (remote, whole country) do not count. ``regions``: state, region."""
-    held = rows.select("status", F.explode("states").alias("state")).join(F.broadcast(regions), "state")
+    held = rows.select("status", F.explode("states").alias("state")).join(regions, "state")
     counted = held.groupBy("region", "state").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(CAPTURED)).alias("captured"))
     w = Window.partitionBy("region")
     return counted.withColumn("recall", F.col("captured") / F.col("n")).withColumn("region_recall", F.sum("captured").over(w) / F.sum("n").over(w))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.functions.identity import posting_identity
 from quarrystone.functions.text import canonical_url, host, norm
 from quarrystone.plans.components import components
 from quarrystone.sources.listings import link_kind_rank, provenance_rank
@@ -20,15 +21,16 @@ def group_observations(obs: DataFrame) -> DataFrame:
     In order, a row joins the group of its URL, else that of its signature, else it
     opens one; later URLs join, later signatures do not. In closed form: a row of a
     known URL follows the URL's first row, and a group opens with the first such row
-    of its signature. Two windows, by URL and by signature.
+    of its signature. Two aggregations, by URL and by signature.
     """
-    rows = obs.withColumn("_url", canonical_url(F.col("url"))).withColumn("_sig", signature_key(F.col("company"), F.col("title"), F.col("location")))
+    url = canonical_url(F.col("url"))
     # rows without a URL must not meet under one key
-    key = F.when(F.col("_url") == "", F.concat(F.lit("row "), F.col("ordinal").cast("string"))).otherwise(F.col("_url"))
-    by_url = Window.partitionBy("_key").orderBy("ordinal")
-    rows = rows.withColumn("_key", key).withColumn("_eff", F.first("_sig").over(by_url)).withColumn("_first", F.row_number().over(by_url) == 1)
-    by_sig = Window.partitionBy("_eff")
-    return rows.withColumn("group_id", F.min(F.when(F.col("_first"), F.col("ordinal"))).over(by_sig)).drop("_url", "_sig", "_key", "_eff", "_first")
+    key = F.when(url == "", F.concat(F.lit("row "), F.col("ordinal").cast("string"))).otherwise(url)
+    rows = obs.withColumn("_key", key)
+    # what opens a key, and what opens a signature, are least values, which combine before they shuffle
+    opened = rows.groupBy("_key").agg(F.min(F.struct("ordinal", signature_key(F.col("company"), F.col("title"), F.col("location")).alias("sig"))).alias("first"))
+    groups = opened.groupBy(F.col("first.sig").alias("_sig")).agg(F.min("first.ordinal").alias("group_id"))
+    return rows.join(opened.select("_key", F.col("first.sig").alias("_sig")).join(groups, "_sig").drop("_sig"), "_key").drop("_key")
 
 
 def merge_groups(grouped: DataFrame, aggregators: list[str]) -> DataFrame:
@@ -51,17 +53,60 @@ def merge_groups(grouped: DataFrame, aggregators: list[str]) -> DataFrame:
     return out.select("group_id", "f.company", "f.title", "f.location", "l.url", "l.link_kind", "l.link_status", "d.posted_at", "d.posted_date_provenance", "d.date_source", "p.salary_min", "p.salary_max", *sets, "observations")
 
 
-def reconcile(rows: DataFrame, identity: Column, order: str = "id") -> DataFrame:
+# --- fixed values -----------------------------------------------------------
+#: Query parameters that name a posting.
+POSTING_PARAMETERS = ["job", "jobid", "job_id", "jobcode", "job_code", "jid", "posting", "postingid", "posting_id", "requisition", "requisitionid", "requisition_id", "reqid", "req_id"]
+#: Ids long enough to name one posting only: a UUID or eight digits.
+POSTING_ID = r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{8}-[A-Fa-f0-9-]{27,}|\d{8,})(?![A-Za-z0-9])"
+# ----------------------------------------------------------------------------
+
+
+def reconciliation_identity(rows: DataFrame) -> Column:
+    """What two copies of a posting share: the provider's own id, else of direct links the URL if it names one posting, else the URL with company, title and place; null otherwise."""
+    url = canonical_url(F.col("url"))
+    native = posting_identity(F.col("url"))
+    in_path = F.regexp_extract(url, r"^[^?]*", 0).rlike(POSTING_ID)
+    values = F.filter(F.split(F.regexp_extract(url, r"\?(.*)$", 1), "&"), lambda x: F.lower(F.substring_index(x, "=", 1)).isin(POSTING_PARAMETERS))
+    named = in_path | F.exists(values, lambda x: F.regexp_extract(x, "=(.*)$", 1).rlike(POSTING_ID))
+    described = [norm(F.col(c)) for c in ("company", "title", "location")]
+    whole = (described[0] != "") & (described[1] != "") & (described[2] != "")
+    direct = (F.col("link_kind") == "direct") & (url != "")
+    return (
+        F.when(native.isNotNull(), F.concat_ws("|", native["provider"], F.array_join(native["parts"], "|")))
+        .when(direct & named, F.concat(F.lit("direct-posting-url|"), url)).when(direct & whole, F.concat_ws("|", F.lit("direct-url"), url, *described))
+    )
+
+
+def reconcile(rows: DataFrame, identity: Column, order: str = "id", fill: list[str] | None = None) -> DataFrame:
     """Rows of one native identity made one: the winner by directness, link kind, number of sources, date and id; others pass.
 
-    The winner keeps its fields; sources unite, ``first_seen`` is the earliest, and
-    ``merged`` counts the rows.
+    The winner keeps its fields, but: sources unite; ``first_seen`` is the earliest and
+    ``last_seen`` the latest; ``posted_at`` is the newest; ``link_status`` is "ok" if any is,
+    else the first one known; of rows with ``direct_employer`` the best one gives company,
+    title and location; blank fields of ``fill`` take the first value that another row has.
+    Columns that are not there are passed over. ``merged`` counts the rows.
     """
+    have = set(rows.columns)
     keyed = rows.withColumn("_identity", F.coalesce(identity, F.concat(F.lit("row "), F.col(order).cast("string"))))
-    fields = [c for c in rows.columns if c not in ("source_keys", "first_seen")]
-    rank = F.struct((F.col("link_kind") == "direct").cast("int").alias("a"), link_kind_rank(F.col("link_kind")).alias("b"), F.size("source_keys").alias("c"), F.col("posted_at").alias("d"), F.col(order).alias("e"), F.struct(*fields).alias("row"))
-    out = keyed.groupBy("_identity").agg(F.max(rank)["row"].alias("row"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_keys")))).alias("source_keys"), F.min("first_seen").alias("first_seen"), F.count(F.lit(1)).alias("merged"))
-    return out.select("row.*", "source_keys", "first_seen", "merged")
+    led = (F.col("direct_employer") if "direct_employer" in have else F.col("link_kind") == "direct").cast("int")
+    rank = F.struct(F.coalesce(led, F.lit(0)).alias("a"), link_kind_rank(F.col("link_kind")).alias("b"), F.size("source_keys").alias("c"), F.col("posted_at").alias("d"), F.col(order).alias("e"), F.struct(*rows.columns).alias("row"))
+    named = F.lit(False) if "direct_employer" not in have else F.coalesce(F.col("direct_employer"), F.lit(False))
+    first = lambda c, usable: F.min_by(F.when(usable, F.col(c)), F.when(usable, F.col(order)))
+    over = {"source_keys": F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_keys"))))}
+    over |= {c: f(c) for c, f in (("first_seen", F.min), ("last_seen", F.max), ("posted_at", F.max)) if c in have}
+    if "link_status" in have:
+        known = F.nullif(F.col("link_status"), F.lit(""))
+        over["link_status"] = F.when(F.max(F.coalesce(known == "ok", F.lit(False))), "ok").otherwise(first("link_status", known.isNotNull()))
+    best = F.max(rank)["row"]
+    employer = F.max(F.when(named, rank))["row"]
+    value = {c: over.get(c, best[c]) for c in rows.columns}
+    value |= {c: F.coalesce(F.nullif(employer[c], F.lit("")), best[c]) for c in ("company", "title", "location") if c in have}
+    for c in fill or []:
+        filled = F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+        value[c] = F.coalesce(F.when(best[c].cast("string") != "", best[c]), first(c, filled))
+    out = keyed.groupBy("_identity").agg(*[v.alias(c) for c, v in value.items()], F.count(F.lit(1)).alias("merged"))
+    last = ["source_keys", "first_seen", "merged"]
+    return out.select(*[c for c in rows.columns if c not in last], *[c for c in last if c in out.columns])
 
 
 def reconcile_stats(rows: DataFrame, identity: Column) -> DataFrame:

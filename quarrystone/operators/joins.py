@@ -145,6 +145,47 @@ def upsert(base: DataFrame, incoming: DataFrame, key: str, fill: list[str], unit
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer").select(*out)
 
 
+#: Prefixes of the sources that a provider's discovery adds by itself.
+AUTO_PREFIXES = {"workday": ["us-auto-workday-", "us-feed-workday-"], **{p: [f"auto-{p}-"] for p in ("icims", "greenhouse", "smartrecruiters", "oracle", "successfactors", "lever", "ashby")}}
+
+
+def merge_providers(base: DataFrame, incoming: DataFrame, fill: list[str], unite: list[str]) -> DataFrame:
+    """Provider postings merged into ``base``: a row meets the base row of its canonical URL, else that of its id, else it is new.
+
+    ``incoming`` has ``priority``, the provider's place in the order, and ``direct_employer``.
+    Arrays unite; a direct employer's row gives URL and company; the newest date wins;
+    blank fields take the first value by priority. New rows of one URL (or of one id,
+    without a URL) are one.
+    """
+    base = base.withColumn("_cu", F.nullif(canonical_url(F.col("url")), F.lit("")))
+    rows = incoming.withColumn("_cu", F.nullif(canonical_url(F.col("url")), F.lit("")))
+    by_url = base.where("_cu is not null").groupBy("_cu").agg(F.max("id").alias("_u"))
+    by_id = base.select(F.col("id").alias("_i")).distinct()
+    found = rows.join(by_url, "_cu", "left").join(by_id, rows["id"] == by_id["_i"], "left")
+    found = found.withColumn("_target", F.coalesce(F.concat(F.lit("base "), F.coalesce("_u", "_i")), F.concat(F.lit("new "), F.coalesce("_cu", "id"))))
+    old = base.select("*", F.lit(-1).alias("priority"), F.concat(F.lit("base "), "id").alias("_target"))
+    every = old.unionByName(found.select(*old.columns))
+    order = F.struct("priority", "id")
+    first = lambda c: F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), order))
+    own = lambda c: F.max_by(F.col(c), F.when(F.col("direct_employer") & (F.col("priority") >= 0) & F.nullif(F.col(c), F.lit("")).isNotNull(), order))
+    none = F.expr("CAST(array() AS array<string>)")
+    return every.groupBy("_target").agg(
+        F.min_by("id", order).alias("id"), *[F.coalesce(own(c), first(c)).alias(c) for c in ("url", "company")], F.max("posted_at").alias("posted_at"), F.coalesce(F.max("direct_employer"), F.lit(False)).alias("direct_employer"),
+        *[first(c).alias(c) for c in fill], *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, none))))).alias(c) for c in unite],
+    ).drop("_target")
+
+
+def merge_sources(base: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``(key, status)``: base sources without a provider's own ones that it no longer reports, overlaid by what the providers report. ``incoming``: provider, key, status."""
+    owner = F.lit(None).cast("string")
+    for provider, prefixes in AUTO_PREFIXES.items():
+        owner = F.when(reduce(lambda x, y: x | y, [F.col("key").startswith(x) for x in prefixes]), F.lit(provider)).otherwise(owner)
+    own = base.withColumn("provider", owner).join(incoming.select("provider").distinct(), "provider", "left_semi").select("key")
+    stale = own.join(incoming.select("key"), "key", "left_anti")
+    latest = incoming.groupBy("key").agg(F.max_by("status", "provider").alias("status"))
+    return base.join(stale, "key", "left_anti").join(latest.select("key"), "key", "left_anti").select("key", "status").unionByName(latest)
+
+
 def new_drafts(incoming: DataFrame, existing: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Incoming rows whose keys do not exist yet, the first of each."""
     w = Window.partitionBy(*keys).orderBy(order)

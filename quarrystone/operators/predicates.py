@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import canonical_url, clean_text, parse_term, states
+from quarrystone.operators.joins import miles
 
 
 def array_of(*items: Column) -> Column:
@@ -39,8 +40,12 @@ def default_eligible(education: Column, kind: Column, kinds: list[str]) -> Colum
     return (F.coalesce(education, F.lit("")) != "graduate-only") & kind.isin(kinds)
 
 
-def browse(postings: DataFrame, profile: str | None = None, text: str | None = None, newer_than: Column | None = None, places: list[str] | None = None, acted: DataFrame | None = None, only_acted: bool = False) -> DataFrame:
-    """Postings by profile, words, freshness, places and the user's actions (hidden ones out, or only those)."""
+def browse(postings: DataFrame, profile: str | None = None, text: str | None = None, newer_than: Column | None = None, places: list[str] | None = None, acted: DataFrame | None = None, only_acted: bool = False, near: tuple[DataFrame, float, float, float] | None = None) -> DataFrame:
+    """Postings by profile, words, freshness, places and the user's actions (hidden ones out, or only those).
+
+    ``near`` is (points of postings: id, latitude, longitude; latitude; longitude; miles):
+    postings with a point that near pass, and so do remote ones.
+    """
     out = postings
     if profile:
         out = out.where(F.array_contains("profiles", profile))
@@ -51,6 +56,12 @@ def browse(postings: DataFrame, profile: str | None = None, text: str | None = N
         out = out.where(F.col("posted_at") >= newer_than)
     if places:
         out = out.where(F.arrays_overlap("states", F.array(*[F.lit(p) for p in places])))
+    if near:
+        points, lat, lon, radius = near
+        # degrees of latitude first, which cost no trigonometry
+        within = points.where(F.abs(F.col("latitude") - lat) <= radius / 69.0).where(miles(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)) <= radius)
+        reached = within.select("id").union(postings.where(F.array_contains("states", "Remote")).select("id")).distinct()
+        out = out.join(reached, "id", "left_semi")
     if acted is not None:
         out = out.join(acted.select("id").distinct(), "id", "left_semi" if only_acted else "left_anti")
     return out

@@ -13,14 +13,21 @@ def rank_postings(scored: DataFrame, top: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
-def inspection_queue(postings: DataFrame, url: str, provider: str, reference: Column, pending: Column, caps: int, bands: tuple[int, ...] = (3, 7, 14, 30)) -> DataFrame:
-    """Per provider the first ``caps`` URLs to inspect: fresh bands before old, never inspected before stale, high scores, newest."""
-    groups = postings.groupBy(url, provider).agg(F.max("posted_at").alias("newest"), F.max("score").alias("score"), F.max(pending.cast("int")).alias("pending"))
+def inspection_queue(postings: DataFrame, url: str, provider: str, reference: Column, pending: Column, caps: int, bands: tuple[int, ...] = (3, 7, 14, 30), term: str | None = None, target: Column | None = None) -> DataFrame:
+    """Per provider the first ``caps`` URLs to inspect: fresh bands before old, never inspected before stale, high scores, newest.
+
+    With ``term`` and ``target``, URLs whose postings all name another term come last of
+    all, and within a band the target term comes before unknown ones.
+    """
+    named = F.lower(F.trim(F.coalesce(F.col(term), F.lit("")))) if term else F.lit("")
+    wanted = F.lower(F.trim(target)) if target is not None else F.lit("")
+    fits = F.max(F.when(named == wanted, 2).when(named == "", 1).otherwise(0))
+    groups = postings.groupBy(url, provider).agg(F.max("posted_at").alias("newest"), F.max("score").alias("score"), F.max(pending.cast("int")).alias("pending"), (2 - fits).alias("term_band"))
     age = F.floor((reference.cast("double") - F.col("newest").cast("double")) / 86400)
-    band = F.lit(len(bands))
+    band = F.when(age.isNotNull(), F.lit(len(bands))).otherwise(len(bands) + (1 if term else 0))
     for i, days in reversed(list(enumerate(bands))):
         band = F.when(age <= days, i).otherwise(band)
-    w = Window.partitionBy(provider).orderBy(F.desc("pending"), "band", F.desc_nulls_last("score"), F.desc_nulls_last("newest"), url)
+    w = Window.partitionBy(provider).orderBy((F.col("term_band") == 2).cast("int"), F.desc("pending"), "band", "term_band", F.desc_nulls_last("score"), F.desc_nulls_last("newest"), url)
     return groups.withColumn("band", band).withColumn("position", F.row_number().over(w)).where(F.col("position") <= caps)
 
 

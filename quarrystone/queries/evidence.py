@@ -13,8 +13,9 @@ from quarrystone.operators import coverage as CV
 from quarrystone.operators import incremental as INC
 from quarrystone.operators import windows as W
 from quarrystone.operators.aggregates import centroids
+from quarrystone.plans.shared import folder
 from quarrystone.queries.joining import usage_batches
-from quarrystone.queries.registry import ORACLES, query
+from quarrystone.queries.registry import query
 from quarrystone.queries.reports import REF, reference
 from quarrystone.sources import snapshots as SN
 from quarrystone.sources.listings import observations, postings, table, with_sql
@@ -22,13 +23,17 @@ from quarrystone.sources.listings import observations, postings, table, with_sql
 NO_TAGS = r"regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
 
 
-@query("c3_clean_text", r"""SELECT doc_id, regexp_replace(regexp_replace(replace('[x](http://y) <b>' || left(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), 300) || '</b>&amp;', '[x](http://y) <b>', 'x  ').replace('</b>&amp;', ' &'), '\s+', ' ', 'g'), '^[ |]+|[ |]+$', '', 'g') AS clean FROM documents""")
+CLEANED = r"""(SELECT {key}, regexp_replace({text}, '!\[[^\]]*\]\([^)]*\)|\[([^\]]+)\]\([^)]*\)', '\1', 'g') AS a FROM {table})"""
+for _step in (r"regexp_replace(a, '<br\s*/?>', ' / ', 'gi')", r"regexp_replace(a, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>', ' ', 'gis')", *(f"replace(a, '{e.replace(chr(39), chr(39) * 2)}', '{c.replace(chr(39), chr(39) * 2)}')" for e, c in TX.ENTITIES.items()), r"regexp_replace(a, '\s+', ' ', 'g')", "trim(a, ' |')"):
+    CLEANED = f"(SELECT {{key}}, {_step} AS a FROM {CLEANED})"
+
+
+@query("c3_clean_text", f"SELECT page_id, coalesce(a, '') AS clean FROM {CLEANED.replace('{key}', 'page_id').replace('{text}', 'html').replace('{table}', 'pages')}")
 def c3(spark, sf):
-    t = F.concat(F.lit("[x](http://y) <b>"), F.substring(F.regexp_replace("text", r"[^A-Za-z \n]", ""), 1, 300), F.lit("</b>&amp;"))
-    return table(spark, sf, "documents").select("doc_id", TX.clean_text(t).alias("clean"))
+    return table(spark, sf, "pages").select("page_id", TX.clean_text(F.col("html")).alias("clean"))
 
 
-@query("c3_clean_documents", None)
+@query("c3_clean_documents", f"SELECT doc_id, coalesce(a, '') AS clean FROM {CLEANED.replace('{key}', 'doc_id').replace('{text}', 'text').replace('{table}', 'documents')}")
 def c3_all(spark, sf):
     """The whole, unmodified text of every document."""
     return table(spark, sf, "documents").select("doc_id", TX.clean_text(F.col("text")).alias("clean"))
@@ -74,12 +79,12 @@ def c8(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", K.schedule_terms(text).alias("terms"))
 
 
-@query("c9_pay", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE least(p_size, p_size + 5 - p_partkey % 11)::DOUBLE END AS low, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE greatest(p_size, p_size + 5 - p_partkey % 11)::DOUBLE END AS high, CASE p_partkey % 3 WHEN 0 THEN 'hour' WHEN 1 THEN 'month' END AS period, CASE p_partkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'GBP' END AS currency FROM part WHERE p_size > 10")
+@query("c9_pay", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE least(p_size, p_size + 11 - p_partkey % 23)::DOUBLE END AS low, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE greatest(p_size, p_size + 11 - p_partkey % 23)::DOUBLE END AS high, CASE p_partkey % 3 WHEN 0 THEN 'hour' WHEN 1 THEN 'month' END AS period, CASE p_partkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'GBP' END AS currency FROM (SELECT p_partkey, p_size + 12 AS p_size FROM part)")
 def c9(spark, sf):
-    k = F.col("p_partkey") % 3
-    b = (F.col("p_size") + 5 - F.col("p_partkey") % 11).cast("string")
-    text = F.when(k == 0, F.concat(F.lit("Pay: $"), F.col("p_size").cast("string"), F.lit(" - $"), b, F.lit(" per hour"))).when(k == 1, F.concat(F.lit("£"), F.col("p_size").cast("string"), F.lit(" to "), b, F.lit(" monthly"))).otherwise(F.concat(F.lit("size "), b))
-    rows = PAY.extract_pay(table(spark, sf, "part").where("p_size > 10").select("p_partkey", text.alias("t")), "t")
+    k, low = F.col("p_partkey") % 3, F.col("p_size") + 12
+    a, b = low.cast("string"), (low + 11 - F.col("p_partkey") % 23).cast("string")
+    text = F.when(k == 0, F.concat(F.lit("Since 1998. Pay: $"), a, F.lit(" - $"), b, F.lit(" per hour, 40 hours a week"))).when(k == 1, F.concat(F.lit("£"), a, F.lit(" to "), b, F.lit(" monthly"))).otherwise(F.concat(F.lit("size "), b, F.lit(" of 401k plans")))
+    rows = PAY.extract_pay(table(spark, sf, "part").select("p_partkey", text.alias("t")), "t")
     return rows.select("p_partkey", F.col("salary.min").alias("low"), F.col("salary.max").alias("high"), F.col("salary.period").alias("period"), F.col("salary.currency").alias("currency"))
 
 
@@ -96,9 +101,6 @@ def c10(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", ID.identity_key(url).alias("identity"))
 
 
-CONV_HEADS = "CASE role WHEN 'system' THEN 'preferred' WHEN 'user' THEN 'required' END"
-
-
 @query("c11_requirement_facts", None)
 def c11(spark, sf):
     """All facts of all lines of the pages, under the sections that their own headings open."""
@@ -106,16 +108,11 @@ def c11(spark, sf):
     return X.extract_facts(p, "page_id", "line_no", "line")
 
 
-def marked_turns(spark, sf):
-    """Turns as lines; a system turn opens a preferred section, a user's turn a required one."""
-    c = table(spark, sf, "conversations").withColumn("line", F.when(F.col("role") == "assistant", F.concat(F.lit("Experience with SQL. "), F.col("text"))).otherwise(F.lit("head")))
-    heading = F.when(F.col("role") == "system", "preferred").when(F.col("role") == "user", "required")
-    return X.extract_facts(c, "conv_id", "turn", "line", heading=heading).where("field = 'skills' and sentence = 0")
-
-
-@query("c11_section_levels", "SELECT conv_id, turn AS ordinal, last_value(CASE role WHEN 'system' THEN 'preferred' WHEN 'user' THEN 'required' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS level FROM conversations QUALIFY role = 'assistant' AND level IS NOT NULL")
+@query("c11_section_levels", "SELECT conv_id, turn AS ordinal, last_value(CASE role WHEN 'system' THEN 'preferred' WHEN 'user' THEN 'required' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS level FROM conversations QUALIFY role NOT IN ('system', 'user')")
 def c11_levels(spark, sf):
-    return marked_turns(spark, sf).where("array_contains(technologies, 'SQL') and statement = 'Experience with SQL.'").select("conv_id", "ordinal", "level")
+    """Turns as lines, whole and as they are; a system turn opens a preferred section, a user's turn a required one."""
+    heading = F.when(F.col("role") == "system", "preferred").when(F.col("role") == "user", "required")
+    return X.sectioned(table(spark, sf, "conversations"), "conv_id", "turn", heading).select("conv_id", F.col("turn").alias("ordinal"), F.col("section").alias("level"))
 
 
 @query("c11_field_classes", None)
@@ -143,26 +140,56 @@ def c14(spark, sf):
     return o.select("o_orderkey", S.gate([("unavailable", F.col("o_orderstatus") == "F"), ("wrong_term", F.col("o_orderpriority").like("1%")), ("clearance", F.col("o_totalprice") > 200000)]).alias("reason"))
 
 
-@query("c15_qualification_fit", """WITH f AS (SELECT l_orderkey AS g, 's' || (l_partkey % 12) AS skill, bool_or(l_returnflag = 'R') AS req FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT c_nationkey AS p, 's' || (c_custkey % 12) AS skill, c_custkey % 12 < 6 AS sup FROM customer WHERE c_custkey % 2 = 0), m AS (SELECT 's' || i AS skill, 'f' || (i // 4) AS fam FROM range(12) t(i)),
+@query("c14_eligibility", """WITH o AS (SELECT o_orderkey, c_nationkey AS p, o_orderstatus <> 'F' AS available, CASE o_orderkey % 4 WHEN 0 THEN 'co-op' WHEN 1 THEN 'research' ELSE 'internship' END AS kind, CASE o_custkey % 3 WHEN 0 THEN 'undergrad' WHEN 1 THEN 'graduate-only' ELSE 'unspecified' END AS level,
+ CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN (year(o_orderdate) + 30)::VARCHAR ELSE CASE o_orderkey % 2 WHEN 0 THEN 'Summer ' ELSE 'Fall ' END || (year(o_orderdate) + 30) END AS term, year(o_orderdate) + 29 AS y, o_orderkey % 7 = 0 AS restrictive FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT *, 2019 + p % 12 AS grad, 'summer ' || (2022 + p % 7) AS target, p % 2 = 0 AS cleared FROM o), t AS (SELECT *, CASE WHEN lower(term) = target THEN 7 WHEN term IS NULL THEN 4 WHEN term = right(target, 4) THEN 4 END AS tp FROM g),
+r AS (SELECT *, CASE WHEN NOT available THEN 'unavailable' WHEN level = 'graduate-only' AND p % 3 > 0 THEN 'graduate_only' WHEN kind NOT IN ('internship', 'co-op') THEN 'type' WHEN tp IS NULL THEN 'term' WHEN o_orderkey % 3 = 0 AND grad > y THEN 'graduation' END AS reason FROM t)
+SELECT o_orderkey, reason, (CASE WHEN reason IS NOT NULL THEN 0 ELSE least(20, CASE level WHEN 'undergrad' THEN 6 ELSE 4 END + 7 + tp + 1 + CASE WHEN grad <= y THEN CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END + CASE WHEN restrictive THEN CASE WHEN cleared THEN 2 ELSE -6 END ELSE 0 END) END)::INT AS eligibility FROM r""")
+def c14_eligibility(spark, sf):
+    """Each order as a posting for the profile of its customer's nation; what it asks for is read from statements."""
+    k, y = F.col("o_orderkey"), F.year("o_orderdate")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    by = F.concat(F.lit("Must graduate by May "), (y + 29).cast("string"), F.lit("."))
+    said = F.array(F.struct(F.lit("graduation").alias("field"), F.when(k % 3 == 0, "required").otherwise("preferred").alias("level"), by.alias("statement")), F.struct(F.when(k % 7 == 0, "citizenship").otherwise("skills").alias("field"), F.lit("required").alias("level"), F.lit("You must be a U.S. citizen.").alias("statement")))
+    conditions = S.posting_conditions(o.select("o_orderkey", F.explode(said).alias("x")).select("o_orderkey", "x.*"), "o_orderkey")
+    p = F.col("c_nationkey")
+    term = F.when(k % 5 == 1, (y + 30).cast("string")).when(k % 5 > 1, F.concat(F.when(k % 2 == 0, "Summer ").otherwise("Fall "), (y + 30).cast("string")))
+    pairs = o.join(conditions, "o_orderkey", "left").select(
+        "o_orderkey", (F.col("o_orderstatus") != "F").alias("available"), F.when(k % 4 == 0, "co-op").when(k % 4 == 1, "research").otherwise("internship").alias("opportunity_type"),
+        F.when(F.col("o_custkey") % 3 == 0, "undergrad").when(F.col("o_custkey") % 3 == 1, "graduate-only").otherwise("unspecified").alias("education_level"), term.alias("term"), F.lit(None).cast("array<string>").alias("stated_terms"), "windows", "stages", "restrictive",
+        F.array(F.lit("internship"), F.lit("co-op")).alias("allowed_types"), (p % 3 == 0).alias("graduate_only"), F.concat(F.lit("Summer "), (2022 + p % 7).cast("string")).alias("target_term"), (2019 + p % 12).alias("graduation_year"), F.lit(None).cast("string").alias("stage"), (p % 2 == 0).alias("authorized"), (p % 2 == 1).alias("needs_sponsorship"),
+    )
+    return S.eligibility(pairs).select("o_orderkey", "reason", "eligibility")
+
+
+@query("c15_qualification_fit", """WITH f AS (SELECT l_orderkey AS g, 's' || (l_partkey % 12) AS skill, bool_or(l_returnflag = 'R') AS req FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT c_nationkey AS p, 's' || (c_custkey % 12) AS skill, c_custkey % 12 < 6 AS sup FROM customer), m AS (SELECT 's' || i AS skill, 'f' || (i // 4) AS fam FROM range(12) t(i)),
 e AS (SELECT p, g, f.skill, CASE WHEN req THEN 4.0 ELSE 3.0 END / CASE WHEN sup THEN 1 ELSE 2 END AS v FROM f JOIN s USING (skill) UNION ALL SELECT h.p, g, f.skill, 1.0 FROM f JOIN m USING (skill) JOIN (SELECT DISTINCT p, fam FROM s JOIN m USING (skill)) h USING (fam)),
 b AS (SELECT p, g, skill, max(v) AS v FROM e GROUP BY 1, 2, 3), t AS (SELECT p, b.g, sum(v) AS earned, count_if(req) AS met FROM b JOIN f ON f.g = b.g AND f.skill = b.skill GROUP BY 1, 2), n AS (SELECT g, count_if(req) AS needed FROM f GROUP BY 1)
 SELECT p AS profile_id, t.g AS posting_id, greatest(0, least(45, 20 + earned - least(12, (needed - met) * 3.0))) AS fit FROM t JOIN n ON n.g = t.g""")
 def c15(spark, sf):
-    return fit_of(spark, sf, table(spark, sf, "customer").where("c_custkey % 2 = 0"))
-
-
-@query("c15_qualification_fit_all", ORACLES["c15_qualification_fit"].replace(" WHERE c_custkey % 2 = 0", ""))
-def c15_all(spark, sf):
     return fit_of(spark, sf, table(spark, sf, "customer"))
 
 
-def fit_of(spark, sf, cust):
+def fit_of(spark, sf, cust, pairs=None):
     line = table(spark, sf, "lineitem")
     skill = lambda c: F.concat(F.lit("s"), (F.col(c) % 12).cast("string"))
     facts = line.select(F.col("l_orderkey").alias("posting_id"), F.when(F.col("l_returnflag") == "R", "required").otherwise("preferred").alias("level"), skill("l_partkey").alias("technology"))
     skills = cust.select(F.col("c_nationkey").alias("profile_id"), skill("c_custkey").alias("skill"), F.when(F.col("c_custkey") % 12 < 6, "supported").otherwise("cautious").alias("support")).distinct()
     families = table(spark, sf, "part").select(skill("p_partkey").alias("skill"), F.concat(F.lit("f"), F.floor(F.col("p_partkey") % 12 / 4).cast("string")).alias("family")).distinct()
-    return S.qualification_fit(facts, skills, families)
+    return S.qualification_fit(facts, skills, families, pairs=pairs)
+
+
+@query("c15_evidence_fit", None)
+def c15_evidence(spark, sf):
+    """Pages as postings by their own facts, for the profiles of nations; a page is judged for the profiles that its number deals it to."""
+    facts = c11(spark, sf).withColumnRenamed("page_id", "posting_id")
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("profile_id"))
+    pairs = table(spark, sf, "pages").select((F.col("page_id") % 25).alias("profile_id"), F.col("page_id").alias("posting_id")).join(nations, "profile_id")
+    names = list(X.TECHNOLOGIES)
+    held = F.transform(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)]), lambda x: (x["i"] + F.col("profile_id")) % 3 == 0), lambda x: x["n"])
+    skills = nations.select("profile_id", F.explode(held).alias("skill"), F.when(F.col("profile_id") % 2 == 0, "supported").otherwise("cautious").alias("support"))
+    majors = nations.select("profile_id", F.lit("Computer Science").alias("major"), F.lit("bachelor").alias("degree"))
+    return S.evidence_fit(S.skill_evidence(facts, skills, pairs), S.academic_support(facts, majors, pairs), facts, pairs)
 
 
 @query("c16_application_value", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%promo%' THEN 15 WHEN lower(p_type) LIKE '%econ%' THEN 12 ELSE 0 END AS role, greatest(0, least(10, 5 - least(6, CASE WHEN p_size < 10 THEN 2 ELSE 0 END + p_size % 5) + least(5, p_partkey % 8))) AS market FROM part")
@@ -188,17 +215,23 @@ def c18(spark, sf):
 
 @query("w1_rank_profiles", None)
 def w1_profiles(spark, sf):
-    """Profiles and postings meet on skills only; scores are composed, then ranked."""
-    fit = c15_all(spark, sf)
-    dated = table(spark, sf, "orders").select(F.col("o_orderkey").alias("posting_id"), F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("company"))
-    rows = fit.join(dated, "posting_id").withColumn("freshness", S.freshness(F.floor((reference().cast("double") - F.col("posted_at").cast("double")) / 86400)))
+    """Open postings of a profile's own region are scored for it and ranked; the gates come before any pair is looked at."""
+    place = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    profiles = place.select(F.col("n_nationkey").alias("profile_id"), "n_regionkey")
+    cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
+    open_ = table(spark, sf, "orders").where("o_orderstatus <> 'F'").join(cust, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("posting_id"), F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("company"), "n_regionkey")
+    pairs = open_.join(profiles, "n_regionkey").drop("n_regionkey")
+    fit = fit_of(spark, sf, table(spark, sf, "customer"), pairs)
+    rows = fit.join(pairs, ["profile_id", "posting_id"]).withColumn("freshness", S.freshness(F.floor((reference().cast("double") - F.col("posted_at").cast("double")) / 86400)))
     rows = rows.withColumns({"roi": F.col("posting_id") % 26, "location": F.col("posting_id") % 21})
     return W.rank_postings(S.compose(rows), 10).select("profile_id", "posting_id", "score_min", "rank")
 
 
-@query("c20_location_values", "SELECT DISTINCT n_name AS location, replace(n_name, '_', ' ') AS place FROM nation")
+@query("c20_location_values", """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Town ' || c_custkey || ', NY' WHEN 2 THEN 'Port ' || c_nationkey || ', WA' WHEN 3 THEN 'Bay ' || c_nationkey || ', CA' WHEN 4 THEN 'Remote (TX)' ELSE c_mktsegment END AS place FROM customer""")
 def c20(spark, sf):
-    return table(spark, sf, "nation").select(F.col("n_name").alias("location"), TX.clean_text(F.replace("n_name", F.lit("_"), F.lit("<br/>"))).alias("place")).select("location", F.replace("place", F.lit(" / "), F.lit(" ")).alias("place")).distinct()
+    k, c, n = F.col("c_custkey") % 6, F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    raw = F.when(k == 0, "US - Remote").when(k == 1, F.concat(F.lit("Town "), c, F.lit(",  NY, United States"))).when(k == 2, F.concat(F.lit("USA - Washington - Port "), n)).when(k == 3, F.concat(F.lit("0042 BAY "), n, F.lit(" CA"))).when(k == 4, F.lit("Texas - Remote Office")).otherwise(F.col("c_mktsegment"))
+    return table(spark, sf, "customer").select("c_custkey", TX.authoritative_place(raw, F.lit(False)).alias("place"))
 
 
 @query("c21_landing_pages", None)
@@ -207,16 +240,16 @@ def c21(spark, sf):
     return p.groupBy("site").agg(F.max(F.struct("score", F.negative("page_id").alias("p"), "url"))["url"].alias("url"), F.max("score").alias("score"))
 
 
-@query("c22_profile_evidence", "SELECT doc_id, 'skill' AS kind, 'SQL' AS value FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'graduation', '2027' FROM documents WHERE doc_id % 3 = 0")
+@query("c22_profile_evidence", None)
 def c22(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("Graduating May 2027. SQL, "), F.regexp_replace("text", "[^a-z ]", "")).alias("t"))
-    return X.profile_evidence(d, "doc_id", "t").where("(kind = 'skill' and value = 'SQL') or kind = 'graduation'")
+    """Every kind and value found in the unmodified text of every document."""
+    return X.profile_evidence(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("c22_evidence_all", None)
 def c22_all(spark, sf):
-    """Every kind and value found in the unmodified text of every document."""
-    return X.profile_evidence(table(spark, sf, "documents"), "doc_id", "text")
+    """How many documents state each value."""
+    return c22(spark, sf).groupBy("kind", "value").agg(F.countDistinct("doc_id").alias("documents"))
 
 
 @query("c23_hint_status", "SELECT page_id, CASE WHEN lower(url) LIKE '%://m.%' THEN 'shared' ELSE 'tenant' END AS status FROM pages")
@@ -224,9 +257,62 @@ def c23(spark, sf):
     return table(spark, sf, "pages").select("page_id", ID.hint_status(F.col("url"), [], r"^m\.").alias("status"))
 
 
-@query("c24_apply_urls", with_sql("obs") + "SELECT ordinal, CASE WHEN url LIKE '%/view/' THEN left(url, length(url) - 1) || '/apply' ELSE url END AS apply FROM obs WHERE url LIKE '%/view/'")
+@query("c24_apply_urls", with_sql("obs") + "SELECT ordinal, CASE WHEN url LIKE '%/view/' THEN left(url, length(url) - 1) || '/apply' ELSE url END AS apply FROM obs")
 def c24(spark, sf):
-    return observations(spark, sf).where("url like '%/view/'").select("ordinal", ID.apply_switch(F.col("url"), True).alias("apply"))
+    return observations(spark, sf).select("ordinal", ID.apply_switch(F.col("url"), True).alias("apply"))
+
+
+@query("c24_slug_urls", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'https://job-boards.greenhouse.io/board-' || o_custkey || '/jobs/' || o_orderkey WHEN 1 THEN 'https://jobs.lever.co/co-' || o_custkey || '/' || md5(o_orderkey::VARCHAR) END AS url FROM orders""")
+def c24_slugs(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    slug = F.when(k % 3 == 0, F.concat(F.lit("greenhouse-board-"), c, F.lit("-"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("lever-co-"), c, F.lit("-"), F.md5(k.cast("string")))).otherwise(F.concat(F.lit("other-"), c))
+    return table(spark, sf, "orders").select("o_orderkey", ID.slug_url(F.concat(F.lit("https://www.slugs.example.com/jobs/"), slug, F.lit("/")), ["www.slugs.example.com"]).alias("url"))
+
+
+@query("s1_snapshot_postings", """SELECT o_custkey % 8 AS snapshot, o_orderkey::VARCHAR AS id, 'C' || o_custkey AS company, o_orderpriority AS title, ['k' || (o_orderkey % 5)] AS source_keys, o_orderdate AS posted_at FROM orders""")
+def s1(spark, sf):
+    """Orders landed as eight snapshot documents and read again."""
+    o = table(spark, sf, "orders")
+    job = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("company"), F.col("o_orderpriority").alias("title"), F.array(F.concat(F.lit("k"), (F.col("o_orderkey") % 5).cast("string"))).alias("source_keys"), F.col("o_orderdate").alias("posted_at"))
+    docs = o.groupBy((F.col("o_custkey") % 8).alias("n")).agg(F.collect_list(job).alias("jobs"))
+    made = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n") * 3600)
+    landed = folder(spark)
+    # a document is a file
+    docs.select("n", F.to_json(F.struct(made.alias("generated_at"), "jobs", F.create_map(F.lit("s"), F.struct(F.lit("healthy").alias("status"))).alias("sources"))).alias("value")).write.partitionBy("n").text(landed)
+    postings_, _ = SN.load_snapshot(spark, landed)
+    back = ((F.col("snapshot_ts").cast("double") - 1_700_000_000) / 3600).cast("int")
+    return postings_.select(back.alias("snapshot"), "id", "company", "title", "source_keys", "posted_at")
+
+
+@query("s1_source_health", "SELECT DISTINCT 'src-' || (s_suppkey % 25) AS key, CASE WHEN s_suppkey % 25 % 3 = 0 THEN 'failed' ELSE 'healthy' END AS status FROM supplier")
+def s1_health(spark, sf):
+    n = F.col("s_suppkey") % 25
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("src-"), n.cast("string")).alias("key"), F.when(n % 3 == 0, "failed").otherwise("healthy").alias("status")).distinct()
+    landed = folder(spark)
+    rows.agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("status")))).alias("sources")).select(F.to_json(F.struct(F.lit("2024-01-01T00:00:00Z").alias("generated_at"), "sources")).alias("value")).write.text(landed)
+    return SN.load_snapshot(spark, landed)[1].select("key", "status")
+
+
+@query("s2_discovery_samples", "SELECT c_name AS company, 'Role ' || c_custkey AS title, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'NATION ' || c_nationkey END AS location, CASE c_custkey % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'jsonl' ELSE 'csv' END AS kind FROM customer")
+def s2(spark, sf):
+    """Customers landed as JSON documents, JSON lines and CSV, each under other names, and read under ours."""
+    c = table(spark, sf, "customer").withColumn("role", F.concat(F.lit("Role "), F.col("c_custkey").cast("string"))).withColumn("spot", F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("NATION "), F.col("c_nationkey").cast("string"))))
+    paths = {kind: folder(spark) for kind in ("json", "jsonl", "csv")}
+    k = F.col("c_custkey") % 3
+    listed = c.where(k == 0).select((F.col("c_custkey") % 4).alias("n"), F.struct(F.col("c_name").alias("employer"), F.lit(" ").alias("title"), "role", F.col("spot").alias("place")).alias("x")).groupBy("n").agg(F.collect_list("x").alias("listings"))
+    listed.select("n", F.to_json(F.struct("listings")).alias("value")).write.partitionBy("n").text(paths["json"])
+    c.where(k == 1).select(F.col("c_name").alias("organization"), F.col("role").alias("position"), F.col("spot").alias("city")).write.json(paths["jsonl"])
+    c.where(k == 2).select(F.col("c_name").alias("company"), F.col("role").alias("title"), F.col("spot").alias("location")).write.option("header", True).csv(paths["csv"])
+    parts = [SN.load_sample(spark, path, kind).select("company", "title", "location", F.lit(kind).alias("kind")) for kind, path in paths.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("s8_zip_points", "SELECT lpad((c_custkey % 100000)::VARCHAR, 5, '0') AS zip_code, c_acctbal::DOUBLE AS latitude FROM customer WHERE c_nationkey > 0")
+def s8_zips(spark, sf):
+    c = table(spark, sf, "customer")
+    landed = folder(spark)
+    c.select((F.col("c_custkey") % 100_000).alias("zip_code"), F.lit("x").alias("city"), F.lit("NY").alias("state"), F.when(F.col("c_nationkey") > 0, F.col("c_acctbal").cast("double")).alias("latitude"), F.lit(1.0).alias("longitude"), F.lit(5).alias("population")).write.option("header", True).csv(landed)
+    return SN.load_zips(spark, landed).select("zip_code", "latitude")
 
 
 @query("s3_feed_adapter", "SELECT s_name AS company, 'Feed ' || s_suppkey AS title, 'NATION ' || s_nationkey AS location, 'suppliers' AS source_key FROM supplier UNION ALL SELECT c_name, c_mktsegment, 'NATION ' || c_nationkey, 'customers' FROM customer")
@@ -245,14 +331,60 @@ def s4(spark, sf):
     return SN.table_jobs(SN.markdown_rows(md, "page", "md"), "page", {"company": ["company"], "title": ["title", "role"]}).select("page", "row_no", "company", "title")
 
 
-@query("s5_board_payloads", "SELECT user_id::VARCHAR AS native_id, min(event_type) AS title FROM events GROUP BY 1")
+TITLES = ["Software Engineering Intern", "Senior Accountant", "Data Analyst Co-op", "Nurse"]
+BOARDS = list(SN.BOARD_SHAPES)
+
+
+@query("s5_board_payloads", """SELECT 'b' || (o_custkey % 50) AS board, ['greenhouse', 'lever', 'ashby', 'oracle', 'smartrecruiters', 'icims', 'successfactors', 'workday'][o_orderkey % 8 + 1] AS provider, CASE WHEN o_orderkey % 8 = 7 THEN '/job/' ELSE '' END || o_orderkey AS native_id,
+ CASE o_custkey % 4 WHEN 0 THEN 'Software Engineering Intern' ELSE 'Data Analyst Co-op' END AS title FROM orders WHERE o_custkey % 4 IN (0, 2) AND o_custkey % 3 > 0""")
 def s5(spark, sf):
-    e = table(spark, sf, "events")
-    one = F.to_json(F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("text")))
-    two = F.to_json(F.struct(F.struct(F.col("user_id").alias("jobId"), F.col("event_type").alias("name")).alias("job")))
-    raw = e.select(F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("provider"), F.lit("x").alias("board"), F.when(F.col("user_id") % 2 == 0, one).otherwise(two).alias("body"))
-    shapes = {"a": ("id bigint, text string", {"native_id": "p.id", "title": "p.text", "url": "''"}), "b": ("job struct<jobId: bigint, name: string>", {"native_id": "p.job.jobId", "title": "p.job.name", "url": "''"})}
-    return SN.board_payloads(raw, shapes).select("native_id", "title")
+    """Each order as a payload of one of the eight shapes; the one rule admits some."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    n, at = k.cast("string"), k % 8
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (c % 4 + 1).cast("int"))
+    place = F.when(c % 3 == 0, "Berlin, Germany").otherwise("Albany, NY")
+    one = lambda x, name: F.struct(x.alias(name))
+    bodies = [
+        F.struct(k.alias("id"), title.alias("title"), one(place, "name").alias("location")), F.struct(n.alias("id"), title.alias("text"), one(place, "location").alias("categories")), F.struct(n.alias("id"), title.alias("title"), place.alias("location")),
+        F.struct(n.alias("Id"), title.alias("Title"), place.alias("PrimaryLocation")), F.struct(n.alias("id"), title.alias("name"), F.struct(F.split(place, ", ")[0].alias("city"), F.split(place, ", ")[1].alias("region")).alias("location")),
+        F.struct(F.concat(F.lit("https://c.icims.com/jobs/"), n, F.lit("/x/job")).alias("url"), F.lit("inspected").alias("status"), F.struct(title.alias("title"), one(F.array(place), "values").alias("locations")).alias("posting")),
+        F.struct(F.concat(F.lit("https://j.example.com/job/Town-Role-"), n, F.lit("/9/")).alias("link"), title.alias("title"), place.alias("location")), F.struct(title.alias("title"), place.alias("locationsText"), F.concat(F.lit("/job/"), n).alias("externalPath")),
+    ]
+    body = F.to_json(bodies[0])
+    for i, b in enumerate(bodies[1:], 1):
+        body = F.when(at == i, F.to_json(b)).otherwise(body)
+    raw = table(spark, sf, "orders").select(F.element_at(F.array(*map(F.lit, BOARDS)), (at + 1).cast("int")).alias("provider"), F.concat(F.lit("b"), (c % 50).cast("string")).alias("board"), body.alias("body"))
+    return SN.board_payloads(raw, admit=True).select("board", "provider", "native_id", "title")
+
+
+@query("s6_evidence_payloads", """SELECT o_orderkey AS key, 'Role ' || o_orderkey AS title, ['Albany, NY', 'Town ' || (o_custkey % 90) || ', CA'] AS locations, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 5 IN (1, 4) THEN 'open' ELSE 'closed' END ELSE 'open' END AS status, ['Work on ' || o_orderpriority, 'Read & write'] AS lines FROM orders""")
+def s6_payloads(spark, sf):
+    k, open_ = F.col("o_orderkey"), F.col("o_orderstatus") != "F"
+    title, text = F.concat(F.lit("Role "), k.cast("string")), F.concat(F.lit("<p>Work on "), "o_orderpriority", F.lit("</p><div>Read &amp; write</div>"))
+    here, there = F.lit("Albany, NY, USA"), F.concat(F.lit("Town "), (F.col("o_custkey") % 90).cast("string"), F.lit(", CA"))
+    one = lambda x, name: F.struct(x.alias(name))
+    address = lambda town, state: one(F.struct(town.alias("addressLocality"), state.alias("addressRegion")), "address")
+    bodies = [
+        one(F.struct(title.alias("title"), text.alias("jobDescription"), here.alias("location"), F.array(there).alias("additionalLocations"), open_.alias("canApply")), "jobPostingInfo"),
+        F.struct(k.alias("id"), title.alias("title"), text.alias("content"), one(here, "name").alias("location"), F.array(one(there, "location"), one(here, "location")).alias("offices")),
+        F.struct(title.alias("title"), text.alias("descriptionHtml"), here.alias("location"), F.array(one(there, "location")).alias("secondaryLocations"), open_.alias("isListed")),
+        F.struct(title.alias("Title"), text.alias("ExternalDescriptionStr"), here.alias("PrimaryLocation"), F.array(one(there, "Name")).alias("secondaryLocations"), F.when(~open_, "2020-01-01").alias("ExternalPostedEndDate")),
+        F.struct(title.alias("title"), text.alias("description"), F.array(address(F.lit("Albany"), F.lit("NY")), address(F.split(there, ", ")[0], F.lit("CA"))).alias("jobLocation")),
+    ]
+    body = F.to_json(bodies[0])
+    for i, b in enumerate(bodies[1:], 1):
+        body = F.when(k % 5 == i, F.to_json(b)).otherwise(body)
+    raw = table(spark, sf, "orders").select(k.alias("key"), F.element_at(F.array(*map(F.lit, SN.EVIDENCE_SHAPES)), (k % 5 + 1).cast("int")).alias("provider"), body.alias("body"))
+    return SN.evidence_payloads(raw, "key").select("key", "title", "locations", F.col("application_status").alias("status"), "lines")
+
+
+@query("s4_html_tables", "SELECT c_nationkey AS page, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row_no, c_name AS company, c_mktsegment AS title FROM customer")
+def s4_html(spark, sf):
+    c = table(spark, sf, "customer")
+    row = F.concat(F.lit("<tr><td><b>"), "c_name", F.lit("</b></td><td>"), "c_mktsegment", F.lit("</td></tr>"))
+    pages = c.groupBy(F.col("c_nationkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))).alias("x"))
+    html = pages.select("page", F.concat(F.lit("<p>text</p><table class=a><tr><th>Company</th><th>Role</th></tr>"), F.array_join(F.transform("x", lambda r: r["r"]), "\n"), F.lit("</table>")).alias("html"))
+    return SN.table_jobs(SN.html_rows(html, "page", "html"), "page", {"company": ["company"], "title": ["title", "role"]}).select("page", "row_no", "company", "title")
 
 
 @query("s6_evidence_rows", r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\s+', ' ', 'g')), '') AS title, CASE WHEN regexp_matches(lower(html), 'no longer (available|accepting)|position (has been )?(filled|closed)') THEN 'closed' ELSE 'open' END AS application_status FROM pages")
@@ -288,6 +420,37 @@ def s10(spark, sf):
     return SN.serving_projection(c11(spark, sf), "page_id", ["required", "preferred"])
 
 
+@query("s10_candidates", with_sql("obs", "post") + "SELECT id, company, title, posted_at FROM post WHERE link_kind IN ('direct', 'employer_job') AND url LIKE 'http%'")
+def s10_candidates(spark, sf):
+    return SN.candidate_projection(postings(spark, sf), ["company", "title", "posted_at"], ["direct", "employer_job"])
+
+
+@query("c8_schedule_evidence", """SELECT o_orderkey, 'term' AS kind, 'Fall ' || (year(o_orderdate) + 10) AS value FROM orders WHERE year(o_orderdate) BETWEEN 1990 AND 2089 UNION ALL SELECT o_orderkey, 'duration', (o_orderkey % 9 + 2) || ' weeks in autumn ' || (year(o_orderdate) + 10) FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, 'deadline', 'Apply by ' || strftime(o_orderdate, '%B') || ' 1' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'date_range', 'June 3 through August ' || (o_orderkey % 28 + 1) FROM orders""")
+def c8_evidence(spark, sf):
+    k, y = F.col("o_orderkey"), (F.year("o_orderdate") + 10).cast("string")
+    said = F.array(
+        F.when(k % 2 == 0, F.concat((k % 9 + 2).cast("string"), F.lit(" weeks in autumn "), y)).otherwise(F.concat(F.lit("Starts in FALL "), y)),
+        F.when(k % 3 == 0, F.concat(F.lit("Apply by "), F.date_format("o_orderdate", "MMMM"), F.lit(" 1"))).otherwise("Apply soon"), F.concat(F.lit("June 3 through August "), (k % 28 + 1).cast("string")),
+    )
+    lines = table(spark, sf, "orders").select("o_orderkey", F.posexplode(said).alias("pos", "line"))
+    return X.schedule_evidence(lines, "o_orderkey", "pos", "line").select("o_orderkey", "kind", "value")
+
+
+@query("c5_reliable_states", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['NY'] WHEN 1 THEN ['CA'] ELSE [] END AS states FROM customer")
+def c5_reliable(spark, sf):
+    k = F.col("c_custkey") % 4
+    place = F.when(k == 0, F.concat(F.lit("Suite "), F.col("c_custkey").cast("string"), F.lit(", Albany, NY"))).otherwise("Somewhere")
+    given = F.when(k == 1, F.array(F.lit("CA"), F.lit("Remote"))).when(k == 2, F.array(F.lit("CA"), F.lit("TX")))
+    return table(spark, sf, "customer").select("c_custkey", TX.reliable_states(place, given).alias("states"))
+
+
+@query("c6_disciplines", "SELECT doc_id, list_sort(list_filter([CASE WHEN regexp_matches(lower(text), 'robotic') THEN 'robotics' END, CASE WHEN regexp_matches(lower(text), 'nuclear') THEN 'nuclear' END], lambda x: x IS NOT NULL)) AS areas FROM documents")
+def c6_disciplines(spark, sf):
+    two = F.array(F.lit("robotics"), F.lit("nuclear"))
+    return table(spark, sf, "documents").select("doc_id", F.array_intersect(K.disciplines(F.col("text")), two).alias("areas"))
+
+
 @query("s11_fingerprint", "SELECT count(*) AS rows FROM orders")
 def s11(spark, sf):
     o = table(spark, sf, "orders")
@@ -297,7 +460,7 @@ def s11(spark, sf):
 
 def sample_and_postings(spark, sf):
     d = table(spark, sf, "part")
-    s = d.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("discovery_id"), F.col("p_brand").alias("employer"), F.concat("p_name", F.lit(" x")).alias("title"), F.lit("Albany, NY").alias("location"))
+    s = d.select(F.col("p_partkey").alias("discovery_id"), F.col("p_brand").alias("employer"), F.concat("p_name", F.lit(" x")).alias("title"), F.lit("Albany, NY").alias("location"))
     p = d.select(F.col("p_partkey").alias("posting_id"), F.col("p_brand").alias("employer"), F.col("p_name").alias("title"), F.lit("Albany NY").alias("location"))
     return s, p
 
@@ -324,6 +487,23 @@ def j7(spark, sf):
     return CV.cascade(o.select("discovery_id"), "discovery_id", tiers).select("discovery_id", "posting_id", "tier")
 
 
+@query("j7_coverage_audit", """WITH s AS (SELECT p_partkey AS k, p_partkey % 4 AS t, 'S' || (p_partkey % 3) AS source FROM part) SELECT k AS discovery_id, CASE WHEN t = 3 THEN CASE source WHEN 'S0' THEN 'configured_source_listing_absent' WHEN 'S1' THEN 'uncovered_source' ELSE 'insufficient_source_context' END WHEN t = 2 THEN 'provider_identity_match' ELSE 'exact_match' END AS reason,
+ CASE t WHEN 0 THEN 'url' WHEN 1 THEN 'signature' WHEN 2 THEN 'identity' END AS tier, CASE WHEN t < 3 THEN k END AS posting_id FROM s""")
+def j7_audit(spark, sf):
+    """Parts as a sample whose rows lead to a posting by URL, by name, by a provider's id, or not at all."""
+    k, t = F.col("p_partkey"), F.col("p_partkey") % 4
+    n = k.cast("string")
+    part = table(spark, sf, "part")
+    native = lambda host_: F.concat(F.lit(f"https://{host_}.greenhouse.io/acme/jobs/"), n)
+    other = lambda x: F.concat(F.lit(f"https://{x}.example.com/"), n)
+    postings_ = part.select(k.alias("posting_id"), F.concat(F.lit("Employer "), n).alias("company"), F.concat(F.lit("Role "), n).alias("title"), F.lit("Albany, NY").alias("location"), F.when(t == 2, native("boards")).when(t == 0, other("jobs")).otherwise(other("site")).alias("url")).where("posting_id % 4 < 3")
+    named = lambda own, else_: F.when(t == 1, own).otherwise(else_)
+    sample = part.select(k.alias("discovery_id"), named(F.concat(F.lit("Employer "), n), F.lit("")).alias("company"), named(F.concat(F.lit("role "), n), F.concat(F.lit("Other "), n)).alias("title"), F.lit("Albany NY").alias("location"), F.when(t == 0, F.concat(other("JOBS"), F.lit("?utm_source=x"))).when(t == 2, native("job-boards")).otherwise(other("else")).alias("url"), F.concat(F.lit("S"), (k % 3).cast("string")).alias("source"))
+    covered = table(spark, sf, "region").select(F.concat(F.lit("S"), "r_regionkey").alias("source"), (F.col("r_regionkey") == 0).alias("configured")).where("source in ('S0', 'S1')")
+    audit = CV.coverage_audit(sample, postings_, covered, F.expr("CAST(array() AS array<string>)"), "discovery_id")
+    return audit.select("discovery_id", "reason", "tier", "posting_id")
+
+
 STATUS = "CASE WHEN o_orderstatus = 'F' THEN 'captured_visible' WHEN o_orderstatus = 'P' THEN 'captured_hidden' WHEN o_orderkey % 2 = 0 THEN 'missing' ELSE 'missing_from_covered_source' END"
 
 
@@ -395,9 +575,9 @@ def t4(spark, sf):
     return INC.last_good(old, new, "user_id", ["v"]).select("user_id", "v", "last_error")
 
 
-@query("t5_queue_states", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'unsupported' WHEN epoch(TIMESTAMP '1997-06-01' - o_orderdate) <= 7 * 86400 THEN 'cached' WHEN o_orderstatus = 'F' AND epoch(TIMESTAMP '1997-06-01' - o_orderdate) < 6000 * 3600 THEN 'retry_cooldown' ELSE 'queued' END AS state FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-01'")
+@query("t5_queue_states", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'unsupported' WHEN epoch(TIMESTAMP '1997-06-01' - o_orderdate) <= 7 * 86400 THEN 'cached' WHEN o_orderstatus = 'F' AND epoch(TIMESTAMP '1997-06-01' - o_orderdate) < 6000 * 3600 THEN 'retry_cooldown' ELSE 'queued' END AS state FROM orders")
 def t5(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderdate <= '1997-06-01'")
+    o = table(spark, sf, "orders")
     state = INC.queue_state(F.col("o_orderkey") % 10 > 0, F.col("o_orderdate"), F.col("o_orderdate"), F.col("o_orderstatus") == "F", F.to_timestamp(F.lit("1997-06-01 00:00:00")), 7, 6000)
     return o.select("o_orderkey", state.alias("state"))
 
@@ -408,10 +588,16 @@ def t6(spark, sf):
     return INC.freshness_verdict(e, F.col("ts"), F.to_timestamp(F.lit("2024-01-31 00:00:00")), 2, 30)
 
 
-def _drained(stream, name, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _drained(stream, mode="append"):
+    """A stream's whole result by way of files in the shared folder: every batch of an appending one, the last batch of a complete one."""
+    out = folder(stream.sparkSession)
+
+    def keep(rows, n):
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n if mode == 'append' else 0}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.parquet(f"{out}/rows").drop("batch")
 
 
 def event_stream(spark, sf):
@@ -425,7 +611,7 @@ def t2(spark, sf):
     from quarrystone.streaming.usage import daily_rollup
 
     b = event_stream(spark, sf).select("ts", F.col("user_id").alias("visitor_id"), F.col("user_id").alias("session_id"), F.lit(1).cast("bigint").alias("batches"))
-    return _drained(daily_rollup(b, "ts", ["batches"]), "usage_rollup", "complete").select("usage_date", "batches")
+    return _drained(daily_rollup(b, "ts", ["batches"]), "complete").select("usage_date", "batches")
 
 
 @query("t3_sequence_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -433,12 +619,11 @@ def t3(spark, sf):
     from quarrystone.streaming.usage import once_per_sequence
 
     b = event_stream(spark, sf).select("ts", F.col("user_id").alias("session_id"), F.col("event_type").alias("sequence"))
-    return _drained(once_per_sequence(b, "ts", "60 days"), "usage_once").select(F.col("session_id").alias("user_id"), F.col("sequence").alias("event_type"))
+    return _drained(once_per_sequence(b, "ts", "60 days")).select(F.col("session_id").alias("user_id"), F.col("sequence").alias("event_type"))
 
 
 @query("t1_validated_stream", """SELECT CASE WHEN user_id % 13 = 0 THEN 'unsupported_schema' WHEN user_id % 7 = 0 THEN 'invalid_visitor' WHEN event_id % 50 = 0 THEN 'invalid_sequence' WHEN value > 90 THEN 'invalid_time_order' WHEN event_type = 'error' THEN 'invalid_events' ELSE 'valid' END AS outcome, count(*) AS n FROM events GROUP BY 1""")
 def t1(spark, sf):
-    from quarrystone.plans.shared import folder
     from quarrystone.streaming.usage import split_stream
 
     out = folder(spark)

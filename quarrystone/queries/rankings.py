@@ -36,6 +36,15 @@ def w2(spark, sf):
     return W.inspection_queue(o, "url", "provider", reference(), F.col("link_status") == "dead", 25).select("url", "provider", "pending", "band", "position")
 
 
+@query("w2_term_queue", with_sql("obs") + f""", t AS (SELECT *, CASE ordinal % 3 WHEN 0 THEN 'summer 1997' WHEN 1 THEN '' ELSE 'fall 1997' END AS term FROM obs), g AS (SELECT posting_id AS url, source_key AS provider, max(posted_at) AS newest, max(salary_max) AS score, max((link_status = 'dead')::INT) AS pending, min(CASE term WHEN 'summer 1997' THEN 0 WHEN '' THEN 1 ELSE 2 END) AS term_band FROM t GROUP BY 1, 2),
+b AS (SELECT *, floor(epoch(TIMESTAMP '{REF}' - newest) / 86400) AS age FROM g), c AS (SELECT *, CASE WHEN age <= 3 THEN 0 WHEN age <= 7 THEN 1 WHEN age <= 14 THEN 2 WHEN age <= 30 THEN 3 ELSE 4 END AS band FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY (term_band = 2)::INT, pending DESC, band, term_band, score DESC NULLS LAST, newest DESC NULLS LAST, url) AS position FROM c) SELECT url, provider, term_band, position FROM d WHERE position <= 25""")
+def w2_terms(spark, sf):
+    n = F.col("ordinal") % 3
+    o = observations(spark, sf).select(F.col("posting_id").alias("url"), F.col("source_key").alias("provider"), "posted_at", F.col("salary_max").alias("score"), "link_status", F.when(n == 0, "Summer 1997").when(n == 2, "Fall 1997").alias("term"))
+    return W.inspection_queue(o, "url", "provider", reference(), F.col("link_status") == "dead", 25, term="term", target=F.lit("Summer 1997")).select("url", "provider", "term_band", "position")
+
+
 @query("w3_budget_queue", "SELECT o_custkey, o_orderkey, spent FROM (SELECT o_custkey, o_orderkey, sum(o_orderkey % 7 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders) WHERE spent <= 20")
 def w3(spark, sf):
     o = table(spark, sf, "orders").withColumn("cost", F.col("o_orderkey") % 7 + 1)
@@ -142,6 +151,21 @@ def d4(spark, sf):
     return D.reconcile_stats(postings(spark, sf), F.when(F.col("id") % 5 > 0, F.concat("company", "title")))
 
 
+@query("d4_group_merge", with_sql("obs") + """, r AS (SELECT *, posting_id AS i, max(CASE link_kind WHEN 'direct' THEN 4 WHEN 'listing' THEN 2 ELSE 1 END) OVER (PARTITION BY posting_id) AS k FROM obs)
+SELECT i AS posting, (list(company || '/' || title ORDER BY (link_kind = 'direct') DESC, CASE link_kind WHEN 'direct' THEN 4 WHEN 'listing' THEN 2 ELSE 1 END DESC, posted_at DESC, ordinal DESC))[1] AS named,
+ CASE WHEN bool_or(link_status = 'ok') THEN 'ok' ELSE 'dead' END AS link_status, max(posted_at) AS posted_at, list_sort(list(DISTINCT source_key)) AS source_keys, (list(url ORDER BY ordinal) FILTER (url IS NOT NULL))[1] IS NOT NULL AS has_url, count(*) AS merged FROM r GROUP BY i""")
+def d4_merge(spark, sf):
+    o = observations(spark, sf).withColumn("source_keys", F.array("source_key")).withColumnRenamed("ordinal", "id").withColumn("direct_employer", F.col("link_kind") == "direct")
+    merged = D.reconcile(o.select("id", "posting_id", "company", "title", "location", "url", "link_kind", "link_status", "posted_at", "source_keys", "direct_employer"), F.col("posting_id").cast("string"), fill=["url"])
+    return merged.select(F.col("posting_id").alias("posting"), F.concat_ws("/", "company", "title").alias("named"), "link_status", "posted_at", "source_keys", F.col("url").isNotNull().alias("has_url"), "merged")
+
+
+@query("d3_fallback_identities", with_sql("obs") + r"""SELECT ordinal, CASE WHEN link_kind = 'direct' AND url IS NOT NULL THEN CASE WHEN regexp_matches(regexp_replace(url, '\?.*', ''), '[0-9]{8,}') THEN 'direct-posting-url' ELSE 'direct-url' END END AS kind FROM obs""")
+def d3_fallbacks(spark, sf):
+    o = observations(spark, sf)
+    return o.select("ordinal", F.substring_index(D.reconciliation_identity(o), "|", 1).alias("kind"))
+
+
 @query("d5_pool_dedupe", with_sql("obs", "post") + """, c AS (SELECT *, company || title || location AS ck, company || title AS s, id % 4 = 0 AS strong FROM post),
 a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY ck ORDER BY posted_at DESC, id) = 1), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY CASE WHEN strong THEN s || chr(1) || ck ELSE s END ORDER BY posted_at DESC, id) = 1)
 SELECT id FROM b QUALIFY strong OR NOT bool_or(strong) OVER (PARTITION BY s)""")
@@ -150,7 +174,7 @@ def d5(spark, sf):
     return rows.select("id")
 
 
-@query("d6_discovery_entities", r"""WITH RECURSIVE p AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') AS u, md5(left(html, 300)) AS m FROM pages), k AS (SELECT page_id, u AS k FROM p UNION ALL SELECT page_id, m FROM p),
+@query("d6_discovery_entities", r"""WITH RECURSIVE p AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') AS u, md5(html) AS m FROM pages), k AS (SELECT page_id, u AS k FROM p UNION ALL SELECT page_id, m FROM p),
 e AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM k a JOIN k b USING (k) WHERE a.page_id <> b.page_id), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT page_id, least(page_id, coalesce((SELECT min(b) FROM r WHERE r.a = page_id), page_id)) AS entity FROM p""")
 def d6(spark, sf):

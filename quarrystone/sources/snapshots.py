@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.facts import html_lines
-from quarrystone.functions.text import norm
+from quarrystone.functions.text import STATES, authoritative_places, clean_text, norm, states
+from quarrystone.operators.predicates import admitted
 
 POSTING = "id string, company string, title string, location string, url string, listing_url string, source_keys array<string>, source_names array<string>, source_urls array<string>, profiles array<string>, states array<string>, posted_at timestamp, first_seen timestamp, last_seen timestamp, posted_date_provenance string, education_level string, opportunity_type string, link_kind string, link_status string, link_checked_at timestamp, carried_forward boolean"
 HEALTH = "status string, count bigint, name string, error string, configured boolean, auto_discovered boolean, direct boolean"
@@ -71,14 +72,57 @@ def table_jobs(rows: DataFrame, key: str, columns: dict[str, list[str]]) -> Data
     return out.withColumn("company", F.last(F.when(~F.col("company").isin("", "↳"), F.col("company")), ignorenulls=True).over(w)) if "company" in columns else out
 
 
-def board_payloads(raw: DataFrame, shapes: dict[str, tuple[str, dict[str, str]]]) -> DataFrame:
-    """Raw payloads (provider, board, body) as observations. ``shapes``: provider -> (JSON schema, field -> expression over it)."""
+def html_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``(key, table_no, row_no, cells, headers)`` of HTML tables; the first row with header cells (else the first row) names the columns."""
+    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    tables = F.regexp_extract_all(bare, F.lit(r"(?is)<table\b[^>]*>(.*?)(?:</table>|\z)"), F.lit(1))
+    rows = F.regexp_extract_all(F.col("t"), F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|\z)"), F.lit(1))
+    cells = F.transform(F.regexp_extract_all(F.col("r"), F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]>|<t[dh]\b|\z)"), F.lit(1)), clean_text)
+    flat = pages.where(F.col(html).rlike("(?i)<table")).select(key, F.posexplode(tables).alias("table_no", "t")).select(key, "table_no", F.posexplode(rows).alias("n", "r"))
+    flat = flat.select(key, (F.col("table_no") + 1).alias("table_no"), "n", cells.alias("cells"), F.col("r").rlike(r"(?i)<th\b").alias("_th")).where(F.size("cells") > 0)
+    whole = Window.partitionBy(key, "table_no")
+    head = F.coalesce(F.min(F.when(F.col("_th"), F.col("n"))).over(whole), F.min("n").over(whole))
+    rows = flat.withColumn("_head", head).withColumn("headers", F.max(F.when(F.col("n") == F.col("_head"), F.col("cells"))).over(whole)).where("n > _head")
+    return rows.withColumn("row_no", F.row_number().over(whole.orderBy("n"))).select(key, "table_no", "row_no", "cells", "headers")
+
+
+#: Payloads of eight kinds of job boards: JSON schema, and our fields over it (``p``). ``board`` is the board's name in its URLs.
+BOARD_SHAPES: dict[str, tuple[str, dict[str, str]]] = {
+    "greenhouse": ("id bigint, title string, absolute_url string, location struct<name: string>", {"native_id": "p.id", "title": "p.title", "location": "p.location.name", "url": "coalesce(p.absolute_url, concat('https://job-boards.greenhouse.io/', board, '/jobs/', p.id))"}),
+    "lever": ("id string, text string, hostedUrl string, country string, createdAt bigint, categories struct<location: string>", {"native_id": "p.id", "title": "p.text", "location": "concat_ws(', ', p.categories.location, p.country)", "url": "coalesce(p.hostedUrl, concat('https://jobs.lever.co/', board, '/', p.id))", "posted_at": "timestamp_millis(p.createdAt)"}),
+    "ashby": ("id string, title string, jobUrl string, location string, publishedAt string, secondaryLocations array<struct<location: string>>", {"native_id": "p.id", "title": "p.title", "location": "concat_ws(' | ', p.location, array_join(transform(p.secondaryLocations, x -> x.location), ' | '))", "url": "coalesce(p.jobUrl, concat('https://jobs.ashbyhq.com/', board, '/', p.id))", "posted_at": "try_to_timestamp(p.publishedAt)"}),
+    "oracle": ("Id string, Title string, PrimaryLocation string, secondaryLocations array<struct<Name: string>>, PostedDate string", {"native_id": "p.Id", "title": "p.Title", "location": "concat_ws(' | ', p.PrimaryLocation, array_join(transform(p.secondaryLocations, x -> x.Name), ' | '))", "url": "concat(board, '/job/', p.Id)", "posted_at": "try_to_timestamp(p.PostedDate)"}),
+    "smartrecruiters": ("id string, name string, releasedDate string, location struct<city: string, region: string, country: string>", {"native_id": "p.id", "title": "p.name", "location": "concat_ws(', ', p.location.city, p.location.region, p.location.country)", "url": "concat('https://jobs.smartrecruiters.com/', board, '/', p.id)", "posted_at": "try_to_timestamp(p.releasedDate)"}),
+    "icims": ("url string, status string, posting struct<title: string, date_posted: string, locations: struct<values: array<string>>>", {"native_id": "regexp_extract(p.url, '/jobs/([0-9]+)', 1)", "title": "if(p.status = 'inspected', p.posting.title, NULL)", "location": "array_join(p.posting.locations.values, ' ')", "url": "p.url", "posted_at": "try_to_timestamp(p.posting.date_posted)"}),
+    "successfactors": ("link string, title string, location string, date string", {"native_id": "coalesce(nullif(regexp_extract(p.link, '-([0-9]+)(?:-[^/]+)?/[0-9]+/?$', 1), ''), p.link)", "title": "p.title", "location": "coalesce(p.location, regexp_extract(p.title, '[(]([^)]+)[)]$', 1))", "url": "p.link", "posted_at": "try_to_timestamp(p.date)"}),
+    "workday": ("title string, locationsText string, externalPath string, postedOn string", {"native_id": "coalesce(nullif(p.externalPath, ''), concat(p.title, '|', p.locationsText))", "title": "p.title", "location": "p.locationsText", "url": "concat(board, p.externalPath)"}),
+}
+#: Who is admitted: student titles, on target, in the United States.
+STUDENT = r"\b(?:intern|interns|internship|co-?op|student|apprentice|trainee|fellow|fellowship|undergraduate|university|new grad)\b"
+TARGET = r"software|developer|engineer|programmer|computer|data|machine learning|\bai\b|cyber|security|cloud|devops|technology|\bit\b|analytics|analyst|product|quantitative"
+TARGET_EXACT = r"\b(?:IT|AI|ML|QA|UX|UI)\b"
+
+
+def board_payloads(raw: DataFrame, shapes: dict[str, tuple[str, dict[str, str]]] = BOARD_SHAPES, admit: bool = False) -> DataFrame:
+    """Raw payloads (provider, board, body) as observations: native_id, title, location, url, posted_at.
+
+    ``shapes``: provider -> (JSON schema, field -> expression over it). A board's row of
+    one id is one; rows without an id go. ``admit`` keeps those that the one rule for all
+    shapes lets in: a student's title, on target, in the United States.
+    """
     out = None
     for provider, (schema, fields) in shapes.items():
-        part = raw.where(F.col("provider") == provider).withColumn("p", F.from_json("body", schema)).select("provider", "board", *[F.expr(e).cast("string").alias(n) for n, e in fields.items()])
+        kinds = {"posted_at": "timestamp"}
+        part = raw.where(F.col("provider") == provider).withColumn("p", F.from_json("body", schema))
+        part = part.select("provider", "board", *[F.expr(fields.get(n, "NULL")).cast(kinds.get(n, "string")).alias(n) for n in ("native_id", "title", "location", "url", "posted_at")])
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("board", "native_id").orderBy("title", "url")
-    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1 and native_id is not null").drop("_n")
+    rows = out.withColumn("title", clean_text(F.col("title"))).withColumn("_n", F.row_number().over(w)).where("_n = 1 and native_id is not null").drop("_n")
+    if not admit:
+        return rows
+    placed = rows.withColumn("states", F.array_union(states(F.col("location")), F.when(F.col("location").rlike(r"(?i)(?:^|[,|\s])(?:us|united states of america)\s*$"), F.array(F.lit("US"))).otherwise(F.expr("CAST(array() AS array<string>)"))))
+    us = [*sorted(set(STATES.values())), "US"]
+    return admitted(placed, STUDENT, TARGET, TARGET_EXACT, us)
 
 
 def json_ld(html: Column) -> Column:
@@ -86,12 +130,49 @@ def json_ld(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
 
 
+CLOSED = r"no longer (?:available|accepting)|position (?:has been )?(?:filled|closed)"
+
+
 def evidence_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Title, lines and apply status of posting pages, from JSON-LD where there is any."""
+    """Title, requisition, places, description, lines and apply status of posting pages, from JSON-LD where there is any."""
     ld = F.try_parse_json(F.get(json_ld(F.col(html)), F.lit(0)))
-    title = F.coalesce(F.try_variant_get(ld, "$.title", "string"), F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit("")))
-    closed = F.lower(html).rlike(r"no longer (?:available|accepting)|position (?:has been )?(?:filled|closed)")
-    return pages.select(key, title.alias("title"), F.size(html_lines(F.col(html))).alias("lines"), F.when(closed, "closed").otherwise("open").alias("application_status"))
+    got = lambda path, kind="string": F.try_variant_get(ld, path, kind)
+    title = F.coalesce(got("$.title"), F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit("")))
+    # a place or a list of them
+    many = F.coalesce(got("$.jobLocation", "array<variant>"), F.when(got("$.jobLocation", "variant").isNotNull(), F.array(got("$.jobLocation", "variant"))))
+    part = lambda x, name: F.try_variant_get(x, f"$.address.{name}", "string")
+    places = F.filter(F.transform(many, lambda x: F.concat_ws(", ", part(x, "addressLocality"), part(x, "addressRegion"), part(x, "addressCountry"))), lambda x: x != "")
+    closed = F.lower(html).rlike(CLOSED)
+    return pages.select(
+        key, title.alias("title"), F.coalesce(got("$.identifier.value"), got("$.identifier")).alias("requisition"), F.coalesce(places, F.expr("CAST(array() AS array<string>)")).alias("locations"),
+        clean_text(got("$.description")).alias("description"), F.size(html_lines(F.col(html))).alias("lines"), F.when(closed, "closed").otherwise("open").alias("application_status"),
+    )
+
+
+#: Payloads of five kinds of inspected postings: JSON schema, and the fields of evidence over it (``p``).
+EVIDENCE_SHAPES: dict[str, tuple[str, dict[str, str]]] = {
+    "workday": ("jobPostingInfo struct<title: string, jobDescription: string, jobReqId: string, location: string, additionalLocations: array<string>, canApply: boolean, posted: boolean>", {"title": "p.jobPostingInfo.title", "description": "p.jobPostingInfo.jobDescription", "requisition": "p.jobPostingInfo.jobReqId", "locations": "concat(array(p.jobPostingInfo.location), coalesce(p.jobPostingInfo.additionalLocations, array()))", "open": "p.jobPostingInfo.canApply"}),
+    "greenhouse": ("id bigint, title string, content string, requisition_id string, location struct<name: string>, offices array<struct<location: string>>", {"title": "p.title", "description": "p.content", "requisition": "coalesce(p.requisition_id, cast(p.id AS string))", "locations": "concat(array(p.location.name), transform(coalesce(p.offices, array()), x -> x.location))", "open": "p.title IS NOT NULL"}),
+    "ashby": ("id string, title string, descriptionHtml string, location string, secondaryLocations array<struct<location: string>>, isListed boolean", {"title": "p.title", "description": "p.descriptionHtml", "requisition": "p.id", "locations": "concat(array(p.location), transform(coalesce(p.secondaryLocations, array()), x -> x.location))", "open": "p.isListed"}),
+    "oracle": ("Id string, Title string, ExternalDescriptionStr string, PrimaryLocation string, secondaryLocations array<struct<Name: string>>, ExternalPostedEndDate string", {"title": "p.Title", "description": "p.ExternalDescriptionStr", "requisition": "p.Id", "locations": "concat(array(p.PrimaryLocation), transform(coalesce(p.secondaryLocations, array()), x -> x.Name))", "open": "p.ExternalPostedEndDate IS NULL"}),
+    "icims": ("title string, description string, identifier struct<value: string>, jobLocation array<struct<address: struct<addressLocality: string, addressRegion: string, addressCountry: string>>>", {"title": "p.title", "description": "p.description", "requisition": "p.identifier.value", "locations": "transform(p.jobLocation, x -> concat_ws(', ', x.address.addressLocality, x.address.addressRegion, x.address.addressCountry))", "open": "p.title IS NOT NULL"}),
+}
+
+
+def evidence_payloads(raw: DataFrame, key: str, shapes: dict[str, tuple[str, dict[str, str]]] = EVIDENCE_SHAPES) -> DataFrame:
+    """Raw evidence (key, provider, body) as ``(key, provider, title, requisition, locations, description, lines, application_status)``.
+
+    Places are cleaned and come once each; a description gives its block-level lines;
+    the status is unknown where the payload says nothing.
+    """
+    out = None
+    for provider, (schema, fields) in shapes.items():
+        part = raw.where(F.col("provider") == provider).withColumn("p", F.from_json("body", schema))
+        part = part.select(key, "provider", *[F.expr(e).alias(n) for n, e in fields.items()])
+        out = part if out is None else out.unionByName(part)
+    said = F.filter(F.coalesce("locations", F.expr("CAST(array() AS array<string>)")), lambda x: x.isNotNull() & (x != ""))
+    status = F.when(F.col("open"), "open").when(~F.col("open"), "closed").otherwise("unknown")
+    return out.select(key, "provider", clean_text(F.col("title")).alias("title"), "requisition", authoritative_places(said).alias("locations"), clean_text(F.col("description")).alias("description"), html_lines(F.col("description")).alias("lines"), status.alias("application_status"))
 
 
 def seed_rows(df: DataFrame, name: Column, rank: Column | None = None) -> DataFrame:
@@ -111,6 +192,18 @@ def serving_projection(facts: DataFrame, key: str, levels: list[str]) -> DataFra
     return kept.groupBy(key, "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "sentence", "level", "statement"))), lambda x: F.struct(x["level"].alias("level"), x["statement"].alias("statement"))).alias("facts"))
 
 
+def candidate_projection(postings: DataFrame, fields: list[str], kinds: list[str]) -> DataFrame:
+    """Postings of the wanted kinds that can be applied to, with the fields that ranking reads; blank fields are null."""
+    kept = postings.where(F.col("link_kind").isin(kinds) & F.col("url").rlike("^https?://"))
+    text = {f.name for f in postings.schema if f.dataType.simpleString() == "string"}
+    return kept.select("id", *[F.nullif(F.trim(c), F.lit("")).alias(c) if c in text else F.col(c) for c in fields])
+
+
+def shortlist_projection(ranked: DataFrame, postings: DataFrame, fields: list[str], top: int) -> DataFrame:
+    """The first ``top`` postings of each profile with the fields that a reader sees."""
+    return ranked.where(F.col("rank") <= top).join(postings.select(F.col("id").alias("posting_id"), *fields), "posting_id").select("profile_id", "rank", "posting_id", *fields)
+
+
 def load_zips(spark: SparkSession, path: str) -> DataFrame:
     """The postal table of a CSV file; rows without coordinates go."""
     schema = "zip_code string, city string, state string, latitude double, longitude double, population bigint"

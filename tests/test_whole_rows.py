@@ -23,19 +23,23 @@ def test_d6_common_head_is_no_identity(spark, tmp_path):
 
 
 def test_c22_evidence_of_all_rows(spark, tmp_path):
-    text = "Bachelor of Science, majoring in Data Science. Class of 2026; Python and Git."
+    text = "Bachelor of Science at a college, Data Science major. Expected May 2026; Python and Git."
     sf = save(spark, tmp_path, "documents", [(1, text), (2, "x " * 500 + "uses SQL"), (3, "Master of Arts"), (4, None)], "doc_id bigint, text string")
-    got = {(r.doc_id, r.kind, r.value) for r in QUERIES["c22_evidence_all"](spark, sf).collect()}
-    want = {(1, "degree", "Bachelor of Science"), (1, "graduation", "2026"), (1, "major", "Data Science"), (1, "skill", "Python"), (1, "skill", "Git"), (2, "skill", "SQL"), (3, "degree", "Master of Arts")}
+    got = {(r.doc_id, r.kind, r.value) for r in QUERIES["c22_profile_evidence"](spark, sf).collect()}
+    want = {(1, "degree", "Bachelor of Science"), (1, "graduation", "May 2026"), (1, "major", "Data Science"), (1, "skill", "Python"), (1, "skill", "Git"), (2, "skill", "SQL"), (3, "degree", "Master's degree")}
     assert got == want
+    assert {(r.kind, r.documents) for r in QUERIES["c22_evidence_all"](spark, sf).collect() if r.kind == "degree"} == {("degree", 1)}
 
 
 def test_w1_ranks_odd_customers_skills(spark, tmp_path):
-    save(spark, tmp_path, "lineitem", [(7, 1, "R"), (8, 2, "R")], "l_orderkey bigint, l_partkey bigint, l_returnflag string")
-    save(spark, tmp_path, "customer", [(1, 5), (2, 6)], "c_custkey bigint, c_nationkey bigint")
+    save(spark, tmp_path, "lineitem", [(7, 1, "R"), (8, 2, "R"), (9, 1, "R")], "l_orderkey bigint, l_partkey bigint, l_returnflag string")
+    save(spark, tmp_path, "customer", [(1, 5), (2, 6), (3, 7)], "c_custkey bigint, c_nationkey bigint")
+    save(spark, tmp_path, "nation", [(5, 0), (6, 0), (7, 1)], "n_nationkey bigint, n_regionkey bigint")
     save(spark, tmp_path, "part", [(1,), (2,)], "p_partkey bigint")
-    save(spark, tmp_path, "orders", [(7, None, "1"), (8, None, "2")], "o_orderkey bigint, o_orderdate timestamp, o_orderpriority string")
-    assert {r.profile_id for r in QUERIES["w1_rank_profiles"](spark, str(tmp_path)).collect()} == {5, 6}
+    # 9 is closed; 7 and 8 lie in the region of nations 5 and 6
+    save(spark, tmp_path, "orders", [(7, None, "1", "O", 1), (8, None, "2", "O", 2), (9, None, "2", "F", 3)], "o_orderkey bigint, o_orderdate timestamp, o_orderpriority string, o_orderstatus string, o_custkey bigint")
+    got = {(r.profile_id, r.posting_id) for r in QUERIES["w1_rank_profiles"](spark, str(tmp_path)).collect()}
+    assert got == {(5, 7), (5, 8), (6, 7), (6, 8)}
 
 
 def test_c11_facts_of_all_lines(spark, tmp_path):
