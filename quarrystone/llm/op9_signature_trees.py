@@ -144,7 +144,7 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray], labels: list[int] | None = None):
         self.sets, m = sets, len(sets)
         self.size = np.array([len(s) for s in sets])
-        bits = 1 << int(np.clip(np.ceil(np.log2(8 * self.size.max() + 1)), 8, 16))
+        bits = 1 << int(np.clip(np.ceil(np.log2(32 * self.size.max() + 1)), 8, 16))
         self.bitmap = np.zeros((m, bits // 64), np.uint64)
         for i, s in enumerate(sets):
             row = np.zeros(bits, bool)
