@@ -75,9 +75,18 @@ UNKNOWN = "Unknown / not provided"
 
 
 def pattern(phrases: list[str]) -> str:
-    """A pattern that finds any of the phrases as whole words, the longest first; blanks and hyphens stand for each other."""
-    words = [r"[\s-]+".join(map(re.escape, re.split(r"[\s-]+", p))) if re.search(r"\w[\s-]+\w", p) else re.escape(p) for p in sorted(set(phrases), key=lambda p: (-len(p), p))]
-    return r"(?<![A-Za-z0-9+#])(?:" + "|".join(words) + r")(?![A-Za-z0-9+#])"
+    """A pattern that finds any of the phrases as whole words; blanks and hyphens stand for each other.
+
+    Phrases are grouped by their first character, so that most words are passed over at
+    once however long the table is.
+    """
+    by_first: dict[str, list[str]] = {}
+    for p in sorted(set(phrases), key=lambda p: (-len(p), p)):
+        rest = p[1:]
+        inner = r"[\s-]+".join(map(re.escape, re.split(r"[\s-]+", rest))) if re.search(r"\w[\s-]+\w", p) else re.escape(rest)
+        by_first.setdefault(p[0], []).append(inner)
+    words = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items())
+    return rf"(?<![A-Za-z0-9+#])(?:{words})(?![A-Za-z0-9+#])"
 
 
 def plain(text: Column) -> Column:
@@ -127,7 +136,9 @@ def stated_level(statement: Column, section: Column) -> Column:
 
 def technologies_in(text: Column, technologies: dict[str, list[str]] = TECHNOLOGIES) -> Column:
     """Names of the technologies that a text mentions, in the order of the table."""
-    return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + pattern(spellings)), F.lit(name)) for name, spellings in technologies.items()]))
+    each = F.array_compact(F.array(*[F.when(text.rlike("(?i)" + pattern(spellings)), F.lit(name)) for name, spellings in technologies.items()]))
+    any_of = "(?i)" + pattern([x for spellings in technologies.values() for x in spellings])
+    return F.when(text.rlike(any_of), each).otherwise(F.expr("CAST(array() AS array<string>)"))
 
 
 def sectioned(lines: DataFrame, doc: str, pos: str, heading: Column) -> DataFrame:
@@ -150,7 +161,10 @@ def extract_facts(lines: DataFrame, doc: str, pos: str, line: str, fields=FIELDS
     rows = sectioned(lines.withColumn("_plain", plain(F.col(line))), doc, pos, head)
     # a sentence ends at a mark before a capital, but not after an initial
     said = rows.select(doc, F.col(pos).alias("ordinal"), "section", F.posexplode(F.split(line, r"(?<=[.!?])(?<!\p{Lu}\.)\s+(?=\p{Lu})")).alias("sentence", "statement")).where(F.trim("statement") != "")
-    rows = said.withColumn("_plain", plain(F.col("statement"))).withColumn("level", _level(F.col("_plain"), F.col("section"))).withColumn("technologies", technologies_in(F.col("statement"), technologies))
+    # outside sections only statements with one of the phrases can state a fact; one pattern tells them
+    phrases = [x for table in (*fields.values(), NOT_REQUIRED, REQUIRED, PREFERRED, AT_LEAST) for x in table]
+    possible = F.col("section").isNotNull() | F.col("_plain").rlike(pattern(phrases) + "|required")
+    rows = said.withColumn("_plain", plain(F.col("statement"))).where(possible).withColumn("level", _level(F.col("_plain"), F.col("section"))).withColumn("technologies", technologies_in(F.col("statement"), technologies))
     p, tech = F.col("_plain"), F.size("technologies") > 0
     headed = F.col("level").isNotNull()
     asks = says(p, CANDIDATE) & ~p.rlike("^" + pattern(DUTIES))

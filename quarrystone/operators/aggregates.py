@@ -116,13 +116,13 @@ def largest_families(df: DataFrame, keys: list[Column], limit: int = 5) -> DataF
 def gates(metrics: DataFrame, thresholds: dict[str, tuple[str, float]], required: dict[str, bool] | None = None) -> DataFrame:
     """Named checks over a one-row ``metrics``: gate, actual, target, measurable, passed, and ready over all.
 
-    ``thresholds``: gate -> ("min" or "max", target). A gate without a measurement fails unless ``required`` says it need not be measured.
+    ``thresholds``: gate -> ("min" or "max", target). A gate without a measurement fails, unless ``required`` says it need not be measured: then it passes.
     """
     required = required or {}
     rows = F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).cast("double").alias("actual"), F.lit(float(t)).alias("target"), F.lit(way).alias("way"), F.lit(required.get(g, True)).alias("must")) for g, (way, t) in thresholds.items()])
     x = metrics.select(F.explode(rows).alias("x")).select("x.*")
     ok = F.when(F.col("way") == "min", F.col("actual") >= F.col("target")).otherwise(F.col("actual") <= F.col("target"))
-    out = x.select("gate", "actual", "target", (F.col("actual").isNotNull() | ~F.col("must")).alias("measurable"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    out = x.select("gate", "actual", "target", (F.col("actual").isNotNull() | ~F.col("must")).alias("measurable"), F.coalesce(ok, ~F.col("must")).alias("passed"))
     return out.withColumn("ready", F.min("passed").over(Window.partitionBy()))  # as many rows as gates
 
 
@@ -130,8 +130,9 @@ def distribution(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """Count and share of each value in each dimension, in one pass over stacked values; ``top`` marks the largest share."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.coalesce(c.cast("string"), F.lit("unknown")).alias("value")) for n, c in dims.items()])).alias("d"))
     counted = stacked.groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy("dimension")
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(own)).withColumn("top", F.col("n") == F.max("n").over(own))
+    # one row per dimension, joined back, so that no task holds all values of one
+    whole = counted.groupBy("dimension").agg(F.sum("n").alias("_all"), F.max("n").alias("_most"))
+    return counted.join(whole, "dimension").select("dimension", "value", "n", (F.col("n") / F.col("_all")).alias("share"), (F.col("n") == F.col("_most")).alias("top"))
 
 
 def latency_summary(timings: DataFrame) -> DataFrame:

@@ -21,16 +21,17 @@ def group_observations(obs: DataFrame) -> DataFrame:
     In order, a row joins the group of its URL, else that of its signature, else it
     opens one; later URLs join, later signatures do not. In closed form: a row of a
     known URL follows the URL's first row, and a group opens with the first such row
-    of its signature. Two aggregations, by URL and by signature.
+    of its signature. A window by URL, and an aggregation by signature.
     """
     url = canonical_url(F.col("url"))
     # rows without a URL must not meet under one key
     key = F.when(url == "", F.concat(F.lit("row "), F.col("ordinal").cast("string"))).otherwise(url)
-    rows = obs.withColumn("_key", key)
-    # what opens a key, and what opens a signature, are least values, which combine before they shuffle
-    opened = rows.groupBy("_key").agg(F.min(F.struct("ordinal", signature_key(F.col("company"), F.col("title"), F.col("location")).alias("sig"))).alias("first"))
-    groups = opened.groupBy(F.col("first.sig").alias("_sig")).agg(F.min("first.ordinal").alias("group_id"))
-    return rows.join(opened.select("_key", F.col("first.sig").alias("_sig")).join(groups, "_sig").drop("_sig"), "_key").drop("_key")
+    by_url = Window.partitionBy("_key").orderBy("ordinal")
+    rows = obs.withColumns({"_key": key, "_sig": signature_key(F.col("company"), F.col("title"), F.col("location"))})
+    rows = rows.withColumn("_eff", F.first("_sig").over(by_url)).withColumn("_first", F.row_number().over(by_url) == 1)
+    # a signature may hold many rows: its least value combines before it is shuffled, and rows meet it in a join
+    groups = rows.where("_first").groupBy(F.col("_eff").alias("_group")).agg(F.min("ordinal").alias("group_id"))
+    return rows.join(groups, rows["_eff"] == groups["_group"]).drop("_key", "_sig", "_eff", "_first", "_group")
 
 
 def merge_groups(grouped: DataFrame, aggregators: list[str]) -> DataFrame:

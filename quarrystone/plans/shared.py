@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark) -> str:
-    """A new folder in ``spark.checkpoint.dir``; a temporary folder stands in where that is unset."""
+    """A new folder in ``spark.checkpoint.dir``; on one machine a temporary folder stands in where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
