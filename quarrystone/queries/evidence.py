@@ -234,7 +234,9 @@ def c20(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", TX.authoritative_place(raw, F.lit(False)).alias("place"))
 
 
-@query("c21_landing_pages", None)
+@query("c21_landing_pages", r"""WITH s AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS site, CASE WHEN regexp_matches(url, '/jobs?/[^/]*[0-9]{3,}', 'i') THEN -40 ELSE 0 END + CASE WHEN regexp_matches(url, '/(careers?|jobs?|join[-_]?us|opportunities)(/|$)', 'i') THEN 50 ELSE 0 END
+ + CASE WHEN regexp_matches(url, '[?&](q|query|keyword)=', 'i') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(url, '/(blog|news|press)/', 'i') THEN -60 ELSE 0 END - len(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/')) * 0.5 AS score FROM pages)
+SELECT site, (list(url ORDER BY score DESC, page_id))[1] AS url, max(score)::DOUBLE AS score FROM s GROUP BY 1""")
 def c21(spark, sf):
     p = table(spark, sf, "pages").withColumn("site", TX.host(F.col("url"))).withColumn("score", ID.landing_score(F.col("url")))
     return p.groupBy("site").agg(F.max(F.struct("score", F.negative("page_id").alias("p"), "url"))["url"].alias("url"), F.max("score").alias("score"))
