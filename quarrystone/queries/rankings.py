@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions import text as TX
 from quarrystone.functions.text import canonical_url, message_template, norm
 from quarrystone.operators import dedupe as D
 from quarrystone.operators import sets as U
@@ -279,6 +280,17 @@ def c2(spark, sf):
     return table(spark, sf, "documents").select("doc_id", norm(F.col("text")).alias("spaced"))
 
 
+NORMED = "trim(regexp_replace(replace(lower({}), '&amp;', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+FOLDED = NORMED.format(f"translate(text, '{TX.FOLD_FROM}', '{TX.FOLD_TO}')")
+
+
+@query("c2_name_keys", f"""SELECT doc_id, replace({NORMED.format('text')}, ' ', '') AS compact, trim(regexp_replace(lower(text), '[^a-z0-9+#.]+', ' ', 'g')) AS skill,
+ regexp_replace(regexp_replace({FOLDED}, '\\bsaint\\b', 'st', 'g'), '\\bmount\\b', 'mt', 'g') AS place, trim(regexp_replace({FOLDED}, '( ({'|'.join(TX.COMPANY_SUFFIXES)}))+$', '')) AS company FROM documents""")
+def c2_names(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", TX.compact(t).alias("compact"), TX.skill_key(t).alias("skill"), TX.place_key(t).alias("place"), TX.company_key(t).alias("company"))
+
+
 @query("c19_message_templates", "SELECT 'v <n>.<n>' AS template, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
 def c19(spark, sf):
     e = table(spark, sf, "events").where("value is not null").select(message_template(F.format_string("V %.1f", "value")).alias("template"))
