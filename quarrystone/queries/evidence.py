@@ -427,6 +427,14 @@ def s10_candidates(spark, sf):
     return SN.candidate_projection(postings(spark, sf), ["company", "title", "posted_at"], ["direct", "employer_job"])
 
 
+@query("s10_shortlist", """WITH r AS (SELECT o_custkey % 9 AS profile_id, o_orderkey AS posting_id, row_number() OVER (PARTITION BY o_custkey % 9 ORDER BY o_orderkey % 61 DESC, o_orderdate DESC, o_orderpriority, o_orderkey) AS rank FROM orders) SELECT profile_id, rank, posting_id, o_clerk AS company FROM r JOIN (SELECT o_orderkey, 'C' || o_custkey AS o_clerk FROM orders) o ON o_orderkey = posting_id WHERE rank <= 10""")
+def s10_shortlist(spark, sf):
+    o = table(spark, sf, "orders")
+    scored = o.select((F.col("o_custkey") % 9).alias("profile_id"), F.col("o_orderkey").alias("posting_id"), (F.col("o_orderkey") % 61).alias("score_min"), F.lit(0).alias("score_max"), F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("company"))
+    shown = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("company"))
+    return SN.shortlist_projection(W.rank_postings(scored, 10), shown, ["company"], 10)
+
+
 @query("c8_schedule_evidence", """SELECT o_orderkey, 'term' AS kind, 'Fall ' || (year(o_orderdate) + 10) AS value FROM orders WHERE year(o_orderdate) BETWEEN 1990 AND 2089 UNION ALL SELECT o_orderkey, 'duration', (o_orderkey % 9 + 2) || ' weeks in autumn ' || (year(o_orderdate) + 10) FROM orders WHERE o_orderkey % 2 = 0
 UNION ALL SELECT o_orderkey, 'deadline', 'Apply by ' || strftime(o_orderdate, '%B') || ' 1' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'date_range', 'June 3 through August ' || (o_orderkey % 28 + 1) FROM orders""")
 def c8_evidence(spark, sf):

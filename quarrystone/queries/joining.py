@@ -186,6 +186,15 @@ def p4(spark, sf):
     return P.browse(p, None, "company 1", F.to_timestamp(F.lit("1996-01-01 00:00:00")), ["NATION_12", "NATION_13"], p.where("id % 5 = 0")).select("id")
 
 
+@query("p4_browse_near", """SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3 OR (c_custkey % 97 < 90 AND 2 * 3958.7613 * asin(least(1.0, sqrt(sin(radians(40.5 - (c_custkey % 97 - 20)) / 2) ** 2 + cos(radians(c_custkey % 97 - 20)) * cos(radians(40.5)) * sin(radians(-73.5 - (c_custkey % 89 - 100)) / 2) ** 2))) <= 900)""")
+def p4_near(spark, sf):
+    """Customers as postings with a point, those of one nation remote."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    rows = c.select(k.alias("id"), F.when(F.col("c_nationkey") == 3, F.array(F.lit("Remote"))).otherwise(F.array(F.lit("NY"))).alias("states"))
+    points = c.where(k % 97 < 90).select(k.alias("id"), (k % 97 - 20).cast("double").alias("latitude"), (k % 89 - 100).cast("double").alias("longitude"))
+    return P.browse(rows, near=(points, 40.5, -73.5, 900.0)).select("id")
+
+
 @query("p5_suitable", with_sql("obs", "post") + f"SELECT id FROM post WHERE url IS NOT NULL AND location <> 'NATION_13' AND link_kind = 'direct' AND title IN ('PROMO', 'STANDARD') AND posted_at >= TIMESTAMP '{REF}' - INTERVAL 900 DAY")
 def p5(spark, sf):
     p = postings(spark, sf).withColumn("profiles", F.array("title"))

@@ -201,7 +201,7 @@ def candidate_projection(postings: DataFrame, fields: list[str], kinds: list[str
 
 def shortlist_projection(ranked: DataFrame, postings: DataFrame, fields: list[str], top: int) -> DataFrame:
     """The first ``top`` postings of each profile with the fields that a reader sees."""
-    return ranked.where(F.col("rank") <= top).join(postings.select(F.col("id").alias("posting_id"), *fields), "posting_id").select("profile_id", "rank", "posting_id", *fields)
+    return ranked.where(F.col("rank") <= top).select("profile_id", "rank", "posting_id").join(postings.select(F.col("id").alias("posting_id"), *fields), "posting_id").select("profile_id", "rank", "posting_id", *fields)
 
 
 def load_zips(spark: SparkSession, path: str) -> DataFrame:
