@@ -160,7 +160,7 @@ def extract_facts(lines: DataFrame, doc: str, pos: str, line: str, fields=FIELDS
     # each step is a column of its own, so that none is computed for every table again
     rows = sectioned(lines.withColumn("_plain", plain(F.col(line))), doc, pos, head)
     # a sentence ends at a mark before a capital, but not after an initial
-    said = rows.select(doc, F.col(pos).alias("ordinal"), "section", F.posexplode(F.split(line, r"(?<=[.!?])(?<!\p{Lu}\.)\s+(?=\p{Lu})")).alias("sentence", "statement")).where(F.trim("statement") != "")
+    said = rows.select(doc, F.col(pos).alias("ordinal"), "section", F.posexplode(F.split(line, r"(?<=[.!?])(?<![^\p{L}]\p{Lu}\.)\s+(?=\p{Lu})")).alias("sentence", "statement")).where(F.trim("statement") != "")
     # outside sections only statements with one of the phrases can state a fact; one pattern tells them
     phrases = [x for table in (*fields.values(), NOT_REQUIRED, REQUIRED, PREFERRED, AT_LEAST) for x in table]
     possible = F.col("section").isNotNull() | F.col("_plain").rlike(pattern(phrases) + "|required")
