@@ -83,8 +83,8 @@ class _Items(HTMLParser):
 def parse_html(pages: DataFrame, keys: list[str] | str, html: str, digest_text: bool = False) -> DataFrame:
     """``(*keys, pos, kind, text, src, caption)``, a row per item in document order.
 
-    ``digest_text`` gives the SHA-256 of a text in its place, for sequences that need
-    not carry the texts themselves.
+    ``digest_text`` gives the first half of a text's MD5 in its place, for sequences that
+    need not carry the texts themselves.
     """
     keys = [keys] if isinstance(keys, str) else keys
 
@@ -98,7 +98,7 @@ def parse_html(pages: DataFrame, keys: list[str] | str, html: str, digest_text:
                 p.flush()
                 for pos, (kind, text, src, caption) in enumerate(p.items):
                     if digest_text and text is not None:
-                        text = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                        text = hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:16]
                     at.append(i)
                     for col, v in zip(rows, (pos, kind, text, src, caption), strict=True):
                         col.append(v)
@@ -177,16 +177,15 @@ def media_features(store: DataFrame) -> DataFrame:
     return read.dropDuplicates(["digest"])
 
 
-def resolve(items: DataFrame, store: DataFrame, salts: int = 8) -> DataFrame:
-    """``items`` with the columns of ``store`` where a reference's digest is stored.
+def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
+    """``items`` with the columns of ``store`` where a reference's digest is stored; other items meet no store.
 
-    Items that name a stored payload are dealt to ``salts`` tasks for each payload, as
-    many copies of a text may name one; other items meet no store.
+    The store is dealt by digest as it was when its repetitions were dropped. Many
+    references may name one payload; Spark splits such a key where it outgrows a task.
     """
     digest = F.when(F.col("src").startswith(SCHEME), F.substring(F.col("src"), len(SCHEME) + 1, 64))
     named = items.withColumn("digest", digest)
-    salted = store.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = named.where("digest is not null").withColumn("_salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int")).join(salted, ["digest", "_salt"], "left").drop("_salt")
+    found = named.where("digest is not null").join(store, "digest", "left")
     return found.unionByName(named.where("digest is null"), allowMissingColumns=True)
 
 
@@ -226,7 +225,9 @@ def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["doc_row", "doc_id", "n_bytes"]
     pages = media.select(F.monotonically_increasing_id().alias("doc_row"), "doc_id", "n_bytes", as_page(F.col("text"), F.col("digest"), caption).alias("html"))
     items = parse_html(pages, keys, "html", digest_text=True)
-    whole = sequences(resolve(items, store), keys, ["digest", *MEDIA])
+    # the later references of a page need their payload's hash only
+    met = resolve(items, store).withColumns({c: F.when(~F.col("caption").startswith("again: "), F.col(c)) for c in MEDIA if c != "payload_sha256"})
+    whole = sequences(met, keys, MEDIA)
     found = F.filter("items", lambda x: x["kind"] == "media")
     told = F.transform("items", lambda x: F.concat_ws("|", x["pos"].cast("string"), x["kind"], x["text"], x["caption"], x["payload_sha256"]))
     figure, again = F.get(found, F.lit(0)), F.get(found, F.lit(1))

@@ -87,7 +87,7 @@ def test_op1_sequences_equal_plain_python(spark, sf, rows):
         digest, caption = hashlib.sha256(p).hexdigest(), f"text of {len(b)} bytes"
         first, *rest = text.split("\n")
         items = [("text", x) for x in [first] if x.strip()] + [("media", caption)] + [("text", x) for x in rest if x.strip()] + [("media", "again: " + caption)]
-        told = [f"{i}|text|{hashlib.sha256(x.encode()).hexdigest()}" if kind == "text" else f"{i}|media|{x}|{digest}" for i, (kind, x) in enumerate(items)]
+        told = [f"{i}|text|{hashlib.md5(x.encode()).hexdigest()[:16]}" if kind == "text" else f"{i}|media|{x}|{digest}" for i, (kind, x) in enumerate(items)]
         want[r[0], len(b), digest, len(items), len(items) - 2, hashlib.sha256("\n".join(told).encode()).hexdigest(), True] += 1
     got = QUERIES["op1_interleaved_media"](spark, sf)
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.n_items, r.n_texts, r.sequence_sha256, r.aligned) for r in got.collect()) == want
