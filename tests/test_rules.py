@@ -252,3 +252,12 @@ def test_provider_rows_of_one_url_are_one(spark):
     new = spark.createDataFrame([("9", "https://x/1?utm_source=z", "B", ["p"], t, True, "T", 0), ("8", "https://x/8", "C", ["p"], t, False, None, 1), ("7", "https://x/8/", "D", ["q"], t, False, "U", 0)], cols + ", priority int")
     got = {r.id: (r.company, r.source_keys, r.term) for r in joins.merge_providers(base, new, ["term"], ["source_keys"]).collect()}
     assert got == {"1": ("B", ["m", "p"], "T"), "7": ("D", ["p", "q"], "U")}
+
+
+def test_a_gate_that_need_not_be_measured_passes(spark):
+    from quarrystone.operators.aggregates import gates
+
+    m = spark.createDataFrame([(5.0, None)], "a double, b double")
+    got = {r.gate: (r.measurable, r.passed, r.ready) for r in gates(m, {"a": ("min", 3), "b": ("max", 1)}, {"b": False}).collect()}
+    assert got == {"a": (True, True, True), "b": (True, True, True)}
+    assert not any(r.ready for r in gates(m, {"a": ("min", 3), "b": ("max", 1)}).collect())
