@@ -227,18 +227,13 @@ def qualification_fit(facts: DataFrame, skills: DataFrame, families: DataFrame,
     """
     asked = facts.select("posting_id", F.col("technology").alias("skill"), (F.col("level") == "required").alias("required")).groupBy("posting_id", "skill").agg(F.max("required").alias("required"))
     worth = F.when(F.col("required"), 4.0).otherwise(3.0)
+    # what a profile has to offer for each skill: the skill itself, or one of its family
     held = skills.groupBy("profile_id", "skill").agg(F.max(F.col("support") == "supported").alias("sure"))
-    kin = skills.join(families, "skill").select("profile_id", "family").distinct()
-    if pairs is None:
-        exact = asked.join(held, "skill").select("profile_id", "posting_id", "skill", F.when(F.col("sure"), worth).otherwise(worth / 2).alias("p"))
-        near = asked.join(families, "skill").join(kin, "family").select("profile_id", "posting_id", "skill", F.lit(1.0).alias("p"))
-        best = exact.union(near).groupBy("profile_id", "posting_id", "skill").agg(F.max("p").alias("p"))
-        best = best.join(asked, ["posting_id", "skill"])
-    else:
-        rows = pairs.select("profile_id", "posting_id").distinct().join(asked, "posting_id").join(families, "skill", "left").join(held, ["profile_id", "skill"], "left").join(kin.withColumn("_kin", F.lit(1.0)), ["profile_id", "family"], "left")
-        points = F.greatest(F.when(F.col("sure"), worth).when(~F.col("sure"), worth / 2), F.col("_kin"))
-        best = rows.withColumn("p", points).where("p is not null").groupBy("profile_id", "posting_id", "skill").agg(F.max("p").alias("p"), F.max("required").alias("required"))
-    got = best.groupBy("profile_id", "posting_id").agg(F.sum("p").alias("earned"), F.count_if("required").alias("met"))
+    kin = skills.join(families, "skill").select("profile_id", "family").distinct().join(families, "family").select("profile_id", "skill", F.lit(1.0).alias("adjacent")).distinct()
+    offer = held.join(kin, ["profile_id", "skill"], "full_outer")
+    rows = asked.join(offer, "skill") if pairs is None else pairs.select("profile_id", "posting_id").distinct().join(asked, "posting_id").join(offer, ["profile_id", "skill"])
+    points = F.greatest(F.when(F.col("sure"), worth).when(~F.col("sure"), worth / 2), F.col("adjacent"))
+    got = rows.groupBy("profile_id", "posting_id").agg(F.sum(points).alias("earned"), F.count_if("required").alias("met"))
     needs = asked.groupBy("posting_id").agg(F.count_if("required").alias("needed"))
     gap = F.least(F.lit(12.0), (F.col("needed") - F.col("met")) * 3.0)
     return got.join(needs, "posting_id").select("profile_id", "posting_id", F.greatest(F.lit(0.0), F.least(F.lit(45.0), base + F.col("earned") - gap)).alias("fit"))
