@@ -121,7 +121,7 @@ def to_png(payload: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     head = struct.pack(">IIBBBBB", ROW, len(rows), 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw.tobytes(), 1)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw.tobytes(), 6)) + part(b"IEND", b"")
 
 
 def from_png(media: bytes) -> bytes:
