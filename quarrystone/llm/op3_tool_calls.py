@@ -5,11 +5,14 @@ Calls and results of a conversation are joined by identifier, ordered topologica
 validated against schemas, and each message is serialised as canonical JSON: keys
 sorted, no blanks. Identifiers count within their conversation only.
 
-A level is the length of the longest chain of calls before a call. Chains are found
-by doubling: from the calls one step back come those 2, 4, 8 ... steps back, and then
-each call's level is put together from the largest steps down. So n calls in a row
-take 2 log2(n) joins, and no conversation meets in one task. Each message is a row; a
-conversation is read in the order of (level, turn).
+A level is the length of the longest chain of calls before a call. Each call points to
+one of those it depends on, the latest to begin with; pointer jumping gives all lengths
+along these pointers, since each round doubles the distance that a call knows, so a
+chain of n calls takes log2(n) joins. Then each call that depends on one of a higher
+level points there instead, and lengths are taken anew, until no call finds a higher
+one. Each step holds one row per call, however many ways lead to it, and no
+conversation meets in one task. Each message is a row; a conversation is read in the
+order of (level, turn).
 
 Defined results: a result whose call is missing and a call without a result are
 unlinked; parents that are no call of the conversation count as none; calls on a cycle
@@ -29,7 +32,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import materialize, read_table
+from quarrystone.llm.common import discard, materialize, read_table
 
 #: field: (what it holds, required). What it holds is a type of JSON, or a dict of ``type``,
 #: ``enum`` (allowed values), ``fields`` (a Schema, of objects), ``items`` (what an array's
@@ -38,23 +41,44 @@ Schema = dict[str, tuple[str | dict, bool]]
 _TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|DECIMAL.*", "object": "OBJECT.*", "array": "ARRAY.*"}
 
 
+#: Stands for the level of calls on a cycle or under one, above all others.
+_ENDLESS = 1 << 60
+
+
+def _lengths(ids: DataFrame, pointers: DataFrame, total: int) -> DataFrame:
+    """``(id, level)``: how many pointers (id, anc) lead on from each id, ``_ENDLESS`` where they run in circles."""
+    state = ids.join(pointers, "id", "left").select("id", "anc", F.when(F.col("anc").isNull(), 0).otherwise(1).cast("bigint").alias("level"))
+    state, reach = materialize(state, "lengths"), 1
+    while reach <= 2 * total and state.where("anc is not null").limit(1).count():
+        up = state.select(F.col("id").alias("i"), F.col("anc").alias("a2"), F.col("level").alias("l2"))
+        # an id without a pointer needs no join, so the first calls do not pile up under one key
+        moving = state.where("anc is not null").join(up, F.col("anc") == F.col("i")).select("id", F.col("a2").alias("anc"), (F.col("level") + F.col("l2")).alias("level"))
+        before, state = state, materialize(state.where("anc is null").union(moving), "lengths")
+        discard(before)
+        reach *= 2
+    return state.select("id", F.when(F.col("anc").isNull(), F.col("level")).otherwise(_ENDLESS).alias("level"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """``(id, level)`` of ``calls(id, parent)``, a row for each parent: the longest chain before it; null on and under cycles."""
+    """``(id, level)`` of ``calls(id, parent)``, a row for each parent: the longest chain before it; null on and under cycles.
+
+    A column ``hint`` tells which parents to try first, those of the greatest value.
+    """
     ids = materialize(calls.select("id").distinct(), "ids")
-    steps = calls.where("parent is not null").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id", F.col("parent").alias("anc")).distinct()
-    back, reach, total = [materialize(steps, "steps")], 1, ids.count()
-    while (more := back[-1].limit(1).count()) and reach <= total:
-        far = back[-1].select(F.col("id").alias("anc"), F.col("anc").alias("far"))
-        back.append(materialize(back[-1].join(far, "anc").select("id", F.col("far").alias("anc")).distinct(), "steps"))
-        reach *= 2
-    # a chain longer than the number of calls runs in circles
-    endless = back[-1].select("id").distinct()
-    now = materialize((ids.join(endless, "id", "left_anti") if more else ids).select("id", F.col("id").alias("at"), F.lit(0).cast("bigint").alias("level")), "levels")
-    for n, step in reversed(list(enumerate(back[:-1]))):
-        moved = now.join(step.withColumnRenamed("id", "at"), "at").select("id", F.col("anc").alias("at"), (F.col("level") + 2**n).alias("level")).distinct()
-        moved = materialize(moved, "moved")
-        now = materialize(moved.union(now.join(moved.select("id").distinct(), "id", "left_anti")), "levels")
-    return ids.join(now.groupBy("id").agg(F.max("level").alias("level")), "id", "left")
+    hint = F.col("hint") if "hint" in calls.columns else F.lit(0)
+    steps = calls.where("parent is not null").select("id", F.col("parent").alias("anc"), hint.alias("hint"))
+    steps = materialize(steps.join(ids.withColumnRenamed("id", "anc"), "anc", "left_semi").groupBy("id", "anc").agg(F.max("hint").alias("hint")), "steps")
+    total = ids.count()
+    pointers = steps.groupBy("id").agg(F.max(F.struct("hint", "anc"))["anc"].alias("anc"))
+    while True:
+        pointers = materialize(pointers, "pointers")
+        now = _lengths(ids, pointers, total)
+        above = steps.join(now.select(F.col("id").alias("anc"), F.col("level").alias("l")), "anc").groupBy("id").agg(F.max(F.struct("l", "anc")).alias("best"))
+        # a higher parent than the one pointed to; on a cycle there is none higher
+        better = materialize(above.join(now, "id").where(F.col("best.l") + 1 > F.col("level")).where(F.col("level") < _ENDLESS).select("id", F.col("best.anc").alias("anc")), "better")
+        if not better.limit(1).count():
+            return now.select("id", F.when(F.col("level") < _ENDLESS, F.col("level")).alias("level"))
+        pointers = pointers.join(better.select("id"), "id", "left_anti").union(better)
 
 
 def _field_problems(root: Column, text: Column, path: str, name: str, spec: str | dict, required: bool) -> list[Column]:
@@ -115,6 +139,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, Schema], closed: boo
     first = calls.groupBy("key").agg(F.min(F.struct("turn", "name", "arguments", "parents")).alias("c"), F.first("conv_id").alias("conv_id"))
     first = materialize(first.select(F.col("key").alias("id"), "conv_id", "c"), "calls")
     edges = first.select("id", F.explode_outer(F.transform("c.parents", within)).alias("parent"))
+    edges = edges.join(first.select(F.col("id").alias("parent"), F.col("c.turn").alias("hint")), "parent", "left")
     answered = m.where("kind = 'result' and call_id is not null").select(F.col("key").alias("answered")).distinct()
     index = first.select("id", F.col("c").alias("first")).join(levels(edges), "id").join(answered, F.col("id") == F.col("answered"), "left")
     linked = m.join(index, m["key"] == index["id"], "left")
