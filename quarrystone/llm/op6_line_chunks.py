@@ -101,7 +101,8 @@ def line_dedup(docs: DataFrame, pairs: bool = False, together: int = 2000, remov
     index = materialize(chunk_index(keyed.select(F.col("doc_id").cast("bigint"), F.col(key).alias("key"), "text"), pairs), "chunks")
     place = F.struct("doc_id", "key", "pos")
     parts = F.ceil(F.count(F.lit(1)) / together).cast("int").alias("parts")
-    firsts = index.groupBy("pair", "h").agg(F.min(place).alias("first"), F.max(place).alias("last"), parts).where("first <> last").select("pair", "h", "first", "parts")
+    # a repeated row may be all that is counted twice: then nothing but first occurrences is found
+    firsts = index.groupBy("pair", "h").agg(F.min(place).alias("first"), parts, F.count(F.lit(1)).alias("n")).where("n > 1").select("pair", "h", "first", "parts")
     overlaps = F.col("pair") & (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos") + 1)
     found = index.join(firsts, ["pair", "h"]).where(~overlaps).select("key", F.struct("pair", "pos", "s", "e", "h", "w", "v", "parts", (place == F.col("first")).alias("own")).alias("c"))
     per_doc = found.groupBy("key").agg(F.collect_set("c").alias(found_)).withColumnRenamed("key", key)
