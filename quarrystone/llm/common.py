@@ -36,7 +36,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     values such as ``monotonically_increasing_id`` are fixed from here on.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
