@@ -130,3 +130,13 @@ def min_label_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(cur.select("v", "v").distinct())
+
+
+#: In SQL that has no CRC-32: a table ``bytes`` of the remainders of single bytes, worked out bit by bit.
+CRC_TABLE = """bytes AS (SELECT list(v ORDER BY i) AS bytes FROM (SELECT i, list_reduce([i::BIGINT] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda s, b: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END) AS v FROM range(256) t(i)))"""
+
+
+def crc_sql(number: str) -> str:
+    """The unsigned CRC-32 of a number's decimal digits, beside the table of CRC_TABLE."""
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {digits}, lambda s, b: xor(s >> 8, bytes[(xor(s, b) & 255) + 1])), 4294967295)"

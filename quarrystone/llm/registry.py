@@ -11,6 +11,9 @@ from quarrystone.llm import (
     op8_packing,
     op9_signature_trees,
     op10_secrets,
+    op11_prefix_trie,
+    op12_repeated_spans,
+    op13_periodic_runs,
 )
 
 QUERIES = {
@@ -24,9 +27,15 @@ QUERIES = {
     "op8_harmonic_packing": op8_packing.op8_harmonic_packing,
     "op9_near_duplicates": op9_signature_trees.op9_near_duplicates,
     "op10_secret_scan": op10_secrets.op10_secret_scan,
+    "op11_prefix_trie": op11_prefix_trie.op11_prefix_trie,
+    "op12_repeated_spans": op12_repeated_spans.op12_repeated_spans,
+    "op13_periodic_runs": op13_periodic_runs.op13_periodic_runs,
 }
 ORACLES = {
     "op3_tool_calls": op3_tool_calls.ORACLE,
     "op5_mix_sources": op5_mixing.ORACLE,
     "op9_near_duplicates": op9_signature_trees.ORACLE,
+    "op11_prefix_trie": op11_prefix_trie.ORACLE,
+    "op12_repeated_spans": op12_repeated_spans.ORACLE,
+    "op13_periodic_runs": op13_periodic_runs.ORACLE,
 }
