@@ -100,8 +100,8 @@ def _grafted(own: DataFrame, paths: DataFrame, levels: int) -> DataFrame:
         before, now = now, materialize(grown, "totals")
         if k:
             discard(before)
-    top = now.where("depth = 1").agg(*[F.sum(v).alias(f"_{v}") for v in values]).withColumn("depth", F.lit(0).cast("bigint"))
-    return now.join(top, "depth", "left").select("node", *[(F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0))).alias(v) for v in values])
+    root = now.where("depth = 1").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values]).select(F.lit(bytes(24)).alias("node"), *values)
+    return now.select("node", *values).unionByName(root).groupBy("node").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def _digests(ends: DataFrame) -> DataFrame:
