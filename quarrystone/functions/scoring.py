@@ -239,6 +239,33 @@ def qualification_fit(facts: DataFrame, skills: DataFrame, families: DataFrame,
     return got.join(needs, "posting_id").select("profile_id", "posting_id", F.greatest(F.lit(0.0), F.least(F.lit(45.0), base + F.col("earned") - gap)).alias("fit"))
 
 
+def offers(skills: DataFrame, families: DataFrame) -> DataFrame:
+    """``(profile_id, offer)``: per profile the skills that it holds (``sure`` if one is supported) or has a family in common with (``adjacent``), by name."""
+    held = skills.groupBy("profile_id", "skill").agg(F.max(F.col("support") == "supported").alias("sure"))
+    kin = skills.join(families, "skill").select("profile_id", "family").distinct().join(families, "family").select("profile_id", "skill", F.lit(1.0).alias("adjacent")).distinct()
+    both = held.join(kin, ["profile_id", "skill"], "full_outer")
+    return both.groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct("skill", "sure", "adjacent"))).alias("offer"))
+
+
+def worth(required: Column) -> Column:
+    return F.when(required, 4.0).otherwise(3.0)
+
+
+def set_fit(asked: Column, offer: Column, base: int = 20) -> Column:
+    """What ``qualification_fit`` gives, from a posting's skills (array<struct<skill, required>>, each skill once) and a profile's ``offers``; null where no skill meets any."""
+    by_skill = F.map_from_entries(F.transform(offer, lambda x: F.struct(x["skill"], F.struct(x["sure"], x["adjacent"]))))
+    met = F.filter(F.transform(asked, lambda a: F.struct(a["required"].alias("required"), F.try_element_at(by_skill, a["skill"]).alias("has"))), lambda m: m["has"].isNotNull())
+    points = F.transform(met, lambda m: F.greatest(F.when(m["has"]["sure"], worth(m["required"])).when(~m["has"]["sure"], worth(m["required"]) / 2), m["has"]["adjacent"]))
+    earned = F.aggregate(points, F.lit(0.0), lambda a, x: a + x)
+    gaps = F.size(F.filter(asked, lambda a: a["required"])) - F.size(F.filter(met, lambda m: m["required"]))
+    return F.when(F.size(met) > 0, F.greatest(F.lit(0.0), F.least(F.lit(45.0), base + earned - F.least(F.lit(12.0), gaps * 3.0))))
+
+
+def most_fit(asked: Column, base: int = 20) -> Column:
+    """The most that ``set_fit`` can give, whatever a profile offers."""
+    return F.least(F.lit(45.0), base + F.aggregate(asked, F.lit(0.0), lambda a, x: a + worth(x["required"])))
+
+
 def role_value(title: Column, families: dict[str, list[str]], most: int = 15) -> Column:
     """Points for the role family a title belongs to; families in order of preference."""
     t = F.lower(title)

@@ -13,6 +13,7 @@ from quarrystone.operators import coverage as CV
 from quarrystone.operators import incremental as INC
 from quarrystone.operators import windows as W
 from quarrystone.operators.aggregates import centroids
+from quarrystone.operators.topk import top_postings
 from quarrystone.plans.shared import folder
 from quarrystone.queries.joining import usage_batches
 from quarrystone.queries.registry import query
@@ -147,19 +148,32 @@ r AS (SELECT *, CASE WHEN NOT available THEN 'unavailable' WHEN level = 'graduat
 SELECT o_orderkey, reason, (CASE WHEN reason IS NOT NULL THEN 0 ELSE least(20, CASE level WHEN 'undergrad' THEN 6 ELSE 4 END + 7 + tp + 1 + CASE WHEN grad <= y THEN CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END + CASE WHEN restrictive THEN CASE WHEN cleared THEN 2 ELSE -6 END ELSE 0 END) END)::INT AS eligibility FROM r""")
 def c14_eligibility(spark, sf):
     """Each order as a posting for the profile of its customer's nation; what it asks for is read from statements."""
+    o = gated_postings(spark, sf)
+    return S.eligibility(with_nation(o, F.col("c_nationkey"))).select("o_orderkey", "reason", "eligibility")
+
+
+def gated_postings(spark, sf):
+    """Orders as postings with what gates read of them; each distinct pair of statements is read once."""
     k, y = F.col("o_orderkey"), F.year("o_orderdate")
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    by = F.concat(F.lit("Must graduate by May "), (y + 29).cast("string"), F.lit("."))
-    said = F.array(F.struct(F.lit("graduation").alias("field"), F.when(k % 3 == 0, "required").otherwise("preferred").alias("level"), by.alias("statement")), F.struct(F.when(k % 7 == 0, "citizenship").otherwise("skills").alias("field"), F.lit("required").alias("level"), F.lit("You must be a U.S. citizen.").alias("statement")))
-    conditions = S.posting_conditions(o.select("o_orderkey", F.explode(said).alias("x")).select("o_orderkey", "x.*"), "o_orderkey")
-    p = F.col("c_nationkey")
+    o = o.withColumn("said", F.concat_ws("/", y.cast("string"), (k % 3 == 0).cast("string"), (k % 7 == 0).cast("string")))
+    part = F.split("said", "/")
+    by = F.concat(F.lit("Must graduate by May "), (part[0].cast("int") + 29).cast("string"), F.lit("."))
+    asks = F.array(F.struct(F.lit("graduation").alias("field"), F.when(part[1] == "true", "required").otherwise("preferred").alias("level"), by.alias("statement")), F.struct(F.when(part[2] == "true", "citizenship").otherwise("skills").alias("field"), F.lit("required").alias("level"), F.lit("You must be a U.S. citizen.").alias("statement")))
+    conditions = S.posting_conditions(o.select("said").distinct().select("said", F.explode(asks).alias("x")).select("said", "x.*"), "said")
     term = F.when(k % 5 == 1, (y + 30).cast("string")).when(k % 5 > 1, F.concat(F.when(k % 2 == 0, "Summer ").otherwise("Fall "), (y + 30).cast("string")))
-    pairs = o.join(conditions, "o_orderkey", "left").select(
-        "o_orderkey", (F.col("o_orderstatus") != "F").alias("available"), F.when(k % 4 == 0, "co-op").when(k % 4 == 1, "research").otherwise("internship").alias("opportunity_type"),
+    return o.join(conditions, "said", "left").select(
+        "o_orderkey", "c_nationkey", "o_orderdate", "o_orderpriority", (F.col("o_orderstatus") != "F").alias("available"), F.when(k % 4 == 0, "co-op").when(k % 4 == 1, "research").otherwise("internship").alias("opportunity_type"),
         F.when(F.col("o_custkey") % 3 == 0, "undergrad").when(F.col("o_custkey") % 3 == 1, "graduate-only").otherwise("unspecified").alias("education_level"), term.alias("term"), F.lit(None).cast("array<string>").alias("stated_terms"), "windows", "stages", "restrictive",
-        F.array(F.lit("internship"), F.lit("co-op")).alias("allowed_types"), (p % 3 == 0).alias("graduate_only"), F.concat(F.lit("Summer "), (2022 + p % 7).cast("string")).alias("target_term"), (2019 + p % 12).alias("graduation_year"), F.lit(None).cast("string").alias("stage"), (p % 2 == 0).alias("authorized"), (p % 2 == 1).alias("needs_sponsorship"),
     )
-    return S.eligibility(pairs).select("o_orderkey", "reason", "eligibility")
+
+
+def with_nation(rows, p):
+    """What gates read of the profile of nation ``p``."""
+    return rows.withColumns({
+        "allowed_types": F.array(F.lit("internship"), F.lit("co-op")), "graduate_only": p % 3 == 0, "target_term": F.concat(F.lit("Summer "), (2022 + p % 7).cast("string")), "graduation_year": 2019 + p % 12,
+        "stage": F.lit(None).cast("string"), "authorized": p % 2 == 0, "needs_sponsorship": p % 2 == 1,
+    })
 
 
 @query("c15_qualification_fit", """WITH f AS (SELECT l_orderkey AS g, 's' || (l_partkey % 12) AS skill, bool_or(l_returnflag = 'R') AS req FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT c_nationkey AS p, 's' || (c_custkey % 12) AS skill, c_custkey % 12 < 6 AS sup FROM customer), m AS (SELECT 's' || i AS skill, 'f' || (i // 4) AS fam FROM range(12) t(i)),
@@ -213,18 +227,49 @@ def c18(spark, sf):
     return S.compose(o).select("o_orderkey", "score_min", "score_max")
 
 
-@query("w1_rank_profiles", None)
+RANKED = """WITH o AS (SELECT o_orderkey, o_orderdate, o_orderpriority, n_regionkey AS region, o_orderstatus <> 'F' AS available, CASE o_orderkey % 4 WHEN 0 THEN 'co-op' WHEN 1 THEN 'research' ELSE 'internship' END AS kind, o_custkey % 3 AS level,
+ CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN (year(o_orderdate) + 30)::VARCHAR ELSE CASE o_orderkey % 2 WHEN 0 THEN 'summer ' ELSE 'fall ' END || (year(o_orderdate) + 30) END AS term, year(o_orderdate) + 29 AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+q AS (SELECT n_nationkey AS p, o_orderkey AS g, floor(epoch(TIMESTAMP '{REF}' - o_orderdate) / 86400) AS a, o_orderdate, o_orderpriority FROM o JOIN nation ON n_regionkey = region WHERE available AND kind <> 'research' AND (level <> 1 OR n_nationkey % 3 = 0) AND (term IS NULL OR term IN ('summer ' || (2022 + n_nationkey % 7), (2022 + n_nationkey % 7)::VARCHAR)) AND (o_orderkey % 3 > 0 OR 2019 + n_nationkey % 12 <= y)),
+f AS (SELECT l_orderkey AS g, 's' || (l_partkey % 12) AS skill, bool_or(l_returnflag = 'R') AS req FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT c_nationkey AS p, 's' || (c_custkey % 12) AS skill, c_custkey % 12 < 6 AS sup FROM customer), m AS (SELECT 's' || i AS skill, 'f' || (i // 4) AS fam FROM range(12) t(i)),
+h AS (SELECT DISTINCT p, m2.skill FROM s JOIN m USING (skill) JOIN m m2 ON m2.fam = m.fam), e AS (SELECT q.p, q.g, f.skill, f.req, greatest(CASE WHEN s.sup IS NOT NULL THEN CASE WHEN req THEN 4.0 ELSE 3.0 END / CASE WHEN s.sup THEN 1 ELSE 2 END END, CASE WHEN h.p IS NOT NULL THEN 1.0 END) AS v FROM q JOIN f ON f.g = q.g LEFT JOIN s ON s.p = q.p AND s.skill = f.skill LEFT JOIN h ON h.p = q.p AND h.skill = f.skill),
+t AS (SELECT p, g, greatest(0, least(45, 20 + sum(v) - least(12, (count_if(req) - count_if(req AND v IS NOT NULL)) * 3.0))) AS fit FROM e GROUP BY 1, 2 HAVING count(v) > 0),
+z AS (SELECT q.p, q.g, fit + {FRESH} + g % 26 + g % 21 AS score, q.o_orderdate, q.o_orderpriority FROM q JOIN t USING (p, g))
+SELECT * FROM (SELECT p AS profile_id, g AS posting_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY p ORDER BY score DESC, o_orderdate DESC, o_orderpriority, g) AS rank FROM z) WHERE rank <= 10"""
+
+
+def ranked(spark, sf):
+    """Postings of a profile's own region that its gates admit, by points for skills, freshness, place and worth; region, type and term meet as keys."""
+    nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    term = F.coalesce(F.lower("term"), F.lit(""))
+    p = F.col("o_orderkey")
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.concat(F.lit("s"), (F.col("l_partkey") % 12).cast("string")).alias("skill"), (F.col("l_returnflag") == "R").alias("required"))
+    asked = line.groupBy("posting_id", "skill").agg(F.max("required").alias("required")).groupBy("posting_id").agg(F.sort_array(F.collect_list(F.struct("skill", "required"))).alias("asked"))
+    age = F.floor((reference().cast("double") - F.col("o_orderdate").cast("double")) / 86400)
+    posts = gated_postings(spark, sf).where("available").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"posting_id": p, "term_key": term, "static": S.freshness(age) + p % 26 + p % 21, "posted_at": F.col("o_orderdate"), "company": F.col("o_orderpriority")})
+    gates = ["available", "education_level", "term", "stated_terms", "windows", "stages", "restrictive"]
+    cust = table(spark, sf, "customer")
+    skills = cust.select(F.col("c_nationkey").alias("profile_id"), F.concat(F.lit("s"), (F.col("c_custkey") % 12).cast("string")).alias("skill"), F.when(F.col("c_custkey") % 12 < 6, "supported").otherwise("cautious").alias("support")).distinct()
+    families = table(spark, sf, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 12).cast("string")).alias("skill"), F.concat(F.lit("f"), F.floor(F.col("p_partkey") % 12 / 4).cast("string")).alias("family")).distinct()
+    people = with_nation(nation.withColumn("profile_id", F.col("n_nationkey").cast("bigint")), F.col("n_nationkey")).join(S.offers(skills, families), "profile_id")
+    year = F.right("target_term", F.lit(4))
+    people = people.withColumn("opportunity_type", F.explode("allowed_types")).withColumn("term_key", F.explode(F.array(F.lower("target_term"), year, F.lit(""))))
+    traits = ["allowed_types", "graduate_only", "target_term", "graduation_year", "stage", "authorized", "needs_sponsorship", "offer"]
+    judge = lambda pairs: S.eligibility(pairs).where("reason is null").withColumn("points", S.set_fit(F.col("asked"), F.col("offer")))
+    return top_postings(posts.join(asked, "posting_id"), people, ["region", "opportunity_type", "term_key"], ["asked", *gates], traits, judge, S.most_fit(F.col("asked")), [("posted_at", False), ("company", True)])
+
+
+@query("w1_rank_profiles", RANKED.replace("{REF}", REF).replace("{FRESH}", FRESH))
 def w1_profiles(spark, sf):
-    """Open postings of a profile's own region are scored for it and ranked; the gates come before any pair is looked at."""
-    place = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    profiles = place.select(F.col("n_nationkey").alias("profile_id"), "n_regionkey")
-    cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
-    open_ = table(spark, sf, "orders").where("o_orderstatus <> 'F'").join(cust, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("posting_id"), F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("company"), "n_regionkey")
-    pairs = open_.join(profiles, "n_regionkey").drop("n_regionkey")
-    fit = fit_of(spark, sf, table(spark, sf, "customer"), pairs)
-    rows = fit.join(pairs, ["profile_id", "posting_id"]).withColumn("freshness", S.freshness(F.floor((reference().cast("double") - F.col("posted_at").cast("double")) / 86400)))
-    rows = rows.withColumns({"roi": F.col("posting_id") % 26, "location": F.col("posting_id") % 21})
-    return W.rank_postings(S.compose(rows), 10).select("profile_id", "posting_id", "score_min", "rank")
+    return ranked(spark, sf).ranking
+
+
+@query("w8_pairs_judged", "SELECT (SELECT count(*) FROM nation) AS profiles, count(*) AS postings, true AS fewer FROM orders WHERE o_orderstatus <> 'F'")
+def w8_judged(spark, sf):
+    """That the ranking judges fewer pairs than there are in the profiles' own regions, a fifth of all."""
+    open_, profiles = table(spark, sf, "orders").where("o_orderstatus <> 'F'"), table(spark, sf, "nation")
+    judged = ranked(spark, sf).judged
+    out = open_.agg(F.count(F.lit(1)).alias("postings")).withColumn("k", F.lit(0)).join(profiles.agg(F.count(F.lit(1)).alias("profiles")).withColumn("k", F.lit(0)), "k")
+    return out.select("profiles", "postings", (F.lit(judged) < F.col("profiles") * F.col("postings") / 5).alias("fewer"))
 
 
 @query("c20_location_values", """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Town ' || c_custkey || ', NY' WHEN 2 THEN 'Port ' || c_nationkey || ', WA' WHEN 3 THEN 'Bay ' || c_nationkey || ', CA' WHEN 4 THEN 'Remote (TX)' ELSE c_mktsegment END AS place FROM customer""")
