@@ -1,8 +1,9 @@
 """Facts stated in texts: lines, headed sections, sentences, levels, fields; schedules; a profile's own evidence.
 
 What to recognise is told by tables of plain phrases. A text is brought to one form
-(lower case, contractions written out, marks as blanks), and one pattern, made from
-a table by rule, looks for its phrases as whole words.
+(lower case, contractions written out, initials without points), and one pass of a dictionary
+over it tells all phrases of all tables and their places (``phrases``); rules are about which
+phrases were found and how far apart.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.functions.phrases import Phrases, first_of, has, named, near
 from quarrystone.functions.text import unescaped
 
 # --- fixed values -----------------------------------------------------------
@@ -70,6 +72,8 @@ PROFILE_SECTIONS = {
 SCIENCE, ARTS = ["B.S.", "B.S", "BS", "Bachelor of Science", "Bachelor's of Science"], ["B.A.", "B.A", "BA", "Bachelor of Arts", "Bachelor's of Arts"]
 DEGREES = {"Bachelor of Science": SCIENCE, "Bachelor of Arts": ARTS, "Bachelor's degree": ["Bachelor", "Bachelor's"], "Master's degree": ["Master", "Master's", "M.S.", "M.S", "MS"]}
 MAJORS = ["Computer Science", "Computer Engineering", "Software Engineering", "Data Science", "Information Technology", "Information Systems", "Electrical Engineering", "Mechanical Engineering", "Aerospace Engineering", "Civil Engineering", "Industrial Engineering", "Biomedical Engineering", "Chemical Engineering", "Mathematics", "Statistics", "Physics", "Finance", "Accounting", "Economics", "Business Administration", "Marketing"]
+#: Technologies whose names are plain words or letters: they count as written only.
+PLAIN_NAMES = {"C", "R", "Go", "React", "Excel", "Oracle", "Spark", "Snowflake", "Tableau"}
 # ----------------------------------------------------------------------------
 UNKNOWN = "Unknown / not provided"
 
@@ -86,7 +90,7 @@ def pattern(phrases: list[str]) -> str:
         inner = r"[\s-]+".join(map(re.escape, re.split(r"[\s-]+", rest))) if re.search(r"\w[\s-]+\w", p) else re.escape(rest)
         by_first.setdefault(p[0], []).append(inner)
     words = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items())
-    return rf"(?<![A-Za-z0-9+#])(?:{words})(?![A-Za-z0-9+#])"
+    return rf"(?<![\p{{L}}\p{{M}}\p{{N}}+#])(?:{words})(?![\p{{L}}\p{{M}}\p{{N}}+#])"
 
 
 def plain(text: Column) -> Column:
@@ -109,36 +113,36 @@ def html_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def _heading(line: Column, p: Column, headings: dict[str, list[str]]) -> Column:
-    out = F.lit(None).cast("string")
-    for level, phrases in reversed(headings.items()):
-        out = F.when(says(p, phrases), F.lit(level)).otherwise(out)
-    return F.when((F.length(line) <= 100) & (F.size(F.split(F.trim(line), r"\s+")) <= 14), out)
+def _heading(line: Column, hits: Column, headings: dict[str, list[str]]) -> Column:
+    short = (F.length(line) <= 100) & (F.size(F.split(F.trim(line), r"\s+")) <= 14)
+    return F.when(short, first_of(hits, {f"heading {level}": level for level in headings}))
 
 
 def heading_level(line: Column, headings: dict[str, list[str]] = HEADINGS) -> Column:
     """Level that a short heading line sets (``reset`` ends a section); null for other lines."""
-    return _heading(line, plain(line), headings)
+    return _heading(line, Phrases({f"heading {level}": phrases for level, phrases in headings.items()}).hits(plain(line)), headings)
 
 
-def _level(p: Column, section: Column) -> Column:
-    denied = says(p, NOT_REQUIRED) | p.rlike(r"\bno\b[^,.;:]{0,60}\brequired\b")
+#: What statements say of their level, and what to look for beside the fields.
+_LEVELS = {"denied": NOT_REQUIRED, "demanded": REQUIRED, "wished": PREFERRED, "minimum": AT_LEAST, "no": ["no"], "required": ["required"]}
+_CUES = {"times": TIMES, "candidate": CANDIDATE, "duties": DUTIES, "regardless": ["without regard to"], "origin": ["citizenship", "national origin"]}
+
+
+def _level(hits: Column, section: Column) -> Column:
     return (
-        F.when(denied, "not_required").when(says(p, REQUIRED), "required").when(says(p, PREFERRED), "preferred")
-        .when(says(p, AT_LEAST), F.when(section == "preferred", "preferred").otherwise("required")).otherwise(section)
+        F.when(has(hits, "denied") | near(hits, "no", "required", 60, "clause"), "not_required").when(has(hits, "demanded"), "required").when(has(hits, "wished"), "preferred")
+        .when(has(hits, "minimum"), F.when(section == "preferred", "preferred").otherwise("required")).otherwise(section)
     )
 
 
 def stated_level(statement: Column, section: Column) -> Column:
     """A statement's own level, else its section's; a minimum is required outside preferred sections."""
-    return _level(plain(statement), section)
+    return _level(Phrases(_LEVELS).hits(plain(statement)), section)
 
 
 def technologies_in(text: Column, technologies: dict[str, list[str]] = TECHNOLOGIES) -> Column:
-    """Names of the technologies that a text mentions, in the order of the table."""
-    each = F.array_compact(F.array(*[F.when(text.rlike("(?i)" + pattern(spellings)), F.lit(name)) for name, spellings in technologies.items()]))
-    any_of = "(?i)" + pattern([x for spellings in technologies.values() for x in spellings])
-    return F.when(text.rlike(any_of), each).otherwise(F.expr("CAST(array() AS array<string>)"))
+    """Names of the technologies that a text mentions, in the order of the table; plain words only where they are names."""
+    return named(Phrases(technologies, PLAIN_NAMES).hits(text), list(technologies))
 
 
 def sectioned(lines: DataFrame, doc: str, pos: str, heading: Column) -> DataFrame:
@@ -156,26 +160,27 @@ def extract_facts(lines: DataFrame, doc: str, pos: str, line: str, fields=FIELDS
     a level that tell of no field are other conditions; statements without one count
     as skills where they speak of a candidate and not of duties.
     """
-    head = heading if heading is not None else _heading(F.col(line), F.col("_plain"), headings)
-    # each step is a column of its own, so that none is computed for every table again
-    rows = sectioned(lines.withColumn("_plain", plain(F.col(line))), doc, pos, head)
+    book = Phrases({**{f"heading {h}": p for h, p in headings.items()}, **_LEVELS, **{f"field {f}": p for f, p in fields.items()}, **_CUES})
+    head = heading if heading is not None else _heading(F.col(line), F.col("_hits"), headings)
+    rows = sectioned(lines.withColumn("_hits", book.hits(plain(F.col(line)))), doc, pos, head)
+    # outside sections only lines with a phrase of some level or field can state a fact
+    telling = [*_LEVELS, *(f"field {f}" for f in fields)]
+    rows = rows.where(F.col("section").isNotNull() | has(F.col("_hits"), *telling) | F.contains(F.lower(line), F.lit("required")))
     # a sentence ends at a mark before a capital, but not after an initial
     said = rows.select(doc, F.col(pos).alias("ordinal"), "section", F.posexplode(F.split(line, r"(?<=[.!?])(?<![^\p{L}]\p{Lu}\.)\s+(?=\p{Lu})")).alias("sentence", "statement")).where(F.trim("statement") != "")
-    # outside sections only statements with one of the phrases can state a fact; one pattern tells them
-    phrases = [x for table in (*fields.values(), NOT_REQUIRED, REQUIRED, PREFERRED, AT_LEAST) for x in table]
-    possible = F.col("section").isNotNull() | F.col("_plain").rlike(pattern(phrases) + "|required")
-    rows = said.withColumn("_plain", plain(F.col("statement"))).where(possible).withColumn("level", _level(F.col("_plain"), F.col("section"))).withColumn("technologies", technologies_in(F.col("statement"), technologies))
-    p, tech = F.col("_plain"), F.size("technologies") > 0
+    rows = said.withColumn("_plain", plain(F.col("statement"))).withColumns({"_hits": book.hits(F.col("_plain")), "technologies": technologies_in(F.col("statement"), technologies)})
+    h, p = F.col("_hits"), F.col("_plain")
+    rows = rows.withColumn("level", _level(h, F.col("section")))
     headed = F.col("level").isNotNull()
-    asks = says(p, CANDIDATE) & ~p.rlike("^" + pattern(DUTIES))
-    rules = {name: says(p, phrases) for name, phrases in fields.items() if name not in ("skills", "other_eligibility")}
+    asks = has(h, "candidate") & ~F.exists(h, lambda x: (x["name"] == "duties") & (x["start"] == 0))
+    rules = {name: has(h, f"field {name}") for name in fields if name not in ("skills", "other_eligibility")}
     if "graduation" in rules:
-        rules["graduation"] = rules["graduation"] & (says(p, TIMES) | p.rlike(r"\b20\d{2}\b"))
+        rules["graduation"] = rules["graduation"] & (has(h, "times") | p.rlike(r"\b20\d{2}\b"))
     if "citizenship" in rules:
-        rules["citizenship"] = rules["citizenship"] & ~p.rlike(r"without regard to .*\b(?:citizenship|national origin)\b")
-    rules["skills"] = (headed | asks) & (tech | says(p, fields["skills"]))
+        rules["citizenship"] = rules["citizenship"] & ~near(h, "regardless", "origin")
+    rules["skills"] = (headed | asks) & ((F.size("technologies") > 0) | has(h, "field skills"))
     known = F.array_compact(F.array(*[F.when(found, F.lit(name)) for name, found in rules.items()]))
-    hard = says(p, fields["other_eligibility"]) | p.rlike(r"\bat least \d+ years? old\b")
+    hard = has(h, "field other_eligibility") | p.rlike(r"\bat least \d+ years? old\b")
     known = F.when(hard | (headed & (F.size(known) == 0)), F.array_append(known, F.lit("other_eligibility"))).otherwise(known)
     out = rows.withColumn("field", F.explode(known))
     return out.select(doc, "ordinal", "sentence", "field", F.coalesce("level", F.lit("unspecified")).alias("level"), "statement", F.when(F.col("field") == "skills", F.col("technologies")).otherwise(F.expr("CAST(array() AS array<string>)")).alias("technologies"), (F.coalesce("level", F.lit("")) == "not_required").alias("negated"))
@@ -203,43 +208,49 @@ def schedule_evidence(lines: DataFrame, doc: str, pos: str, line: str) -> DataFr
     return found.groupBy(doc, "kind", "value").agg(F.min("ordinal").alias("ordinal")).select(doc, "kind", "ordinal", "value")
 
 
-def _authorization(t: Column) -> Column:
-    p = plain(t)
-    citizen = says(p, ["us citizen", "us citizenship", "united states citizen", "united states citizenship"])
-    free = p.rlike(r"\bauthori[sz]ed to work\b[^\n]{0,60}\bwithout sponsorship\b") | says(p, ["no sponsorship required", "no sponsorship is required"])
-    needs = says(p, [f"{verb}{of} sponsorship" for verb in ("need", "needs", "require", "requires") for of in ("", " visa")] + ["sponsorship required"])
-    work = F.when(free, "Authorized to work in the U.S. without sponsorship").when(needs, "Needs visa sponsorship").when(citizen, "Authorized to work in the U.S. without sponsorship").otherwise(UNKNOWN)
+#: What a profile's document is searched for; dates are all months of this century, by rule.
+_PROFILE = {
+    "citizen": ["us citizen", "us citizenship", "united states citizen", "united states citizenship"], "authorized": ["authorized to work", "authorised to work"], "unsponsored": ["without sponsorship"],
+    "free": ["no sponsorship required", "no sponsorship is required"], "sponsored": [f"{verb}{of} sponsorship" for verb in ("need", "needs", "require", "requires") for of in ("", " visa")] + ["sponsorship required"],
+    "active": ["active"], "top secret": ["top secret", "ts/sci"], "secret": ["secret clearance"], "obtainable": ["eligible to obtain", "ability to obtain"], "clearance": ["clearance"],
+    "uncleared": [f"{no}{active}{security} clearance" for no in ("no", "without") for active in ("", " active") for security in ("", " security")],
+    "announced": ["expected", "anticipated", "graduation", "graduating", "class of"], "high school": ["high school", "secondary school", "ged"],
+    "school": ["university", "college", "bachelor", "bachelor's", "master", "master's", "associate", "associate's", "bs", "ba", "ms", "ma", *MAJORS],
+    "date": [f"{month} {year}" for month in MONTHS for year in range(2000, 2100)],
+    **{f"degree {d}": [w.replace(".", "") for w in words] for d, words in DEGREES.items()}, **{f"major {m}": [m] for m in MAJORS},
+}
+
+
+def _authorization(h: Column) -> Column:
+    citizen = has(h, "citizen")
+    free = near(h, "authorized", "unsponsored", 60) | has(h, "free")
+    work = F.when(free, "Authorized to work in the U.S. without sponsorship").when(has(h, "sponsored"), "Needs visa sponsorship").when(citizen, "Authorized to work in the U.S. without sponsorship").otherwise(UNKNOWN)
     return F.struct(F.when(citizen, "U.S. citizen").otherwise(UNKNOWN).alias("citizenship"), work.alias("work"))
 
 
-def _clearance(t: Column) -> Column:
-    p = plain(t)
-    near = lambda a, b, n: p.rlike(rf"\b{a}\b[^\n]{{0,{n}}}\b{b}\b")
-    top, secret = "(?:top secret|ts/sci)", "secret clearance"
+def _clearance(h: Column) -> Column:
+    held = lambda what: near(h, "active", what, 30) | near(h, what, "active", 30)
     return (
-        F.when(near("active", top, 30) | near(top, "active", 30), "Active Top Secret clearance").when(near("active", secret, 30) | near(secret, "active", 30), "Active Secret clearance")
-        .when(near("(?:eligible|ability) to obtain", "clearance", 40), "Eligible / able to obtain a clearance").when(p.rlike(r"\b(?:no|without) (?:active )?(?:security )?clearance\b"), "No active security clearance").otherwise(UNKNOWN)
+        F.when(held("top secret"), "Active Top Secret clearance").when(held("secret"), "Active Secret clearance").when(near(h, "obtainable", "clearance", 40), "Eligible / able to obtain a clearance")
+        .when(has(h, "uncleared"), "No active security clearance").otherwise(UNKNOWN)
     )
 
 
-def _graduation(t: Column) -> Column:
-    """The best scored of all months with a year: 4 for words that announce a graduation before it, 6 for a higher school, 12 off for a high school; then the latest year, then the first."""
-    date = rf"(?i)\b(?:{'|'.join(MONTHS)})\s+20\d{{2}}\b"
-    dates, gaps = F.regexp_extract_all(t, F.lit(date), F.lit(0)), F.split(t, date, -1)
-    school = pattern(["university", "college", "bachelor", "bachelor's", "master", "master's", "associate", "associate's", "BS", "B.S", "BA", "B.A", "MS", "M.S", "MA", "M.A", *MAJORS])
-    high = pattern(["high school", "secondary school", "GED", "high school diploma"])
+def _graduation(h: Column) -> Column:
+    """The best scored of all dates: points for an announcement close before it on its line, more for a higher school on its line or close before, most off for a high school; then the latest year, then the first."""
+
+    def before(d: Column, what: str, far: int, line: bool, close: int = -1) -> Column:
+        def stands(x: Column) -> Column:
+            ahead = (x["name"] == what) & (x["stop"] <= d["start"])
+            return ahead & (((x["line"] == d["line"]) if line else F.lit(True)) & (d["start"] - x["stop"] <= far) | (d["start"] - x["start"] <= close))
 
-    def scored(d: Column, i: Column) -> Column:
-        # what stands before a date: the text since the one before, and that one
-        ahead = F.concat(F.when(i > 0, F.get(dates, i - 1)).otherwise(""), F.get(gaps, i))
-        near, line = F.right(ahead, F.lit(140)), F.substring_index(F.right(ahead, F.lit(140)), "\n", -1)
-        score = F.when(near.rlike(r"(?i)(?:expected|anticipated|graduation|graduating|class\s+of)[^\n\r]{0,50}$"), 4).otherwise(0)
-        score = score + F.when((line.rlike("(?i)" + school)) | F.right(near, F.lit(90)).rlike("(?i)" + school), 6).otherwise(0)
-        score = score - F.when(line.rlike("(?i)" + high) | F.right(near, F.lit(70)).rlike("(?i)" + high), 12).otherwise(0)
-        return F.struct(score.alias("score"), F.right(d, F.lit(4)).alias("year"), F.negative(i).alias("i"), F.initcap(F.regexp_replace(d, r"\s+", " ")).alias("value"))
+        return F.exists(h, stands)
 
-    best = F.array_max(F.filter(F.transform(dates, scored), lambda x: x["score"] > 0))
-    return F.when(t.rlike(date), best["value"])
+    def scored(d: Column) -> Column:
+        score = F.when(before(d, "announced", 50, True), 4).otherwise(0) + F.when(before(d, "school", 140, True, 90), 6).otherwise(0) - F.when(before(d, "high school", 140, True, 70), 12).otherwise(0)
+        return F.struct(score.alias("score"), F.right(d["text"], F.lit(4)).alias("year"), F.negative(d["start"]).alias("first"), F.initcap(F.replace(d["text"], F.lit("\n"), F.lit(" "))).alias("value"))
+
+    return F.array_max(F.filter(F.transform(F.filter(h, lambda x: x["name"] == "date"), scored), lambda x: x["score"] > 0))["value"]
 
 
 def _sections(t: Column) -> Column:
@@ -260,16 +271,16 @@ def _sections(t: Column) -> Column:
 def profile_evidence(docs: DataFrame, doc: str, text: str, skills=TECHNOLOGIES) -> DataFrame:
     """``(doc, kind, value)``: graduation (best scored), degree, major, authorization, clearance, each skill, and the lines of each headed section."""
     t = F.coalesce(F.col(text), F.lit(""))
-    degree, major = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, words in reversed(DEGREES.items()):
-        degree = F.when(t.rlike("(?i)" + pattern(words)), F.lit(name)).otherwise(degree)
-    for name in reversed(MAJORS):
-        major = F.when(t.rlike("(?i)" + pattern([name])), F.lit(name)).otherwise(major)
-    own = _authorization(t)
-    one = {"graduation": _graduation(t), "degree": degree, "major": major, "citizenship": own["citizenship"], "work_authorization": own["work"], "clearance": _clearance(t)}
+    looked = docs.select(doc, F.col(text).alias("_t"), Phrases(_PROFILE).hits(plain(t)).alias("_h"), technologies_in(t, skills).alias("_skills"))
+    h = F.col("_h")
+    own = _authorization(h)
+    one = {
+        "graduation": _graduation(h), "degree": first_of(h, {f"degree {d}": d for d in DEGREES}), "major": first_of(h, {f"major {m}": m for m in MAJORS}),
+        "citizenship": own["citizenship"], "work_authorization": own["work"], "clearance": _clearance(h),
+    }
     said = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in one.items()]), lambda x: x["value"].isNotNull() & (x["value"] != UNKNOWN))
-    many = F.transform(technologies_in(t, skills), lambda x: F.struct(F.lit("skill").alias("kind"), x.alias("value")))
-    facts = docs.select(doc, F.explode(F.concat(said, many)).alias("x")).select(doc, "x.kind", "x.value")
+    many = F.transform("_skills", lambda x: F.struct(F.lit("skill").alias("kind"), x.alias("value")))
+    facts = looked.select(doc, F.explode(F.concat(said, many)).alias("x")).select(doc, "x.kind", "x.value")
     # section lines: only documents with a heading are taken apart
     words = [w for names in PROFILE_SECTIONS.values() for w in names]
     headed = docs.where(t.rlike(rf"(?im)^\s*(?:{'|'.join(words)})\s*:?\s*$"))

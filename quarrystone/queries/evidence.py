@@ -156,9 +156,9 @@ def gated_postings(spark, sf):
     """Orders as postings with what gates read of them; each distinct pair of statements is read once."""
     k, y = F.col("o_orderkey"), F.year("o_orderdate")
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.withColumn("said", F.concat_ws("/", y.cast("string"), (k % 3 == 0).cast("string"), (k % 7 == 0).cast("string")))
+    o = o.withColumn("said", F.concat_ws("/", F.coalesce(y.cast("string"), F.lit("")), (k % 3 == 0).cast("string"), (k % 7 == 0).cast("string")))
     part = F.split("said", "/")
-    by = F.concat(F.lit("Must graduate by May "), (part[0].cast("int") + 29).cast("string"), F.lit("."))
+    by = F.concat(F.lit("Must graduate by May "), (F.expr("try_cast(split(said, '/')[0] AS int)") + 29).cast("string"), F.lit("."))
     asks = F.array(F.struct(F.lit("graduation").alias("field"), F.when(part[1] == "true", "required").otherwise("preferred").alias("level"), by.alias("statement")), F.struct(F.when(part[2] == "true", "citizenship").otherwise("skills").alias("field"), F.lit("required").alias("level"), F.lit("You must be a U.S. citizen.").alias("statement")))
     conditions = S.posting_conditions(o.select("said").distinct().select("said", F.explode(asks).alias("x")).select("said", "x.*"), "said")
     term = F.when(k % 5 == 1, (y + 30).cast("string")).when(k % 5 > 1, F.concat(F.when(k % 2 == 0, "Summer ").otherwise("Fall "), (y + 30).cast("string")))
@@ -229,38 +229,50 @@ def c18(spark, sf):
 
 RANKED = """WITH o AS (SELECT o_orderkey, o_orderdate, o_orderpriority, n_regionkey AS region, o_orderstatus <> 'F' AS available, CASE o_orderkey % 4 WHEN 0 THEN 'co-op' WHEN 1 THEN 'research' ELSE 'internship' END AS kind, o_custkey % 3 AS level,
  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN (year(o_orderdate) + 30)::VARCHAR ELSE CASE o_orderkey % 2 WHEN 0 THEN 'summer ' ELSE 'fall ' END || (year(o_orderdate) + 30) END AS term, year(o_orderdate) + 29 AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-q AS (SELECT n_nationkey AS p, o_orderkey AS g, floor(epoch(TIMESTAMP '{REF}' - o_orderdate) / 86400) AS a, o_orderdate, o_orderpriority FROM o JOIN nation ON n_regionkey = region WHERE available AND kind <> 'research' AND (level <> 1 OR n_nationkey % 3 = 0) AND (term IS NULL OR term IN ('summer ' || (2022 + n_nationkey % 7), (2022 + n_nationkey % 7)::VARCHAR)) AND (o_orderkey % 3 > 0 OR 2019 + n_nationkey % 12 <= y)),
+q AS (SELECT n_nationkey AS p, o_orderkey AS g, floor(epoch(TIMESTAMP '{REF}' - o_orderdate) / 86400) AS a, o_orderdate, o_orderpriority FROM o JOIN nation ON n_regionkey = region WHERE available{GATES}),
 f AS (SELECT l_orderkey AS g, 's' || (l_partkey % 12) AS skill, bool_or(l_returnflag = 'R') AS req FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT c_nationkey AS p, 's' || (c_custkey % 12) AS skill, c_custkey % 12 < 6 AS sup FROM customer), m AS (SELECT 's' || i AS skill, 'f' || (i // 4) AS fam FROM range(12) t(i)),
 h AS (SELECT DISTINCT p, m2.skill FROM s JOIN m USING (skill) JOIN m m2 ON m2.fam = m.fam), e AS (SELECT q.p, q.g, f.skill, f.req, greatest(CASE WHEN s.sup IS NOT NULL THEN CASE WHEN req THEN 4.0 ELSE 3.0 END / CASE WHEN s.sup THEN 1 ELSE 2 END END, CASE WHEN h.p IS NOT NULL THEN 1.0 END) AS v FROM q JOIN f ON f.g = q.g LEFT JOIN s ON s.p = q.p AND s.skill = f.skill LEFT JOIN h ON h.p = q.p AND h.skill = f.skill),
 t AS (SELECT p, g, greatest(0, least(45, 20 + sum(v) - least(12, (count_if(req) - count_if(req AND v IS NOT NULL)) * 3.0))) AS fit FROM e GROUP BY 1, 2 HAVING count(v) > 0),
-z AS (SELECT q.p, q.g, fit + {FRESH} + g % 26 + g % 21 AS score, q.o_orderdate, q.o_orderpriority FROM q JOIN t USING (p, g))
-SELECT * FROM (SELECT p AS profile_id, g AS posting_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY p ORDER BY score DESC, o_orderdate DESC, o_orderpriority, g) AS rank FROM z) WHERE rank <= 10"""
+z AS (SELECT q.p, q.g, fit + {FRESH} + least(25, g % 26) + g % 21 AS score, q.o_orderdate, q.o_orderpriority FROM q JOIN t USING (p, g))
+SELECT * FROM (SELECT p AS profile_id, g AS posting_id, score::DOUBLE AS score_min, row_number() OVER (PARTITION BY p ORDER BY score DESC, o_orderdate DESC, o_orderpriority, g) AS rank FROM z) WHERE rank <= 10""".replace("{REF}", REF).replace("{FRESH}", FRESH)
+GATES = " AND kind <> 'research' AND (level <> 1 OR n_nationkey % 3 = 0) AND (term IS NULL OR term IN ('summer ' || (2022 + n_nationkey % 7), (2022 + n_nationkey % 7)::VARCHAR)) AND (o_orderkey % 3 > 0 OR 2019 + n_nationkey % 12 <= y)"
 
 
-def ranked(spark, sf):
-    """Postings of a profile's own region that its gates admit, by points for skills, freshness, place and worth; region, type and term meet as keys."""
+def ranked(spark, sf, gated=False):
+    """Open postings of a profile's own region by points for skills, freshness, place and worth. Under gates, type and term meet as keys beside the region, and the rest is judged on blocks."""
     nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
-    term = F.coalesce(F.lower("term"), F.lit(""))
     p = F.col("o_orderkey")
-    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.concat(F.lit("s"), (F.col("l_partkey") % 12).cast("string")).alias("skill"), (F.col("l_returnflag") == "R").alias("required"))
+    skill = lambda c: F.concat(F.lit("s"), (F.col(c) % 12).cast("string"))
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("posting_id"), skill("l_partkey").alias("skill"), (F.col("l_returnflag") == "R").alias("required"))
     asked = line.groupBy("posting_id", "skill").agg(F.max("required").alias("required")).groupBy("posting_id").agg(F.sort_array(F.collect_list(F.struct("skill", "required"))).alias("asked"))
-    age = F.floor((reference().cast("double") - F.col("o_orderdate").cast("double")) / 86400)
-    posts = gated_postings(spark, sf).where("available").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"posting_id": p, "term_key": term, "static": S.freshness(age) + p % 26 + p % 21, "posted_at": F.col("o_orderdate"), "company": F.col("o_orderpriority")})
-    gates = ["available", "education_level", "term", "stated_terms", "windows", "stages", "restrictive"]
     cust = table(spark, sf, "customer")
-    skills = cust.select(F.col("c_nationkey").alias("profile_id"), F.concat(F.lit("s"), (F.col("c_custkey") % 12).cast("string")).alias("skill"), F.when(F.col("c_custkey") % 12 < 6, "supported").otherwise("cautious").alias("support")).distinct()
-    families = table(spark, sf, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 12).cast("string")).alias("skill"), F.concat(F.lit("f"), F.floor(F.col("p_partkey") % 12 / 4).cast("string")).alias("family")).distinct()
-    people = with_nation(nation.withColumn("profile_id", F.col("n_nationkey").cast("bigint")), F.col("n_nationkey")).join(S.offers(skills, families), "profile_id")
-    year = F.right("target_term", F.lit(4))
-    people = people.withColumn("opportunity_type", F.explode("allowed_types")).withColumn("term_key", F.explode(F.array(F.lower("target_term"), year, F.lit(""))))
-    traits = ["allowed_types", "graduate_only", "target_term", "graduation_year", "stage", "authorized", "needs_sponsorship", "offer"]
-    judge = lambda pairs: S.eligibility(pairs).where("reason is null").withColumn("points", S.set_fit(F.col("asked"), F.col("offer")))
-    return top_postings(posts.join(asked, "posting_id"), people, ["region", "opportunity_type", "term_key"], ["asked", *gates], traits, judge, S.most_fit(F.col("asked")), [("posted_at", False), ("company", True)])
+    skills = cust.select(F.col("c_nationkey").alias("profile_id"), skill("c_custkey").alias("skill"), F.when(F.col("c_custkey") % 12 < 6, "supported").otherwise("cautious").alias("support")).distinct()
+    families = table(spark, sf, "part").select(skill("p_partkey").alias("skill"), F.concat(F.lit("f"), F.floor(F.col("p_partkey") % 12 / 4).cast("string")).alias("family")).distinct()
+    people = nation.withColumn("profile_id", F.col("n_nationkey")).join(S.offers(skills, families), "profile_id")
+    fit = S.set_fit(F.col("asked"), F.col("offer"))
+    keys, block, traits, judge = ["region"], ["asked"], ["offer"], lambda pairs: pairs.withColumn("points", fit)
+    if gated:
+        posts = gated_postings(spark, sf).where("available").withColumn("term_key", F.coalesce(F.lower("term"), F.lit("")))
+        people = with_nation(people, F.col("n_nationkey")).withColumn("opportunity_type", F.explode("allowed_types"))
+        people = people.withColumn("term_key", F.explode(F.array(F.lower("target_term"), F.right("target_term", F.lit(4)), F.lit(""))))
+        keys, block = ["region", "opportunity_type", "term_key"], ["asked", "available", "education_level", "term", "stated_terms", "windows", "stages", "restrictive"]
+        traits = ["offer", "allowed_types", "graduate_only", "target_term", "graduation_year", "stage", "authorized", "needs_sponsorship"]
+        judge = lambda pairs: S.eligibility(pairs).where("reason is null").withColumn("points", fit)
+    else:
+        posts = table(spark, sf, "orders").where("o_orderstatus <> 'F'").join(cust.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    age = F.floor((reference().cast("double") - F.col("o_orderdate").cast("double")) / 86400)
+    posts = posts.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"posting_id": p, "static": S.freshness(age) + F.least(F.lit(25), p % 26) + p % 21, "posted_at": F.col("o_orderdate"), "company": F.col("o_orderpriority")})
+    return top_postings(posts.join(asked, "posting_id"), people, keys, block, traits, judge, S.most_fit(F.col("asked")), [("posted_at", False), ("company", True)])
 
 
-@query("w1_rank_profiles", RANKED.replace("{REF}", REF).replace("{FRESH}", FRESH))
+@query("w1_rank_profiles", RANKED.replace("{GATES}", ""))
 def w1_profiles(spark, sf):
-    return ranked(spark, sf).ranking
+    return ranked(spark, sf).ranking.withColumnRenamed("score", "score_min")
+
+
+@query("w1_gated_ranking", RANKED.replace("{GATES}", GATES))
+def w1_gated(spark, sf):
+    return ranked(spark, sf, gated=True).ranking.withColumnRenamed("score", "score_min")
 
 
 @query("w8_pairs_judged", "SELECT (SELECT count(*) FROM nation) AS profiles, count(*) AS postings, true AS fewer FROM orders WHERE o_orderstatus <> 'F'")

@@ -47,7 +47,12 @@ def test_technologies_and_their_spellings(spark):
     find = lambda x: values(spark, facts.technologies_in(F.col("x")), [x])[0]
     assert find("Academic or project experience with React, C#/.NET, PostgreSQL, Node.js, GCP, and Jenkins.") == ["C#", "React", "Node.js", ".NET", "PostgreSQL", "GCP", "Jenkins"]
     assert find("finite element analysis, computational fluid dynamics, GD&T, Siemens NX, and FMEA; real-time operating system, ROS2") == ["Siemens NX", "FEA", "CFD", "GD&T", "FMEA", "ROS 2", "RTOS"]
-    assert find("gitlab going rust category c-level") == ["C"] and find("C++ and c") == ["C++", "C"] and find("") == []
+    assert find("gitlab going rust category c-level") == [] and find("C++ and C") == ["C++", "C"] and find("") == []
+    # words of other languages, plain words, single letters that name no language
+    for x in ("çréoi réea èr", "résumé Ŕ", "You will go to the office. Go to room C.", "Spark new ideas, react quickly; excel in class", "plan C or b", "an oracle of snowflakes", "golangs", "C'est la vie et R’n’B"):
+        assert find(x) == [], x
+    assert find("Go, React and Spark required; MICROSOFT EXCEL") == ["Go", "React", "Excel", "Spark"]
+    assert find("golang, react.js") == ["Go", "React"] and find("written in R") == ["R"] and find("C/C++ or R, with SQL") == ["C++", "C", "SQL", "R"] and find("Python–SQL") == ["Python", "SQL"]
 
 
 def test_other_fields(spark):
