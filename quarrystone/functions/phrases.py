@@ -75,7 +75,7 @@ class Phrases:
         for h in letters:
             before = (re.findall(r"\w+", flat[max(0, h["start"] - 30) : h["start"]]) or [""])[-1]
             listed = before in JOINS or re.search(r"[,/&(] ?$", flat[: h["start"]]) or re.match(r" ?[,/&)]", flat[h["stop"] :])
-            beside = any(-40 <= o["start"] - h["stop"] <= 40 or -40 <= h["start"] - o["stop"] <= 40 for o in out)
+            beside = any(o["line"] == h["line"] and (-40 <= o["start"] - h["stop"] <= 40 or -40 <= h["start"] - o["stop"] <= 40) for o in out)
             if flat[h["stop"] : h["stop"] + 1] not in ("'", "’") and (before in LETTER_FOLLOWS or listed and beside):
                 out.append(h)
         return sorted(out, key=lambda h: (h["stop"], h["start"], self.order[h["name"]])) if letters else out
