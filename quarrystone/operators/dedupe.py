@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.identity import posting_identity
 from quarrystone.functions.text import canonical_url, host, norm
 from quarrystone.plans.components import components
+from quarrystone.plans.shared import stored
 from quarrystone.sources.listings import link_kind_rank, provenance_rank
 
 
@@ -21,17 +22,17 @@ def group_observations(obs: DataFrame) -> DataFrame:
     In order, a row joins the group of its URL, else that of its signature, else it
     opens one; later URLs join, later signatures do not. In closed form: a row of a
     known URL follows the URL's first row, and a group opens with the first such row
-    of its signature. A window by URL, and an aggregation by signature.
+    of its signature. Both are aggregations over a narrow table of ordinals, URLs and
+    signatures, written once; full rows are shuffled once, to meet their group by their
+    ordinal, of which each row has its own.
     """
-    url = canonical_url(F.col("url"))
+    narrow = stored(obs.select("ordinal", canonical_url(F.col("url")).alias("_url"), signature_key(F.col("company"), F.col("title"), F.col("location")).alias("_sig")))
     # rows without a URL must not meet under one key
-    key = F.when(url == "", F.concat(F.lit("row "), F.col("ordinal").cast("string"))).otherwise(url)
-    by_url = Window.partitionBy("_key").orderBy("ordinal")
-    rows = obs.withColumns({"_key": key, "_sig": signature_key(F.col("company"), F.col("title"), F.col("location"))})
-    rows = rows.withColumn("_eff", F.first("_sig").over(by_url)).withColumn("_first", F.row_number().over(by_url) == 1)
-    # a signature may hold many rows: its least value combines before it is shuffled, and rows meet it in a join
-    groups = rows.where("_first").groupBy(F.col("_eff").alias("_group")).agg(F.min("ordinal").alias("group_id"))
-    return rows.join(groups, rows["_eff"] == groups["_group"]).drop("_key", "_sig", "_eff", "_first", "_group")
+    narrow = narrow.withColumn("_key", F.when(F.col("_url") == "", F.concat(F.lit("row "), F.col("ordinal").cast("string"))).otherwise(F.col("_url")))
+    firsts = narrow.groupBy("_key").agg(F.min(F.struct("ordinal", "_sig")).alias("f")).select("_key", F.col("f.ordinal").alias("_o"), F.col("f._sig").alias("_eff"))
+    groups = firsts.groupBy("_eff").agg(F.min("_o").alias("group_id"))
+    own = narrow.select("ordinal", "_key").join(firsts.join(groups, "_eff").select("_key", "group_id"), "_key")
+    return obs.join(own.select("ordinal", "group_id"), "ordinal").select(*obs.columns, "group_id")
 
 
 def merge_groups(grouped: DataFrame, aggregators: list[str]) -> DataFrame:

@@ -67,22 +67,33 @@ def alias_match(postings: DataFrame, aliases: DataFrame, employers: DataFrame) -
     return out.withColumn("employer_id", F.coalesce("_by_id", "_by_name")).drop("_by_id", "_by_name")
 
 
+def _anchored(cities: DataFrame) -> DataFrame:
+    """``cities`` with ``_name`` (words), and the word of it that fewest names have, with its ``_place``."""
+    names = cities.withColumn("_name", F.split("city", " "))
+    each = names.select("city", F.posexplode("_name").alias("_place", "_word")).distinct()
+    shared = each.groupBy("_word").agg(F.countDistinct("city").alias("_in"))
+    rarest = each.join(shared, "_word").groupBy("city").agg(F.min(F.struct("_in", "_place", "_word")).alias("r"))
+    return names.join(rarest.select("city", "r._place", "r._word"), "city")
+
+
 def resolve_places(locations: DataFrame, zips: DataFrame, cities: DataFrame) -> DataFrame:
     """``(id, value)`` to points: the ZIP in the text, else state and city, else a city name that one state has, else the longest city contained.
 
-    ``cities``: state, city, latitude, longitude, unique_name. Contained cities are
-    found over the word n-grams of a location, so no location meets every city.
+    ``cities``: state, city, latitude, longitude, unique_name. Contained cities, of any number
+    of words, are met by the rarest word of their name and verified word by word around it,
+    so no location meets every city.
     """
     rows = locations.select("id", "value", F.regexp_extract("value", r"\b(\d{5})\b", 1).alias("zip"), place_key(F.substring_index("value", ",", 1)).alias("city"), F.upper(F.trim(F.element_at(F.split("value", ","), -1))).alias("state"))
     words = F.split(place_key(F.col("value")), " ")
-    n_grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words))), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))))
     c = cities.withColumn("city", place_key(F.col("city")))
     point = [F.col("latitude"), F.col("longitude")]
     unique = c.where("unique_name")
     t1 = rows.join(zips.select(F.col("zip_code").alias("zip"), *point), "zip").select("id", "value", F.lit(1).alias("tier"), *point, F.lit(0).alias("length"))
     t2 = rows.join(c.select("state", "city", *point), ["state", "city"]).select("id", "value", F.lit(2), *point, F.lit(0))
     t3 = rows.join(unique.select("city", *point), "city").select("id", "value", F.lit(3), *point, F.lit(0))
-    t4 = rows.select("id", "value", F.explode(n_grams).alias("city")).join(unique.select("city", *point), "city").select("id", "value", F.lit(4), *point, F.length("city"))
+    said = rows.select("id", "value", words.alias("_words"), F.posexplode(words).alias("_at", "_word"))
+    around = F.slice("_words", F.greatest(F.lit(1), F.col("_at") - F.col("_place") + 1), F.size("_name"))
+    t4 = said.join(_anchored(unique.select("city", *point)), "_word").where((F.col("_at") >= F.col("_place")) & (around == F.col("_name"))).select("id", "value", F.lit(4), *point, F.length("city"))
     best = F.min(F.struct("tier", F.negative("length").alias("l"), "latitude", "longitude"))
     return t1.union(t2).union(t3).union(t4).groupBy("id", "value").agg(best.alias("b")).select("id", "value", "b.tier", "b.latitude", "b.longitude")
 

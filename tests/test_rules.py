@@ -266,3 +266,11 @@ def test_a_gate_that_need_not_be_measured_passes(spark):
     got = {r.gate: (r.measurable, r.passed, r.ready) for r in gates(m, {"a": ("min", 3), "b": ("max", 1)}, {"b": False}).collect()}
     assert got == {"a": (True, True, True), "b": (True, True, True)}
     assert not any(r.ready for r in gates(m, {"a": ("min", 3), "b": ("max", 1)}).collect())
+
+
+def test_places_of_many_words(spark):
+    cities = spark.createDataFrame([("IL", "Lake in the Hills", 42.2, -88.3, True), ("IL", "Crystal Lake", 42.2, -88.3, True), ("TX", "The Hills", 30.3, -98.0, True), ("NV", "Lake", 1.0, 1.0, False), ("NY", "York", 2.0, 2.0, True)], "state string, city string, latitude double, longitude double, unique_name boolean")
+    zips = spark.createDataFrame([], "zip_code string, latitude double, longitude double")
+    said = ["Office near Lake in the Hills", "near Crystal Lake", "lake in the valley", "the hills", "Hills of Lake in the Hills and York", "new york, york", "", None]
+    rows = joins.resolve_places(spark.createDataFrame(list(enumerate(said)), "id int, value string"), zips, cities).collect()
+    assert {r.id: (r.tier, r.latitude) for r in rows} == {0: (4, 42.2), 1: (4, 42.2), 3: (3, 30.3), 4: (4, 42.2), 5: (4, 2.0)}
