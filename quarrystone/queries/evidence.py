@@ -656,15 +656,16 @@ def t6(spark, sf):
 
 
 def _drained(stream, mode="append"):
-    """A stream's whole result by way of files in the shared folder: every batch of an appending one, the last batch of a complete one."""
+    """A stream's whole result by way of files in the shared folder: every batch of an appending one, each with its number (``_batch``) of an updating one, the last batch of a complete one."""
     out = folder(stream.sparkSession)
 
     def keep(rows, n):
-        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n if mode == 'append' else 0}")
+        rows.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/batch={0 if mode == 'complete' else n}")
 
     q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{out}/rows").drop("batch")
+    done = stream.sparkSession.read.parquet(f"{out}/rows").drop("batch")
+    return done if mode == "update" else done.drop("_batch")
 
 
 def event_stream(spark, sf):
