@@ -27,4 +27,12 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that no later plan reads."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

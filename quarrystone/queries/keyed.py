@@ -8,6 +8,7 @@ from quarrystone.operators import aggregates as A
 from quarrystone.operators import incremental as INC
 from quarrystone.operators.upserts import upsert_days
 from quarrystone.plans.shared import folder
+from quarrystone.plans.snapshots import first_snapshot, next_snapshot
 from quarrystone.queries.evidence import _drained, event_stream
 from quarrystone.queries.registry import query
 from quarrystone.queries.reports import usage
@@ -55,3 +56,26 @@ def s11_writes(spark, sf):
     wrote = [INC.write_if_changed(x, path, ["seen_at"]) for x in steps]
     said = F.array(*[F.struct(F.lit(i).cast("bigint").alias("step"), F.lit(w).alias("wrote")) for i, w in enumerate(wrote, 1)])
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.explode(said).alias("x"), "n").select("x.*", "n")
+
+
+def _linked(spark, sf):
+    """Links between neighbouring customers, from some orders, with what decides in which snapshots they stand."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf, "orders").where(k % 20 == 0).select(c.alias("a"), (c + 1 + (k / 20).cast("bigint") % 3).alias("b"), ((k / 20).cast("bigint") % 8).alias("turn"))
+
+
+LINKS = "SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey // 20 % 3 AS b FROM orders WHERE o_orderkey % 20 = 0 AND o_orderkey // 20 % 8 NOT IN (1, 3)"
+
+
+@query("d3_snapshot_components", f"""WITH RECURSIVE e AS ({LINKS}), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM g UNION SELECT r.node, g.b FROM r JOIN g ON g.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def d3_snapshots(spark, sf):
+    """Components over four snapshots: links come and go, and each snapshot is made from the one before."""
+    links = _linked(spark, sf)
+    of = lambda *turns: links.where(F.col("turn").isin(list(turns)))
+    # a link of several orders stands while any of them does
+    without = lambda gone, left: of(*gone).select("a", "b").distinct().join(of(*left).select("a", "b").distinct(), ["a", "b"], "left_anti")
+    now = first_snapshot(of(0, 1, 2, 3))
+    now = next_snapshot(now, of(4), without([1], [0, 2, 3]))
+    now = next_snapshot(now, of(5, 6), without([3], [0, 2, 4]))
+    now = next_snapshot(now, of(7), of().select("a", "b"))
+    return now.labels.select("node", "component")
