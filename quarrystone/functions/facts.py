@@ -198,12 +198,11 @@ def schedule_evidence(lines: DataFrame, doc: str, pos: str, line: str) -> DataFr
     month, any_month = pattern(MONTHS), pattern(MONTHS + SHORT_MONTHS)
     terms = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:spring|summer|fall|autumn|winter)\s+20\d{2}\b"), F.lit(0))
     named = F.transform(terms, lambda x: F.struct(F.lit("term").alias("kind"), F.replace(F.initcap(F.regexp_replace(x, r"\s+", " ")), F.lit("Autumn"), F.lit("Fall")).alias("value")))
-    kinds = {
-        "duration": rf"(?i)\b(?:\d+|{'|'.join(NUMBER_WORDS)})[ -]?(?:months?|weeks?)\b",
-        "date_range": rf"(?i){month}[^.\n]{{0,60}}(?:\b(?:through|to|until|thru)\b|-)[^.\n]{{0,60}}{month}",
-        "deadline": rf"(?i){pattern(DEADLINES)}[^.\n]*{any_month}",
-    }
-    lines_of = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(kind).alias("kind"), text.alias("value"))) for kind, p in kinds.items()]))
+    # what stands between two months of one sentence tells whether they are the ends of a range
+    between = F.slice(F.split(text, f"(?i){month}", -1), 2, F.greatest(F.lit(0), F.size(F.split(text, f"(?i){month}", -1)) - 2))
+    ranged = F.exists(between, lambda x: (F.length(x) <= 120) & ~F.contains(x, F.lit(".")) & (F.contains(x, F.lit("-")) | says(F.lower(x), ["through", "to", "until", "thru"])))
+    kinds = {"duration": text.rlike(rf"(?i)\b(?:\d+|{'|'.join(NUMBER_WORDS)})[ -]?(?:months?|weeks?)\b"), "date_range": ranged, "deadline": text.rlike(rf"(?i){pattern(DEADLINES)}[^.\n]*{any_month}")}
+    lines_of = F.array_compact(F.array(*[F.when(told, F.struct(F.lit(kind).alias("kind"), text.alias("value"))) for kind, told in kinds.items()]))
     found = lines.select(doc, F.col(pos).alias("ordinal"), F.explode(F.concat(named, lines_of)).alias("x")).select(doc, "x.kind", "ordinal", "x.value")
     return found.groupBy(doc, "kind", "value").agg(F.min("ordinal").alias("ordinal")).select(doc, "kind", "ordinal", "value")
 

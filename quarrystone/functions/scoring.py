@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.facts import plain, says
+from quarrystone.functions.phrases import Phrases, has
 from quarrystone.functions.text import skill_key
 
 #: component: (role, maximum). The maxima of ranking components sum to 100.
@@ -103,6 +104,40 @@ def posting_conditions(facts: DataFrame, posting: str) -> DataFrame:
     )
 
 
+#: Clearances from least to most; an active one satisfies those below it.
+CLEARANCES = ["none", "eligible", "secret", "top secret"]
+_ASKED = Phrases({"clearance": ["clearance"], "standing": ["active", "existing", "current"], "having": ["already", "possess", "hold", "held"], "top secret": ["top secret", "ts/sci"], "secret": ["secret"]})
+_HELD = Phrases({"none": ["no", "none", "without", "not cleared"], "eligible": ["eligible to obtain", "able to obtain", "ability to obtain"], "standing": ["active", "current", "existing"], "top secret": ["top secret", "ts/sci"], "secret": ["secret"]})
+UNVERIFIED = 5
+
+
+def _rank(hits: Column) -> Column:
+    return F.when(has(hits, "top secret"), CLEARANCES.index("top secret")).when(has(hits, "secret"), CLEARANCES.index("secret"))
+
+
+def asked_clearances(facts: DataFrame, posting: str) -> DataFrame:
+    """``(posting, clearance)`` of facts(posting, field, level, statement) that require one to be held: struct<rank, standing>, the highest rank (null: any) and whether it must be active now."""
+    asked = facts.where("field = 'other_eligibility' and level = 'required'").withColumn("_h", _ASKED.hits(plain(F.col("statement"))))
+    asked = asked.where(has(F.col("_h"), "clearance") & has(F.col("_h"), "standing", "having"))
+    return asked.groupBy(posting).agg(F.struct(F.max(_rank(F.col("_h"))).alias("rank"), F.max(has(F.col("_h"), "standing")).alias("standing")).alias("clearance"))
+
+
+def held_clearance(text: Column) -> Column:
+    """struct<none, eligible, standing, rank> of what a profile says of its clearance; null if it says nothing."""
+    h = _HELD.hits(plain(text))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.struct(has(h, "none").alias("none"), has(h, "eligible").alias("eligible"), has(h, "standing").alias("standing"), _rank(h).alias("rank")))
+
+
+def clearance_gate(asked: Column, held: Column) -> Column:
+    """struct<excluded, penalty>: a posting that asks for a clearance excludes who has none, and who may only obtain one where an active one is asked; one that is not known to be active and high enough costs points."""
+    enough = held["standing"] & (asked["rank"].isNull() | F.coalesce(held["rank"] >= asked["rank"], F.lit(False)))
+    out = lambda excluded, penalty: F.struct(F.lit(excluded).alias("excluded"), F.lit(penalty).alias("penalty"))
+    return (
+        F.when(asked.isNull(), out(False, 0)).when(held.isNull(), out(False, UNVERIFIED)).when(held["none"] | (held["eligible"] & asked["standing"]), out(True, 0))
+        .when(enough, out(False, 0)).otherwise(out(False, UNVERIFIED))
+    )
+
+
 def eligibility(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``reason`` (why a profile is excluded from a posting, null if it is not) and ``eligibility``, 0 to 20.
 
@@ -110,7 +145,8 @@ def eligibility(pairs: DataFrame) -> DataFrame:
     (array), windows, stages, restrictive (see ``posting_conditions``). Of the profile:
     allowed_types (array), graduate_only (boolean, whether it takes such postings),
     target_term, graduation_year, stage, authorized, needs_sponsorship. Unknown values do
-    not exclude.
+    not exclude. Where there are clearance (see ``asked_clearances``) and held (``held_clearance``),
+    they are a gate too.
     """
     c = F.col
     known = lambda x: F.coalesce(x, F.lit(False))
@@ -130,6 +166,8 @@ def eligibility(pairs: DataFrame) -> DataFrame:
         ("type", (F.size("allowed_types") > 0) & ~F.array_contains("allowed_types", c("opportunity_type"))), ("term", term_points.isNull()),
         ("graduation", asks_year & (c("windows.level") == "required") & ~windows), ("stage", asks_stage & (c("stages.level") == "required") & ~F.array_contains("stages.any", c("stage"))),
     ]
+    if {"clearance", "held"} <= set(pairs.columns):
+        checks.append(("clearance", clearance_gate(c("clearance"), c("held"))["excluded"]))
     year_points = F.when(asks_year & windows, F.when(c("windows.level") == "required", GRADUATION["required"]).otherwise(GRADUATION["preferred"])).otherwise(0)
     work_points = F.when(known(c("restrictive")), F.when(known(c("authorized")), AUTHORIZED).when(known(c("needs_sponsorship")), SPONSORED).otherwise(0)).otherwise(0)
     total = F.when(c("education_level") == "undergrad", UNDERGRAD).otherwise(ANY_LEVEL) + TYPE + F.coalesce(term_points, F.lit(0)) + F.when(known(c("available")), OPEN).otherwise(0) + year_points + work_points

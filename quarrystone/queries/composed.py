@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions import classify as K
 from quarrystone.functions import facts as X
 from quarrystone.functions import scoring as S
+from quarrystone.functions import text as TX
 from quarrystone.queries.registry import query
 from quarrystone.sources import snapshots as SN
 from quarrystone.sources.listings import table
@@ -122,3 +124,42 @@ def c22_documents(spark, sf):
 @query("c22_evidence_counts", f"SELECT kind, value, count(DISTINCT doc_id) AS documents FROM ({EVIDENCE}) GROUP BY 1, 2")
 def c22_counts(spark, sf):
     return c22_documents(spark, sf).groupBy("kind", "value").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+ASKED = ["You must hold an active Secret clearance.", "Must possess a current Top Secret clearance.", "Must be able to obtain a security clearance.", "Must already have a clearance.", "TS/SCI clearance must be active."]
+HELD = [None, "No active security clearance", "Eligible / able to obtain a clearance", "Active Secret clearance", "Active Top Secret clearance", "Lapsed secret clearance", "Current clearance"]
+
+
+@query("c14_clearance", """WITH o AS (SELECT o_orderkey, n_nationkey AS p, [2, 3, -1, 0, 3][o_orderkey % 5 + 1] AS rank, o_orderkey % 5 IN (0, 1, 4) AS standing, n_nationkey % 7 AS held FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT o_orderkey, rank >= 0 AND (held = 1 OR (held = 2 AND standing)) AS excluded, CASE WHEN rank < 0 OR held = 1 OR (held = 2 AND standing) THEN 0 WHEN held = 4 OR (held = 3 AND rank < 3) OR (held = 6 AND rank = 0) THEN 0 ELSE 5 END::INT AS penalty FROM o""")
+def c14_clearance(spark, sf):
+    """Every clearance that a statement asks for against every one that a profile states; the statements are read once each."""
+    asks = F.array(*[F.struct(F.lit(i).alias("ask"), F.lit(x).alias("statement")) for i, x in enumerate(ASKED)])
+    says = F.array(*[F.struct(F.lit(i).alias("said"), F.lit(x).cast("string").alias("text")) for i, x in enumerate(HELD)])
+    nation = table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") % 7).alias("said"))
+    one = nation.agg(F.count(F.lit(1)))
+    facts = one.select(F.explode(asks).alias("x")).select("x.*", F.lit("other_eligibility").alias("field"), F.lit("required").alias("level"))
+    held = one.select(F.explode(says).alias("x")).select("x.said", S.held_clearance(F.col("x.text")).alias("held"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("ask", F.col("o_orderkey") % 5)
+    gate = S.clearance_gate(F.col("clearance"), F.col("held"))
+    return o.join(S.asked_clearances(facts, "ask"), "ask", "left").join(held, "said", "left").select("o_orderkey", gate["excluded"].alias("excluded"), gate["penalty"].alias("penalty"))
+
+
+TITLES = [("Software Engineer Intern", ["cs"]), ("Data Analyst Intern", ["tech-business"]), ("Data Scientist", ["cs"]), ("Mechanical Engineering Co-op", ["engineering"]), ("Audit and Treasury Intern", ["finance"]), ("Brand Communications", ["marketing"]), ("Nuclear Robotics Research", ["engineering"]), ("Product Manager, Cloud", ["cs", "tech-business"]), ("Cook", ["general"]), ("HVAC Design and Financial Planning", ["engineering", "finance"])]
+
+
+@query("c6_areas_of_titles", "SELECT p_partkey, [" + ", ".join("[" + ", ".join(f"'{a}'" for a in areas) + "]" for _, areas in TITLES) + "][p_partkey % 10 + 1] AS areas FROM part")
+def c6_titles(spark, sf):
+    """Both rule sets and the shared titles over a title that is drawn by the part's number."""
+    return table(spark, sf, "part").select("p_partkey", K.career_areas(F.concat(picked("p_partkey % 10", [t for t, _ in TITLES]), F.lit(" #"), F.col("p_partkey").cast("string"))).alias("areas"))
+
+
+@query("c20_place_labels", """SELECT c_custkey, unnest(CASE c_custkey % 7 WHEN 0 THEN ['Town ' || w || ', NY', 'Remote'] WHEN 1 THEN ['San ' || w || ', CA'] WHEN 2 THEN ['Port ' || w || ', TX'] WHEN 3 THEN ['Albany, NY'] WHEN 4 THEN ['Salem, OR', 'Berlin, Land ' || w] WHEN 5 THEN ['Spring' || lower(w) || ', IL'] ELSE ['Fort ' || w || '-upon, OH'] END) AS place
+ FROM (SELECT *, (['Alder', 'Birch', 'Cedar', 'Elm'])[c_custkey % 4 + 1] AS w FROM customer)""")
+def c20_labels(spark, sf):
+    """Feed places split and shown: every notation, around a name that is drawn by the customer's number."""
+    k, w = F.col("c_custkey") % 7, picked("c_custkey % 4", ["Alder", "Birch", "Cedar", "Elm"])
+    raw = F.when(k == 0, F.concat(F.lit("2 Locations town "), w, F.lit(", New York; USA Remote"))).when(k == 1, F.concat(F.lit("US-CA-San "), w, F.lit("-12"))).when(k == 2, F.concat(F.lit("port "), w, F.lit(", Texas, United States")))
+    raw = raw.when(k == 3, F.lit("NY01-02-ALBANY-x")).when(k == 4, F.concat(F.lit("12 High St, Salem, OR | Berlin, Land "), w)).when(k == 5, F.concat(F.lit("Spring"), F.lower(w))).otherwise(F.concat(F.lit("OH > fort "), w, F.lit("-upon > Dock 4")))
+    states = F.when(k == 5, F.array(F.lit("IL")))
+    return table(spark, sf, "customer").select("c_custkey", F.explode(F.transform(TX.split_places(raw), lambda x: TX.place_label(x, states))).alias("place"))
