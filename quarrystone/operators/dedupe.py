@@ -24,15 +24,16 @@ def group_observations(obs: DataFrame) -> DataFrame:
     known URL follows the URL's first row, and a group opens with the first such row
     of its signature. Both are aggregations over a narrow table of ordinals, URLs and
     signatures, written once; full rows are shuffled once, to meet their group by their
-    ordinal, of which each row has its own.
+    ordinal and URL.
     """
-    narrow = stored(obs.select("ordinal", canonical_url(F.col("url")).alias("_url"), signature_key(F.col("company"), F.col("title"), F.col("location")).alias("_sig")))
+    narrow = stored(obs.select("ordinal", "url", canonical_url(F.col("url")).alias("_url"), signature_key(F.col("company"), F.col("title"), F.col("location")).alias("_sig")))
     # rows without a URL must not meet under one key
     narrow = narrow.withColumn("_key", F.when(F.col("_url") == "", F.concat(F.lit("row "), F.col("ordinal").cast("string"))).otherwise(F.col("_url")))
     firsts = narrow.groupBy("_key").agg(F.min(F.struct("ordinal", "_sig")).alias("f")).select("_key", F.col("f.ordinal").alias("_o"), F.col("f._sig").alias("_eff"))
     groups = firsts.groupBy("_eff").agg(F.min("_o").alias("group_id"))
-    own = narrow.select("ordinal", "_key").join(firsts.join(groups, "_eff").select("_key", "group_id"), "_key")
-    return obs.join(own.select("ordinal", "group_id"), "ordinal").select(*obs.columns, "group_id")
+    own = narrow.select("ordinal", F.col("url").alias("_own"), "_key").distinct().join(firsts.join(groups, "_eff").select("_key", "group_id"), "_key")
+    own = own.select(F.col("ordinal").alias("_ordinal"), "_own", "group_id")
+    return obs.join(own, (F.col("ordinal") == F.col("_ordinal")) & F.col("url").eqNullSafe(F.col("_own"))).drop("_ordinal", "_own")
 
 
 def merge_groups(grouped: DataFrame, aggregators: list[str]) -> DataFrame:
