@@ -19,7 +19,7 @@ STAGES = [
     ("mix", op5_mixing.stage),
     ("pack", op8_packing.stage),
 ]
-#: SQL cannot train the language model, roll hashes or tokenise; tests compare row counts and fill, not rows.
+#: SQL cannot train the language model, roll hashes or tokenise; a test compares all rows with plain Python.
 ORACLE_SQL = None
 
 
