@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import aggregates as A
 from quarrystone.operators import incremental as INC
+from quarrystone.operators import sketches as SK
 from quarrystone.operators.upserts import upsert_days
-from quarrystone.plans.shared import folder
+from quarrystone.plans.shared import folder, stored
 from quarrystone.plans.snapshots import first_snapshot, next_snapshot
 from quarrystone.queries.evidence import _drained, event_stream
 from quarrystone.queries.registry import query
@@ -79,3 +80,19 @@ def d3_snapshots(spark, sf):
     now = next_snapshot(now, of(5, 6), without([3], [0, 2, 4]))
     now = next_snapshot(now, of(7), of().select("a", "b"))
     return now.labels.select("node", "component")
+
+
+@query("a7_merged_sketches", "SELECT date_trunc('week', ts)::DATE AS period, count(DISTINCT ts::DATE) AS days, count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events, true AS users_within, true AS events_within, true AS quantiles_within FROM events GROUP BY 1")
+def a7_sketches(spark, sf):
+    """Weeks merged from stored sketches of days, beside the exact figures and whether each estimate lies within its stated error."""
+    e = table(spark, sf, "events")
+    days = stored(SK.day_sketches(e, F.to_date("ts"), ["user_id", "event_id"], ["value"]))
+    weeks = SK.merged(days, F.trunc("usage_date", "week"))
+    exact = e.groupBy(F.trunc(F.to_date("ts"), "week").alias("p")).agg(F.countDistinct("user_id").alias("users"), F.countDistinct("event_id").alias("events"))
+    near = lambda got, want: F.abs(F.col(got) - F.col(want)) <= 1 + F.lit(SK.distinct_error()) * F.col(want)
+    ranks = e.select(F.trunc(F.to_date("ts"), "week").alias("p"), "value").where("value is not null").join(weeks.select("period", "value_p50", "value_p90", "value_p95"), F.col("p") == F.col("period"))
+    off = lambda q: F.greatest(F.lit(q) - F.avg((F.col("value") <= F.col(f"value_p{round(100 * q)}")).cast("double")), F.avg((F.col("value") < F.col(f"value_p{round(100 * q)}")).cast("double")) - q)
+    # a rank is told in steps of one value
+    told = ranks.groupBy("p").agg((F.greatest(*[off(q) for q in (0.5, 0.9, 0.95)]) <= SK.rank_error() + 1 / F.count(F.lit(1))).alias("quantiles_within"))
+    both = weeks.join(exact, F.col("period") == F.col("p")).drop("p").join(told, F.col("period") == F.col("p"), "left")
+    return both.select("period", "days", "n", "users", "events", near("user_id", "users").alias("users_within"), near("event_id", "events").alias("events_within"), F.coalesce("quantiles_within", F.lit(True)).alias("quantiles_within"))
