@@ -330,14 +330,14 @@ def c24_slugs(spark, sf):
 
 @query("s1_snapshot_postings", """SELECT o_custkey % 8 AS snapshot, o_orderkey::VARCHAR AS id, 'C' || o_custkey AS company, o_orderpriority AS title, ['k' || (o_orderkey % 5)] AS source_keys, o_orderdate AS posted_at FROM orders""")
 def s1(spark, sf):
-    """Orders landed as eight snapshot documents and read again."""
+    """Orders landed as eight snapshots, each in documents of a few hundred postings, and read again."""
     o = table(spark, sf, "orders")
     job = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("company"), F.col("o_orderpriority").alias("title"), F.array(F.concat(F.lit("k"), (F.col("o_orderkey") % 5).cast("string"))).alias("source_keys"), F.col("o_orderdate").alias("posted_at"))
-    docs = o.groupBy((F.col("o_custkey") % 8).alias("n")).agg(F.collect_list(job).alias("jobs"))
+    docs = o.groupBy((F.col("o_custkey") % 8).alias("n"), F.expr("o_orderkey div 4000").alias("part")).agg(F.collect_list(job).alias("jobs"))
     made = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n") * 3600)
     landed = folder(spark)
     # a document is a file
-    docs.select("n", F.to_json(F.struct(made.alias("generated_at"), "jobs", F.create_map(F.lit("s"), F.struct(F.lit("healthy").alias("status"))).alias("sources"))).alias("value")).write.partitionBy("n").text(landed)
+    docs.select("n", "part", F.to_json(F.struct(made.alias("generated_at"), "jobs", F.create_map(F.lit("s"), F.struct(F.lit("healthy").alias("status"))).alias("sources"))).alias("value")).write.partitionBy("n", "part").text(landed)
     postings_, _ = SN.load_snapshot(spark, landed)
     back = ((F.col("snapshot_ts").cast("double") - 1_700_000_000) / 3600).cast("int")
     return postings_.select(back.alias("snapshot"), "id", "company", "title", "source_keys", "posted_at")
@@ -358,7 +358,7 @@ def s2(spark, sf):
     c = table(spark, sf, "customer").withColumn("role", F.concat(F.lit("Role "), F.col("c_custkey").cast("string"))).withColumn("spot", F.when(F.col("c_custkey") % 4 > 0, F.concat(F.lit("NATION "), F.col("c_nationkey").cast("string"))))
     paths = {kind: folder(spark) for kind in ("json", "jsonl", "csv")}
     k = F.col("c_custkey") % 3
-    listed = c.where(k == 0).select((F.col("c_custkey") % 4).alias("n"), F.struct(F.col("c_name").alias("employer"), F.lit(" ").alias("title"), "role", F.col("spot").alias("place")).alias("x")).groupBy("n").agg(F.collect_list("x").alias("listings"))
+    listed = c.where(k == 0).select(F.expr("c_custkey div 1000").alias("n"), F.struct(F.col("c_name").alias("employer"), F.lit(" ").alias("title"), "role", F.col("spot").alias("place")).alias("x")).groupBy("n").agg(F.collect_list("x").alias("listings"))
     listed.select("n", F.to_json(F.struct("listings")).alias("value")).write.partitionBy("n").text(paths["json"])
     c.where(k == 1).select(F.col("c_name").alias("organization"), F.col("role").alias("position"), F.col("spot").alias("city")).write.json(paths["jsonl"])
     c.where(k == 2).select(F.col("c_name").alias("company"), F.col("role").alias("title"), F.col("spot").alias("location")).write.option("header", True).csv(paths["csv"])
