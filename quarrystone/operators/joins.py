@@ -17,6 +17,14 @@ def attach_evidence(postings: DataFrame, bridge: DataFrame, evidence: DataFrame)
     return out.withColumn("posted_at", F.coalesce("_date", "posted_at")).drop("_date")
 
 
+def attach_evidence_by_posting(postings: DataFrame, bridge: DataFrame, evidence: DataFrame) -> DataFrame:
+    """As ``attach_evidence``, but bridge and evidence meet first: postings that lie in buckets of their id are not moved."""
+    e = evidence.select("canonical_url", F.col("status").alias("evidence_status"), F.col("posted_at").alias("_date"))
+    known = bridge.join(e, "canonical_url", "left").withColumnRenamed("posting_id", "id")
+    out = postings.join(known, "id", "left")
+    return out.withColumn("posted_at", F.coalesce("_date", "posted_at")).drop("_date")
+
+
 def unique_lookup(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys`` -> ``value`` where a key has one value only; null keys and values do not count."""
     rows = df.dropna(subset=[*keys, value])
