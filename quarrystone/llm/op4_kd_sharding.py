@@ -5,63 +5,106 @@ metadata dimension until each leaf holds its share of the bytes. All open nodes
 of a level split in the same passes: a pass sums weights in equal-width cells of
 each node's value range, and the cell that holds the wanted weight becomes the
 next range, so a cut is found in a few passes over narrow metadata and no row is
-sorted. What reaches the driver is one number per node and cell, a fixed count.
+sorted. Nodes, ranges and cuts are tables, read and written by executors; the driver
+learns the ends of the dimensions, and after each pass whether a cut is still open.
+So there may be any number of leaves: a level costs its passes over the metadata
+(one or two a dimension's range, and as many for a cut within one value), and the
+rows themselves are read once, at the end, past one narrow table of cuts a level.
 
 Defined results: a null text has weight ``overhead`` only; equal metadata is told
 apart by a hash of the row identity, so a dimension with one value still splits; identical rows
-share every value and stay together; rows without a value in a dimension count as 0
-there; an empty table gives no rows; other columns of the input pass through, whatever
+share every value and stay together, and so do rows whose metadata and hash are equal; of
+two neighbouring cuts the one whose weight is nearer to the wanted one is taken, the
+greater if both are as near; rows without a value in a dimension count as 0
+there, as rows without a weight weigh nothing; very long texts are one weight each; an
+empty table gives no rows; other columns of the input pass through, whatever
 their names, but ``shard`` is replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import lookup, materialize, number_rows, read_table
-
-#: Cells of one pass; with at most as many nodes as leaves, this bounds what a pass sends to the driver.
-CELLS = 4096
-#: A cut this near to the wanted weight, as a share of a leaf, is left as it is.
-NEAR = 0.002
-
-
-def _weighted_cuts(rows: DataFrame, wanted: dict[int, tuple[int, float]], spans: dict[int, tuple[int, int]]) -> tuple[dict[int, int], dict[int, float]]:
-    """For each node the value v such that the weight of values <= v is nearest to the wanted weight, and that weight."""
-    lo = {n: spans[n][0] for n in wanted}
-    width = {n: max(1, -(-(spans[n][1] - spans[n][0] + 1) // CELLS)) for n in wanted}
-    below, cut, reached, open_ = dict.fromkeys(wanted, 0.0), {}, {}, set(wanted)
-    while open_:
-        at = {n: lo[n] for n in open_}
-        cell = F.floor((F.col("_v") - lookup(F.col("_node"), at)) / lookup(F.col("_node"), {n: width[n] for n in open_}, 1))
-        got = (
-            rows.where(F.col("_node").isin(sorted(open_)))
-            .where((F.col("_v") >= lookup(F.col("_node"), at)) & (F.col("_v") < lookup(F.col("_node"), {n: lo[n] + width[n] * CELLS for n in open_})))
-            .groupBy("_node", cell.alias("cell")).agg(F.sum("_weight").alias("w")).collect()
-        )
-        sums: dict[int, dict[int, float]] = defaultdict(dict)
-        for r in got:
-            sums[r["_node"]][r["cell"]] = float(r["w"])
-        for n in sorted(open_):
-            acc, target = below[n], wanted[n][1]
-            cells = sorted(sums[n])
-            for c in cells:
-                if acc + sums[n][c] >= target or c == cells[-1]:
-                    break
-                acc += sums[n][c]
-            if width[n] == 1:
-                take = acc + sums[n][c] - target <= target - acc
-                cut[n] = lo[n] + c if take else lo[n] + c - 1
-                reached[n] = acc + sums[n][c] * take
-                open_.discard(n)
-            else:
-                below[n] = acc
-                lo[n], width[n] = lo[n] + c * width[n], max(1, -(-width[n] // CELLS))
-    return cut, reached
+from quarrystone.llm.common import discard, materialize, number_rows, read_table
+
+#: Cells of one pass: of a node, and of all nodes together.
+CELLS, ALL_CELLS = 4096, 1 << 22
+#: Tables of cuts of at most as many nodes (about 40 bytes each) go to every task.
+SMALL = 1 << 17
+#: Bits of a dimension that are told apart, and of the hash.
+WIDE, HASH = 52, 24
+
+
+def _spread(c: Column, low: int, high: int) -> Column:
+    """A dimension from 0 up; of one that spans more than WIDE bits the lowest bits are left out."""
+    cut = max(0, (high - low).bit_length() - WIDE)
+    return F.shiftright(c, cut) - F.lit(low >> cut)
+
+
+def _with_node(rows: DataFrame, table: DataFrame, nodes: int) -> DataFrame:
+    return rows.join(F.broadcast(table) if nodes <= SMALL else table, "_node", "left")
+
+
+def _value(dims: int) -> Column:
+    """The row's value along its node's axis; 0 where only the hash divides."""
+    return reduce(lambda e, i: e.when(F.col("_axis") == i, F.col(f"_d{i}")), range(dims), F.when(F.lit(False), F.lit(0).cast("bigint"))).otherwise(0)
+
+
+def _open_nodes(base: DataFrame, whole: list[int], cells: int) -> DataFrame:
+    """The nodes of more than one leaf: axis, wanted weight and the first range of each."""
+    dims = len(whole)
+    seen = base.where("_k > 1").groupBy("_node", "_k").agg(F.sum("_weight").cast("double").alias("w"), *[f(f"_d{i}").alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)])
+    spread = [(F.col(f"max{i}") - F.col(f"min{i}")) / F.lit(float(whole[i])) for i in range(dims)]
+    widest = F.greatest(F.lit(0.0), F.lit(0.0), *spread)
+    axis = reduce(lambda e, i: e.when((widest > 0) & (spread[i] == widest), i), range(dims), F.when(F.lit(False), 0)).otherwise(dims)
+    low, high = (reduce(lambda e, i, f=f: e.when(F.col("_axis") == i, F.col(f"{f}{i}")), range(dims), F.when(F.lit(False), F.lit(0).cast("bigint"))).otherwise(end) for f, end in (("min", 0), ("max", (1 << HASH) - 1)))
+    at = seen.select("*", axis.alias("_axis"))
+    by_hash = F.col("_axis") == dims
+    return at.select(
+        "_node", "_k", "_axis", (F.col("w") * F.floor(F.col("_k") / 2) / F.col("_k")).alias("_want"), by_hash.alias("_hashed"), F.when(by_hash, F.lit(0).cast("bigint")).alias("_v_cut"),
+        F.lit(None).cast("bigint").alias("_h_cut"), low.alias("_lo"), F.ceil((high - low + 1) / F.lit(cells)).alias("_width"), F.lit(0.0).alias("_below"),
+    )
+
+
+def _narrowed(base: DataFrame, state: DataFrame, dims: int, nodes: int, cells: int) -> DataFrame:
+    """One pass: every open node's range becomes the cell in which its wanted weight is reached, or its cut is found."""
+    open_ = state.where("_h_cut IS NULL")
+    at = _with_node(base.where("_k > 1").drop("_k"), open_, nodes).where("_want IS NOT NULL").withColumn("_v", _value(dims))
+    x = F.when(F.col("_hashed"), F.col("_h")).otherwise(F.col("_v"))
+    cell = F.floor((x - F.col("_lo")) / F.col("_width"))
+    inside = (~F.col("_hashed") | (F.col("_v") == F.col("_v_cut"))) & (x >= F.col("_lo")) & (x < F.col("_lo") + F.col("_width") * cells)
+    sums = at.where(inside).groupBy("_node", cell.alias("cell")).agg(F.sum("_weight").cast("double").alias("w"), (F.max("_h") > F.min("_h")).alias("many"))
+    run = Window.partitionBy("_node").orderBy("cell")
+    upto = _with_node(sums, open_.select("_node", "_want", "_below"), nodes).withColumn("upto", F.col("_below") + F.sum("w").over(run))
+    here = F.struct("cell", "w", "upto", "many")
+    found = upto.groupBy("_node").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("_want"), here)), F.max(here)).alias("f"))
+    both = _with_node(state, found, nodes)
+    c = {n: F.col(n) for n in ("_want", "_hashed", "_v_cut", "_h_cut", "_lo", "_width", "_below")}
+    value, under = c["_lo"] + F.col("f.cell") * c["_width"], F.col("f.upto") - F.col("f.w")
+    take = F.col("f.upto") - c["_want"] <= c["_want"] - under
+    live, last = F.col("f").isNotNull(), c["_width"] == 1
+    # a value whose rows the hash tells apart is divided by it; any other is taken or left whole
+    divide, done_v, done_h = live & last & ~c["_hashed"] & F.col("f.many"), live & last & ~c["_hashed"] & ~F.col("f.many"), live & last & c["_hashed"]
+    return both.select(
+        "_node", "_k", "_axis", "_want", (c["_hashed"] | divide).alias("_hashed"),
+        F.when(divide | done_v, value).otherwise(c["_v_cut"]).alias("_v_cut"),
+        F.when(done_v, F.when(take, (1 << HASH) - 1).otherwise(-1)).when(done_h, F.when(take, value).otherwise(value - 1)).otherwise(c["_h_cut"]).cast("bigint").alias("_h_cut"),
+        F.when(divide, F.lit(0)).when(live & ~last, value).otherwise(c["_lo"]).cast("bigint").alias("_lo"),
+        F.when(divide, F.lit(-(-(1 << HASH) // cells))).when(live & ~last, F.ceil(c["_width"] / F.lit(cells))).otherwise(c["_width"]).cast("bigint").alias("_width"),
+        F.when(live & (~last | divide), under).otherwise(c["_below"]).alias("_below"),
+    )
+
+
+def _descend(rows: DataFrame, cuts: DataFrame, dims: int, nodes: int) -> DataFrame:
+    """``rows`` with the child of their node; a leaf's node is its number, a node's that of its first leaf."""
+    at = _with_node(rows, cuts.select("_node", "_axis", "_v_cut", "_h_cut"), nodes).withColumn("_v", _value(dims))
+    stay = F.col("_axis").isNull() | (F.col("_v") < F.col("_v_cut")) | ((F.col("_v") == F.col("_v_cut")) & (F.col("_h") <= F.col("_h_cut")))
+    left = F.floor(F.col("_k") / 2)
+    return at.withColumns({"_node": F.when(stay, F.col("_node")).otherwise(F.col("_node") + left), "_k": F.when(F.col("_axis").isNull(), F.col("_k")).when(stay, left).otherwise(F.col("_k") - left)}).drop("_axis", "_v_cut", "_h_cut", "_v")
 
 
 def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, identity: Column, leaves: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -69,78 +112,40 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, identity:
 
     ``dims`` are integral metadata columns. Give the number of ``leaves`` or the
     bytes a leaf shall hold at most on average. A dimension's width is its spread
-    in a node against its spread in the table.
+    in a node against its spread in the table. ``df`` is read three times: its ends,
+    its metadata and, at last, its rows.
     """
-    names = list(dims)
-    # the row travels in one column, so that no name of it clashes with those of the tree
-    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), weight.cast("bigint").alias("_weight"), *[F.coalesce(c.cast("bigint"), F.lit(0)).alias(f"_d{i}") for i, c in enumerate(dims.values())], F.shiftrightunsigned(F.xxhash64(identity, F.lit(29)), 40).alias(f"_d{len(names)}"))
-    last = len(names)
-    total, *ends = base.agg(F.sum("_weight"), *[f(f"_d{i}") for i in range(last + 1) for f in (F.min, F.max)]).first()
+    d = [F.coalesce(c.cast("bigint"), F.lit(0)) for c in dims.values()]
+    heavy = F.coalesce(weight.cast("bigint"), F.lit(0))
+    total, *ends = df.agg(F.sum(heavy), *[f(c) for c in d for f in (F.min, F.max)]).first()
     if total is None:
         return df.drop("shard").withColumn("shard", F.lit(0))
     leaves = leaves or max(1, math.ceil(total / target_bytes))
-    whole = [max(1, ends[2 * i + 1] - ends[2 * i]) for i in range(last + 1)]
-    node = F.lit(0)
-    parts = {0: (0, leaves)}  # node: first leaf and number of leaves; a leaf's node is its first leaf
-    while any(k > 1 for _, k in parts.values()):
-        at = base.withColumn("_node", node)
-        live = sorted(n for n, (_, k) in parts.items() if k > 1)
-        found = {r["_node"]: r for r in at.where(F.col("_node").isin(live)).groupBy("_node").agg(F.sum("_weight").alias("w"), *[f(f"_d{i}").alias(f"{f.__name__}{i}") for i in range(last + 1) for f in (F.min, F.max)]).collect()}
-        # the widest dimension, and within one of its values the hash of the identity
-        axis, spans, wanted = {}, {}, {}
-        for n in [n for n in live if n in found]:
-            r, k = found[n], parts[n][1]
-            axis[n] = max(range(last), key=lambda i, r=r: (r[f"max{i}"] - r[f"min{i}"]) / whole[i], default=last)
-            if not axis[n] < last or r[f"max{axis[n]}"] == r[f"min{axis[n]}"]:
-                axis[n] = last
-            spans[n] = (r[f"min{axis[n]}"], r[f"max{axis[n]}"])
-            wanted[n] = (axis[n], float(r["w"]) * (k // 2) / k)
-        value = F.expr("CASE " + " ".join(f"WHEN _node = {n} THEN _d{i}" for n, i in axis.items()) + " END") if axis else F.lit(0)
-        exact, reached = _weighted_cuts(at.withColumn("_v", value), wanted, spans) if wanted else ({}, {})
-        # the cut value's own rows are divided by the hash, so ties leave no uneven leaves
-        tied = {n: v for n, v in exact.items() if axis[n] < last and abs(reached[n] - wanted[n][1]) > NEAR * float(found[n]["w"]) / parts[n][1]}
-        ties = at.withColumn("_v", value)
-        edge = {}
-        if tied:
-            near = ties.where(F.col("_node").isin(sorted(tied))).groupBy("_node").agg(
-                F.sum(F.when(F.col("_v") <= lookup(F.col("_node"), tied), F.col("_weight")).otherwise(0)).alias("at_most"),
-                F.min(F.when(F.col("_v") > lookup(F.col("_node"), tied), F.col("_v"))).alias("next"),
-            )
-            for r in near.collect():
-                over = float(r["at_most"]) - wanted[r["_node"]][1]
-                edge[r["_node"]] = tied[r["_node"]] if over >= 0 or r["next"] is None else r["next"]
-            at_edge = F.col("_v") == lookup(F.col("_node"), edge)
-            tie_rows = ties.where(F.col("_node").isin(sorted(edge)) & at_edge)
-            sides = ties.where(F.col("_node").isin(sorted(edge))).groupBy("_node").agg(
-                F.coalesce(F.sum(F.when(F.col("_v") < lookup(F.col("_node"), edge), F.col("_weight"))), F.lit(0)).alias("under"),
-                F.min(F.when(at_edge, F.col(f"_d{last}"))).alias("lo"), F.max(F.when(at_edge, F.col(f"_d{last}"))).alias("hi"),
-            )
-            held = {r["_node"]: r for r in sides.collect()}
-            hash_cut, _ = _weighted_cuts(tie_rows.withColumn("_v", F.col(f"_d{last}")), {n: (last, max(0.0, wanted[n][1] - float(r["under"]))) for n, r in held.items()}, {n: (r["lo"], r["hi"]) for n, r in held.items()})
-        else:
-            hash_cut = {}
-        # rows at or under the cut stay, the others go to the right child
-        col = F.col
-        stay = F.lit(True)
-        branches = []
-        for n in live:
-            if n not in exact:
-                continue
-            first, k = parts.pop(n)
-            parts[first], parts[first + k // 2] = (first, k // 2), (first + k // 2, k - k // 2)
-            v = col(f"_d{axis[n]}")
-            stay = (v < edge[n]) | ((v == edge[n]) & (col(f"_d{last}") <= hash_cut[n])) if n in edge else v <= exact[n]
-            branches.append((n, first + k // 2, stay))
-        for n in [n for n in live if n not in found]:
-            parts[n] = (parts[n][0], 1)
-        new = F.when(F.lit(False), F.lit(0))
-        for n, right, stay in branches:
-            new = new.when((node == n) & ~stay, F.lit(right))
-        node = new.otherwise(node)
-        # written, so that the next level's passes read a column and not five levels of conditions
-        base = materialize(base.withColumn("_next", node).drop("_at").withColumnRenamed("_next", "_at"), "kd-level")
-        node = F.col("_at")
-    return base.select(*[F.col("_row")[c].alias(c) for c in df.columns if c.lower() != "shard"], node.cast("int").alias("shard"))
+    whole = [max(1, ends[2 * i + 1] - ends[2 * i]) for i in range(len(d))]
+    # a spread is told against the whole in the same units
+    whole = [w >> max(0, w.bit_length() - WIDE) for w in whole]
+    # the row travels in one column, so that no name of it clashes with those of the tree
+    place = [_spread(c, ends[2 * i], ends[2 * i + 1]).alias(f"_d{i}") for i, c in enumerate(d)]
+    own = [*place, F.shiftrightunsigned(F.xxhash64(identity, F.lit(29)), 64 - HASH).alias("_h"), F.lit(0).cast("bigint").alias("_node"), F.lit(leaves).cast("bigint").alias("_k")]
+    narrow = ["_weight", *[f"_d{i}" for i in range(len(d))], "_h", "_node", "_k"]
+    base = materialize(df.select(heavy.alias("_weight"), *own).groupBy(*narrow[1:]).agg(F.sum("_weight").alias("_weight")).select(*narrow), "kd-level")
+    levels = []
+    for level in range((leaves - 1).bit_length()):
+        nodes = min(1 << level, leaves)
+        cells = max(64, min(CELLS, ALL_CELLS // nodes))
+        state = materialize(_open_nodes(base, whole, cells), "kd-state")
+        while state.where("_h_cut IS NULL").limit(1).count():
+            before, state = state, materialize(_narrowed(base, state, len(d), nodes, cells), "kd-state")
+            discard(before)
+        levels.append((state, nodes))
+        if level + 1 < (leaves - 1).bit_length():
+            before, base = base, materialize(_descend(base, state, len(d), nodes).select(*narrow), "kd-level")
+            discard(before)
+    discard(base)
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *own)
+    for cuts, nodes in levels:
+        out = _descend(out, cuts, len(d), nodes)
+    return out.select(*[F.col("_row")[c].alias(c) for c in df.columns if c.lower() != "shard"], F.col("_node").cast("int").alias("shard"))
 
 
 def alphabetical(c: Column) -> Column:
