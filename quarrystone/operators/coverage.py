@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quarrystone.functions.identity import posting_identity
 from quarrystone.functions.text import canonical_url, company_key, norm, place_key
+from quarrystone.plans.shared import stored
 
 #: Thresholds of a fuzzy match: sure, and worth a look.
 SURE, LIKELY = 0.90, 0.80
@@ -72,13 +73,14 @@ def coverage_tiers(sample: DataFrame, postings: DataFrame, key: str) -> list[tup
     """The tiers of a coverage audit, surest first: URL, signature, the provider's own id, likeness within the employer.
 
     ``sample``: key, company, title, location, url. ``postings``: posting_id and the same.
-    An id of a provider outside the five matches only with a like title.
+    An id of a provider outside the five matches only with a like title. What each tier
+    compares is worked out once, into tables, so no tier reads a URL again.
     """
     def keyed(df: DataFrame, own: str) -> DataFrame:
         named = [norm(F.col(c)) for c in ("company", "title", "location")]
         return df.select(F.col(own).alias("_id"), F.nullif(canonical_url(F.col("url")), F.lit("")).alias("_url"), F.concat_ws("|", *named).alias("_sig"), posting_identity(F.col("url")).alias("_native"), company_key(F.col("company")).alias("_employer"), "title", "location")
 
-    a, b = keyed(sample, key), keyed(postings, "posting_id")
+    a, b = stored(keyed(sample, key)), stored(keyed(postings, "posting_id"))
     native = F.concat_ws("|", "_native.provider", F.array_join("_native.parts", "|"))
 
     def met(value: Column) -> DataFrame:

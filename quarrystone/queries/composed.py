@@ -8,9 +8,10 @@ from quarrystone.functions import classify as K
 from quarrystone.functions import facts as X
 from quarrystone.functions import scoring as S
 from quarrystone.functions import text as TX
+from quarrystone.operators import dedupe as D
 from quarrystone.queries.registry import query
 from quarrystone.sources import snapshots as SN
-from quarrystone.sources.listings import table
+from quarrystone.sources.listings import observations, table, with_sql
 
 TECH = ["Python", "Java", "SQL", "Linux", "Docker", "AWS", "MATLAB", "Git", "C++", "Kubernetes", "Azure", "TypeScript"]
 HEADS = [("Required Qualifications:", "required"), ("Preferred Qualifications", "preferred"), ("What we're looking for", "required"), ("Skills and abilities", "unspecified")]
@@ -163,3 +164,23 @@ def c20_labels(spark, sf):
     raw = raw.when(k == 3, F.lit("NY01-02-ALBANY-x")).when(k == 4, F.concat(F.lit("12 High St, Salem, OR | Berlin, Land "), w)).when(k == 5, F.concat(F.lit("Spring"), F.lower(w))).otherwise(F.concat(F.lit("OH > fort "), w, F.lit("-upon > Dock 4")))
     states = F.when(k == 5, F.array(F.lit("IL")))
     return table(spark, sf, "customer").select("c_custkey", F.explode(F.transform(TX.split_places(raw), lambda x: TX.place_label(x, states))).alias("place"))
+
+
+@query("d3_native_reconciliation", with_sql("obs") + """, r AS (SELECT *, posting_id % 6 AS t, link_kind = 'direct' AS led, CASE WHEN url IS NULL THEN NULL WHEN t < 4 THEN 'p' || posting_id WHEN led AND t = 4 THEN 'd' || posting_id WHEN led THEN 'e' || company || '/' || title || '/' || location END AS i FROM obs)
+SELECT (list(ordinal ORDER BY led DESC, CASE link_kind WHEN 'direct' THEN 4 WHEN 'listing' THEN 2 ELSE 1 END DESC, posted_at DESC, ordinal DESC))[1] AS id, list_sort(list(DISTINCT source_key)) AS source_keys, max(posted_at) AS posted_at, count(*) AS merged FROM r GROUP BY coalesce(i, 'row ' || ordinal)""")
+def d3_native(spark, sf):
+    """Observations under the URLs of four providers, each in the shapes that it has, under an employer's own numbered URLs, and under one page of openings."""
+    o = observations(spark, sf)
+    k, even = F.col("posting_id").cast("string"), F.col("ordinal") % 2 == 0
+    both = lambda a, b: F.when(even, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in a])).otherwise(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in b]))
+    uuid = F.concat(F.lit("0000abcd-0000-0000-0000-"), F.lpad(k, 12, "0"))
+    forms = [
+        both(["https://boards.greenhouse.io/acme/jobs/", k], ["https://job-boards.greenhouse.io/Acme/jobs/", k, "?gh_src=x"]),
+        both(["https://jobs.ashbyhq.com/acme/", uuid], ["https://jobs.ashbyhq.com/acme/", F.upper(uuid), "/application"]),
+        both(["https://careers-acme.icims.com/jobs/", k, "/engineer/job"], ["https://careers-acme.icims.com/jobs/", k, "/job?mobile=true"]),
+        both(["https://acme.wd1.myworkdayjobs.com/en-US/Ext/job/Albany/Engineer_R-", k], ["https://acme.wd5.myworkdayjobs.com/Ext/job/Engineer_R-", k, "/apply"]),
+        both(["https://jobs.example.com/", F.lpad(k, 9, "0")], ["https://jobs.example.com/", F.lpad(k, 9, "0"), "?utm_source=x"]), F.lit("https://jobs.example.com/openings"),
+    ]
+    url = F.element_at(F.array(*forms), (F.col("posting_id") % 6 + 1).cast("int"))
+    rows = o.select(F.col("ordinal").alias("id"), "company", "title", "location", "link_kind", "posted_at", F.array("source_key").alias("source_keys"), F.when(F.col("url").isNotNull(), url).alias("url"))
+    return D.reconcile(rows, D.reconciliation_identity(rows)).select("id", "source_keys", "posted_at", "merged")
