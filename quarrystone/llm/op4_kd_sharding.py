@@ -26,13 +26,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import discard, materialize, number_rows, read_table
 
 #: Cells of one pass: of a node, and of all nodes together.
-CELLS, ALL_CELLS = 4096, 1 << 22
+CELLS, ALL_CELLS = 1 << 16, 1 << 22
 #: Tables of cuts of at most as many nodes (about 40 bytes each) go to every task.
 SMALL = 1 << 17
 #: Bits of a dimension that are told apart, and of the hash.
@@ -99,6 +99,13 @@ def _narrowed(base: DataFrame, state: DataFrame, dims: int, nodes: int, cells: i
     )
 
 
+def _written(state: DataFrame) -> tuple[DataFrame, int]:
+    """The table of nodes, and how many of them have no cut yet."""
+    seen = Observation()
+    out = materialize(state.observe(seen, F.count_if(F.col("_h_cut").isNull()).alias("open")), "kd-state")
+    return out, seen.get["open"]
+
+
 def _descend(rows: DataFrame, cuts: DataFrame, dims: int, nodes: int) -> DataFrame:
     """``rows`` with the child of their node; a leaf's node is its number, a node's that of its first leaf."""
     at = _with_node(rows, cuts.select("_node", "_axis", "_v_cut", "_h_cut"), nodes).withColumn("_v", _value(dims))
@@ -133,9 +140,10 @@ def kd_shards(df: DataFrame, dims: dict[str, Column], weight: Column, identity:
     for level in range((leaves - 1).bit_length()):
         nodes = min(1 << level, leaves)
         cells = max(64, min(CELLS, ALL_CELLS // nodes))
-        state = materialize(_open_nodes(base, whole, cells), "kd-state")
-        while state.where("_h_cut IS NULL").limit(1).count():
-            before, state = state, materialize(_narrowed(base, state, len(d), nodes, cells), "kd-state")
+        state, open_ = _written(_open_nodes(base, whole, cells))
+        while open_:
+            before = state
+            state, open_ = _written(_narrowed(base, state, len(d), nodes, cells))
             discard(before)
         levels.append((state, nodes))
         if level + 1 < (leaves - 1).bit_length():
