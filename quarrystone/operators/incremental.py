@@ -50,13 +50,21 @@ def queue_state(supported: Column, success_at: Column, attempt_at: Column, faile
     return F.when(~supported, "unsupported").when(F.coalesce(fresh, F.lit(False)), "cached").when(F.coalesce(cooling, F.lit(False)), "retry_cooldown").otherwise("queued")
 
 
-def freshness_verdict(runs: DataFrame, generated_at: Column, reference: Column, threshold_hours: float, progress_minutes: float) -> DataFrame:
-    """Whether a snapshot is stale, unless a run that began a moment ago is at it. runs: status, started_at."""
-    s = runs.agg(F.max(F.when(F.col("status") == "in_progress", F.col("started_at"))).alias("running"), F.max(F.when(F.col("status") == "success", F.col("started_at"))).alias("succeeded"), F.max(generated_at).alias("generated"))
-    hours = (reference.cast("double") - F.col("generated").cast("double")) / 3600
-    busy = reference.cast("double") - F.col("running").cast("double") <= progress_minutes * 60
+def freshness_verdict(runs: DataFrame, generated_at: Column, reference: Column, threshold_hours: float, progress_minutes: float, by: list[str] | None = None) -> DataFrame:
+    """Whether a snapshot is stale, unless a run that began a moment ago is at it. runs: status, started_at.
+
+    With ``by`` a verdict for each key, as of the latest ``reference`` of its runs. What was
+    never generated has no age and is stale unless a run is at it; a run that begins after the
+    reference is at it.
+    """
+    started = lambda status: F.max(F.when(F.col("status") == status, F.col("started_at")))
+    keys = list(by or [])
+    s = runs.groupBy(*keys).agg(started("in_progress").alias("_running"), F.max(generated_at).alias("_generated"), F.max(reference).alias("_reference"))
+    now = F.col("_reference").cast("double")
+    hours = (now - F.col("_generated").cast("double")) / 3600
+    busy = now - F.col("_running").cast("double") <= progress_minutes * 60
     verdict = F.when(hours <= threshold_hours, "fresh").when(F.coalesce(busy, F.lit(False)), "in_progress").otherwise("stale")
-    return s.select(hours.alias("age_hours"), verdict.alias("verdict"))
+    return s.select(*keys, hours.alias("age_hours"), verdict.alias("verdict"))
 
 
 def carry_link_status(current: DataFrame, previous: DataFrame) -> DataFrame:
