@@ -61,11 +61,32 @@ def best_tier(left: DataFrame, key: str, tiers: list[DataFrame], value: str) ->
     return left.join(kept, key, "left")
 
 
+def _parts(values: DataFrame, text: str, lengths: DataFrame, text_of: str) -> DataFrame:
+    """``values`` with ``_part``: every stretch of ``text`` that is as long as some ``text_of`` in ``lengths``, and shorter than the whole."""
+    held = lengths.agg(F.collect_set(F.length(text_of)).alias("_lengths"))
+    n = F.length(text)
+    each = values.crossJoin(F.broadcast(held)).select(*values.columns, F.explode(F.filter("_lengths", lambda x: x < n)).alias("_l"))
+    return each.withColumn("_part", F.explode(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_l") + 1), lambda i: F.substring(F.col(text), i, F.col("_l"))))).drop("_l")
+
+
 def containment_match(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, value: str, key: str) -> DataFrame:
-    """Equal keys, and one place within the other; only where a single candidate is left."""
-    x, y = place_key(F.col(a)), place_key(F.col(b))
-    both = left.join(right, on).where((x == y) | F.contains(x, y) | F.contains(y, x))
-    return both.groupBy(key).agg(F.min(value).alias(value), F.countDistinct(value).alias("_n")).where("_n = 1").drop("_n")
+    """Equal keys, and one place within the other; only where a single candidate is left.
+
+    Places meet as equals of stretches of each other, each distinct one once and with the
+    least and the greatest of its values, which tell whether there is one; so no row meets
+    every row of its key.
+    """
+    x = left.select(key, *on, place_key(F.col(a)).alias("_x"))
+    ends = lambda low, high: [F.min(low).alias("_low"), F.max(high).alias("_high")]
+    again = ends("_low", "_high")
+    y = right.select(*on, place_key(F.col(b)).alias("_y"), value).groupBy(*on, "_y").agg(*ends(value, value))
+    places = x.select(*on, "_x").distinct()
+    same = places.join(y.withColumnRenamed("_y", "_x"), [*on, "_x"])
+    within = _parts(y, "_y", places, "_x").groupBy(*on, F.col("_part").alias("_x")).agg(*again).join(places, [*on, "_x"])
+    around = _parts(places, "_x", y, "_y").join(y.withColumnRenamed("_y", "_part"), [*on, "_part"])
+    best = reduce(DataFrame.unionByName, [t.select(*on, "_x", "_low", "_high") for t in (same, within, around)]).groupBy(*on, "_x").agg(*again)
+    found = x.join(best, [*on, "_x"]).groupBy(key).agg(*again)
+    return found.where("_low = _high").select(key, F.col("_low").alias(value))
 
 
 def alias_match(postings: DataFrame, aliases: DataFrame, employers: DataFrame) -> DataFrame:

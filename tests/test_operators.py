@@ -129,6 +129,22 @@ def test_radius_join_equals_all_pairs(spark):
     assert got == want and (900, "line") in got and (901, "pole") in got
 
 
+def test_containment_match_equals_all_pairs(spark):
+    rng = random.Random(31)
+    place = lambda: rng.choice(["", None, "Ab", "Saint Abel", "St. Abel", "abel, NY", *("".join(rng.choice("abn ") for _ in range(rng.randint(1, 6))) for _ in range(4))])
+    key = lambda: rng.choice([1, 2, 3, 4, 5, 6, None])
+    a, b = [(i % 70, key(), place()) for i in range(90)], [(rng.choice([None, i % 9]), key(), place()) for i in range(24)]
+    left, right = spark.createDataFrame(a, "id long, k long, a string"), spark.createDataFrame(b, "v long, k long, b string")
+    x, y = joins.place_key(F.col("a")), joins.place_key(F.col("b"))
+    both = left.join(right, "k").where((x == y) | F.contains(x, y) | F.contains(y, x))
+    want = {(r.id, r.v) for r in both.groupBy("id").agg(F.min("v").alias("v"), F.countDistinct("v").alias("n")).where("n = 1").collect()}
+    got = joins.containment_match(left, right, ["k"], "a", "b", "v", "id")
+    assert {(r.id, r.v) for r in got.collect()} == want and len(want) > 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # no row is compared with every row of its key: all joins of the two sides have the place among their keys
+    assert "contains" not in plan.lower()
+
+
 def test_similarity_join_is_salted_without_loss(spark):
     rng = random.Random(9)
     words = ["data", "software", "intern", "engineer", "summer", "analyst"]
