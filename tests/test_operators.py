@@ -155,6 +155,31 @@ def test_similarity_join_is_salted_without_loss(spark):
     assert get(10) == get(10_000) and get(10)
 
 
+def test_similarity_links_count_every_pair_of_the_join(spark):
+    rng = random.Random(12)
+    words = ["data", "software", "intern", "engineer", "summer", "analyst"]
+    title = lambda: rng.choice([None, "", " ".join(rng.sample(words, 3))])
+    rows = lambda n: [(i, rng.choice(["e", "f", None]), title(), rng.choice(["Albany", "Albany, NY", "Boston", None])) for i in range(n)] * 1
+    s = spark.createDataFrame(rows(60) + [(100 + i, "e", "Data Intern", "Albany") for i in range(40)], "d long, emp string, title string, location string")
+    p = spark.createDataFrame(rows(80) + [(100 + i, "e", "data intern", "Albany") for i in range(50)], "id long, emp string, title string, location string")
+    pairs = coverage.similarity_join(s, p, "emp", "d", "id").collect()
+    want = {}
+    for r in pairs:
+        n, best = want.get(r.d, (0, (9.0, 0)))
+        want[r.d] = (n + 1, min(best, (-r.score, r.id)))
+    got = coverage.similarity_links(s, p, "emp", "d", "id").collect()
+    assert len(got) == 100 and {r.d: (r.links, (-r.score, r.id)) for r in got if r.links} == want
+    assert {(r.class_id, r.links) for r in got if r.d >= 100} == {(100, want[100][0])} and want[100][0] >= 50
+    assert {(r.d, -r.score, r.id) for r in coverage.best_similar(s, p, "emp", "d", "id").collect()} == {(d, *b) for d, (_, b) in want.items()}
+
+
+def test_coverage_tiers_give_one_match_a_row(spark):
+    s = spark.createDataFrame([(i, "Acme", "Data Intern", "Albany", "https://x.example.com/1") for i in range(5)], "k long, company string, title string, location string, url string")
+    p = s.withColumnRenamed("k", "posting_id").unionByName(s.withColumnRenamed("k", "posting_id").withColumn("posting_id", F.col("posting_id") + 7))
+    tiers = dict(coverage.coverage_tiers(s, p, "k"))
+    assert {name: sorted((r.k, r.posting_id) for r in tiers[name].collect()) for name in ("url", "signature", "fuzzy")} == {name: [(i, 0) for i in range(5)] for name in ("url", "signature", "fuzzy")}
+
+
 def test_last_good_keeps_values_through_failures(spark):
     t = datetime(2026, 1, 1, tzinfo=timezone.utc)
     cache = spark.createDataFrame([("a", 1, t, t, None), ("b", 2, t, t, None)], "k string, v int, last_attempted_at timestamp, last_success_at timestamp, last_error string")
