@@ -261,20 +261,26 @@ def qualification_fit(facts: DataFrame, skills: DataFrame, families: DataFrame,
     Exact skills earn 4 when required and 3 otherwise, cautious ones half, adjacent ones
     1; a required gap costs 3, and costs stop at 12. Pairs meet on skills or families only,
     which most do; so give the ``pairs`` (profile_id, posting_id) that gates have left:
-    then only they are looked at.
+    then only they are looked at. Each distinct set of skills meets a profile once.
     """
-    asked = facts.select("posting_id", F.col("technology").alias("skill"), (F.col("level") == "required").alias("required")).groupBy("posting_id", "skill").agg(F.max("required").alias("required"))
-    worth = F.when(F.col("required"), 4.0).otherwise(3.0)
+    each = facts.where("posting_id is not null").groupBy("posting_id", F.col("technology").alias("skill")).agg(F.max(F.col("level") == "required").alias("required"))
+    asked = each.groupBy("posting_id").agg(F.sort_array(F.collect_list(F.struct("skill", "required"))).alias("asked"))
     # what a profile has to offer for each skill: the skill itself, or one of its family
     held = skills.groupBy("profile_id", "skill").agg(F.max(F.col("support") == "supported").alias("sure"))
     kin = skills.join(families, "skill").select("profile_id", "family").distinct().join(families, "family").select("profile_id", "skill", F.lit(1.0).alias("adjacent")).distinct()
     offer = held.join(kin, ["profile_id", "skill"], "full_outer")
-    rows = asked.join(offer, "skill") if pairs is None else pairs.select("profile_id", "posting_id").distinct().join(asked, "posting_id").join(offer, ["profile_id", "skill"])
+    # postings that ask the same are judged once: what is summed up grows with distinct sets of skills, not with postings
+    given = None if pairs is None else pairs.select("profile_id", "posting_id").distinct().join(asked, "posting_id")
+    sets = asked.select("asked").distinct() if given is None else given.select("profile_id", "asked").distinct()
+    rows = sets.select("*", F.inline("asked")).join(offer, ["skill"] if given is None else ["profile_id", "skill"])
+    worth = F.when(F.col("required"), 4.0).otherwise(3.0)
     points = F.greatest(F.when(F.col("sure"), worth).when(~F.col("sure"), worth / 2), F.col("adjacent"))
-    got = rows.groupBy("profile_id", "posting_id").agg(F.sum(points).alias("earned"), F.count_if("required").alias("met"))
-    needs = asked.groupBy("posting_id").agg(F.count_if("required").alias("needed"))
-    gap = F.least(F.lit(12.0), (F.col("needed") - F.col("met")) * 3.0)
-    return got.join(needs, "posting_id").select("profile_id", "posting_id", F.greatest(F.lit(0.0), F.least(F.lit(45.0), base + F.col("earned") - gap)).alias("fit"))
+    got = rows.groupBy("profile_id", "asked").agg(F.sum(points).alias("earned"), F.count_if("required").alias("met"))
+    needed = F.size(F.filter("asked", lambda x: x["required"]))
+    gap = F.least(F.lit(12.0), (needed - F.col("met")) * 3.0)
+    fits = got.select("profile_id", "asked", F.greatest(F.lit(0.0), F.least(F.lit(45.0), base + F.col("earned") - gap)).alias("fit"))
+    out = asked.join(fits, "asked") if given is None else given.join(fits, ["profile_id", "asked"])
+    return out.select("profile_id", "posting_id", "fit")
 
 
 def offers(skills: DataFrame, families: DataFrame) -> DataFrame:

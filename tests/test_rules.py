@@ -194,6 +194,34 @@ def test_academic_support(spark):
     assert {r.posting_id: (r.bonus, r.met, r.open, r.asked) for r in scoring.academic_support(f, who, pairs).collect()} == {1: (4, 1, 0, 1), 2: (0, 0, 1, 1)}
 
 
+def test_qualification_fit_judges_each_set_of_skills_once(spark):
+    rng = random.Random(33)
+    facts = [(i, rng.choice(["required", "preferred", None]), rng.choice([*"abcdef", None])) for i in range(40) for _ in range(rng.randint(1, 4))] + [(i, "required", "a") for i in range(100, 160)]
+    skills = [(q, rng.choice("abcdef"), rng.choice(["supported", "cautious"])) for q in range(6) for _ in range(2)]
+    kin = {"a": "x", "b": "x", "c": "y", "d": "y", "e": "z"}
+    want = {}
+    for q in range(6):
+        sure = {k: any(h == "supported" for p, s, h in skills if (p, s) == (q, k)) for p, k, _ in skills if p == q}
+        near = {k for k, f in kin.items() if f in {kin.get(s) for s in sure}}
+        for g in {g for g, _, _ in facts}:
+            asked = {}
+            for x, level, k in facts:
+                if x == g:
+                    asked[k] = asked.get(k) or level == "required"
+            got = {k: max((4.0 if r else 3.0) / (1 if sure[k] else 2) if k in sure else 0.0, 1.0 if k in near else 0.0) for k, r in asked.items() if k in sure or k in near}
+            if got:
+                want[q, g] = max(0.0, min(45.0, 20 + sum(got.values()) - min(12.0, 3.0 * (sum(bool(r) for r in asked.values()) - sum(bool(asked[k]) for k in got)))))
+    f, s = spark.createDataFrame(facts, "posting_id long, level string, technology string"), spark.createDataFrame(skills, "profile_id long, skill string, support string")
+    fam = spark.createDataFrame(list(kin.items()), "skill string, family string")
+    every = scoring.qualification_fit(f, s, fam)
+    pairs = spark.createDataFrame([(q, g) for q, g in itertools.product(range(6), range(0, 160, 3))], "profile_id long, posting_id long")
+    assert {(r.profile_id, r.posting_id): r.fit for r in every.collect()} == want
+    assert {(r.profile_id, r.posting_id): r.fit for r in scoring.qualification_fit(f, s, fam, pairs=pairs).collect()} == {k: v for k, v in want.items() if k[1] % 3 == 0}
+    # no aggregation is over pairs of profile and posting
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[(?:profile_id#\d+L, posting_id#|posting_id#\d+L, profile_id#)", plan)
+
+
 def test_similarity_join_equals_all_pairs(spark):
     rng = random.Random(20)
     words = ["data", "software", "intern", "engineer", "summer", "analyst", "2026", "remote"]
