@@ -239,16 +239,20 @@ def discover_boards(evidence: DataFrame, configured: DataFrame, quarantined: Dat
     return out.select("board", "f.company", "f.url", "evidence")
 
 
-def plausible_domains(names: DataFrame, domains: DataFrame) -> DataFrame:
+def plausible_domains(names: DataFrame, domains: DataFrame, salts: int = 16) -> DataFrame:
     """Pairs (employer_id, domain) where a name's first word begins the domain's label, or the compact name holds it.
 
-    They meet on the first four letters of word and label.
+    They meet on the first four letters of word and label. An employer's names with the
+    same letters are one row, so each pair is made once and none is compared with the
+    others; employers are dealt out before they meet domains, and letters that many share
+    over ``salts`` parts, to each of which the domains go.
     """
     label = F.regexp_extract(F.lower("domain"), r"([^.]+)\.[^.]+$", 1)
     word = F.split(F.lower("name"), r"[^a-z0-9]+")[0]
-    a = names.select("employer_id", word.alias("w"), compact(F.col("name")).alias("c")).withColumn("t", F.substring("w", 1, 4)).where(F.length("t") >= 3)
-    b = domains.select("domain", label.alias("l")).withColumn("t", F.substring("l", 1, 4))
-    return a.join(b, "t").where(F.startswith(F.col("l"), F.col("w")) | F.contains(F.col("c"), F.col("l"))).select("employer_id", "domain").distinct()
+    a = names.where("name is not null").select("employer_id", F.struct(word.alias("w"), compact(F.col("name")).alias("c")).alias("n")).withColumn("t", F.substring("n.w", 1, 4)).where(F.length("t") >= 3)
+    a = a.groupBy("employer_id", "t").agg(F.collect_set("n").alias("said")).withColumn("_s", F.pmod(F.xxhash64("employer_id"), F.lit(salts)))
+    b = domains.select("domain", label.alias("l")).distinct().withColumn("t", F.substring("l", 1, 4)).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return a.join(b, ["t", "_s"]).where(F.exists("said", lambda n: F.startswith(F.col("l"), n["w"]) | F.contains(n["c"], F.col("l")))).select("employer_id", "domain")
 
 
 def brand_override(rows: DataFrame, boards: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -155,6 +156,24 @@ def test_similarity_join_is_salted_without_loss(spark):
     assert get(10) == get(10_000) and get(10)
 
 
+def test_plausible_domains_are_dealt_out(spark):
+    names = [(i % 30, n) for i, n in enumerate(["Acme Tools", "acme-tools", "Acm", "Beta Works", "Be", "Works", "", None, "acme", "Example 1"] * 9)] + [(None, "Acme"), (None, "Acme")]
+    hosts = ["acme.com", "www.acmetools.com", "acmetoolsplus.org", "acm.edu", "betaworks.io", "example.com", "a.example.com", "acme.com", None]
+    n, d = spark.createDataFrame(names, "employer_id long, name string"), spark.createDataFrame([(h,) for h in hosts], "domain string")
+    want = set()
+    for e, name in names:
+        w, c = re.split("[^a-z0-9]+", (name or "").lower())[0], re.sub("[^a-z0-9]+", "", (name or "").lower())
+        for h in filter(None, hosts):
+            label = h.split(".")[-2]
+            if len(w[:4]) >= 3 and w[:4] == label[:4] and (label.startswith(w) or label in c):
+                want.add((e, h))
+    got = joins.plausible_domains(n, d)
+    rows = [(r.employer_id, r.domain) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 10
+    # the pairs themselves are neither gathered nor compared
+    assert "employer_id" in got._jdf.queryExecution().optimizedPlan().toString() and not re.search(r"Aggregate \[employer_id#\d+L?, domain#", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_similarity_links_count_every_pair_of_the_join(spark):
     rng = random.Random(12)
     words = ["data", "software", "intern", "engineer", "summer", "analyst"]
