@@ -19,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HITS = "array<struct<name: string, start: int, stop: int, clause: int, line: int, text: string>>"
+#: Characters of text whose hits a task holds in Python at once.
+AT_ONCE = 1_000_000
 #: Words after a capital at a sentence's begin that leave it a name, and words before a single letter that make it one.
 NAME_GOES_ON = {"and", "or", "is", "are", "experience", "knowledge", "skills", "required", "preferred", "programming", "development", "developer", "a"}
 LETTER_FOLLOWS, JOINS = {"in", "with", "using", "language", "languages"}, {"and", "or", "like", "of"}
@@ -94,12 +96,24 @@ class Phrases:
         own = self
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            words = own._automaton()
-            for texts in batches:
-                yield pd.Series([own.find(t, words) if t else [] for t in texts])
+            return own.found(batches)
 
         return F.pandas_udf(run, HITS)(text)
 
+    def found(self, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """The hits of all texts in their order, in series of about ``AT_ONCE`` characters: hits take many times the room of their texts, so those of a whole batch are never held."""
+        words = self._automaton()
+        for texts in batches:
+            out, size = [], 0
+            for t in texts:
+                out.append(self.find(t, words) if t else [])
+                size += len(t or "") + 1
+                if size >= AT_ONCE:
+                    yield pd.Series(out)
+                    out, size = [], 0
+            if out:
+                yield pd.Series(out)
+
 
 def has(hits: Column, *names: str) -> Column:
     """Whether a phrase of one of the tables was found."""

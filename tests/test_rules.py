@@ -7,6 +7,7 @@ from datetime import date, datetime, timezone
 from difflib import SequenceMatcher
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarrystone.functions import classify, facts, identity, pay, scoring, text
@@ -194,6 +195,23 @@ def test_academic_support(spark):
     assert {r.posting_id: (r.bonus, r.met, r.open, r.asked) for r in scoring.academic_support(f, who, pairs).collect()} == {1: (4, 1, 0, 1), 2: (0, 0, 1, 1)}
 
 
+def test_hits_of_a_batch_come_in_parts(spark):
+    from quarrystone.functions.phrases import AT_ONCE, Phrases
+
+    book = Phrases({"tool": ["Python", "SQL"]})
+    texts = [None if i % 97 == 0 else "" if i % 89 == 0 else "Python and SQL. " * (i % 400) for i in range(2000)] + ["SQL " * AT_ONCE]
+    parts = list(book.found(iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["SQL"])])))
+    assert [h for part in parts for h in part] == [book.find(t) if t else [] for t in [*texts, "SQL"]]
+    sizes, at = [], 0
+    for part in parts:
+        sizes.append(sum(len(t or "") for t in [*texts, "SQL"][at : at + len(part)][:-1]))
+        at += len(part)
+    assert max(sizes) < AT_ONCE and len(parts) > 5
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:2000])], "i int, t string").repartition(1)
+    got = {r.i: r.n for r in rows.select("i", F.size(book.hits(F.col("t"))).alias("n")).collect()}
+    assert got == {i: len(book.find(t)) if t else 0 for i, t in enumerate(texts[:2000])}
+
+
 def test_qualification_fit_judges_each_set_of_skills_once(spark):
     rng = random.Random(33)
     facts = [(i, rng.choice(["required", "preferred", None]), rng.choice([*"abcdef", None])) for i in range(40) for _ in range(rng.randint(1, 4))] + [(i, "required", "a") for i in range(100, 160)]
