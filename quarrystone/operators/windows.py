@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.plans.shared import dealt
+
 
 def rank_postings(scored: DataFrame, top: int | None = None) -> DataFrame:
     """``scored`` with ``rank`` per profile: guaranteed minimum, maximum, newest, company, id."""
@@ -22,7 +24,8 @@ def inspection_queue(postings: DataFrame, url: str, provider: str, reference: Co
     named = F.lower(F.trim(F.coalesce(F.col(term), F.lit("")))) if term else F.lit("")
     wanted = F.lower(F.trim(target)) if target is not None else F.lit("")
     fits = F.max(F.when(named == wanted, 2).when(named == "", 1).otherwise(0))
-    groups = postings.groupBy(url, provider).agg(F.max("posted_at").alias("newest"), F.max("score").alias("score"), F.max(pending.cast("int")).alias("pending"), (2 - fits).alias("term_band"))
+    rows = postings.select(url, provider, "posted_at", "score", pending.cast("int").alias("_pending"), *([term] if term else []))
+    groups = dealt(rows, url, provider).groupBy(url, provider).agg(F.max("posted_at").alias("newest"), F.max("score").alias("score"), F.max("_pending").alias("pending"), (2 - fits).alias("term_band"))
     age = F.floor((reference.cast("double") - F.col("newest").cast("double")) / 86400)
     band = F.when(age.isNotNull(), F.lit(len(bands))).otherwise(len(bands) + (1 if term else 0))
     for i, days in reversed(list(enumerate(bands))):

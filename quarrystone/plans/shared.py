@@ -32,6 +32,15 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` before it is grouped by them.
+
+    Where nearly every row is a group of its own, adding up before the shuffle saves
+    nothing, and holds the groups of a whole split of a file in one task's memory.
+    """
+    return df.repartition(*keys)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a stored table that no later plan reads."""
     at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)

@@ -7,6 +7,7 @@ from quarrystone.functions.text import canonical_url, message_template, norm
 from quarrystone.operators import dedupe as D
 from quarrystone.operators import sets as U
 from quarrystone.operators import windows as W
+from quarrystone.plans.shared import dealt
 from quarrystone.queries.registry import query
 from quarrystone.queries.reports import REF, reference
 from quarrystone.sources.listings import observations, postings, source_health, table, with_sql
@@ -114,7 +115,7 @@ def w11(spark, sf):
 def w12(spark, sf):
     from pyspark.sql import Window
 
-    d = observations(spark, sf).select("posting_id", F.col("location").alias("value")).distinct()
+    d = dealt(observations(spark, sf).select("posting_id", F.col("location").alias("value")), "posting_id").distinct()
     pos = F.row_number().over(Window.partitionBy("posting_id").orderBy("value"))
     n = F.length("value")
     return W.order_locations(d.withColumn("pos", pos).withColumn("first_distance", F.when(n % 2 == 0, n.cast("double"))).withColumn("least_distance", (F.ascii(F.right("value", F.lit(1))) % 5).cast("double")))
@@ -228,7 +229,7 @@ def d11(spark, sf):
 SELECT posting_id, piece FROM l QUALIFY row_number() OVER (PARTITION BY posting_id, left(split_part(piece, ' ', 1), 1) || left(split_part(piece, ' ', 2), 1) ORDER BY piece) = 1""")
 def d12(spark, sf):
     text = F.array_join(F.array_sort(F.collect_set(F.replace(F.lower("location"), F.lit("_"), F.lit(" ")))), "; ")
-    rows = observations(spark, sf).groupBy("posting_id").agg(text.alias("all"))
+    rows = dealt(observations(spark, sf).select("posting_id", "location"), "posting_id").groupBy("posting_id").agg(text.alias("all"))
     return D.location_pieces(rows, "posting_id", F.col("all")).select("posting_id", "piece")
 
 

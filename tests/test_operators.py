@@ -5,9 +5,11 @@ import random
 import re
 from datetime import datetime, timezone
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystone.catalog import QUERIES
 from quarrystone.functions import classify, facts, identity, pay, scoring, text
 from quarrystone.operators import coverage, dedupe, incremental, joins, predicates, windows
 from quarrystone.plans.components import components
@@ -156,6 +158,14 @@ def test_similarity_join_is_salted_without_loss(spark):
     assert get(10) == get(10_000) and get(10)
 
 
+@pytest.mark.parametrize("name", ["w2_inspection_queue", "w2_term_queue", "w12_order_locations", "d12_location_pieces"])
+def test_rows_are_dealt_out_before_they_are_grouped(spark, name):
+    plan = QUERIES[name](spark, oracle.SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    # from the top down, the scans come after the last exchange; nothing is added up below it
+    below = plan[plan.rindex("REPARTITION_BY_COL") :]
+    assert "Aggregate(" not in below and "Window" not in below
+
+
 def test_plausible_domains_are_dealt_out(spark):
     names = [(i % 30, n) for i, n in enumerate(["Acme Tools", "acme-tools", "Acm", "Beta Works", "Be", "Works", "", None, "acme", "Example 1"] * 9)] + [(None, "Acme"), (None, "Acme")]
     hosts = ["acme.com", "www.acmetools.com", "acmetoolsplus.org", "acm.edu", "betaworks.io", "example.com", "a.example.com", "acme.com", None]
