@@ -92,10 +92,12 @@ def split_by_rules(df: DataFrame, key: str, order: str, structural: dict[str, Co
     A rule holds where its column is true. All three come from one plan.
     """
     w = Window.partitionBy(key).orderBy(order)
-    rows = df.withColumn("_n", F.row_number().over(w))
-    hard = array_of(*[F.when(c, F.lit(n)) for n, c in structural.items()], F.when(F.col("_n") > 1, "duplicate id"))
-    soft = array_of(*[F.when(c, F.lit(n)) for n, c in downgrade.items()])
-    rows = rows.withColumn("_hard", hard).withColumn("_soft", soft).drop("_n")
+    # rules are judged before rows are ordered, so that what only they read is not ordered with them
+    flags = {**{f"_h{i}": c for i, c in enumerate(structural.values())}, **{f"_d{i}": c for i, c in enumerate(downgrade.values())}}
+    rows = df.withColumns(flags).withColumn("_n", F.row_number().over(w))
+    hard = array_of(*[F.when(F.col(f"_h{i}"), F.lit(n)) for i, n in enumerate(structural)], F.when(F.col("_n") > 1, "duplicate id"))
+    soft = array_of(*[F.when(F.col(f"_d{i}"), F.lit(n)) for i, n in enumerate(downgrade)])
+    rows = rows.withColumn("_hard", hard).withColumn("_soft", soft).drop("_n", *flags)
     out = lambda test, reasons: rows.where(test).withColumn("reasons", reasons).drop("_hard", "_soft")
     return {
         "valid": out((F.size("_hard") == 0) & (F.size("_soft") == 0), F.col("_soft")),
