@@ -56,9 +56,9 @@ def carry_forward(current: DataFrame, previous: DataFrame, failed: DataFrame, ke
 def best_tier(left: DataFrame, key: str, tiers: list[DataFrame], value: str) -> DataFrame:
     """Per row the candidates of its first tier that has any, kept only if one is left. Each tier: (key, value)."""
     every = reduce(DataFrame.unionByName, [t.select(key, value, F.lit(i).alias("tier")) for i, t in enumerate(tiers, 1)])
-    first = every.groupBy(key).agg(F.min("tier").alias("tier"))
-    kept = every.join(first, [key, "tier"]).groupBy(key, "tier").agg(F.min(value).alias(value), F.max(value).alias("_max")).where(F.col(value) == F.col("_max")).drop("_max")
-    return left.join(kept, key, "left")
+    ends = every.groupBy(key, "tier").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    first = ends.groupBy(key).agg(F.min(F.struct("tier", "_low", "_high")).alias("_f")).select(key, "_f.*")
+    return left.join(first.where("_low = _high").select(key, "tier", F.col("_low").alias(value)), key, "left")
 
 
 def _parts(values: DataFrame, text: str, lengths: DataFrame, text_of: str) -> DataFrame:

@@ -166,6 +166,26 @@ def test_rows_are_dealt_out_before_they_are_grouped(spark, name):
     assert "Aggregate(" not in below and "Window" not in below
 
 
+def test_first_tier_is_found_without_its_rows(spark):
+    rng = random.Random(5)
+    tiers = [[(rng.choice([None, *range(12)]), rng.choice([None, 1, 2, 3])) for _ in range(n)] for n in (8, 20)]
+    left = spark.createDataFrame([(i,) for i in [*range(14), None]], "k int")
+    got = joins.best_tier(left, "k", [spark.createDataFrame(t, "k int, v int") for t in tiers], "v")
+    want = {}
+    for k in [*range(14), None]:
+        i, held = next(((i, [v for x, v in t if x == k]) for i, t in enumerate(tiers, 1) if k is not None and any(x == k for x, _ in t)), (None, []))
+        values = {v for v in held if v is not None}
+        want[k] = (i, *values) if len(values) == 1 else (None, None)
+    assert {r.k: (r.tier, r.v) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_quarantine_orders_only_keys_and_verdicts(spark):
+    plan = QUERIES["p8_quarantine"](spark, oracle.SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    ordered = re.search(r"Window \[.*\n.*Project \[(.*)\]", plan)[1]
+    assert "_h0" in ordered and " AS url#" not in ordered
+
+
 def test_plausible_domains_are_dealt_out(spark):
     names = [(i % 30, n) for i, n in enumerate(["Acme Tools", "acme-tools", "Acm", "Beta Works", "Be", "Works", "", None, "acme", "Example 1"] * 9)] + [(None, "Acme"), (None, "Acme")]
     hosts = ["acme.com", "www.acmetools.com", "acmetoolsplus.org", "acm.edu", "betaworks.io", "example.com", "a.example.com", "acme.com", None]
