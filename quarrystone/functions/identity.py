@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import canonical_url, host, url_part
+from quarrystone.functions.text import bound, canonical_url, host, url_part
 
 
 @dataclass(frozen=True)
@@ -39,19 +39,20 @@ def _groups(pattern: str) -> int:
     return re.compile(pattern).groups
 
 
-def _parts(url: Column, rule: Rule) -> list[Column]:
+def _parts(of: Column, path: Column, rule: Rule) -> list[Column]:
+    return [F.lower(F.regexp_extract(of, rule.host, i + 1)) for i in range(_groups(rule.host))] + [F.regexp_extract(path, rule.path, i + 1) for i in range(_groups(rule.path))]
+
+
+def _by_rule(url: Column, rules, made) -> Column:
+    """``made`` of the first rule that fits and its parts; a path is read only where the host fits."""
     path = F.coalesce(url_part(url, "PATH"), F.lit(""))
-    return [F.lower(F.regexp_extract(host(url), rule.host, i + 1)) for i in range(_groups(rule.host))] + [F.regexp_extract(path, rule.path, i + 1) for i in range(_groups(rule.path))]
+    by = lambda h, r: F.when(h.rlike(r.host), bound(path, lambda p: F.when(p.rlike(r.path), made(r, _parts(h, p, r)))))
+    return bound(host(url), lambda h: F.coalesce(*[by(h, r) for r in rules]))
 
 
 def posting_identity(url: Column, rules=RULES) -> Column:
     """struct<provider, parts array<string>>, null where no rule fits."""
-    path = F.coalesce(url_part(url, "PATH"), F.lit(""))
-    out = F.lit(None)
-    for r in reversed(rules):
-        fits = host(url).rlike(r.host) & path.rlike(r.path)
-        out = F.when(fits, F.struct(F.lit(r.provider).alias("provider"), F.array(*[F.lower(p) for p in _parts(url, r)]).alias("parts"))).otherwise(out)
-    return out
+    return _by_rule(url, rules, lambda r, parts: F.struct(F.lit(r.provider).alias("provider"), F.array(*[F.lower(p) for p in parts]).alias("parts")))
 
 
 def identity_key(url: Column, rules=RULES) -> Column:
@@ -63,14 +64,14 @@ def identity_key(url: Column, rules=RULES) -> Column:
 
 def native_url(url: Column, rules=RULES) -> Column:
     """The provider's own form of a posting's URL; null where no rule fits."""
-    path = F.coalesce(url_part(url, "PATH"), F.lit(""))
-    out = F.lit(None).cast("string")
-    for r in reversed(rules):
-        form = F.lit(r.url)
-        for i, p in enumerate(_parts(url, r)):
-            form = F.replace(form, F.lit(f"{{{i}}}"), p)
-        out = F.when(host(url).rlike(r.host) & path.rlike(r.path), form).otherwise(out)
-    return out
+
+    def form(r: Rule, parts: list[Column]) -> Column:
+        out = F.lit(r.url)
+        for i, p in enumerate(parts):
+            out = F.replace(out, F.lit(f"{{{i}}}"), p)
+        return out
+
+    return _by_rule(url, rules, form)
 
 
 def id_tokens(url: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.identity import posting_identity
-from quarrystone.functions.text import canonical_url, host, norm
+from quarrystone.functions.text import bound, canonical_url, host, norm
 from quarrystone.plans.components import components
 from quarrystone.plans.shared import stored
 from quarrystone.sources.listings import link_kind_rank, provenance_rank
@@ -67,23 +67,21 @@ def _names_posting(text: Column) -> Column:
     number = lambda p: (F.length(p) >= 8) & (F.translate(p, "0123456789", "") == "")
     uuid = lambda p: (F.length(p) >= 36) & (F.instr(p, "-") == 9) & (F.translate(F.lower(p), "0123456789abcdef-", "") == "")
     pieces = F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9-]+")
-    return F.exists(pieces, lambda p: uuid(p) | F.exists(F.split(p, "-"), number))
+    return F.exists(pieces, lambda p: (F.length(p) >= 8) & (uuid(p) | F.exists(F.split(p, "-"), number)))
 
 
 def reconciliation_identity(rows: DataFrame) -> Column:
     """What two copies of a posting share: the provider's own id, else of direct links the URL if it names one posting, else the URL with company, title and place; null otherwise."""
-    url = canonical_url(F.col("url"))
-    native = posting_identity(F.col("url"))
-    in_path = _names_posting(F.substring_index(url, "?", 1))
-    values = F.filter(F.split(F.regexp_extract(url, r"\?(.*)$", 1), "&"), lambda x: F.lower(F.substring_index(x, "=", 1)).isin(POSTING_PARAMETERS))
-    named = in_path | F.exists(values, lambda x: _names_posting(F.regexp_extract(x, "=(.*)$", 1)))
-    described = [norm(F.col(c)) for c in ("company", "title", "location")]
-    whole = (described[0] != "") & (described[1] != "") & (described[2] != "")
-    direct = (F.col("link_kind") == "direct") & (url != "")
-    return (
-        F.when(native.isNotNull(), F.concat_ws("|", native["provider"], F.array_join(native["parts"], "|")))
-        .when(direct & named, F.concat(F.lit("direct-posting-url|"), url)).when(direct & whole, F.concat_ws("|", F.lit("direct-url"), url, *described))
-    )
+    described = F.array(*[norm(F.col(c)) for c in ("company", "title", "location")])
+
+    def direct(url: Column) -> Column:
+        values = F.filter(F.split(F.regexp_extract(url, r"\?(.*)$", 1), "&"), lambda x: F.lower(F.substring_index(x, "=", 1)).isin(POSTING_PARAMETERS))
+        named = _names_posting(F.substring_index(url, "?", 1)) | F.exists(values, lambda x: _names_posting(F.regexp_extract(x, "=(.*)$", 1)))
+        whole = bound(described, lambda d: F.when(~F.array_contains(d, ""), F.concat_ws("|", F.lit("direct-url"), url, d)))
+        return F.when(url != "", F.when(named, F.concat(F.lit("direct-posting-url|"), url)).otherwise(whole))
+
+    native = bound(posting_identity(F.col("url")), lambda i: F.when(i.isNotNull(), F.concat_ws("|", i["provider"], F.array_join(i["parts"], "|"))))
+    return F.coalesce(native, F.when(F.col("link_kind") == "direct", bound(canonical_url(F.col("url")), direct)))
 
 
 def reconcile(rows: DataFrame, identity: Column, order: str = "id", fill: list[str] | None = None) -> DataFrame:

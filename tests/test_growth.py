@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text
+from quarrystone.operators import dedupe
 
 
 def plan(df):
@@ -14,3 +15,17 @@ def test_places_are_cleaned_once(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<string>").select("i", text.authoritative_places(F.col("x")).alias("p"))
     assert {r.i: r.p for r in df.collect()} == {0: ["Albany, NY", "Town 5, CA"], 1: ["Remote", "Main, NY"], 2: ["Remote (OH)"], 3: [], 4: None}
     assert plan(df).count("remote office") == 1
+
+
+def test_identities_read_a_url_once(spark):
+    rows = [
+        ("https://Jobs.example.com//x/12345678/?utm_source=a#top", "direct"), ("https://jobs.example.com/x?reqid=99999999&ref=1", "direct"), ("https://jobs.example.com/x", "direct"), ("https://jobs.example.com/x", "listing"), (None, "direct"),
+        ("https://job-boards.greenhouse.io/Acme/jobs/42?gh_src=x", "listing"), ("https://acme.wd1.myworkdayjobs.com/en-US/Ext/job/Albany/Engineer_R-7/apply", None),
+    ]
+    df = spark.createDataFrame([(i, "Acme &amp; Co", "Engineer", "Albany", u, k) for i, (u, k) in enumerate(rows)], "i int, company string, title string, location string, url string, link_kind string")
+    got = df.select("i", dedupe.reconciliation_identity(df).alias("x"))
+    assert [r.x for r in got.orderBy("i").collect()] == [
+        "direct-posting-url|https://jobs.example.com/x/12345678", "direct-posting-url|https://jobs.example.com/x?reqid=99999999", "direct-url|https://jobs.example.com/x|acme and co|engineer|albany", None, None,
+        "greenhouse|acme|42", "workday|acme|ext|r-7",
+    ]
+    assert plan(got).count("#.*$") == 1
