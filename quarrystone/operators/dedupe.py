@@ -22,18 +22,19 @@ def group_observations(obs: DataFrame) -> DataFrame:
     In order, a row joins the group of its URL, else that of its signature, else it
     opens one; later URLs join, later signatures do not. In closed form: a row of a
     known URL follows the URL's first row, and a group opens with the first such row
-    of its signature. Both are aggregations over a narrow table of ordinals, URLs and
-    signatures, written once; full rows are shuffled once, to meet their group by their
-    ordinal and URL.
+    of its signature. Both are aggregations over the first row of each URL as it is
+    written, a narrow table that is written once; so only distinct URLs are made
+    canonical. Full rows are shuffled once, to meet their group by their URL. A row
+    without a URL is a URL of its own.
     """
-    narrow = stored(obs.select("ordinal", "url", canonical_url(F.col("url")).alias("_url"), signature_key(F.col("company"), F.col("title"), F.col("location")).alias("_sig")))
-    # rows without a URL must not meet under one key
-    narrow = narrow.withColumn("_key", F.when(F.col("_url") == "", F.concat(F.lit("row "), F.col("ordinal").cast("string"))).otherwise(F.col("_url")))
-    firsts = narrow.groupBy("_key").agg(F.min(F.struct("ordinal", "_sig")).alias("f")).select("_key", F.col("f.ordinal").alias("_o"), F.col("f._sig").alias("_eff"))
+    own = F.concat(F.lit("row "), F.col("ordinal").cast("string"))
+    keyed = obs.withColumn("_url", F.when(F.coalesce("url", F.lit("")) == "", own).otherwise(F.col("url")))
+    first = keyed.groupBy("_url").agg(F.min(F.struct("ordinal", "company", "title", "location")).alias("f"))
+    urls = stored(first.select("_url", canonical_url(F.col("_url")).alias("_key"), F.col("f.ordinal").alias("_o"), signature_key(F.col("f.company"), F.col("f.title"), F.col("f.location")).alias("_sig")))
+    firsts = urls.groupBy("_key").agg(F.min(F.struct("_o", "_sig")).alias("f")).select("_key", "f._o", F.col("f._sig").alias("_eff"))
     groups = firsts.groupBy("_eff").agg(F.min("_o").alias("group_id"))
-    own = narrow.select("ordinal", F.col("url").alias("_own"), "_key").distinct().join(firsts.join(groups, "_eff").select("_key", "group_id"), "_key")
-    own = own.select(F.col("ordinal").alias("_ordinal"), "_own", "group_id")
-    return obs.join(own, (F.col("ordinal") == F.col("_ordinal")) & F.col("url").eqNullSafe(F.col("_own"))).drop("_ordinal", "_own")
+    found = urls.select("_url", "_key").join(firsts.join(groups, "_eff").select("_key", "group_id"), "_key").drop("_key")
+    return keyed.join(found, "_url").drop("_url")
 
 
 def merge_groups(grouped: DataFrame, aggregators: list[str]) -> DataFrame:

@@ -29,3 +29,14 @@ def test_identities_read_a_url_once(spark):
         "greenhouse|acme|42", "workday|acme|ext|r-7",
     ]
     assert plan(got).count("#.*$") == 1
+
+
+def test_observations_meet_by_distinct_urls(spark, monkeypatch):
+    urls = ["https://x.com/1", "https://x.com/1/", "https://X.com/1?utm_source=a", "https://x.com/2", None, ""]
+    df = spark.createDataFrame([(i, urls[i % 6], "ab"[i // 3 % 2], "t", "l") for i in range(120)], "ordinal long, url string, company string, title string, location string").repartition(3)
+    kept, stored = [], dedupe.stored
+    monkeypatch.setattr(dedupe, "stored", lambda x: kept.append(stored(x)) or kept[-1])
+    got = {r.ordinal: r.group_id for r in dedupe.group_observations(df).collect()}
+    # rows 0 and 3 open a group for each company; URLs follow their first row, rows without one their company
+    assert got == {i: 0 if i % 6 < 3 else 3 for i in range(120)}
+    assert [k.count() for k in kept] == [4 + 40]
