@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import canonical_url, compact, host, place_key
+from quarrystone.plans.shared import dealt
 
 
 def attach_evidence(postings: DataFrame, bridge: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -110,21 +111,24 @@ def resolve_places(locations: DataFrame, zips: DataFrame, cities: DataFrame) ->
 
     ``cities``: state, city, latitude, longitude, unique_name. Contained cities, of any number
     of words, are met by the rarest word of their name and verified word by word around it,
-    so no location meets every city.
+    so no location meets every city. A point follows from the value alone, so each
+    distinct value is looked up once.
     """
-    rows = locations.select("id", "value", F.regexp_extract("value", r"\b(\d{5})\b", 1).alias("zip"), place_key(F.substring_index("value", ",", 1)).alias("city"), F.upper(F.trim(F.element_at(F.split("value", ","), -1))).alias("state"))
+    rows = locations.select("value").distinct().select("value", F.regexp_extract("value", r"\b(\d{5})\b", 1).alias("zip"), place_key(F.substring_index("value", ",", 1)).alias("city"), F.upper(F.trim(F.element_at(F.split("value", ","), -1))).alias("state"))
     words = F.split(place_key(F.col("value")), " ")
     c = cities.withColumn("city", place_key(F.col("city")))
     point = [F.col("latitude"), F.col("longitude")]
     unique = c.where("unique_name")
-    t1 = rows.join(zips.select(F.col("zip_code").alias("zip"), *point), "zip").select("id", "value", F.lit(1).alias("tier"), *point, F.lit(0).alias("length"))
-    t2 = rows.join(c.select("state", "city", *point), ["state", "city"]).select("id", "value", F.lit(2), *point, F.lit(0))
-    t3 = rows.join(unique.select("city", *point), "city").select("id", "value", F.lit(3), *point, F.lit(0))
-    said = rows.select("id", "value", words.alias("_words"), F.posexplode(words).alias("_at", "_word"))
+    t1 = rows.join(zips.select(F.col("zip_code").alias("zip"), *point), "zip").select("value", F.lit(1).alias("tier"), *point, F.lit(0).alias("length"))
+    t2 = rows.join(c.select("state", "city", *point), ["state", "city"]).select("value", F.lit(2), *point, F.lit(0))
+    t3 = rows.join(unique.select("city", *point), "city").select("value", F.lit(3), *point, F.lit(0))
+    said = rows.select("value", words.alias("_words"), F.posexplode(words).alias("_at", "_word"))
     around = F.slice("_words", F.greatest(F.lit(1), F.col("_at") - F.col("_place") + 1), F.size("_name"))
-    t4 = said.join(_anchored(unique.select("city", *point)), "_word").where((F.col("_at") >= F.col("_place")) & (around == F.col("_name"))).select("id", "value", F.lit(4), *point, F.length("city"))
+    t4 = said.join(_anchored(unique.select("city", *point)), "_word").where((F.col("_at") >= F.col("_place")) & (around == F.col("_name"))).select("value", F.lit(4), *point, F.length("city"))
     best = F.min(F.struct("tier", F.negative("length").alias("l"), "latitude", "longitude"))
-    return t1.union(t2).union(t3).union(t4).groupBy("id", "value").agg(best.alias("b")).select("id", "value", "b.tier", "b.latitude", "b.longitude")
+    found = t1.union(t2).union(t3).union(t4).groupBy("value").agg(best.alias("b")).select(F.col("value").alias("_value"), "b.tier", "b.latitude", "b.longitude")
+    each = dealt(locations.select("id", "value"), "id").distinct()
+    return each.join(found, F.col("value").eqNullSafe(F.col("_value"))).drop("_value")
 
 
 EARTH_MILES = 3958.7613

@@ -1,9 +1,11 @@
 """Work and memory of steps that larger tables showed to be too dear."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text
-from quarrystone.operators import dedupe
+from quarrystone.operators import dedupe, joins
 
 
 def plan(df):
@@ -40,3 +42,13 @@ def test_observations_meet_by_distinct_urls(spark, monkeypatch):
     # rows 0 and 3 open a group for each company; URLs follow their first row, rows without one their company
     assert got == {i: 0 if i % 6 < 3 else 3 for i in range(120)}
     assert [k.count() for k in kept] == [4 + 40]
+
+
+def test_places_are_looked_up_once_a_value(spark):
+    said = ["Apt 7, 12345", "Salem, OR", "Boise", "near Boise today", "Nowhere", None]
+    zips = spark.createDataFrame([("12345", 1.0, 2.0)], "zip_code string, latitude double, longitude double")
+    cities = spark.createDataFrame([("OR", "Salem", 3.0, 4.0, False), ("ID", "Boise", 5.0, 6.0, True)], "state string, city string, latitude double, longitude double, unique_name boolean")
+    got = joins.resolve_places(spark.createDataFrame([(i % 60, said[i % 6]) for i in range(120)], "id int, value string"), zips, cities)
+    want = {0: (1, 1.0, 2.0), 1: (2, 3.0, 4.0), 2: (3, 5.0, 6.0), 3: (4, 5.0, 6.0)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, said[i % 6], *want[i % 6]) for i in range(60) if i % 6 in want)
+    assert re.search(r"Aggregate \[value#\d+\], \[value#\d+\]\n", plan(got))
