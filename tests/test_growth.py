@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quarrystone.functions import text
+from quarrystone.functions import identity, text
 from quarrystone.operators import dedupe, joins
 
 
@@ -52,3 +52,11 @@ def test_places_are_looked_up_once_a_value(spark):
     want = {0: (1, 1.0, 2.0), 1: (2, 3.0, 4.0), 2: (3, 5.0, 6.0), 3: (4, 5.0, 6.0)}
     assert sorted(tuple(r) for r in got.collect()) == sorted((i, said[i % 6], *want[i % 6]) for i in range(60) if i % 6 in want)
     assert re.search(r"Aggregate \[value#\d+\], \[value#\d+\]\n", plan(got))
+
+
+def test_native_identity_reads_a_host_once(spark):
+    df = spark.createDataFrame([(0, "https://Jobs.ashbyhq.com/Acme/0000ABCD-0000-0000-0000-000000000012/application"), (1, "https://careers-acme.icims.com/jobs/7/job"), (2, "https://careers-acme.icims.com/about"), (3, None)], "i int, url string")
+    got = df.select("i", identity.posting_identity(F.col("url")).alias("x"))
+    want = {0: ("ashby", ["acme", "0000abcd-0000-0000-0000-000000000012"]), 1: ("icims", ["careers-acme.icims.com", "7"]), 2: None, 3: None}
+    assert {r.i: r.x and tuple(r.x) for r in got.collect()} == want
+    assert plan(got).count("://(?:[^/?#@]*@)?") == 1
