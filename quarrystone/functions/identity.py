@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import bound, canonical_url, host, url_part
@@ -55,6 +55,18 @@ def posting_identity(url: Column, rules=RULES) -> Column:
     return _by_rule(url, rules, lambda r, parts: F.struct(F.lit(r.provider).alias("provider"), F.array(*[F.lower(p) for p in parts]).alias("parts")))
 
 
+def with_posting_key(rows: DataFrame, url: Column, name: str, rules=RULES) -> DataFrame:
+    """``rows`` with ``name``: ``provider|part|...`` of ``posting_identity``, null where no rule fits.
+
+    Host and path are columns of a step before, so that each is read once and Spark
+    compiles what follows; the lambdas of ``posting_identity`` are interpreted.
+    """
+    read = rows.withColumns({"_host": host(url), "_path": F.coalesce(url_part(url, "PATH"), F.lit(""))})
+    h, p = F.col("_host"), F.col("_path")
+    key = lambda r: F.concat_ws("|", F.lit(r.provider), *[F.lower(x) for x in _parts(h, p, r)])
+    return read.withColumn(name, F.coalesce(*[F.when(h.rlike(r.host) & p.rlike(r.path), key(r)) for r in rules])).drop("_host", "_path")
+
+
 def identity_key(url: Column, rules=RULES) -> Column:
     """``provider|part|...``, else ``url|<canonical>``, else null."""
     i = posting_identity(url, rules)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.identity import posting_identity
+from quarrystone.functions.identity import posting_identity, with_posting_key
 from quarrystone.functions.text import bound, canonical_url, host, norm
 from quarrystone.plans.components import components
 from quarrystone.plans.shared import stored
@@ -71,8 +71,8 @@ def _names_posting(text: Column) -> Column:
     return F.exists(pieces, lambda p: (F.length(p) >= 8) & (uuid(p) | F.exists(F.split(p, "-"), number)))
 
 
-def reconciliation_identity(rows: DataFrame) -> Column:
-    """What two copies of a posting share: the provider's own id, else of direct links the URL if it names one posting, else the URL with company, title and place; null otherwise."""
+def _direct_identity() -> Column:
+    """Of direct links the URL if it names one posting, else the URL with company, title and place; null otherwise."""
     described = F.array(*[norm(F.col(c)) for c in ("company", "title", "location")])
 
     def direct(url: Column) -> Column:
@@ -81,40 +81,55 @@ def reconciliation_identity(rows: DataFrame) -> Column:
         whole = bound(described, lambda d: F.when(~F.array_contains(d, ""), F.concat_ws("|", F.lit("direct-url"), url, d)))
         return F.when(url != "", F.when(named, F.concat(F.lit("direct-posting-url|"), url)).otherwise(whole))
 
+    return F.when(F.col("link_kind") == "direct", bound(canonical_url(F.col("url")), direct))
+
+
+def reconciliation_identity(rows: DataFrame) -> Column:
+    """What two copies of a posting share: the provider's own id, else of direct links the URL if it names one posting, else the URL with company, title and place; null otherwise."""
     native = bound(posting_identity(F.col("url")), lambda i: F.when(i.isNotNull(), F.concat_ws("|", i["provider"], F.array_join(i["parts"], "|"))))
-    return F.coalesce(native, F.when(F.col("link_kind") == "direct", bound(canonical_url(F.col("url")), direct)))
+    return F.coalesce(native, _direct_identity())
+
+
+def identified(rows: DataFrame, name: str = "identity") -> DataFrame:
+    """``rows`` with ``reconciliation_identity`` as ``name``, worked out by steps of columns: the same values for less work where rows are many."""
+    return with_posting_key(rows, F.col("url"), "_native").withColumn(name, F.coalesce("_native", _direct_identity())).drop("_native")
 
 
-def reconcile(rows: DataFrame, identity: Column, order: str = "id", fill: list[str] | None = None) -> DataFrame:
+def reconcile(rows: DataFrame, identity: Column, order: str = "id", fill: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Rows of one native identity made one: the winner by directness, link kind, number of sources, date and id; others pass.
 
     The winner keeps its fields, but: sources unite; ``first_seen`` is the earliest and
     ``last_seen`` the latest; ``posted_at`` is the newest; ``link_status`` is "ok" if any is,
     else the first one known; of rows with ``direct_employer`` the best one gives company,
     title and location; blank fields of ``fill`` take the first value that another row has.
-    Columns that are not there are passed over. ``merged`` counts the rows.
+    Columns that are not there are passed over. ``merged`` counts the rows. ``keep`` names
+    the columns wanted, else all are: what the winner is not asked for is not carried, and
+    identities, which begin alike, are sorted by their hash first.
     """
-    have = set(rows.columns)
-    keyed = rows.withColumn("_identity", F.coalesce(identity, F.concat(F.lit("row "), F.col(order).cast("string"))))
+    have, keep, fill = set(rows.columns), keep or rows.columns, fill or []
+    keyed = rows.withColumn("_identity", F.coalesce(identity, F.concat(F.lit("row "), F.col(order).cast("string")))).withColumn("_hash", F.xxhash64("_identity"))
     led = (F.col("direct_employer") if "direct_employer" in have else F.col("link_kind") == "direct").cast("int")
-    rank = F.struct(F.coalesce(led, F.lit(0)).alias("a"), link_kind_rank(F.col("link_kind")).alias("b"), F.size("source_keys").alias("c"), F.col("posted_at").alias("d"), F.col(order).alias("e"), F.struct(*rows.columns).alias("row"))
-    named = F.lit(False) if "direct_employer" not in have else F.coalesce(F.col("direct_employer"), F.lit(False))
     first = lambda c, usable: F.min_by(F.when(usable, F.col(c)), F.when(usable, F.col(order)))
     over = {"source_keys": F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_keys"))))}
     over |= {c: f(c) for c, f in (("first_seen", F.min), ("last_seen", F.max), ("posted_at", F.max)) if c in have}
     if "link_status" in have:
         known = F.nullif(F.col("link_status"), F.lit(""))
         over["link_status"] = F.when(F.max(F.coalesce(known == "ok", F.lit(False))), "ok").otherwise(first("link_status", known.isNotNull()))
-    best = F.max(rank)["row"]
-    employer = F.max(F.when(named, rank))["row"]
-    value = {c: over.get(c, best[c]) for c in rows.columns}
-    value |= {c: F.coalesce(F.nullif(employer[c], F.lit("")), best[c]) for c in ("company", "title", "location") if c in have}
-    for c in fill or []:
+    carried = [c for c in keep if c != order and (c not in over or c in fill)]
+    row = [F.struct(*carried).alias("row")] if carried else []
+    rank = F.struct(F.coalesce(led, F.lit(0)).alias("a"), link_kind_rank(F.col("link_kind")).alias("b"), F.size("source_keys").alias("c"), F.col("posted_at").alias("d"), F.col(order).alias("e"), *row)
+    of = lambda winner, c: winner["e"] if c == order else winner["row"][c]
+    best = F.max(rank)
+    value = {c: over[c] if c in over else of(best, c) for c in keep}
+    if "direct_employer" in have:
+        employer = F.max(F.when(F.coalesce(F.col("direct_employer"), F.lit(False)), rank))
+        value |= {c: F.coalesce(F.nullif(of(employer, c), F.lit("")), of(best, c)) for c in ("company", "title", "location") if c in keep}
+    for c in [c for c in fill if c in keep]:
         filled = F.col(c).isNotNull() & (F.col(c).cast("string") != "")
-        value[c] = F.coalesce(F.when(best[c].cast("string") != "", best[c]), first(c, filled))
-    out = keyed.groupBy("_identity").agg(*[v.alias(c) for c, v in value.items()], F.count(F.lit(1)).alias("merged"))
+        value[c] = F.coalesce(F.when(of(best, c).cast("string") != "", of(best, c)), first(c, filled))
+    out = keyed.groupBy("_hash", "_identity").agg(*[v.alias(c) for c, v in value.items()], F.count(F.lit(1)).alias("merged"))
     last = ["source_keys", "first_seen", "merged"]
-    return out.select(*[c for c in rows.columns if c not in last], *[c for c in last if c in out.columns])
+    return out.select(*[c for c in keep if c not in last], *[c for c in last if c in out.columns])
 
 
 def reconcile_stats(rows: DataFrame, identity: Column) -> DataFrame:

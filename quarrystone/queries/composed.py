@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quarrystone.functions import classify as K
@@ -181,6 +183,6 @@ def d3_native(spark, sf):
         both(["https://acme.wd1.myworkdayjobs.com/en-US/Ext/job/Albany/Engineer_R-", k], ["https://acme.wd5.myworkdayjobs.com/Ext/job/Engineer_R-", k, "/apply"]),
         both(["https://jobs.example.com/", F.lpad(k, 9, "0")], ["https://jobs.example.com/", F.lpad(k, 9, "0"), "?utm_source=x"]), F.lit("https://jobs.example.com/openings"),
     ]
-    url = F.element_at(F.array(*forms), (F.col("posting_id") % 6 + 1).cast("int"))
+    url = reduce(lambda done, i: done.when(F.col("posting_id") % 6 == i, forms[i]), range(1, 6), F.when(F.col("posting_id") % 6 == 0, forms[0]))
     rows = o.select(F.col("ordinal").alias("id"), "company", "title", "location", "link_kind", "posted_at", F.array("source_key").alias("source_keys"), F.when(F.col("url").isNotNull(), url).alias("url"))
-    return D.reconcile(rows, D.reconciliation_identity(rows)).select("id", "source_keys", "posted_at", "merged")
+    return D.reconcile(D.identified(rows), F.col("identity"), keep=["id", "source_keys", "posted_at"]).select("id", "source_keys", "posted_at", "merged")

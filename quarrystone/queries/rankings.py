@@ -144,7 +144,7 @@ def dated_postings(spark, sf):
 SELECT (list(id ORDER BY (link_kind = 'direct') DESC, CASE link_kind WHEN 'direct' THEN 4 WHEN 'listing' THEN 2 ELSE 1 END DESC, len(source_keys) DESC, posted_at DESC, id DESC))[1] AS id, list_sort(list_distinct(flatten(list(source_keys)))) AS source_keys, min(posted_at) AS first_seen, count(*) AS merged FROM k GROUP BY i""")
 def d3(spark, sf):
     identity = F.when(F.col("id") % 5 > 0, F.concat("company", "title"))
-    return D.reconcile(dated_postings(spark, sf), identity).select("id", "source_keys", "first_seen", "merged")
+    return D.reconcile(dated_postings(spark, sf), identity, keep=["id", "source_keys", "first_seen"]).select("id", "source_keys", "first_seen", "merged")
 
 
 @query("d4_reconcile_stats", with_sql("obs", "post") + """, g AS (SELECT CASE WHEN id % 5 > 0 THEN company || title END AS i, count(*) AS n FROM post GROUP BY 1)

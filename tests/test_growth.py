@@ -60,3 +60,22 @@ def test_native_identity_reads_a_host_once(spark):
     want = {0: ("ashby", ["acme", "0000abcd-0000-0000-0000-000000000012"]), 1: ("icims", ["careers-acme.icims.com", "7"]), 2: None, 3: None}
     assert {r.i: r.x and tuple(r.x) for r in got.collect()} == want
     assert plan(got).count("://(?:[^/?#@]*@)?") == 1
+
+
+def test_reconciled_rows_are_slim_and_identities_compiled(spark):
+    from quarrystone.catalog import QUERIES
+
+    rows = [
+        ("https://Jobs.example.com//x/12345678/?utm_source=a#top", "direct"), ("https://jobs.example.com/x/12345678", "direct"), ("https://jobs.example.com/x", "direct"), ("https://jobs.example.com/x", "listing"), (None, "direct"), ("", None), ("no url", "direct"),
+        ("https://job-boards.greenhouse.io/Acme/jobs/42?gh_src=x", "listing"), ("https://u@boards.greenhouse.io:443/acme/jobs/42/", "direct"), ("https://boards.greenhouse.io/a b/jobs/42", "direct"), ("https://boards.greenhouse.io/acme", "direct"),
+        ("https://acme.wd1.myworkdayjobs.com/en-US/Ext/job/Albany/Engineer_R-7/apply", None), ("https://x.fa.us2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX/job/A1", "source"),
+    ]
+    df = spark.createDataFrame([(i, "Acme &amp; Co", "Engineer", "Albany", u, k, i // 2, [f"s{i % 3}"]) for i, (u, k) in enumerate(rows)], "id int, company string, title string, location string, url string, link_kind string, posted_at int, source_keys array<string>")
+    both = dedupe.identified(df).withColumn("want", dedupe.reconciliation_identity(df))
+    assert both.where("NOT identity <=> want").count() == 0 and both.where("identity IS NOT NULL").count() == 10
+    assert plan(dedupe.identified(df)).count("RLIKE(_host#") == len(identity.RULES)
+    cols = ["id", "posted_at", "source_keys", "merged"]
+    slim = dedupe.reconcile(dedupe.identified(df), F.col("identity"), keep=cols[:3]).select(cols)
+    assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, dedupe.reconcile(df, dedupe.reconciliation_identity(df)).select(cols).collect()))
+    for got in (slim, QUERIES["d3_native_reconciliation"](spark, "/root/testdata/sf0.001")):
+        assert not re.search(r"title|url#", re.search(r"Aggregate [^\n]*", plan(got)).group())
