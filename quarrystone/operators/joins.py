@@ -48,10 +48,15 @@ def match_prior(postings: DataFrame, previous: DataFrame, tiers: list[str], valu
 
 
 def carry_forward(current: DataFrame, previous: DataFrame, failed: DataFrame, key: str = "id") -> DataFrame:
-    """Previous postings of sources that failed now, unless known dead or present; ``carried_from`` is the first such source."""
-    rows = previous.where(F.coalesce(F.col("link_status") != "dead", F.lit(True)))
-    held = rows.select(key, F.explode("source_keys").alias("k")).join(failed.select(F.col("key").alias("k")).distinct(), "k").groupBy(key).agg(F.min("k").alias("carried_from"))
-    return rows.join(held, key).join(current.select(key), key, "left_anti").withColumn("carried_forward", F.lit(True))
+    """Previous postings of sources that failed now, unless known dead or present; ``carried_from`` is the first such source.
+
+    The previous postings are read once: a row meets its failed sources and keeps the first.
+    """
+    rows = previous.where(F.col(key).isNotNull() & F.coalesce(F.col("link_status") != "dead", F.lit(True))).withColumn("_row", F.monotonically_increasing_id())
+    met = rows.withColumn("_k", F.explode("source_keys")).join(failed.select(F.col("key").alias("_k")).distinct(), "_k")
+    rest = [c for c in previous.columns if c != key]
+    held = met.groupBy(key, "_row").agg(*[F.any_value(c).alias(c) for c in rest], F.min("_k").alias("carried_from")).drop("_row")
+    return held.join(current.select(key), key, "left_anti").withColumn("carried_forward", F.lit(True))
 
 
 def best_tier(left: DataFrame, key: str, tiers: list[DataFrame], value: str) -> DataFrame:

@@ -32,7 +32,7 @@ def j2(spark, sf):
 
 @query("j3_carry_forward", with_sql("obs", "post", "health") + ", f AS (SELECT id, min(k) AS carried_from FROM (SELECT id, unnest(source_keys) AS k FROM post WHERE id % 2 = 0 AND link_status <> 'dead') WHERE k IN (SELECT key FROM health WHERE status = 'failed') GROUP BY 1) SELECT id, carried_from FROM f WHERE id NOT IN (SELECT id FROM post WHERE id % 6 = 0)")
 def j3(spark, sf):
-    p = postings(spark, sf)
+    p = postings(spark, sf, deal=True)
     return J.carry_forward(p.where("id % 6 = 0"), p.where("id % 2 = 0"), source_health(spark, sf).where("status = 'failed'")).select("id", "carried_from")
 
 

@@ -79,3 +79,17 @@ def test_reconciled_rows_are_slim_and_identities_compiled(spark):
     assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, dedupe.reconcile(df, dedupe.reconciliation_identity(df)).select(cols).collect()))
     for got in (slim, QUERIES["d3_native_reconciliation"](spark, "/root/testdata/sf0.001")):
         assert not re.search(r"title|url#", re.search(r"Aggregate [^\n]*", plan(got)).group())
+
+
+def test_previous_postings_are_read_once(spark):
+    from quarrystone.catalog import QUERIES
+
+    rows = [(1, "ok", ["b", "a", "z"], "x"), (1, "ok", ["b"], "y"), (2, "dead", ["a"], "x"), (3, None, ["c", "b"], "x"), (4, "ok", ["z"], "x"), (5, "ok", ["a"], "x"), (None, "ok", ["a"], "x"), (6, "ok", [], "x"), (7, "ok", None, "x"), (8, "ok", ["a", "a"], None)]
+    previous = spark.createDataFrame(rows, "id long, link_status string, source_keys array<string>, url string")
+    current, failed = spark.createDataFrame([(5,), (9,), (None,)], "id long"), spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "key string")
+    got = joins.carry_forward(current, previous, failed)
+    assert got.columns == [*previous.columns, "carried_from", "carried_forward"]
+    assert sorted((r.id, r.link_status, r.source_keys, r.url, r.carried_from) for r in got.where("id <> 3 AND id <> 8").collect()) == [(1, "ok", ["b"], "y", "b"), (1, "ok", ["b", "a", "z"], "x", "a")]
+    assert [(r.id, r.link_status, r.url, r.carried_from, r.carried_forward) for r in got.where("id = 3 OR id = 8").orderBy("id").collect()] == [(3, None, "x", "b", True), (8, "ok", None, "a", True)]
+    j3 = plan(QUERIES["j3_carry_forward"](spark, "/root/testdata/sf0.001"))
+    assert j3.count("Relation [l_orderkey") == 2 and j3.count("RepartitionByExpression [o_orderkey") == 2
