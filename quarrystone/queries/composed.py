@@ -172,7 +172,7 @@ def c20_labels(spark, sf):
 SELECT (list(ordinal ORDER BY led DESC, CASE link_kind WHEN 'direct' THEN 4 WHEN 'listing' THEN 2 ELSE 1 END DESC, posted_at DESC, ordinal DESC))[1] AS id, list_sort(list(DISTINCT source_key)) AS source_keys, max(posted_at) AS posted_at, count(*) AS merged FROM r GROUP BY coalesce(i, 'row ' || ordinal)""")
 def d3_native(spark, sf):
     """Observations under the URLs of four providers, each in the shapes that it has, under an employer's own numbered URLs, and under one page of openings."""
-    o = observations(spark, sf)
+    o = observations(spark, sf, deal=True)
     k, even = F.col("posting_id").cast("string"), F.col("ordinal") % 2 == 0
     both = lambda a, b: F.when(even, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in a])).otherwise(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in b]))
     uuid = F.concat(F.lit("0000abcd-0000-0000-0000-"), F.lpad(k, 12, "0"))

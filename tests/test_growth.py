@@ -93,3 +93,9 @@ def test_previous_postings_are_read_once(spark):
     assert [(r.id, r.link_status, r.url, r.carried_from, r.carried_forward) for r in got.where("id = 3 OR id = 8").orderBy("id").collect()] == [(3, None, "x", "b", True), (8, "ok", None, "a", True)]
     j3 = plan(QUERIES["j3_carry_forward"](spark, "/root/testdata/sf0.001"))
     assert j3.count("Relation [l_orderkey") == 2 and j3.count("RepartitionByExpression [o_orderkey") == 2
+
+
+def test_reconciled_observations_are_dealt_by_order(spark):
+    from quarrystone.catalog import QUERIES
+
+    assert plan(QUERIES["d3_native_reconciliation"](spark, "/root/testdata/sf0.001")).count("RepartitionByExpression [o_orderkey") == 1
